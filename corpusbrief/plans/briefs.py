@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import prompts, rules
 from ..operators import assemble, events, generate, requests, select
 from ..operators.skew import find_hot_keys
+from ..sources.tables import HISTORY_SCHEMA
 
 
 @dataclass(frozen=True)
 class BriefResult:
+    """Tables of one batch; ``history`` holds this batch's jobs only, ready to append."""
+
     jobs: DataFrame
     rejected: DataFrame
     bundles: DataFrame
@@ -50,8 +53,9 @@ def run_briefs(
 ) -> BriefResult:
     """Carry ``submitted(request_id, url, repo_id, lang, size, technicality[, user_id])`` through every stage.
 
-    ``repo_id`` ties a request to its files. Stage results are written under ``work_dir``, the way
-    the stages hand work to each other; running again with the same inputs overwrites them.
+    ``repo_id`` ties a request to its files; of ``history`` only the highest id is read. Stage
+    results are written under ``work_dir``, the way the stages hand work to each other; running
+    again with the same inputs overwrites them.
     """
     accepted, rejected = requests.validate_requests(submitted)
     created = requests.create_jobs(accepted, history, now=now)
@@ -91,11 +95,6 @@ def run_briefs(
     )
     emitted = _landed(events.stage_events(outcomes), os.path.join(work_dir, "events"))
 
-    rows = jobs.select(
-        "id", "user_id", "repository_url", "created_at", "updated_at", "lang", "size", "technicality",
-        "status", "summary", "error",
-    )
-    if history is not None:
-        rows = history.select(*rows.columns).unionByName(rows)
-    updated = events.apply_events(rows, events.fold_events(emitted))
-    return BriefResult(jobs, rejected, bundles, emitted, updated)
+    fresh = jobs.select(*(part.split()[0] for part in HISTORY_SCHEMA.split(", ")))
+    finished = events.apply_events(fresh, events.fold_events(emitted))
+    return BriefResult(jobs, rejected, bundles, emitted, finished)

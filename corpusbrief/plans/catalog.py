@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import datetime
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import messages, paths, prompts, responses, rules, text, urls
 from ..operators import assemble, events, generate, history, requests, select
 from ..operators.skew import find_hot_keys
-from ..sources import tables
+from .. import session
+from ..session import shared_path
+from ..sources import queues, tables, tree
+from ..streaming import flow, folds, rates
 from . import briefs
-from .fixtures import spark_view, table
+from .fixtures import spark_view, table, view_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -481,3 +485,116 @@ def q_error_map(spark, sf_dir):
     jobs = _history(spark, sf_dir)
     detail = F.repeat(F.concat("repository_url", F.lit(" ")), 20)
     return jobs.select("id", messages.error_message(_error_kind("id"), detail).alias("error"))
+
+
+# --- sources, sinks and streams ------------------------------------------------------------------
+
+def _write_documents(root: str):
+    """Writer of one directory tree per language, one file per document."""
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                full = os.path.join(root, row.repo_id, row.path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as stream:
+                    stream.write(row.content.encode("utf-8"))
+            yield batch[["repo_id"]].drop_duplicates()
+
+    return write
+
+
+@_query
+def q_tree_scan(spark, sf_dir):
+    """The corpus written out as directory trees, then scanned and selected from the trees."""
+    root = shared_path(spark, "trees").removeprefix("file:")
+    session.ship_package(spark)
+    written = _files(spark, sf_dir).select("repo_id", "path", "content").mapInPandas(_write_documents(root), "repo_id string")
+    repos = session.checkpointed(written.distinct())
+    roots = repos.select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))
+    selected = select.select_files(tree.scan_trees(roots))
+    return selected.select("repo_id", "path", "file_class", "size", F.md5("text").alias("text_md5"))
+
+
+@_query
+def q_history_append(spark, sf_dir):
+    """The history appended to a table in two writes and read back."""
+    jobs = _history(spark, sf_dir)
+    path = shared_path(spark, "history")
+    done = F.col("status").isin(*rules.TERMINAL_STATUSES)
+    tables.append_jobs(jobs.where(done), path)
+    tables.append_jobs(jobs.where(~done), path)
+    return tables.read_history(spark, path).select("id", "user_id", "created_at", "status", "summary", "error")
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a queue of status events."""
+    source = table(spark, sf_dir, "events")
+    arriving = queues.read_queue(spark, f"{sf_dir}/events.parquet*", source.schema)
+    return view_of(arriving, "status_events")
+
+
+@_query
+def q_stream_queue(spark, sf_dir):
+    """Status events passed through a queue: stream in, stream out, read back."""
+    path = queues.queue_path(shared_path(spark, "queues"), "results")
+    arriving = _event_stream(spark, sf_dir)
+    queues.write_queue(arriving, path, shared_path(spark, "queue-state")).awaitTermination()
+    return spark.read.schema(arriving.schema).parquet(path).select("seq", "ts", "analysis_id", "status", "summary", "error")
+
+
+@_query
+def q_stream_fold(spark, sf_dir):
+    states = shared_path(spark, "fold-states")
+    folds.stream_fold(_event_stream(spark, sf_dir), states, shared_path(spark, "fold-state")).awaitTermination()
+    return folds.read_fold(spark, states)
+
+
+@_query
+def q_stream_terminal(spark, sf_dir):
+    path = shared_path(spark, "terminal")
+    ended = folds.terminal_jobs(_event_stream(spark, sf_dir)).select("analysis_id")
+    queues.write_queue(ended, path, shared_path(spark, "terminal-state")).awaitTermination()
+    return spark.read.schema(ended.schema).parquet(path)
+
+
+@_query
+def q_stream_rate_flags(spark, sf_dir):
+    """Rate flags of the minutes the watermark has closed."""
+    source = table(spark, sf_dir, "events")
+    arriving = view_of(queues.read_queue(spark, f"{sf_dir}/events.parquet*", source.schema), "history")
+    flags = rates.stream_rate_flags(arriving, guest=1, user=1)
+    path = shared_path(spark, "rate-flags")
+    queues.write_queue(flags, path, shared_path(spark, "rate-state")).awaitTermination()
+    return spark.read.schema(flags.schema).parquet(path).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+def _brief_requests(spark: SparkSession, sf_dir: str, requests_view: DataFrame) -> DataFrame:
+    """Each request asks for one repository of the corpus, or for one that has no files."""
+    repos = F.array(*(F.lit(r) for r in (*REPO_PARAMS, "es", "none")))
+    return requests_view.withColumn("repo_id", F.element_at(repos, (F.col("request_id") % 5 + 1).cast("int")))
+
+
+@_query
+def q_run_briefs(spark, sf_dir):
+    """Every request carried from submission to its finished history row."""
+    submitted = _brief_requests(spark, sf_dir, _requests(spark, sf_dir))
+    done = briefs.run_briefs(
+        spark, submitted, _files(spark, sf_dir), _history(spark, sf_dir), generate.ExtractiveProvider,
+        shared_path(spark, "briefs"), now=CREATED,
+    )
+    summary = F.regexp_extract("summary", r"^<p>(\d+ files, \d+ characters)</p><ul><li>", 1)
+    return done.history.select("id", "repository_url", "lang", "size", "technicality", "status", summary.alias("summary_head"), "error")
+
+
+@_query
+def q_stream_briefs(spark, sf_dir):
+    """The same requests arriving as a stream, with ids from 1."""
+    source = table(spark, sf_dir, "pages")
+    arriving = view_of(queues.read_queue(spark, f"{sf_dir}/pages.parquet*", source.schema), "requests")
+    out = shared_path(spark, "brief-stream")
+    flow.stream_briefs(
+        _brief_requests(spark, sf_dir, arriving), _files(spark, sf_dir), generate.ExtractiveProvider, out,
+        shared_path(spark, "brief-state"),
+    ).awaitTermination()
+    return flow.read_stream_history(spark, out).select("id", "repository_url", "status", "error")

@@ -95,6 +95,12 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def view_of(df: DataFrame, name: str) -> DataFrame:
+    """A view over one given frame, batch or streaming, in place of its table."""
+    sql = VIEWS[name].replace("{BYTES}", "octet_length").replace("{STR}", "STRING")
+    return df.sparkSession.sql(sql, **{t: df for t in _TABLES if "{" + t + "}" in sql})
+
+
 def check_view(name: str) -> str:
     """The same view for the checking engine, as the body of a WITH entry."""
     sql = VIEWS[name].replace("{BYTES}", "strlen").replace("{STR}", "VARCHAR")

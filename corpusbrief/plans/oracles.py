@@ -197,6 +197,18 @@ _FLAGS = """WITH {history}, minutes AS (
   FROM history GROUP BY ALL)
 SELECT minute, rate_key, n FROM minutes WHERE n > 1""".format(history=_HISTORY)
 
+# requests of the whole-job queries: the repository each asks for, prompt size included
+_BRIEFED = f"""{_BUNDLED}, {_GUIDES}, {_CHECKED},
+repos AS (SELECT {list((*REPO_PARAMS, "es", "none"))} AS names),
+guided AS ({_guided('checked')}),
+numbered AS (
+  SELECT row_number() OVER (ORDER BY request_id) AS place, guided.*, (SELECT names FROM repos)[request_id % 5 + 1] AS repo
+  FROM guided WHERE reject_reason IS NULL),
+briefed AS (
+  SELECT numbered.*, bundles.text,
+    {_prompt('numbered.lang', 'length_guidance', 'audience_guidance', 'bundles.text')} AS prompt
+  FROM numbered LEFT JOIN bundles ON bundles.repo_id = repo)"""
+
 _FOLD_SQL = f"WITH {_FOLDED} SELECT * FROM folds"
 
 
@@ -328,6 +340,13 @@ def oracle_sql() -> dict[str, str]:
               CASE kind WHEN 5 THEN 'payload is not a map' WHEN 3 THEN 'missing analysis_id'
                 WHEN 4 THEN 'missing result_queue_name' END AS reject_reason
             FROM k""",
+        "q_generate": f"""WITH d AS (
+              SELECT *, {_text(rules.SEGMENT_HEAD)} || 'doc.md' || {_text(rules.SEGMENT_MID)} || text || {_text(rules.SEGMENT_TAIL)} AS prompt
+              FROM documents)
+            SELECT doc_id, sha256(prompt)[1:16] AS prompt_hash, '<p>1 files, ' || length(prompt) || ' characters</p><ul><li>doc.md: ' ||
+              {_strip("regexp_extract(text, '[^.!?' || chr(10) || ']+[.!?]?')")} || '</li></ul>' AS summary,
+              CAST(NULL AS VARCHAR) AS error_kind
+            FROM d""",
         "q_history_user": f"""WITH {_HISTORY}
             SELECT id, repository_url, created_at, status, lang, size, technicality FROM history
             WHERE user_id = '{ONE_USER}' ORDER BY created_at DESC, id DESC LIMIT {rules.HISTORY_PAGE}""",
@@ -380,4 +399,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM emitted""",
         "q_error_map": f"""WITH {_HISTORY}
             SELECT id, {_error_of(_KIND, "repeat(repository_url || ' ', 20)")} AS error FROM history""",
+        "q_tree_scan": f"WITH {_SELECTED} SELECT repo_id, path, file_class, size, md5(content) AS text_md5 FROM selected",
+        "q_history_append": f"WITH {_HISTORY} SELECT id, user_id, created_at, status, summary, error FROM history",
+        "q_stream_queue": f"WITH {_EVENTS} SELECT seq, ts, analysis_id, status, summary, error FROM status_events",
+        "q_stream_fold": _FOLD_SQL,
+        "q_stream_terminal": f"""WITH {_VALID}
+            SELECT DISTINCT analysis_id FROM judged WHERE reject_reason IS NULL AND status IN ('COMPLETED', 'FAILED')""",
+        "q_stream_rate_flags": f"""{_FLAGS}
+            AND minute + INTERVAL 1 MINUTE <= (SELECT max(created_at) FROM history) - INTERVAL 2 MINUTE""",
+        "q_run_briefs": f"""WITH {_BRIEFED}, {_HISTORY}
+            SELECT (SELECT max(id) FROM history) + place AS id, url AS repository_url, lang, size, technicality,
+              CASE WHEN text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+              ((length(text) - length(replace(text, '--- File: ', ''))) // 10) || ' files, ' || length(prompt) || ' characters' AS summary_head,
+              CASE WHEN text IS NULL THEN {_text(rules.BLANK_REPOSITORY)} END AS error
+            FROM briefed""",
+        "q_stream_briefs": f"""WITH {_BRIEFED}
+            SELECT place AS id, url AS repository_url, CASE WHEN text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+              CASE WHEN text IS NULL THEN {_text(rules.BLANK_REPOSITORY)} END AS error
+            FROM briefed""",
     }

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions import rules
 
@@ -17,7 +18,7 @@ def queue_path(root: str, queue: str) -> str:
 
 
 def read_queue(
-    spark: SparkSession, path: str, schema: str, fmt: str = "parquet", files_per_trigger: int | None = None,
+    spark: SparkSession, path: str, schema: str | StructType, fmt: str = "parquet", files_per_trigger: int | None = None,
 ) -> DataFrame:
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_trigger:
