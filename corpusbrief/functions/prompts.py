@@ -71,13 +71,18 @@ def chat_request(prompt: Column | str, model: str, temperature: float = 0.6, max
     fields = [
         F.lit(model).alias("model"),
         F.array(message).alias("messages"),
-        F.lit(float(temperature)).alias("temperature"),
+        F.lit(temperature).alias("temperature"),
     ]
     if max_tokens is not None:
         fields.append(F.lit(int(max_tokens)).alias("max_tokens"))
     return F.to_json(F.struct(*fields))
 
 
+def probe_request(model: str) -> Column:
+    """The smallest request that shows whether a chat endpoint works."""
+    return chat_request(F.lit(rules.PROBE_PROMPT), model, 0, rules.PROBE_MAX_TOKENS)
+
+
 def clean_output(output: Column | str) -> Column:
     """Strip, then drop one leading fence (```html before ```) and one trailing fence."""
     text = strip(F.coalesce(_col(output), F.lit("")))

@@ -141,6 +141,8 @@ NO_CHOICES = "LM Studio response contained no choices."
 NO_USABLE_CONTENT = "LM Studio response did not include usable content or reasoning."
 BLOCKED = "Content generation blocked by safety filters: "
 NO_CANDIDATE = "No summary content received from Gemini. Finish reason: "
+PROBE_PROMPT = "Reply with OK."
+PROBE_MAX_TOKENS = 8
 PROBE_OK = "LM Studio responded successfully."
 PROBE_EMPTY = "LM Studio responded but no content/reasoning was returned."
 PROBE_FAILED = "LM Studio probe failed: "

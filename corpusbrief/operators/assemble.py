@@ -26,8 +26,8 @@ def assemble(capped: DataFrame, budget: int = rules.TEXT_BUDGET, hot: DataFrame
     chars = text.segment_chars("path", "text")
     parts = capped.select(
         "repo_id", "path",
-        # no file contributes more than the budget
-        F.left("text", F.lit(budget)).alias("text"),
+        # no file contributes more than the budget; the byte test spares counting characters
+        F.when(F.octet_length("text") > budget, F.left("text", F.lit(budget))).otherwise(F.col("text")).alias("text"),
         F.when(F.col("file_class") == "important", 0).otherwise(1).alias("_class_rank"),
         paths.walk_key("path").alias("_walk"),
         chars.alias("_chars"),
@@ -35,22 +35,16 @@ def assemble(capped: DataFrame, budget: int = rules.TEXT_BUDGET, hot: DataFrame
         F.when(F.col("file_class") == "important", chars).otherwise(F.lit(0)).cast("long").alias("_important"),
     )
     if hot is not None:
-        parts = _starting_inside(add_salt(parts, "repo_id", F.col("path"), hot), ["repo_id", SALT], budget)
-        # the first row of a sub-group speaks for all of it, dropped rows included
-        first = F.col("_start") == 0
-        parts = parts.select(
-            "repo_id", "path", "text", *_ORDER, "_chars",
-            F.when(first, F.col("_all")).otherwise(F.lit(0)).alias("_total"),
-            F.when(first, F.col("_all_important")).otherwise(F.lit(0)).alias("_important"),
-        )
-    inside = _starting_inside(parts, ["repo_id"], budget)
+        parts = _thinned(add_salt(parts, "repo_id", F.col("path"), hot), ["repo_id", SALT], budget)
+    start = _start(["repo_id"])
     clip = F.left(text.segment("path", "text"), F.lit(budget) - F.col("_start").cast("int"))
-    collected = inside.groupBy("repo_id").agg(
-        F.sort_array(F.collect_list(F.struct("_start", clip.alias("clip")))).alias("_clips"),
-        F.max("_all").alias("total_chars"),
-        F.max("_all_important").alias("important_chars"),
+    collected = parts.withColumn("_start", start).groupBy("repo_id").agg(
+        # nulls, the segments past the budget, are not collected
+        F.collect_list(F.when(F.col("_start") < budget, F.struct("_start", clip.alias("clip")))).alias("_clips"),
+        F.sum("_total").alias("total_chars"),
+        F.sum("_important").alias("important_chars"),
     )
-    joined = F.array_join(F.transform("_clips", lambda part: part["clip"]), "")
+    joined = F.array_join(F.transform(F.sort_array("_clips"), lambda part: part["clip"]), "")
     truncated = F.col("total_chars") > budget
     mark = F.when(truncated, F.lit(rules.TRUNCATION_MARK)).otherwise(F.lit(""))
     return collected.select(
@@ -59,19 +53,32 @@ def assemble(capped: DataFrame, budget: int = rules.TEXT_BUDGET, hot: DataFrame
     )
 
 
-def _starting_inside(parts: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """Segments whose start within the group is below the budget, and the group's totals.
+def _start(keys: list[str]) -> Column:
+    """Characters before each segment within its group."""
+    running = W.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return F.sum("_chars").over(running) - F.col("_chars")
 
-    In a salted sub-group the start is a lower bound of the start in the whole group, so nothing
-    is dropped there that the whole group would keep.
+
+def _thinned(parts: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Sub-groups without the segments that start past the budget.
+
+    The start in a sub-group is a lower bound of the start in the whole group, so nothing is
+    dropped that the whole group would keep. Each sub-group's first segment, which always stays,
+    takes over the totals of all of it.
     """
     group = W.partitionBy(*keys)
-    running = group.orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        parts.withColumn("_start", F.sum("_chars").over(running) - F.col("_chars"))
-        .withColumn("_all", F.sum("_total").over(group))
-        .withColumn("_all_important", F.sum("_important").over(group))
-        .where(F.col("_start") < budget)
+    started = parts.withColumns(
+        {
+            "_start": _start(keys),
+            "_all": F.sum("_total").over(group),
+            "_all_important": F.sum("_important").over(group),
+        }
+    ).where(F.col("_start") < budget)
+    first = F.col("_start") == 0
+    return started.select(
+        "repo_id", "path", "text", *_ORDER, "_chars",
+        F.when(first, F.col("_all")).otherwise(F.lit(0)).alias("_total"),
+        F.when(first, F.col("_all_important")).otherwise(F.lit(0)).alias("_important"),
     )
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import prompts, rules
+from ..functions import prompts, responses, rules
 from ..session import ship_package
 
 # prompts run to half a million characters, so a batch holds few of them
@@ -84,6 +84,27 @@ def generate(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int
     return spread.mapInPandas(run, schema)
 
 
+def chat(
+    df: DataFrame, config: ProviderConfig, transport_factory: Callable[[], Provider], tasks: int | None = None,
+) -> DataFrame:
+    """Like :func:`generate` over a chat endpoint: tasks only carry request JSON out and response JSON in.
+
+    A transport's ``generate`` takes a request body and gives the response body; requests are built
+    and responses parsed as Spark expressions. A response without usable text is an api error.
+    """
+    request = prompts.chat_request("prompt", config.model, config.temperature, config.max_output_tokens)
+    asked = df.withColumn("prompt", F.when(F.col("prompt") != "", request))
+    answered = generate(asked, transport_factory, tasks).withColumn("_parsed", responses.parse_chat_response("output"))
+    unusable = F.col("error_kind").isNull() & F.col("_parsed.error").isNotNull()
+    return answered.withColumns(
+        {
+            "output": F.col("_parsed.output"),
+            "error_kind": F.when(unusable, F.lit("api")).otherwise(F.col("error_kind")),
+            "error_detail": F.when(unusable, F.lit("RuntimeError")).otherwise(F.col("error_detail")),
+        }
+    ).drop("_parsed")
+
+
 def _answer(provider: Provider, prompt: str | None) -> tuple[str | None, str | None, str | None]:
     if not prompt:
         return None, "empty_text", None

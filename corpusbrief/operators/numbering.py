@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import landed
 
 _PART, _AT, _FIRST, _BEFORE = "_part", "_at", "_first", "_before"
 
@@ -15,12 +15,12 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 1
     """Dense positions from ``start`` in the given order, restarting in each ``within`` group.
 
     Rows are range-partitioned and sorted, so position = position in the partition + rows of the
-    group in earlier partitions. Range bounds are sampled, so the placed rows are checkpointed:
-    both uses of them, and any retry, see the same placement. The counts have one row per
+    group in earlier partitions. Range bounds are sampled, so the placed rows are written
+    first: both uses of them, and any retry, see the same placement. The counts have one row per
     partition and group; a group of any size spreads over as many partitions as it needs.
     """
     keys = ([F.col(within)] if within else []) + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = checkpointed(
+    placed = landed(
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_AT, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

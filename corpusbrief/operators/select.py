@@ -52,7 +52,7 @@ def select_files(files: DataFrame, marker: bytes = b"\0", emitted_only: bool = F
         kept = kept.where(paths.is_important("name") | paths.is_code("ext"))
     if "read_error" in files.columns:
         kept = kept.where(F.col("read_error").isNull())
-    kept = with_text(kept.where(~looks_binary(files, marker))).where(F.length("text") > 0)
+    kept = with_text(kept.where(~looks_binary(files, marker))).where(F.col("text") != "")
     return kept.select("repo_id", "path", "name", "ext", "category", "file_class", "size", "text")
 
 
@@ -68,7 +68,7 @@ def reject_reason(files: DataFrame, marker: bytes = b"\0") -> Column:
     )
     if "read_error" in files.columns:
         reason = reason.when(F.col("read_error").isNotNull(), F.lit("unreadable"))
-    return reason.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit("empty")).otherwise(F.lit("kept"))
+    return reason.when(F.coalesce("text", F.lit("")) == "", F.lit("empty")).otherwise(F.lit("kept"))
 
 
 def selection_audit(files: DataFrame, marker: bytes = b"\0") -> DataFrame:

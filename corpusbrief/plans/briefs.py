@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts, rules
 from ..operators import assemble, events, generate, requests, select
 from ..operators.skew import find_hot_keys
+from ..session import landed
 from ..sources.tables import HISTORY_SCHEMA
 
 
@@ -40,12 +41,6 @@ def build_bundles(
     return assemble.assemble(select.cap_sources(selected, cap, hot), budget, hot)
 
 
-def _landed(df: DataFrame, path: str) -> DataFrame:
-    """Write a stage's result and go on from the table: retries never repeat the stage."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run_briefs(
     spark: SparkSession, submitted: DataFrame, files: DataFrame, history: DataFrame | None,
     provider_factory: Callable[[], generate.Provider], work_dir: str,
@@ -59,10 +54,10 @@ def run_briefs(
     """
     accepted, rejected = requests.validate_requests(submitted)
     created = requests.create_jobs(accepted, history, now=now)
-    jobs = _landed(created, os.path.join(work_dir, "jobs"))
+    jobs = landed(created, os.path.join(work_dir, "jobs"))
 
     wanted = files.join(jobs.select("repo_id").distinct(), "repo_id", "left_semi")
-    bundles = _landed(build_bundles(wanted), os.path.join(work_dir, "bundles"))
+    bundles = landed(build_bundles(wanted), os.path.join(work_dir, "bundles"))
 
     # jobs on one repository with the same guidance share one prompt, rendered once
     guided = jobs.withColumns(
@@ -76,7 +71,7 @@ def run_briefs(
     rendered = asked.join(bundles.select("repo_id", "text"), "repo_id").select(
         *shape, prompts.prompt_from_guidance("lang", "_length", "_audience", "text").alias("prompt")
     )
-    answers = _landed(
+    answers = landed(
         generate.generate_distinct(rendered, provider_factory, tasks), os.path.join(work_dir, "answers")
     ).withColumnRenamed("summary", "brief").withColumnsRenamed({"error_kind": "ai_kind", "error_detail": "ai_detail"})
 
@@ -93,7 +88,7 @@ def run_briefs(
         F.col("prompt_hash").isNotNull().alias("finished"),
         F.col("brief").alias("summary"),
     )
-    emitted = _landed(events.stage_events(outcomes), os.path.join(work_dir, "events"))
+    emitted = landed(events.stage_events(outcomes), os.path.join(work_dir, "events"))
 
     fresh = jobs.select(*(part.split()[0] for part in HISTORY_SCHEMA.split(", ")))
     finished = events.apply_events(fresh, events.fold_events(emitted))

@@ -510,7 +510,7 @@ def q_tree_scan(spark, sf_dir):
     root = shared_path(spark, "trees").removeprefix("file:")
     session.ship_package(spark)
     written = _files(spark, sf_dir).select("repo_id", "path", "content").mapInPandas(_write_documents(root), "repo_id string")
-    repos = session.checkpointed(written.distinct())
+    repos = session.landed(written.distinct())
     roots = repos.select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))
     selected = select.select_files(tree.scan_trees(roots))
     return selected.select("repo_id", "path", "file_class", "size", F.md5("text").alias("text_md5"))

@@ -1,4 +1,4 @@
-"""Session defaults and reliable lineage cuts."""
+"""Session defaults, the shared folder, and reliable lineage cuts."""
 
 from __future__ import annotations
 
@@ -62,7 +62,12 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in reliable storage, so that lost executors do not change or repeat the work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def landed(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write a result as a table in reliable storage and go on from there.
+
+    Cuts the lineage: a lost executor repeats no earlier work, and later readers take only the
+    columns they need. Computes the input once, where a checkpoint runs its last stage twice.
+    """
+    target = path or shared_path(df.sparkSession, "landed")
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -242,6 +242,7 @@ def test_chat_request_leaves_out_unset_limit(spark):
     import json
 
     df = spark.createDataFrame([('say "hi"\n',)], "p string")
-    row = df.select(prompts.chat_request("p", "m").alias("a"), prompts.chat_request("p", "m", 0.0, 8).alias("b")).first()
+    row = df.select(prompts.chat_request("p", "m").alias("a"), prompts.chat_request("p", "m", 0.2, 8).alias("b"), prompts.probe_request("m").alias("c")).first()
     assert json.loads(row.a) == {"model": "m", "messages": [{"role": "user", "content": 'say "hi"\n'}], "temperature": 0.6}
     assert json.loads(row.b)["max_tokens"] == 8
+    assert row.c == '{"model":"m","messages":[{"role":"user","content":"Reply with OK."}],"temperature":0,"max_tokens":8}'

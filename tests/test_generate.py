@@ -53,6 +53,24 @@ def test_one_call_per_distinct_prompt(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 3
 
 
+def test_chat_transport(spark):
+    class Echo:
+        def generate(self, body):
+            import json
+
+            asked = json.loads(body)
+            assert asked["model"] == "m" and asked["max_tokens"] == 9
+            text = asked["messages"][0]["content"]
+            if text == "down":
+                raise ConnectionError
+            return json.dumps({"choices": [] if text == "none" else [{"message": {"content": [{"text": text}, "!"]}}]})
+
+    df = spark.createDataFrame([(1, "hi"), (2, "none"), (3, "down"), (4, None)], "id long, prompt string")
+    got = generate.chat(df, ProviderConfig("m", max_output_tokens=9), Echo).collect()
+    assert {r.id: (r.output, r.error_kind, r.error_detail) for r in got} == {
+        1: ("hi!", None, None), 2: (None, "api", "RuntimeError"), 3: (None, "api", "ConnectionError"), 4: (None, "empty_text", None)}
+
+
 def test_extractive_provider():
     text = "--- File: a.md ---\nFirst one. Second.\n\n--- File: b.py ---\nx = 1\n\n"
     assert ExtractiveProvider().generate(text) == f"<p>2 files, {len(text)} characters</p><ul><li>a.md: First one.</li><li>b.py: x = 1</li></ul>"
