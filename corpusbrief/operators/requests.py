@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,15 +51,15 @@ def repository_identity(requests: DataFrame, url: str = "url") -> DataFrame:
 
 def create_jobs(
     requests: DataFrame, history: DataFrame | None = None, order: str = "request_id",
-    now: datetime | Column | None = None,
+    now: datetime | None = None,
 ) -> DataFrame:
     """QUEUED history rows with the next ids in request order; keeps the request's own columns.
 
-    ``order`` must be unique. Only the highest id so far comes to the driver.
+    ``order`` must be unique. Only the highest id so far comes to the driver. ``now`` is one moment
+    for the whole batch, in UTC unless it has a zone, so that a retry stores the same time.
     """
     last = 0 if history is None else (history.agg(F.max("id")).first()[0] or 0)
-    moment = F.current_timestamp() if now is None else (now if isinstance(now, Column) else F.lit(now))
-    moment = moment.cast("timestamp_ntz")
+    moment = _utc(datetime.now(timezone.utc) if now is None else now)
     user = F.col("user_id") if "user_id" in requests.columns else F.lit(None)
     jobs = numbered(requests, [order], "id", start=last + 1)
     return jobs.withColumns(
@@ -75,6 +75,12 @@ def create_jobs(
     ).drop("url")
 
 
+def _utc(moment: datetime) -> Column:
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(" ")).cast("timestamp_ntz")
+
+
 def drop_failed(jobs: DataFrame, failed: DataFrame, key: str = "id") -> DataFrame:
     """Take back the jobs that could not be queued."""
     return jobs.join(failed.select(key), key, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts, rules
@@ -44,7 +44,7 @@ def build_bundles(
 def run_briefs(
     spark: SparkSession, submitted: DataFrame, files: DataFrame, history: DataFrame | None,
     provider_factory: Callable[[], generate.Provider], work_dir: str,
-    now: datetime | Column | None = None, tasks: int | None = None,
+    now: datetime | None = None, tasks: int | None = None,
 ) -> BriefResult:
     """Carry ``submitted(request_id, url, repo_id, lang, size, technicality[, user_id])`` through every stage.
 

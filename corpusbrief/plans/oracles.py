@@ -150,6 +150,23 @@ checked AS (
       url[length(string_split(url, '://')[1]) + 3 + length(authority) + 1:] END AS url
   FROM pieces)"""
 
+_NAMED_REPOS = """cut AS (
+  SELECT *, starts_with(url, 'git@') AS ssh,
+    CASE WHEN starts_with(url, 'git@') THEN string_split(url[strpos(url, ':') + 1:], '/')
+         ELSE string_split(trim(string_split(string_split(
+           array_to_string((string_split(string_split(url, '://')[2], '/'))[2:], '/'), '?')[1], '#')[1], '/'), '/') END AS p,
+    string_split(string_split(url, '://')[2], '/')[1] AS host
+  FROM requests),
+judged AS (
+  SELECT *, CASE WHEN len(p) > 1 THEN replace(p[2], '.git', '') END AS r,
+    CASE WHEN coalesce(url, '') = '' THEN 'URL must be a non-empty string'
+         WHEN ssh AND len(p) < 2 THEN 'Invalid SSH URL format: ' || url
+         WHEN NOT ssh AND NOT contains(lower(coalesce(host, '')), 'github.com') THEN 'URL does not appear to be a GitHub URL: ' || url
+         WHEN len(p) < 2 THEN 'GitHub URL path must include owner/repo: ' || url
+         WHEN p[1] = '' OR replace(p[2], '.git', '') = '' THEN
+           CASE WHEN ssh THEN 'Invalid owner or repo name in SSH URL: ' ELSE 'Invalid owner or repo name in URL path: ' END || url
+    END AS error FROM cut)"""
+
 _CREATED_JOBS = f"""{_CHECKED}, {_HISTORY},
 jobs AS (
   SELECT (SELECT max(id) FROM history) + row_number() OVER (ORDER BY request_id) AS id, request_id,
@@ -257,22 +274,7 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN {_strip("coalesce(text, '')")} = '' THEN {_text(rules.BLANK_REPOSITORY)} END AS error
             FROM repos LEFT JOIN bundles ON bundles.repo_id = repos.repo_id""",
         "q_requests": f"WITH {_CHECKED} SELECT request_id, url, lang, size, technicality, reject_reason FROM checked",
-        "q_repo_url": f"""WITH {_REQUESTS}, cut AS (
-              SELECT *, starts_with(url, 'git@') AS ssh,
-                CASE WHEN starts_with(url, 'git@') THEN string_split(url[strpos(url, ':') + 1:], '/')
-                     ELSE string_split(trim(string_split(string_split(
-                       array_to_string((string_split(string_split(url, '://')[2], '/'))[2:], '/'), '?')[1], '#')[1], '/'), '/') END AS p,
-                string_split(string_split(url, '://')[2], '/')[1] AS host
-              FROM requests),
-            judged AS (
-              SELECT *, CASE WHEN len(p) > 1 THEN replace(p[2], '.git', '') END AS r,
-                CASE WHEN coalesce(url, '') = '' THEN 'URL must be a non-empty string'
-                     WHEN ssh AND len(p) < 2 THEN 'Invalid SSH URL format: ' || url
-                     WHEN NOT ssh AND NOT contains(lower(coalesce(host, '')), 'github.com') THEN 'URL does not appear to be a GitHub URL: ' || url
-                     WHEN len(p) < 2 THEN 'GitHub URL path must include owner/repo: ' || url
-                     WHEN p[1] = '' OR replace(p[2], '.git', '') = '' THEN
-                       CASE WHEN ssh THEN 'Invalid owner or repo name in SSH URL: ' ELSE 'Invalid owner or repo name in URL path: ' END || url
-                END AS error FROM cut)
+        "q_repo_url": f"""WITH {_REQUESTS}, {_NAMED_REPOS}
             SELECT request_id, CASE WHEN error IS NULL THEN p[1] END AS owner, CASE WHEN error IS NULL THEN r END AS repo,
               CASE WHEN error IS NULL THEN 'https://github.com/' || p[1] || '/' || r || '.git' END AS canonical_url, error
             FROM judged""",
@@ -283,7 +285,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT request_id, length_guidance, norm AS technicality, audience_guidance FROM guided""",
         "q_create_jobs": f"""WITH {_CREATED_JOBS}
             SELECT id, request_id, repository_url, TIMESTAMP '{CREATED}' AS created_at, lang, size, technicality, 'QUEUED' AS status FROM jobs""",
-        "q_compensate": f"WITH {_CREATED_JOBS} SELECT id, request_id, repository_url FROM jobs WHERE request_id % 10 <> 0",
+        "q_compensate": f"""WITH {_CREATED_JOBS}, {_NAMED_REPOS}
+            SELECT id, request_id, repository_url FROM jobs
+            WHERE request_id NOT IN (SELECT request_id FROM judged WHERE error IS NOT NULL)""",
         "q_clone_error": f"""WITH d AS (
               SELECT doc_id, doc_id % 5 AS kind, doc_id % 2 = 0 AS tok, CASE doc_id % 5
                 WHEN 0 THEN 'fatal: Authentication failed for ''x''' WHEN 1 THEN 'fatal: could not read Username for ''x'''

@@ -94,3 +94,10 @@ def test_requests_to_history(spark, tmp_path):
     assert done.events.where("analysis_id = 1").count() == 3
     again = run_briefs(spark, submitted, files, done.history, ExtractiveProvider, str(tmp_path / "next"))
     assert sorted(r.id for r in again.jobs.collect()) == [5, 6, 7, 8]
+
+
+def test_empty_batch(spark, tmp_path):
+    files = spark.createDataFrame([], "repo_id string, path string, size long, content string")
+    schema = "request_id long, url string, repo_id string, lang string, size string, technicality string"
+    done = run_briefs(spark, spark.createDataFrame([], schema), files, None, ExtractiveProvider, str(tmp_path / "work"))
+    assert done.history.count() == done.events.count() == done.bundles.count() == 0

@@ -173,3 +173,10 @@ def test_history_table_round_trip(spark, tmp_path):
 def test_files_from_any_table(spark):
     df = spark.createDataFrame([("r", "p", "é")], "a string, b string, c string")
     assert tables.files_from_table(df, "a", "b", "c").first()[:] == ("r", "p", 2, "é")
+
+
+def test_reads_by_user_are_pushed_down(spark, tmp_path):
+    path = str(tmp_path / "history")
+    tables.append_jobs(history_frame(spark, [(1, "u", 0, "QUEUED", None, None)]), path)
+    plan = history.history_for_user(tables.read_history(spark, path), "u")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(user_id,u)" in plan and "summary" not in plan
