@@ -46,6 +46,13 @@ def decode_text(content: Column | str) -> Column:
     return universal_newlines(drop_invalid_utf8(content))
 
 
+def decodes_to_text(content: Column | str) -> Column:
+    """Whether any character is left after decoding; valid UTF-8 is not decoded to find out."""
+    content = _col(content)
+    valid = F.is_valid_utf8(content.cast("string"))
+    return (F.octet_length(content) > 0) & (valid | (drop_invalid_utf8(content) != ""))
+
+
 def is_binary(content: Column | str, marker: bytes = b"\0") -> Column:
     """The marker occurs in the first 1,024 bytes."""
     head = F.substring(_col(content).cast("binary"), 1, rules.SNIFF_BYTES)

@@ -23,15 +23,25 @@ def with_path_parts(files: DataFrame) -> DataFrame:
     )
 
 
+def _is_bytes(files: DataFrame) -> bool:
+    return files.schema["content"].dataType.simpleString() == "binary"
+
+
 def sniff_source(files: DataFrame) -> Column:
-    """The bytes to sniff: the separately read head where the source gives one."""
-    return F.col("head") if "head" in files.columns else F.col("content")
+    """What to sniff: the separately read head where the source gives one, else the content's start."""
+    if "head" in files.columns:
+        return F.col("head")
+    return F.col("content") if _is_bytes(files) else F.left("content", F.lit(rules.SNIFF_BYTES))
 
 
 def with_text(files: DataFrame) -> DataFrame:
     """Adds text: binary content is decoded, string content is taken as decoded already."""
-    binary = files.schema["content"].dataType.simpleString() == "binary"
-    return files.withColumn("text", text.decode_text("content") if binary else F.col("content"))
+    return files.withColumn("text", text.decode_text("content") if _is_bytes(files) else F.col("content"))
+
+
+def has_text(files: DataFrame) -> Column:
+    filled = text.decodes_to_text("content") if _is_bytes(files) else F.col("content") != ""
+    return F.coalesce(filled, F.lit(False))
 
 
 def looks_binary(files: DataFrame, marker: bytes = b"\0") -> Column:
@@ -52,12 +62,12 @@ def select_files(files: DataFrame, marker: bytes = b"\0", emitted_only: bool = F
         kept = kept.where(paths.is_important("name") | paths.is_code("ext"))
     if "read_error" in files.columns:
         kept = kept.where(F.col("read_error").isNull())
-    kept = with_text(kept.where(~looks_binary(files, marker))).where(F.col("text") != "")
+    kept = with_text(kept.where(~looks_binary(files, marker) & has_text(files)))
     return kept.select("repo_id", "path", "name", "ext", "category", "file_class", "size", "text")
 
 
 def reject_reason(files: DataFrame, marker: bytes = b"\0") -> Column:
-    """First gate a file fails, 'kept' if none; expects the columns of with_path_parts/with_text."""
+    """First gate a file fails, 'kept' if none; expects the columns of with_path_parts."""
     reason = (
         F.when(~paths.keep_dir("path"), F.lit("directory"))
         .when(~paths.keep_name("name"), F.lit("name"))
@@ -68,12 +78,12 @@ def reject_reason(files: DataFrame, marker: bytes = b"\0") -> Column:
     )
     if "read_error" in files.columns:
         reason = reason.when(F.col("read_error").isNotNull(), F.lit("unreadable"))
-    return reason.when(F.coalesce("text", F.lit("")) == "", F.lit("empty")).otherwise(F.lit("kept"))
+    return reason.when(~has_text(files), F.lit("empty")).otherwise(F.lit("kept"))
 
 
 def selection_audit(files: DataFrame, marker: bytes = b"\0") -> DataFrame:
     """Files per repository and reject reason."""
-    marked = with_text(with_path_parts(files)).withColumn("reason", reject_reason(files, marker))
+    marked = with_path_parts(files).withColumn("reason", reject_reason(files, marker))
     return marked.groupBy("repo_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 100_000
+HOT_ROWS = 20_000
 MAX_HOT_KEYS = 10_000
 MAX_SALTS = 4_096
 SALT = "_salt"

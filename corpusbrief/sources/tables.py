@@ -35,10 +35,14 @@ def read_errors(files: DataFrame) -> DataFrame:
     return files.where(F.col("read_error").isNotNull()).select("repo_id", "path", "read_error")
 
 
-def append_jobs(jobs: DataFrame, path: str) -> None:
-    """Append to the history table, in its column order; sorted so that reads by user skip row groups."""
-    columns = [part.strip().split(" ")[0] for part in HISTORY_SCHEMA.split(",")]
-    jobs.select(*columns).sortWithinPartitions("user_id", "id").write.mode("append").parquet(path)
+def append_jobs(jobs: DataFrame, path: str | None = None, fmt: str = "parquet", **options: str) -> None:
+    """Append to the history table, in its column order; sorted so that reads by user skip row groups.
+
+    A database table is the same call with ``fmt="jdbc"`` and its options instead of a path.
+    """
+    columns = [part.split()[0] for part in HISTORY_SCHEMA.split(", ")]
+    ordered = jobs.select(*columns).sortWithinPartitions("user_id", "id")
+    ordered.write.mode("append").format(fmt).options(**options).save(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
