@@ -86,10 +86,5 @@ def probe_request(model: str) -> Column:
 def clean_output(output: Column | str) -> Column:
     """Strip, then drop one leading fence (```html before ```) and one trailing fence."""
     text = strip(F.coalesce(_col(output), F.lit("")))
-    text = (
-        F.when(F.startswith(text, F.lit("```html")), F.substring(text, 8, 2147483647))
-        .when(F.startswith(text, F.lit("```")), F.substring(text, 4, 2147483647))
-        .otherwise(text)
-    )
-    text = F.when(F.endswith(text, F.lit("```")), F.left(text, F.length(text) - 3)).otherwise(text)
-    return strip(text)
+    text = F.regexp_replace(text, r"\A```(?:html)?", "")
+    return strip(F.regexp_replace(text, r"```\z", ""))

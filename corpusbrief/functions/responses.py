@@ -70,10 +70,15 @@ def parse_chat_response(body_json: Column | str) -> Column:
     content, text, reasoning = _content(_CHOICE + ".message", body)
     output = F.coalesce(F.nullif(text, F.lit("")), F.nullif(reasoning, F.lit("")))
     odd_content = ~(_is(content, "ARRAY") | _is(content, "STRING")) & _truthy(content)
+    odd_part = F.exists(
+        _get(body, _CHOICE + ".message.content", "array<variant>"),
+        lambda part: _is(part, "OBJECT") & _get(part, "$.text").isNotNull() & ~_is(_get(part, "$.text"), "STRING"),
+    )
     error = (
         F.when(~_is(body, "OBJECT"), F.lit("Response is not a JSON object."))
         .when(~F.coalesce(_truthy(choices), F.lit(False)), F.lit(rules.NO_CHOICES))
         .when(F.coalesce(odd_content, F.lit(False)), F.lit("Response content is neither text nor a list."))
+        .when(_is(content, "ARRAY") & odd_part, F.lit("Response content part is not text."))
         .when(output.isNull(), F.lit(rules.NO_USABLE_CONTENT))
     )
     return F.struct(

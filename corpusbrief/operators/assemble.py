@@ -101,9 +101,11 @@ def bundle_metrics(
 def route_blank(jobs: DataFrame, bundles: DataFrame) -> DataFrame:
     """Each job with route 'analyse', or 'failed' and the error when its repository gave no text.
 
-    Only the blank test of a bundle is joined, not its text.
+    Only the blank test of a bundle is joined, not its text; a stored ``blank`` column spares
+    reading the texts.
     """
-    has_text = bundles.select("repo_id", (~text.is_blank("text")).alias("_has_text"))
+    blank = F.col("blank") if "blank" in bundles.columns else text.is_blank("text")
+    has_text = bundles.select("repo_id", (~blank).alias("_has_text"))
     ok = F.coalesce(F.col("_has_text"), F.lit(False))
     return (
         jobs.join(has_text, "repo_id", "left")

@@ -85,8 +85,9 @@ def render_rows(history: DataFrame) -> DataFrame:
     )
     return history.select(
         "id", "repository_url", "status",
-        F.concat(F.lit("(Status: "), "status", F.lit(")")).alias("status_line"),
+        F.concat(F.lit("(Status: "), _text_or("status", "N/A"), F.lit(")")).alias("status_line"),
         params.alias("params_line"),
+        F.concat(F.lit("Lang: "), "lang", F.lit(", Size: "), "size", F.lit(", Tech: "), "technicality").alias("detail_params"),
         F.when(completed, _text_or("summary", rules.SUMMARY_MISSING)).alias("summary_text"),
         F.when(failed, _text_or("error", rules.FAILURE_UNKNOWN)).alias("failure_text"),
         body.alias("detail_body"),

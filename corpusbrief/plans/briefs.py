@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prompts, rules
+from ..functions import prompts, rules, text
 from ..operators import assemble, events, generate, requests, select
 from ..operators.skew import find_hot_keys
 from ..session import landed
@@ -57,7 +57,8 @@ def run_briefs(
     jobs = landed(created, os.path.join(work_dir, "jobs"))
 
     wanted = files.join(jobs.select("repo_id").distinct(), "repo_id", "left_semi")
-    bundles = landed(build_bundles(wanted), os.path.join(work_dir, "bundles"))
+    bundles = build_bundles(wanted).withColumn("blank", text.is_blank("text"))
+    bundles = landed(bundles, os.path.join(work_dir, "bundles"))
 
     # jobs on one repository with the same guidance share one prompt, rendered once
     guided = jobs.withColumns(

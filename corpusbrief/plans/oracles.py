@@ -362,6 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "q_render": f"""WITH {_HISTORY}
             SELECT id, repository_url, status, '(Status: ' || status || ')' AS status_line,
               'Params: L:' || lang || ', S:' || size || ', T:' || technicality AS params_line,
+              'Lang: ' || lang || ', Size: ' || size || ', Tech: ' || technicality AS detail_params,
               CASE status WHEN 'COMPLETED' THEN coalesce(summary, {_text(rules.SUMMARY_MISSING)}) END AS summary_text,
               CASE status WHEN 'FAILED' THEN coalesce(error, {_text(rules.FAILURE_UNKNOWN)}) END AS failure_text,
               CASE WHEN status = 'COMPLETED' THEN coalesce('<h4>Summary:</h4><div class="summary-content-box">' || summary || '</div>', '')

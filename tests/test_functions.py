@@ -171,6 +171,7 @@ CHAT = [
     (body('{"content":[],"reasoning":"r"}'), "r", None),
     (body('{"content":null}'), None, rules.NO_USABLE_CONTENT),
     (body('null'), None, rules.NO_USABLE_CONTENT),
+    (body('{"content":[{"text":"a"},{"text":null}],"reasoning":"r"}'), None, "Response content part is not text."),
     (body('{"content":5}'), None, "Response content is neither text nor a list."),
     ('{"choices":[]}', None, rules.NO_CHOICES),
     ('{}', None, rules.NO_CHOICES),
@@ -184,7 +185,7 @@ CHAT = [
 def test_chat_response(spark):
     got = evaluate(spark, [c[0] for c in CHAT], responses.parse_chat_response)
     assert [(r.output, r.error) for r in got] == [c[1:] for c in CHAT]
-    assert got[0].finish_reason == "stop" and got[8].finish_reason is None
+    assert got[0].finish_reason == "stop" and got[-1].finish_reason is None
 
 
 def test_probe(spark):
