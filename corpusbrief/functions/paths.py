@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import rules
 
 _NUL = "\0"
+_LOWER = "lower({})"
 _CATEGORY_OF = {name: category for category, names in rules.IMPORTANT_NAMES.items() for name in names}
 _PRUNED_DIR = r"(?:^|/)(?:\.[^/]*|" + "|".join(re.escape(d) for d in rules.IGNORED_DIRECTORIES) + ")/"
 
@@ -18,6 +19,18 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _quoted(values) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+def _among(value: Column | str, values, wrap: str = "{}") -> Column:
+    """Membership in a fixed list; for a named column as one SQL text, which plans much faster."""
+    if isinstance(value, str):
+        return F.expr(f"{wrap.format(f'`{value}`')} IN ({_quoted(values)})")
+    wrapped = F.lower(value) if wrap == _LOWER else value
+    return wrapped.isin(*values)
+
+
 def file_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
@@ -46,7 +59,7 @@ def keep_name(name: Column | str) -> Column:
 
 
 def keep_ext(ext: Column | str) -> Column:
-    return ~_col(ext).isin(*rules.IGNORED_EXTENSIONS)
+    return ~_among(ext, rules.IGNORED_EXTENSIONS)
 
 
 def size_ok(size: Column | str) -> Column:
@@ -54,21 +67,21 @@ def size_ok(size: Column | str) -> Column:
 
 
 def is_code(ext: Column | str) -> Column:
-    return _col(ext).isin(*rules.CODE_EXTENSIONS)
+    return _among(ext, rules.CODE_EXTENSIONS)
 
 
 def is_known_text(ext: Column | str) -> Column:
     """Extensions that skip the binary sniff."""
-    return _col(ext).isin(*sorted({*rules.TEXT_EXTENSIONS, *rules.CODE_EXTENSIONS}))
+    return _among(ext, sorted({*rules.TEXT_EXTENSIONS, *rules.CODE_EXTENSIONS}))
 
 
 def is_important(name: Column | str) -> Column:
-    return F.lower(_col(name)).isin(*_CATEGORY_OF)
+    return _among(name, _CATEGORY_OF, _LOWER)
 
 
 def important_category(name: Column | str) -> Column:
     """Category of a well-known file name, null for any other name."""
-    table = F.create_map(*(F.lit(v) for pair in _CATEGORY_OF.items() for v in pair))
+    table = F.expr(f"map({_quoted(v for pair in _CATEGORY_OF.items() for v in pair)})")
     return F.try_element_at(table, F.lower(_col(name)))
 
 

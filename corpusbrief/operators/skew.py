@@ -38,7 +38,10 @@ def find_hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, max_keys: i
 def add_salt(df: DataFrame, key: str, spread_by: Column, hot: DataFrame) -> DataFrame:
     """A salt from the row's own value for hot keys, 0 for all others; the same on every retry."""
     salted = F.pmod(F.xxhash64(spread_by), F.coalesce(F.col(_SALTS), F.lit(1)).cast("long")).cast("int")
-    return df.join(F.broadcast(hot), key, "left").withColumn(SALT, salted).drop(_SALTS)
+    known = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    # null-safe, as rows without a key may be the largest group
+    joined = df.join(known, F.col(key).eqNullSafe(F.col("_hot")), "left")
+    return joined.withColumn(SALT, salted).drop(_SALTS, "_hot")
 
 
 def first_per_group(

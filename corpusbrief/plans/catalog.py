@@ -509,6 +509,8 @@ def _write_documents(root: str):
 def q_tree_scan(spark, sf_dir):
     """The corpus written out as directory trees, then scanned and selected from the trees."""
     root = shared_path(spark, "trees").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("trees are read from a mounted file system, and the shared folder is not one")
     session.ship_package(spark)
     written = _files(spark, sf_dir).select("repo_id", "path", "content").mapInPandas(_write_documents(root), "repo_id string")
     repos = session.landed(written.distinct())
