@@ -125,5 +125,7 @@ def generate_distinct(df: DataFrame, provider_factory: Callable[[], Provider], t
     unique = keyed.select("_sha", "prompt").dropDuplicates(["_sha"])
     answers = generate(unique, provider_factory, tasks)
     answers = answers.withColumn("summary", F.when(F.col("error_kind").isNull(), prompts.clean_output("output")))
-    joined = keyed.drop("prompt").join(answers.drop("output"), "_sha", "left")
-    return joined.withColumn("prompt_hash", F.left("_sha", F.lit(rules.PROMPT_HASH_CHARS))).drop("_sha")
+    answers = answers.drop("output").withColumnRenamed("_sha", "_answered")
+    # null-safe, so that a missing prompt gets its error back as well
+    joined = keyed.drop("prompt").join(answers, F.col("_sha").eqNullSafe(F.col("_answered")), "left")
+    return joined.withColumn("prompt_hash", F.left("_sha", F.lit(rules.PROMPT_HASH_CHARS))).drop("_sha", "_answered")

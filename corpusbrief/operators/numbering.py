@@ -29,7 +29,12 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 1
     counts = placed.groupBy(*groups, _PART).agg(F.count(F.lit(1)).alias("_n"), F.min(_AT).alias(_FIRST))
     earlier = W.partitionBy(*groups).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.withColumn(_BEFORE, F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    # without groups there is one row per partition, which is safe to broadcast
-    offsets = offsets if within else F.broadcast(offsets)
+    offsets = offsets.withColumnsRenamed({_PART: "_offset_part", **({within: "_offset_group"} if within else {})})
+    same = F.col(_PART) == F.col("_offset_part")
+    if within:
+        same = same & F.col(within).eqNullSafe(F.col("_offset_group"))
+    else:
+        # one row per partition, which is safe to broadcast
+        offsets = F.broadcast(offsets)
     position = (F.col(_AT) - F.col(_FIRST) + F.col(_BEFORE) + F.lit(start)).cast("long")
-    return placed.join(offsets, [*groups, _PART]).withColumn(name, position).drop(_PART, _AT, _FIRST, _BEFORE)
+    return placed.join(offsets, same).select(*df.columns, position.alias(name))

@@ -24,8 +24,8 @@ def test_bad_rows_do_not_fail_the_job(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None), (4, "")], "id long, prompt string")
     got = {r.id: (r.output, r.error_kind, r.error_detail) for r in generate.generate(df, Picky, tasks=2).collect()}
     assert got == {1: ("```html\nOK```", None, None), 2: (None, "api", "KeyError"), 3: (None, "empty_text", None), 4: (None, "empty_text", None)}
-    cleaned = {r.id: r.summary for r in generate.generate_distinct(df, Picky).collect()}
-    assert cleaned == {1: "OK", 2: None, 3: None, 4: None}
+    cleaned = {r.id: (r.summary, r.error_kind) for r in generate.generate_distinct(df, Picky).collect()}
+    assert cleaned == {1: ("OK", None), 2: (None, "api"), 3: (None, "empty_text"), 4: (None, "empty_text")}
 
 
 def test_provider_that_cannot_be_made(spark):

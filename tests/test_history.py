@@ -138,11 +138,12 @@ def test_create_and_take_back_jobs(spark):
 
 
 def test_numbered_within_groups(spark):
-    df = spark.range(3000).select((F.col("id") % 5 * (F.col("id") % 2)).alias("g"), ((F.col("id") * 7919) % 3001).alias("v"))
+    df = spark.range(3000).select(F.nullif(F.col("id") % 5 * (F.col("id") % 2), F.lit(0)).alias("g"), ((F.col("id") * 7919) % 3001).alias("v"))
     got = numbering.numbered(df, ["v"], "n", within="g").collect()
     groups = {}
     for row in got:
         groups.setdefault(row.g, []).append((row.n, row.v))
+    assert len(got) == 3000 and None in groups
     for rows in groups.values():
         rows.sort()
         assert [n for n, _ in rows] == list(range(1, len(rows) + 1)) and [v for _, v in rows] == sorted(v for _, v in rows)
