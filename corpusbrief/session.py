@@ -46,11 +46,21 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def is_local(master: str) -> bool:
+    """One JVM does all the work, so that a folder of this machine is a shared one."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints, or a local one where none is configured."""
+    """The cluster's shared folder for checkpoints; where none is set, a local one if the master is local.
+
+    On a cluster each executor would write to its own disk, so there it is an error.
+    """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
+        if not is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="corpusbrief-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
