@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
@@ -53,18 +53,16 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "__fp") ->
     return with_text_columns(docs, text, {name: "long"}, signed)
 
 
-def block_keys(fp: Column, blocks: tuple[int, ...], distance: int) -> list[Column]:
-    """One key for each choice of blocks that ``distance`` changes can leave alone; exact, not hashed."""
+def block_keys(fps: np.ndarray, blocks: tuple[int, ...], distance: int) -> Iterator[np.ndarray]:
+    """For each choice of blocks that ``distance`` changes can leave alone, the key of each fingerprint: the
+    choice's number and the bits of its blocks, exact, not hashed."""
     starts = [sum(blocks[:i]) for i in range(len(blocks))]
-    keys = []
+    pieces = [(fps >> np.uint64(s)) & np.uint64((1 << w) - 1) for s, w in zip(starts, blocks, strict=True)]
     for number, chosen in enumerate(combinations(range(len(blocks)), len(blocks) - distance)):
-        key, width = F.lit(number).cast("long"), 0
+        key = np.full(len(fps), number, np.uint64)
         for b in chosen:
-            width += blocks[b]
-            piece = F.shiftrightunsigned(fp, starts[b]).bitwiseAND(F.lit((1 << blocks[b]) - 1))
-            key = F.shiftleft(key, blocks[b]).bitwiseOR(piece)
-        keys.append(key)
-    return keys
+            key = (key << np.uint64(blocks[b])) | pieces[b]
+        yield key.view(np.int64)
 
 
 class Forest:
@@ -148,8 +146,15 @@ def _linked(buckets: DataFrame, distance: int, bucket: int | None) -> DataFrame:
 
 
 def _dealt(fps: DataFrame, blocks: tuple[int, ...], distance: int) -> DataFrame:
-    keyed = fps.select(F.explode(F.array(*block_keys(F.col("fp"), blocks, distance))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key")
+    """(key, fp) for all keys, dealt and sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0)
+            for key in block_keys(own.to_numpy(zero_copy_only=False).view(np.uint64), blocks, distance):
+                yield pa.RecordBatch.from_arrays([pa.array(key), own], names=["key", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "key long, fp long").repartition("key").sortWithinPartitions("key")
 
 
 def linked_fingerprints(fps: DataFrame, distance: int = DISTANCE, blocks=BLOCKS, bucket: int = BUCKET, fine=FINE_BLOCKS) -> DataFrame:
@@ -173,16 +178,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of large and small stars: every node hands its larger neighbours to its smallest one, then its
     smaller ones. Only minima are gathered for a node, map-side first, so a hub is a join that AQE can split.
-    Each round is written, which cuts the lineage; the number of rounds grows with the logarithm of the paths.
+    Minima and rounds are written, so joins read plain shuffles and lineage is cut; the number of rounds grows with the logarithm of the paths.
     """
     current = landed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        lowest = landed(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.where("b > a").join(lowest, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = landed(large.where("a != b").distinct())
-        lowest = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        lowest = landed(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")))
         small = large.join(lowest, F.col("a") == F.col("n"))
         current = landed(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -209,9 +214,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     roots = components(linked_fingerprints(classes.select("fp")))
     grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy(F.col("root").alias("r")).agg(F.min("lowest").alias("__component"))
-    named = grouped.join(smallest, F.col("root") == F.col("r")).select(
+    named = landed(grouped.join(smallest, F.col("root") == F.col("r")).select(
         F.col("fp").alias("__of"), "__component", F.col("root").alias("__root")
-    )
+    ))
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return marked.join(named, F.col("__fp") == F.col("__of"), "left").select(
         *[quoted(c) for c in kept], digits("__fp").alias("fingerprint"), F.col("__component").alias("component_id"),

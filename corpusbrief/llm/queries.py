@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contamination, language, licenses, mixing, neardup, quality, scoring, substrings, urls, warc
+from .oracles import oracle_sql  # noqa: F401  registered beside the queries
 from .texts import remainder, table
 
 
@@ -87,6 +88,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language": language_ids,
     }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
