@@ -7,7 +7,9 @@ among them, so trees get their own reader. Two ways in, over one small walker:
 * :func:`scan_trees` for a DataFrame of roots, with listing and reading both done in tasks.
 
 Each file row carries ``head`` (the first 1,024 bytes, for the binary sniff) and ``content``, read
-only for files of an acceptable size. A file that cannot be read gives a row with ``read_error``.
+only for files of an acceptable size that don't look binary. What cannot be read gives a row with
+``read_error`` and never hides what lies beside it: a file, a folder, a missing root (path ``.``), or a name that is
+not UTF-8, whose bytes are then escaped in ``path``.
 """
 
 from __future__ import annotations
@@ -24,32 +26,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import rules
-from ..functions.paths import extension, file_name, keep_dir, keep_ext, keep_name
-from ..session import ship_package
+from ..functions.paths import extension, file_name, is_code, is_important, keep_dir, keep_ext, keep_name
+from ..session import landed, ship_package
 
 FILES_SCHEMA = "repo_id string, path string, size long, head binary, content binary, read_error string"
-_UNITS_SCHEMA = "repo_id string, root string, sub string, deep boolean"
+_FOUND_SCHEMA = "repo_id string, root string, path string, folder boolean, read_error string"
 _FILES_PER_BATCH = 64
 _PATHS_PER_BATCH = 10_000
+#: Entries a task lists of one unit before it hands the folders left over to other tasks.
+_ENTRIES_PER_UNIT = 50_000
 _IGNORED_DIRS = frozenset(rules.IGNORED_DIRECTORIES)
 _IGNORED_EXTS = frozenset(rules.IGNORED_EXTENSIONS)
+_TEXT_EXTS = frozenset(rules.TEXT_EXTENSIONS)
 
 
-def _entries(folder: str, prune: bool) -> tuple[list[str], list[str]]:
-    """Sorted sub-directory and file names; linked directories are not entered."""
-    dirs, files = [], []
+def _told(error: OSError) -> str:
+    return f"{type(error).__name__}: {error.strerror}"
+
+
+def _is_dir(entry: os.DirEntry, follow: bool) -> bool:
+    """What cannot be told, such as a link to itself, is no folder."""
+    try:
+        return entry.is_dir(follow_symlinks=follow)
+    except OSError:
+        return False
+
+
+def _entries(folder: str, prune: bool) -> tuple[list[str], list[str], str | None]:
+    """Sorted sub-directory and file names, and what went wrong; linked directories are not entered."""
+    dirs, files, error = [], [], None
     try:
         with os.scandir(folder) as found:
             for entry in found:
-                if entry.is_dir(follow_symlinks=False):
+                if _is_dir(entry, follow=False):
                     hidden = entry.name.startswith(".") or entry.name.lower() in _IGNORED_DIRS
                     if not (prune and hidden):
                         dirs.append(entry.name)
-                elif not entry.is_dir():
+                elif not _is_dir(entry, follow=True):
                     files.append(entry.name)
-    except OSError:
-        return [], []
-    return sorted(dirs), sorted(files)
+    except OSError as broken:
+        error = _told(broken)
+    return sorted(dirs), sorted(files), error
+
+
+def _printable(path: str) -> tuple[str, str | None]:
+    """The path, with bytes that are not UTF-8 escaped, and the error they are."""
+    try:
+        path.encode()
+        return path, None
+    except UnicodeEncodeError:
+        return os.fsencode(path).decode("utf-8", "backslashreplace"), "UnicodeDecodeError: name is not UTF-8"
 
 
 def _skipped(path: str) -> bool:
@@ -57,7 +83,9 @@ def _skipped(path: str) -> bool:
     return name.startswith(".") or PurePosixPath(name).suffix.lower() in _IGNORED_EXTS
 
 
-def _file_row(repo_id: str, root: str, path: str) -> tuple:
+def _file_row(repo_id: str, root: str, path: str, error: str | None = None) -> tuple:
+    if error is not None:
+        return repo_id, path, None, None, None, error
     full = os.path.join(root, path)
     size = None
     try:
@@ -65,27 +93,33 @@ def _file_row(repo_id: str, root: str, path: str) -> tuple:
         with open(full, "rb") as stream:
             head = stream.read(rules.SNIFF_BYTES)
             fits = rules.MIN_FILE_BYTES <= size <= rules.MAX_FILE_BYTES
-            content = head + stream.read() if fits else None
+            binary = b"\0" in head and PurePosixPath(path).suffix.lower() not in _TEXT_EXTS
+            content = head + stream.read() if fits and not binary else None
         return repo_id, path, size, head, content, None
     except OSError as error:
-        return repo_id, path, size, None, None, f"{type(error).__name__}: {error.strerror}"
+        return repo_id, path, size, None, None, _told(error)
 
 
-def _paths(root: str, sub: str, deep: bool, prune: bool) -> Iterator[str]:
-    """Relative paths of one folder's files, and of everything below it when ``deep``."""
-    pending = [sub]
+def _walk(root: str, sub: str, prune: bool, limit: int | None = None, deep: bool = True) -> Iterator[tuple[str, bool, str | None]]:
+    """(path, folder, error) of the files of a folder and below; once ``limit`` entries were listed,
+    the folders still to be listed. A folder whose name is not UTF-8 is always listed here, as its
+    name cannot travel."""
+    pending, listed = [sub], 0
     while pending:
         here = pending.pop()
-        dirs, files = _entries(os.path.join(root, here), prune)
-        yield from (os.path.join(here, name) for name in files)
-        if deep:
-            pending.extend(os.path.join(here, name) for name in reversed(dirs))
-
-
-def _split(repo_id: str, root: str, sub: str, prune: bool) -> list[tuple[str, str, str, bool]]:
-    """A folder's own files as one unit, each of its sub-directories as another."""
-    dirs, _ = _entries(os.path.join(root, sub), prune)
-    return [(repo_id, root, sub, False), *((repo_id, root, os.path.join(sub, d), True) for d in dirs)]
+        label, unnamed = _printable(here)
+        if unnamed is None and here != sub and (not deep or (limit is not None and listed >= limit)):
+            yield here, True, None
+            continue
+        dirs, files, error = _entries(os.path.join(root, here), prune)
+        listed += len(dirs) + len(files) + 1
+        if error is not None:
+            yield label or ".", False, error
+        for name in files:
+            path = os.path.join(here, name)
+            shown, unnamed = _printable(path)
+            yield shown, False, unnamed
+        pending.extend(os.path.join(here, name) for name in reversed(dirs))
 
 
 class _Unit(InputPartition):
@@ -100,14 +134,16 @@ class _TreeReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         units = []
         for repo_id, root in sorted(self._roots.items()):
-            parts = _split(repo_id, root, "", self._prune) if self._split else [(repo_id, root, "", True)]
-            units.extend(_Unit(*part) for part in parts)
+            units.append(_Unit(repo_id, root, "", not self._split))
+            if self._split:
+                tops = [path for path, folder, _ in _walk(root, "", self._prune, deep=False) if folder]
+                units.extend(_Unit(repo_id, root, path, True) for path in tops)
         return units
 
     def read(self, partition: _Unit) -> Iterator[tuple]:
-        for path in _paths(partition.root, partition.sub, partition.deep, self._prune):
-            if not (self._prune and _skipped(path)):
-                yield _file_row(partition.repo_id, partition.root, path)
+        for path, folder, error in _walk(partition.root, partition.sub, self._prune, deep=partition.deep):
+            if not folder and (error is not None or not (self._prune and _skipped(path))):
+                yield _file_row(partition.repo_id, partition.root, path, error)
 
 
 class RepositoryTrees(DataSource):
@@ -140,60 +176,73 @@ def read_trees(spark: SparkSession, roots: dict[str, str], prune: bool = True, s
     )
 
 
-def list_trees(roots: DataFrame, prune: bool = True, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
-    """Paths under ``roots(repo_id, root)``, for any number of repositories: nothing is opened.
+def list_trees(
+    roots: DataFrame, prune: bool = True, tasks: int | None = None, entries_per_unit: int = _ENTRIES_PER_UNIT,
+) -> DataFrame:
+    """(repo_id, root, path, read_error) under ``roots(repo_id, root)``, for any number of repositories.
 
-    Tasks split every repository into folders, ``split_levels`` deep, and shuffle the folder names,
-    so that many tasks list one very large repository.
+    Nothing is opened. A task that has listed ``entries_per_unit`` entries of its unit hands the
+    folders left over to other tasks, round by round, so one very large repository spreads over many
+    tasks however deep it is. Each round is written and none is listed twice.
     """
 
     ship_package(roots.sparkSession)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for unit in batch.itertuples(index=False):
-                parts = _split(unit.repo_id, unit.root, unit.sub, prune) if unit.deep else [tuple(unit)]
-                yield pd.DataFrame(parts, columns=list(batch.columns))
-
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for unit in batch.itertuples(index=False):
-                found = _paths(unit.root, unit.sub, unit.deep, prune)
+                found = _walk(unit.root, unit.path, prune, entries_per_unit)
                 while block := list(itertools.islice(found, _PATHS_PER_BATCH)):
-                    yield pd.DataFrame({"repo_id": unit.repo_id, "root": unit.root, "path": block})
+                    frame = pd.DataFrame(block, columns=["path", "folder", "read_error"])
+                    yield frame.assign(repo_id=unit.repo_id, root=unit.root)[["repo_id", "root", "path", "folder", "read_error"]]
 
-    units = roots.select("repo_id", "root", F.lit("").alias("sub"), F.lit(True).alias("deep"))
-    for _ in range(split_levels):
-        units = _spread(units, tasks, "repo_id", "sub", "deep").mapInPandas(split, _UNITS_SCHEMA)
-    return _spread(units, tasks, "repo_id", "sub", "deep").mapInPandas(listing, "repo_id string, root string, path string")
+    units = roots.select("repo_id", "root", F.lit("").alias("path"))
+    listed = None
+    while listed is None or units.limit(1).count():
+        found = landed(_spread(units, tasks, "repo_id", "path").mapInPandas(explore, _FOUND_SCHEMA))
+        files = found.where("NOT folder").drop("folder")
+        listed = files if listed is None else listed.unionByName(files)
+        units = found.where("folder").select("repo_id", "root", "path")
+    return listed
 
 
 def load_contents(paths: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Read the files of ``paths(repo_id, root, path)``, spread evenly whatever their folder."""
+    """Read the files of ``paths(repo_id, root, path[, read_error])``, spread evenly whatever their folder."""
 
     ship_package(paths.sparkSession)
+    if "read_error" not in paths.columns:
+        paths = paths.withColumn("read_error", F.lit(None).cast("string"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["repo_id", "path", "size", "head", "content", "read_error"]
         for batch in batches:
-            rows = (_file_row(p.repo_id, p.root, p.path) for p in batch.itertuples(index=False))
+            rows = (_file_row(p.repo_id, p.root, p.path, p.read_error) for p in batch.itertuples(index=False))
             while block := list(itertools.islice(rows, _FILES_PER_BATCH)):
                 frame = pd.DataFrame(block, columns=columns)
                 yield frame.assign(size=frame["size"].astype("Int64"))
 
-    return _spread(paths.select("repo_id", "root", "path"), tasks, "repo_id", "path").mapInPandas(read, FILES_SCHEMA)
+    wanted = paths.select("repo_id", "root", "path", "read_error")
+    return _spread(wanted, tasks, "repo_id", "path").mapInPandas(read, FILES_SCHEMA)
 
 
-def scan_trees(roots: DataFrame, prune: bool = True, split_levels: int = 2, tasks: int | None = None) -> DataFrame:
+def scan_trees(
+    roots: DataFrame, prune: bool = True, tasks: int | None = None, emitted_only: bool = False,
+    entries_per_unit: int = _ENTRIES_PER_UNIT,
+) -> DataFrame:
     """Files table of a DataFrame of roots: list, keep the paths worth reading, read.
 
-    Land the result as a table before running several queries over it: each scan reads the trees.
+    ``emitted_only`` opens only important and code files, the ones a bundle can hold. Rows with a
+    read_error always stay. Land the result as a table before running several queries over it: each
+    scan reads the files.
     """
-    paths = list_trees(roots, prune, split_levels, tasks)
+    found = list_trees(roots, prune, tasks, entries_per_unit)
+    name = file_name("path")
+    worth = F.lit(True)
     if prune:
-        name = file_name("path")
-        paths = paths.where(keep_dir("path") & keep_name(name) & keep_ext(extension(name)))
-    return load_contents(paths, tasks)
+        worth = keep_dir("path") & keep_name(name) & keep_ext(extension(name))
+    if emitted_only:
+        worth = worth & (is_important(name) | is_code(extension(name)))
+    return load_contents(found.where(F.col("read_error").isNotNull() | worth), tasks)
 
 
 def _spread(df: DataFrame, tasks: int | None, *columns: str) -> DataFrame:

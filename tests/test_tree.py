@@ -35,7 +35,8 @@ def scans(spark, roots):
     yield tree.read_trees(spark, roots)
     yield tree.read_trees(spark, roots, split=False)
     yield tree.scan_trees(frame)
-    yield tree.scan_trees(frame, split_levels=0, tasks=3)
+    yield tree.scan_trees(frame, tasks=3, entries_per_unit=2)
+    yield tree.scan_trees(frame, emitted_only=False, entries_per_unit=1)
 
 
 def test_every_way_of_scanning_selects_like_the_model(spark, roots):
@@ -69,3 +70,57 @@ def test_audit_of_a_tree_needs_only_the_head_of_large_files(spark, roots):
     reasons = {(r.reason, r.n) for r in select.selection_audit(tree.read_trees(spark, {"one": paths["one"]}, prune=False)).collect()}
     assert reasons == {("directory", 2), ("name", 1), ("extension", 1), ("binary", 1), ("too_large", 1), ("too_small", 1),
                        ("empty", 1), ("unreadable", 1), ("kept", 6)}
+
+
+def test_siblings_of_broken_entries_come_back(spark, tmp_path):
+    root = tmp_path / "repo"
+    (root / "src").mkdir(parents=True)
+    (root / "README.md").write_bytes(b"# hello world")
+    (root / "src" / "a.py").write_bytes(b"print('hello')")
+    os.symlink(root / "self", root / "self")
+    bad = os.fsencode(str(root)) + b"/n\xff.py"
+    with open(bad, "wb") as stream:
+        stream.write(b"print('name')")
+    os.makedirs(os.fsencode(str(root)) + b"/d\xfe")
+    with open(os.fsencode(str(root)) + b"/d\xfe/in.py", "wb") as stream:
+        stream.write(b"print('inside')")
+    roots = {"r": str(root), "gone": str(tmp_path / "missing")}
+    frame = spark.createDataFrame(list(roots.items()), "repo_id string, root string")
+    for scanned in (tree.read_trees(spark, roots), tree.scan_trees(frame), tree.scan_trees(frame, entries_per_unit=1)):
+        rows = scanned.collect()
+        assert {(r.repo_id, r.path) for r in rows if r.read_error is None} == {("r", "README.md"), ("r", "src/a.py")}
+        errors = {(r.repo_id, r.path): r.read_error.split(":")[0] for r in tables.read_errors(scanned).collect()}
+        assert errors == {
+            ("gone", "."): "FileNotFoundError", ("r", "self"): "OSError", ("r", "n\\xff.py"): "UnicodeDecodeError",
+            ("r", "d\\xfe/in.py"): "UnicodeDecodeError",
+        }
+        assert {r.path for r in select.select_files(scanned).collect()} == {"README.md", "src/a.py"}
+
+
+def test_unlistable_folder_is_reported(monkeypatch, tmp_path):
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("closed"):
+            raise PermissionError(13, "Permission denied")
+        return real(path)
+
+    (tmp_path / "closed").mkdir()
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "x.py").write_bytes(b"x")
+    monkeypatch.setattr(os, "scandir", scandir)
+    found = sorted(tree._walk(str(tmp_path), "", True))
+    assert found == [("closed", False, "PermissionError: Permission denied"), ("open/x.py", False, None)]
+
+
+def test_emitted_only_opens_what_a_bundle_can_hold(spark, roots):
+    paths, _ = roots
+    frame = spark.createDataFrame([("one", paths["one"])], "repo_id string, root string")
+    names = {r.path for r in tree.scan_trees(frame, emitted_only=True).collect()}
+    assert "README.md" in names and "a/b/c/d/e.go" in names and not any(n.endswith((".csv", ".png")) for n in names)
+
+
+def test_binary_files_are_not_read_past_the_head(spark, roots):
+    paths, _ = roots
+    row = tree.read_trees(spark, {"one": paths["one"]}).where("path = 'Makefile'").first()
+    assert row.content is None and b"\0" in row.head
