@@ -35,14 +35,24 @@ def _truthy(variant: Column) -> Column:
     )
 
 
+def _printed(value: Column) -> Column:
+    """A scalar as Python prints it: a fraction keeps its point (7.0), where a variant drops it."""
+    text = value.cast("string")
+    return (
+        F.when(_is(value, "BOOLEAN"), F.initcap(text))
+        .when(_is(value, "DECIMAL") & ~F.contains(text, F.lit(".")), F.concat(text, F.lit(".0")))
+        .otherwise(text)
+    )
+
+
 def _part_text(part: Column) -> Column:
-    """An object gives its text field ('' without one), anything else its printed form."""
-    printed = part.cast("string")
+    """An object gives its text field ('' without one), anything else its printed form.
+
+    Lists inside a part are printed as JSON."""
     return (
         F.when(_is(part, "OBJECT"), F.coalesce(_get(part, "$.text", "string"), F.lit("")))
         .when(part.isNull() | _is(part, "VOID"), F.lit("None"))
-        .when(_is(part, "BOOLEAN"), F.initcap(printed))
-        .otherwise(printed)
+        .otherwise(_printed(part))
     )
 
 
@@ -170,6 +180,21 @@ def _param(params: Column, name: str, default: str) -> Column:
     )
 
 
+def ai_payload(
+    analysis_id: Column | str, text: Column | str, lang: Column | str, size: Column | str,
+    technicality: Column | str, queue: Column | str,
+) -> Column:
+    """The JSON message that hands a repository's text to the AI stage."""
+    parameters = F.struct(_col(lang).alias("lang"), _col(size).alias("size"), _col(technicality).alias("technicality"))
+    return F.to_json(
+        F.struct(
+            _col(analysis_id).alias("analysis_id"), _col(text).alias("extracted_text"),
+            parameters.alias("analysis_parameters"), _col(queue).alias("result_queue_name"),
+        ),
+        {"ignoreNullFields": "false"},
+    )
+
+
 def parse_ai_payload(payload_json: Column | str) -> Column:
     """struct<analysis_id, text, lang, size, technicality, result_queue, reject_reason>."""
     payload = F.try_parse_json(_col(payload_json))
@@ -177,17 +202,17 @@ def parse_ai_payload(payload_json: Column | str) -> Column:
     queue = _get(payload, "$.result_queue_name")
     text = _get(payload, "$.extracted_text")
     params = _get(payload, "$.analysis_parameters")
-    analysis_id = _get(payload, "$.analysis_id", "bigint")
+    # ids are whole numbers here, also when written as text; all else is rejected rather than bent into one
+    whole = ~(_is(raw_id, "BOOLEAN") | _is(raw_id, "ARRAY") | _is(raw_id, "OBJECT"))
+    number = F.when(whole, raw_id.cast("string").try_cast("decimal(38,10)"))
+    analysis_id = F.when(number == F.floor(number), number.try_cast("bigint"))
     reject = (
         F.when(~_is(payload, "OBJECT"), F.lit("payload is not a map"))
-        .when(~F.coalesce(_truthy(raw_id), F.lit(False)) | analysis_id.isNull(), F.lit("missing analysis_id"))
+        .when(~F.coalesce(_truthy(raw_id), F.lit(False)), F.lit("missing analysis_id"))
+        .when(analysis_id.isNull(), F.lit("analysis_id is not a whole number"))
         .when(~F.coalesce(_truthy(queue), F.lit(False)), F.lit("missing result_queue_name"))
     )
-    printed = (
-        F.when(text.isNull() | _is(text, "VOID"), F.lit(""))
-        .when(_is(text, "BOOLEAN"), F.initcap(text.cast("string")))
-        .otherwise(text.cast("string"))
-    )
+    printed = F.when(text.isNull() | _is(text, "VOID"), F.lit("")).otherwise(_printed(text))
     return F.struct(
         analysis_id.alias("analysis_id"),
         F.when(_is(payload, "OBJECT"), printed).alias("text"),

@@ -68,6 +68,8 @@ DEFAULT_LANG = "en"
 DEFAULT_SIZE = "medium"
 DEFAULT_TECHNICALITY = "technical"
 
+MISSING_PARAMETER = "null"
+
 # --- fixed values: text layout -------------------------------------------------------------------
 
 SEGMENT_HEAD = "--- File: "

@@ -13,6 +13,9 @@ from .text import strip
 _WEB = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)([^?#]*)"
 _HTTP = r"(?i)^(https?)://([^/?#\\]*)(.*)$"
 _MAX_URL_CHARS = 2083
+_BLANKS = r"^[\s\x00]+|[\s\x00]+$"
+_HOST_PORT = r"^(?:[^:\[\]\s<>^|%]+|\[[0-9A-Fa-f:.]+\])(?::([0-9]{0,5}))?$"
+_LAST_PORT = 65535
 
 
 def _cleaned(url: Column) -> Column:
@@ -82,16 +85,20 @@ def redact_url(url: Column | str) -> Column:
 
 
 def is_http_url(url: Column | str) -> Column:
-    """An http or https URL with a host, of at most 2,083 characters."""
-    url = _col(url)
-    authority = F.regexp_extract(url, _HTTP, 2)
-    host = F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", "")
-    return F.coalesce((host != "") & ~host.rlike(r"[\s<>^|%]") & (F.length(url) <= _MAX_URL_CHARS), F.lit(False))
+    """An http or https URL with a host, of at most 2,083 characters; blanks around it don't count.
+
+    A port must be a number up to 65,535. Hosts that are not ASCII and blanks in the path are taken
+    as they are.
+    """
+    url = F.regexp_replace(_col(url), _BLANKS, "")
+    place = F.regexp_replace(F.regexp_extract(url, _HTTP, 2), r"^.*@", "")
+    port = F.coalesce(F.nullif(F.regexp_extract(place, _HOST_PORT, 1), F.lit("")), F.lit("0")).cast("int")
+    return F.coalesce(place.rlike(_HOST_PORT) & (port <= _LAST_PORT) & (F.length(url) <= _MAX_URL_CHARS), F.lit(False))
 
 
 def normal_http_url(url: Column | str) -> Column:
-    """Lower-case scheme and host, no default port, '/' for an empty path."""
-    url = _col(url)
+    """Lower-case scheme and host, no default port, '/' for an empty path, no blanks around."""
+    url = F.regexp_replace(_col(url), _BLANKS, "")
     scheme = F.lower(F.regexp_extract(url, _HTTP, 1))
     authority = F.regexp_extract(url, _HTTP, 2)
     host = F.lower(F.regexp_replace(authority, r"^.*@", ""))

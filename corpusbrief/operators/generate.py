@@ -8,11 +8,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import prompts, responses, rules
-from ..session import ship_package
+from ..session import landed, ship_package
 
 # prompts run to half a million characters, so a batch holds few of them
 _PROMPTS_PER_SLICE = 16
@@ -59,7 +59,9 @@ def generate(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int
     """Adds raw ``output`` and ``error`` to a frame with a ``prompt`` column, which is dropped.
 
     One provider per task. A failing row gives an error and never fails the job; a provider that
-    cannot be made fails every row of its task the same way. ``tasks`` sets the concurrency.
+    cannot be made fails every row of its task the same way. ``tasks`` sets the concurrency, by
+    default the number of shuffle partitions: calls are slow and prompts small, so their bytes, by
+    which AQE would merge tasks, say nothing about the work.
     """
     ship_package(df.sparkSession)
     kept = [field for field in df.schema.fields if field.name != "prompt"]
@@ -80,8 +82,11 @@ def generate(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int
                 outcome = pd.DataFrame(answers, columns=["output", "error_kind", "error_detail"], index=part.index)
                 yield pd.concat([part[names], outcome], axis=1)
 
-    spread = df.repartition(tasks) if tasks else df
-    return spread.mapInPandas(run, schema)
+    return df.repartition(tasks or shuffle_partitions(df.sparkSession)).mapInPandas(run, schema)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def chat(
@@ -117,13 +122,17 @@ def _answer(provider: Provider, prompt: str | None) -> tuple[str | None, str | N
 def generate_distinct(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int | None = None) -> DataFrame:
     """Like :func:`generate` with one provider call per distinct prompt; adds prompt_hash and summary.
 
-    The prompts are hashed in full; only hashes and answers take part in the join back, where AQE
-    splits a prompt shared by very many rows. Materialise an expensive input first: it is read once
-    for the prompts and once for the rows.
+    The input is evaluated once: prompts are written with their full hash and a row number, one row
+    number is picked for each hash from these two columns alone, and only the picked prompts are
+    moved. Provider output is written right after the calls and everything else derives from it, so
+    neither a lost executor nor a second reader repeats a call. In the join back AQE splits a prompt
+    that very many rows share.
     """
-    keyed = df.withColumn("_sha", prompts.prompt_sha("prompt"))
-    unique = keyed.select("_sha", "prompt").dropDuplicates(["_sha"])
-    answers = generate(unique, provider_factory, tasks)
+    keyed = landed(df.withColumn("_sha", prompts.prompt_sha("prompt")).withColumn("_row", F.monotonically_increasing_id()))
+    picked = keyed.groupBy("_sha").agg(F.min("_row").alias("_row")).select("_row")
+    unique = keyed.select("_row", "_sha", "prompt").join(picked, "_row", "left_semi").drop("_row")
+    answers = landed(generate(unique, provider_factory, tasks))
+    keyed = keyed.drop("_row")
     answers = answers.withColumn("summary", F.when(F.col("error_kind").isNull(), prompts.clean_output("output")))
     answers = answers.drop("output").withColumnRenamed("_sha", "_answered")
     # null-safe, so that a missing prompt gets its error back as well

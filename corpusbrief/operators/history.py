@@ -71,9 +71,9 @@ def render_rows(history: DataFrame) -> DataFrame:
     has_summary = F.coalesce(F.col("summary"), F.lit("")) != ""
     has_error = F.coalesce(F.col("error"), F.lit("")) != ""
     completed, failed = F.col("status") == "COMPLETED", F.col("status") == "FAILED"
-    params = F.concat(
-        F.lit("Params: L:"), "lang", F.lit(", S:"), "size", F.lit(", T:"), "technicality"
-    )
+    # a missing parameter is shown as the page shows it
+    lang, size, technicality = (F.coalesce(c, F.lit(rules.MISSING_PARAMETER)) for c in ("lang", "size", "technicality"))
+    params = F.concat(F.lit("Params: L:"), lang, F.lit(", S:"), size, F.lit(", T:"), technicality)
     body = (
         F.when(
             completed & has_summary,
@@ -87,7 +87,7 @@ def render_rows(history: DataFrame) -> DataFrame:
         "id", "repository_url", "status",
         F.concat(F.lit("(Status: "), _text_or("status", "N/A"), F.lit(")")).alias("status_line"),
         params.alias("params_line"),
-        F.concat(F.lit("Lang: "), "lang", F.lit(", Size: "), "size", F.lit(", Tech: "), "technicality").alias("detail_params"),
+        F.concat(F.lit("Lang: "), lang, F.lit(", Size: "), size, F.lit(", Tech: "), technicality).alias("detail_params"),
         F.when(completed, _text_or("summary", rules.SUMMARY_MISSING)).alias("summary_text"),
         F.when(failed, _text_or("error", rules.FAILURE_UNKNOWN)).alias("failure_text"),
         body.alias("detail_body"),

@@ -86,18 +86,19 @@ def drop_failed(jobs: DataFrame, failed: DataFrame, key: str = "id") -> DataFram
     return jobs.join(failed.select(key), key, "left_anti")
 
 
-def _rate_key(user: Column) -> Column:
-    """Guests share one key."""
-    return F.coalesce(F.nullif(user, F.lit("")), F.lit("guest"))
-
-
 def rate_counts(requests: DataFrame, at: str = "created_at", user: str = "user_id") -> DataFrame:
-    """Requests per user and minute; a streaming input keeps its watermark on ``at``."""
-    keyed = requests.select(F.col(at).alias("_at"), _rate_key(F.col(user)).alias("rate_key"))
-    counted = keyed.groupBy(F.window("_at", "1 minute").alias("_minute"), "rate_key").agg(
+    """Requests per user and minute; a streaming input keeps its watermark on ``at``.
+
+    Guests share one key, shown as 'guest'; ``is_guest`` tells it from a user of that name.
+    """
+    guest = F.coalesce(F.col(user), F.lit("")) == ""
+    keyed = requests.select(
+        F.col(at).alias("_at"), guest.alias("is_guest"), F.when(guest, F.lit("guest")).otherwise(F.col(user)).alias("rate_key"),
+    )
+    counted = keyed.groupBy(F.window("_at", "1 minute").alias("_minute"), "is_guest", "rate_key").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return counted.select(F.col("_minute.start").alias("minute"), "rate_key", "n")
+    return counted.select(F.col("_minute.start").alias("minute"), "rate_key", "is_guest", "n")
 
 
 def rate_flags(
@@ -105,5 +106,5 @@ def rate_flags(
     at: str = "created_at", user_column: str = "user_id",
 ) -> DataFrame:
     """Minutes in which a user, or the guests together, went over the limit."""
-    allowed = F.when(F.col("rate_key") == "guest", F.lit(guest)).otherwise(F.lit(user))
+    allowed = F.when(F.col("is_guest"), F.lit(guest)).otherwise(F.lit(user))
     return rate_counts(requests, at, user_column).where(F.col("n") > allowed)

@@ -1,8 +1,9 @@
 """Group-wise operators that hold up when one key owns a large share of the rows.
 
-AQE splits skewed joins but not skewed windows: a window puts each group in one task. Groups above
-a row threshold are therefore first reduced in salted sub-groups, by a rule that never drops a row
-the whole group would keep, and then decided exactly on what is left.
+AQE splits skewed joins but not skewed windows: a window puts each group in one task. Heavy groups
+are therefore first reduced in salted sub-groups, by a rule that never drops a row the whole group
+would keep, and then decided exactly on what is left. A group's weight, in rows or bytes, decides
+only how many sub-groups it gets; there is no limit to the number of heavy groups or of sub-groups.
 """
 
 from __future__ import annotations
@@ -11,34 +12,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 20_000
-MAX_HOT_KEYS = 10_000
-MAX_SALTS = 4_096
+from ..session import landed
+
+#: What one sub-group holds: rows where only rows count, bytes where they are weighed.
+ROWS_EACH = 20_000
+BYTES_EACH = 64 << 20
 SALT = "_salt"
 _SALTS = "_salts"
 
 
-def find_hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS) -> DataFrame | None:
-    """Keys with at least ``hot_rows`` rows as a small table (key, number of salts), or None.
+def find_hot_keys(df: DataFrame, key: str, each: int = ROWS_EACH, weight: Column | None = None) -> DataFrame | None:
+    """Keys that weigh more than ``each``, with their number of sub-groups, or None.
 
-    Reads the key column only. At most ``max_keys`` rows ever reach the driver. The table only
-    guides how work is spread, so a key left off it costs balance and never a result.
+    Reads the key and the weight only. The table is written, not collected: its size has no bound,
+    so Spark decides how to join it.
     """
-    heavy = (
-        df.groupBy(key).count().where(F.col("count") >= hot_rows)
-        .orderBy(F.desc("count"), key).limit(max_keys).collect()
-    )
-    if not heavy:
-        return None
-    rows = [(row[key], min(MAX_SALTS, max(2, -(-row["count"] // hot_rows)))) for row in heavy]
-    key_type = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"`{key}` {key_type}, {_SALTS} int")
+    weighed = df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("_weight"))
+    heavy = landed(weighed.where(F.col("_weight") > each).select(key, F.ceil(F.col("_weight") / each).alias(_SALTS)))
+    return heavy if heavy.limit(1).count() else None
 
 
 def add_salt(df: DataFrame, key: str, spread_by: Column, hot: DataFrame) -> DataFrame:
     """A salt from the row's own value for hot keys, 0 for all others; the same on every retry."""
-    salted = F.pmod(F.xxhash64(spread_by), F.coalesce(F.col(_SALTS), F.lit(1)).cast("long")).cast("int")
-    known = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    salted = F.pmod(F.xxhash64(spread_by), F.coalesce(F.col(_SALTS), F.lit(1)).cast("long"))
+    known = hot.withColumnRenamed(key, "_hot")
     # null-safe, as rows without a key may be the largest group
     joined = df.join(known, F.col(key).eqNullSafe(F.col("_hot")), "left")
     return joined.withColumn(SALT, salted).drop(_SALTS, "_hot")

@@ -10,11 +10,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prompts, rules, text
+from ..functions import paths, prompts, rules, text
 from ..operators import assemble, events, generate, requests, select
-from ..operators.skew import find_hot_keys
+from ..operators.skew import BYTES_EACH, find_hot_keys
 from ..session import landed
-from ..sources.tables import HISTORY_SCHEMA
+from ..sources.tables import HISTORY_SCHEMA, files_of
 
 
 @dataclass(frozen=True)
@@ -28,15 +28,22 @@ class BriefResult:
     history: DataFrame
 
 
+def heavy_repos(files: DataFrame, each: int = BYTES_EACH) -> DataFrame | None:
+    """Repositories by the bytes that can reach the windows: files too large to be selected don't count."""
+    bytes_ = F.when(paths.size_ok("size"), F.col("size")).otherwise(F.lit(0))
+    return find_hot_keys(files, "repo_id", each, bytes_)
+
+
 def build_bundles(
     files: DataFrame, cap: int = rules.SOURCE_CAP, budget: int = rules.TEXT_BUDGET, salt_hot_repos: bool = True,
+    each: int = BYTES_EACH,
 ) -> DataFrame:
     """Files to one bounded text per repository: select, cap, assemble.
 
-    Repositories with very many files are found first from the repo_id column alone and salted in
-    both windows; turn that off where the files are not a table, as it reads them once more.
+    Repositories whose files hold more than ``each`` bytes are found first from the small columns and
+    salted in both windows; turn that off where the files are not a table, as it reads them once more.
     """
-    hot = find_hot_keys(files, "repo_id") if salt_hot_repos else None
+    hot = heavy_repos(files, each) if salt_hot_repos else None
     selected = select.select_files(files, emitted_only=True)
     return assemble.assemble(select.cap_sources(selected, cap, hot), budget, hot)
 
@@ -48,7 +55,7 @@ def run_briefs(
 ) -> BriefResult:
     """Carry ``submitted(request_id, url, repo_id, lang, size, technicality[, user_id])`` through every stage.
 
-    ``repo_id`` ties a request to its files; of ``history`` only the highest id is read. Stage
+    ``repo_id`` ties a request to its files, of which a table of ``store_files`` is read only in the wanted buckets; of ``history`` only the highest id is read. Stage
     results are written under ``work_dir``, the way the stages hand work to each other; running
     again with the same inputs overwrites them.
     """
@@ -56,8 +63,7 @@ def run_briefs(
     created = requests.create_jobs(accepted, history, now=now)
     jobs = landed(created, os.path.join(work_dir, "jobs"))
 
-    wanted = files.join(jobs.select("repo_id").distinct(), "repo_id", "left_semi")
-    bundles = build_bundles(wanted).withColumn("blank", text.is_blank("text"))
+    bundles = build_bundles(files_of(files, jobs.select("repo_id"))).withColumn("blank", text.is_blank("text"))
     bundles = landed(bundles, os.path.join(work_dir, "bundles"))
 
     # jobs on one repository with the same guidance share one prompt, rendered once

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import messages, paths, prompts, responses, rules, text, urls
-from ..operators import assemble, events, generate, history, requests, select
+from ..operators import ai_stage, assemble, events, generate, history, requests, select
 from ..operators.skew import find_hot_keys
 from .. import session
 from ..session import shared_path
 from ..sources import queues, tables, tree
+from ..sources.store import HistoryStore
 from ..streaming import flow, folds, rates
 from . import briefs
 from .fixtures import spark_view, table, view_of
@@ -53,7 +54,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
-    hot = find_hot_keys(files, "repo_id")
+    hot = briefs.heavy_repos(files)
     return select.cap_sources(select.select_files(files, emitted_only=True), hot=hot)
 
 
@@ -196,6 +197,13 @@ def q_assemble(spark, sf_dir):
     return _bundles(spark, sf_dir).select("repo_id", "text", "total_chars", "truncated")
 
 
+@_query
+def q_assemble_salted(spark, sf_dir):
+    """The same with every repository split into sub-groups of 20,000 bytes."""
+    bundles = briefs.build_bundles(_files(spark, sf_dir), each=20_000)
+    return bundles.select("repo_id", "text", "total_chars", "truncated")
+
+
 @_query
 def q_bundle_metrics(spark, sf_dir):
     lang, size, tech = _repo_param(0, "en"), _repo_param(1, "medium"), _repo_param(2, "technical")
@@ -375,8 +383,8 @@ def q_ai_payload(spark, sf_dir):
         F.when(kind == 0, F.lit('{"lang":"es","size":"small","technicality":"expert"}'))
         .when(kind == 1, F.lit('"none"')).when(kind == 2, F.lit('{"lang":null}')).otherwise(F.lit("null"))
     )
-    words = F.when(kind == 1, F.lit("null")).when(kind == 2, F.lit("42")).otherwise(
-        F.concat(F.lit('"turn '), F.col("turn").cast("string"), F.lit('"')))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    words = F.when(kind == 1, F.lit("null")).when(kind == 2, F.lit("42.0")).otherwise(quoted)
     queue = F.when(kind == 4, F.lit('""')).otherwise(F.lit('"results"'))
     payload = F.when(kind == 5, F.lit("[1]")).otherwise(
         F.concat(
@@ -412,6 +420,19 @@ def q_history_topk(spark, sf_dir):
     return history.history_topk(jobs, hot=find_hot_keys(jobs, "user_id")).select("user_id", "id", "created_at", "status")
 
 
+@_query
+def q_topk_salted(spark, sf_dir):
+    """The same with every user split into sub-groups of five jobs."""
+    jobs = _history(spark, sf_dir)
+    hot = find_hot_keys(jobs, "user_id", each=5)
+    return history.history_topk(jobs, hot=hot).select("user_id", "id", "created_at", "status")
+
+
+@_query
+def q_job_status(spark, sf_dir):
+    return history.as_status(_history(spark, sf_dir))
+
+
 @_query
 def q_detail(spark, sf_dir):
     return history.as_detail(_history(spark, sf_dir))
@@ -519,6 +540,42 @@ def q_tree_scan(spark, sf_dir):
     return selected.select("repo_id", "path", "file_class", "size", F.md5("text").alias("text_md5"))
 
 
+def _write_broken_documents(root: str):
+    """Like :func:`_write_documents`, but Go files become links to nothing and ``src/m*.py`` links to themselves."""
+    plain = _write_documents(root)
+
+    def write(batches):
+        for batch in batches:
+            lost = batch["path"].str.endswith(".go")
+            looped = batch["path"].str.startswith("src/m")
+            for row in batch[lost | looped].itertuples(index=False):
+                full = os.path.join(root, row.repo_id, row.path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                if not os.path.lexists(full):
+                    os.symlink(full if row.path.startswith("src/m") else full + ".gone", full)
+            yield batch[["repo_id"]].drop_duplicates()
+            yield from plain([batch[~(lost | looped)]])
+
+    return write
+
+
+@_query
+def q_tree_errors(spark, sf_dir):
+    """Trees with broken entries and a missing root: every good file still comes back, every bad one is named."""
+    root = shared_path(spark, "broken-trees").removeprefix("file:")
+    if "://" in root:
+        raise ValueError("trees are read from a mounted file system, and the shared folder is not one")
+    session.ship_package(spark)
+    files = _files(spark, sf_dir).select("repo_id", "path", "content")
+    repos = session.landed(files.mapInPandas(_write_broken_documents(root), "repo_id string").distinct())
+    roots = repos.unionByName(repos.select(F.lit("none").alias("repo_id")).distinct())
+    scanned = session.landed(tree.scan_trees(roots.select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))))
+    good = select.select_files(scanned).select("repo_id", "path", F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("error"))
+    kind = F.split_part("read_error", F.lit(":"), F.lit(1)).alias("error")
+    bad = tables.read_errors(scanned).select("repo_id", "path", F.lit(None).cast("string").alias("text_md5"), kind)
+    return good.unionByName(bad)
+
+
 @_query
 def q_history_append(spark, sf_dir):
     """The history appended to a table in two writes and read back."""
@@ -527,7 +584,20 @@ def q_history_append(spark, sf_dir):
     done = F.col("status").isin(*rules.TERMINAL_STATUSES)
     tables.append_jobs(jobs.where(done), path)
     tables.append_jobs(jobs.where(~done), path)
-    return tables.read_history(spark, path).select("id", "user_id", "created_at", "status", "summary", "error")
+    return tables.read_history(spark, path)
+
+
+@_query
+def q_history_update(spark, sf_dir):
+    """The history stored, its events applied twice, every seventh job taken back, and read again."""
+    store = HistoryStore(spark, shared_path(spark, "store"), buckets=8)
+    jobs = _history(spark, sf_dir)
+    store.put(jobs)
+    folds = session.landed(events.fold_events(_events(spark, sf_dir)))
+    store.apply(folds)
+    store.delete(jobs.where(F.col("id") % 7 == 0).select("id"))
+    store.apply(folds)
+    return store.read()
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -556,7 +626,8 @@ def q_stream_fold(spark, sf_dir):
 @_query
 def q_stream_terminal(spark, sf_dir):
     path = shared_path(spark, "terminal")
-    ended = folds.terminal_jobs(_event_stream(spark, sf_dir)).select("analysis_id")
+    # state of jobs that ended this long before the newest event is dropped
+    ended = folds.terminal_jobs(_event_stream(spark, sf_dir), bounded_by="3650 days").select("analysis_id")
     queues.write_queue(ended, path, shared_path(spark, "terminal-state")).awaitTermination()
     return spark.read.schema(ended.schema).parquet(path)
 
@@ -586,8 +657,7 @@ def q_run_briefs(spark, sf_dir):
         spark, submitted, _files(spark, sf_dir), _history(spark, sf_dir), generate.ExtractiveProvider,
         shared_path(spark, "briefs"), now=CREATED,
     )
-    summary = F.regexp_extract("summary", r"^<p>(\d+ files, \d+ characters)</p><ul><li>", 1)
-    return done.history.select("id", "repository_url", "lang", "size", "technicality", "status", summary.alias("summary_head"), "error")
+    return done.history.select("id", "repository_url", "lang", "size", "technicality", "status", F.md5("summary").alias("summary_md5"), "error")
 
 
 @_query
@@ -600,4 +670,45 @@ def q_stream_briefs(spark, sf_dir):
         _brief_requests(spark, sf_dir, arriving), _files(spark, sf_dir), generate.ExtractiveProvider, out,
         shared_path(spark, "brief-state"),
     ).awaitTermination()
-    return flow.read_stream_history(spark, out).select("id", "repository_url", "status", "error")
+    return flow.read_stream_history(spark, out).select(
+        "id", "repository_url", "lang", "size", "technicality", "status", F.md5("summary").alias("summary_md5"), "error"
+    )
+
+
+@_query
+def q_stream_rejects(spark, sf_dir):
+    """Requests that the stream did not accept, and events that its fold did not."""
+    source = table(spark, sf_dir, "pages")
+    arriving = view_of(queues.read_queue(spark, f"{sf_dir}/pages.parquet*", source.schema), "requests")
+    out = shared_path(spark, "reject-stream")
+    flow.stream_briefs(
+        _brief_requests(spark, sf_dir, arriving), _files(spark, sf_dir), generate.ExtractiveProvider, out,
+        shared_path(spark, "reject-state"),
+    ).awaitTermination()
+    rejects = shared_path(spark, "rejected-events")
+    folds.stream_fold(
+        _event_stream(spark, sf_dir), shared_path(spark, "reject-folds"), shared_path(spark, "reject-fold-state"),
+        rejects_path=rejects,
+    ).awaitTermination()
+    requests_ = flow.read_stream_rejects(spark, out).select(F.lit("request").alias("kind"), F.col("request_id").alias("id"), "reject_reason")
+    events_ = spark.read.parquet(rejects).select(F.lit("event").alias("kind"), F.col("seq").alias("id"), "reject_reason")
+    return requests_.unionByName(events_)
+
+
+@_query
+def q_ai_stage(spark, sf_dir):
+    """Model outputs as repository texts: payloads out and in again, blank texts, calls, events."""
+    outputs = spark_view(spark, sf_dir, "model_outputs")
+    kind = (F.col("conv_id") + F.col("turn")) % 7
+    words = F.when(kind == 3, F.lit(" \n ")).otherwise(text.segment(F.lit("turn.md"), "text"))
+    ident = F.when(kind == 5, F.lit(0)).otherwise(F.col("conv_id") * 1000 + F.col("turn") + 1)
+    size = F.when(kind == 1, F.lit("small")).otherwise(F.lit("medium"))
+    payload = responses.ai_payload(ident, words, F.lit("en"), size, F.lit("expert"), F.lit("results"))
+    emitted, rejected = ai_stage.run_ai_stage(
+        outputs.select(payload.alias("payload")), generate.ExtractiveProvider, F.lit(CREATED).cast("timestamp_ntz")
+    )
+    refused = rejected.select(
+        F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("analysis_id"), F.lit("REJECTED").alias("status"),
+        F.lit(None).cast("string").alias("summary"), F.col("reject_reason").alias("error"),
+    )
+    return emitted.select("seq", "analysis_id", "status", "summary", "error").unionByName(refused)

@@ -210,9 +210,9 @@ _SAID = f"""{_OUTPUTS},
 said AS (SELECT *, (conv_id + turn) % 6 AS kind, {_strip('text')} AS words FROM model_outputs)"""
 
 _FLAGS = """WITH {history}, minutes AS (
-  SELECT date_trunc('minute', created_at) AS minute, coalesce(user_id, 'guest') AS rate_key, count(*) AS n
+  SELECT date_trunc('minute', created_at) AS minute, coalesce(user_id, 'guest') AS rate_key, user_id IS NULL AS is_guest, count(*) AS n
   FROM history GROUP BY ALL)
-SELECT minute, rate_key, n FROM minutes WHERE n > 1""".format(history=_HISTORY)
+SELECT minute, rate_key, is_guest, n FROM minutes WHERE n > 1""".format(history=_HISTORY)
 
 # requests of the whole-job queries: the repository each asks for, prompt size included
 _BRIEFED = f"""{_BUNDLED}, {_GUIDES}, {_CHECKED},
@@ -226,6 +226,13 @@ briefed AS (
     {_prompt('numbered.lang', 'length_guidance', 'audience_guidance', 'bundles.text')} AS prompt
   FROM numbered LEFT JOIN bundles ON bundles.repo_id = repo)"""
 
+# what the offline provider makes of a prompt: the first sentence after each file header
+_HEADED = "list_filter(string_split(prompt, '--- File: ')[2:], lambda p: regexp_matches(p, '^[^' || chr(10) || ']* ---(' || chr(10) || '|$)'))"
+_ITEM = f"""'<li>' || regexp_extract(p, '^([^' || chr(10) || ']*) ---', 1) || ': ' || {_strip(
+    "regexp_extract(p[length(regexp_extract(p, '^([^' || chr(10) || ']*) ---', 1)) + 5:], '[^.!?' || chr(10) || ']+[.!?]?')")} || '</li>'"""
+_EXTRACT = f"""('<p>' || len({_HEADED}) || ' files, ' || length(prompt) || ' characters</p><ul>' ||
+  array_to_string(list_transform({_HEADED}, lambda p: {_ITEM}), '') || '</ul>')"""
+
 _FOLD_SQL = f"WITH {_FOLDED} SELECT * FROM folds"
 
 
@@ -263,6 +270,7 @@ def oracle_sql() -> dict[str, str]:
               count(*) FILTER (file_class = 'source') AS source, count(*) AS processed FROM capped GROUP BY repo_id""",
         "q_segments": f"WITH {_CAPPED} SELECT repo_id, path, md5(segment) AS segment_md5, length(segment) AS n FROM segments",
         "q_assemble": f"WITH {_BUNDLED} SELECT repo_id, text, total_chars, truncated FROM bundles",
+        "q_assemble_salted": f"WITH {_BUNDLED} SELECT repo_id, text, total_chars, truncated FROM bundles",
         "q_bundle_metrics": f"""WITH {_PROMPTED}
             SELECT repo_id, total_chars, important_chars, total_chars - important_chars AS source_chars,
               important_chars / total_chars AS important_share, length(text) AS bundle_chars,
@@ -337,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
         "q_ai_payload": f"""WITH {_OUTPUTS}, k AS (SELECT *, (conv_id + turn) % 6 AS kind FROM model_outputs)
             SELECT conv_id, turn,
               CASE WHEN kind = 3 THEN 0 WHEN kind <> 5 THEN conv_id + 1 END AS analysis_id,
-              CASE kind WHEN 1 THEN '' WHEN 2 THEN '42' WHEN 5 THEN NULL ELSE 'turn ' || turn END AS text,
+              CASE kind WHEN 1 THEN '' WHEN 2 THEN '42.0' WHEN 5 THEN NULL ELSE text END AS text,
               CASE kind WHEN 0 THEN 'es' WHEN 2 THEN NULL ELSE 'en' END AS lang,
               CASE kind WHEN 0 THEN 'small' ELSE 'medium' END AS size,
               CASE kind WHEN 0 THEN 'expert' ELSE 'technical' END AS technicality,
@@ -357,6 +365,11 @@ def oracle_sql() -> dict[str, str]:
         "q_history_topk": f"""WITH {_HISTORY}
             SELECT user_id, id, created_at, status FROM history WHERE user_id IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= {rules.HISTORY_PAGE}""",
+        "q_topk_salted": f"""WITH {_HISTORY}
+            SELECT user_id, id, created_at, status FROM history WHERE user_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= {rules.HISTORY_PAGE}""",
+        "q_job_status": f"""WITH {_HISTORY}
+            SELECT id AS analysis_id, status, repository_url, lang, size, technicality, summary, error, created_at, updated_at FROM history""",
         "q_detail": f"""WITH {_HISTORY}
             SELECT id, repository_url, created_at, updated_at, lang, size, technicality, summary, status, error FROM history""",
         "q_render": f"""WITH {_HISTORY}
@@ -405,7 +418,19 @@ def oracle_sql() -> dict[str, str]:
         "q_error_map": f"""WITH {_HISTORY}
             SELECT id, {_error_of(_KIND, "repeat(repository_url || ' ', 20)")} AS error FROM history""",
         "q_tree_scan": f"WITH {_SELECTED} SELECT repo_id, path, file_class, size, md5(content) AS text_md5 FROM selected",
-        "q_history_append": f"WITH {_HISTORY} SELECT id, user_id, created_at, status, summary, error FROM history",
+        "q_tree_errors": f"""WITH {_SELECTED}
+            SELECT repo_id, path, md5(content) AS text_md5, CAST(NULL AS VARCHAR) AS error FROM selected
+            WHERE NOT (path LIKE '%.go' OR path LIKE 'src/m%')
+            UNION ALL SELECT repo_id, path, NULL, CASE WHEN path LIKE '%.go' THEN 'FileNotFoundError' ELSE 'OSError' END
+            FROM parts WHERE path LIKE '%.go' OR path LIKE 'src/m%'
+            UNION ALL SELECT 'none', '.', NULL, 'FileNotFoundError'""",
+        "q_history_append": f"WITH {_HISTORY} SELECT * FROM history",
+        "q_history_update": f"""WITH {_FOLDED}, {_HISTORY}
+            SELECT h.id, user_id, repository_url, created_at, CASE WHEN f.analysis_id IS NULL THEN h.updated_at ELSE f.updated_at END AS updated_at,
+              lang, size, technicality, CASE WHEN f.analysis_id IS NULL THEN h.status ELSE f.status END AS status,
+              CASE WHEN f.summary_set THEN f.summary ELSE h.summary END AS summary,
+              CASE WHEN f.analysis_id IS NULL THEN h.error ELSE f.error END AS error
+            FROM history h LEFT JOIN folds f ON f.analysis_id = h.id WHERE h.id % 7 <> 0""",
         "q_stream_queue": f"WITH {_EVENTS} SELECT seq, ts, analysis_id, status, summary, error FROM status_events",
         "q_stream_fold": _FOLD_SQL,
         "q_stream_terminal": f"""WITH {_VALID}
@@ -415,11 +440,27 @@ def oracle_sql() -> dict[str, str]:
         "q_run_briefs": f"""WITH {_BRIEFED}, {_HISTORY}
             SELECT (SELECT max(id) FROM history) + place AS id, url AS repository_url, lang, size, technicality,
               CASE WHEN text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-              ((length(text) - length(replace(text, '--- File: ', ''))) // 10) || ' files, ' || length(prompt) || ' characters' AS summary_head,
+              md5({_EXTRACT}) AS summary_md5,
               CASE WHEN text IS NULL THEN {_text(rules.BLANK_REPOSITORY)} END AS error
             FROM briefed""",
         "q_stream_briefs": f"""WITH {_BRIEFED}
-            SELECT place AS id, url AS repository_url, CASE WHEN text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+            SELECT place AS id, url AS repository_url, lang, size, technicality,
+              CASE WHEN text IS NULL THEN 'FAILED' ELSE 'COMPLETED' END AS status, md5({_EXTRACT}) AS summary_md5,
               CASE WHEN text IS NULL THEN {_text(rules.BLANK_REPOSITORY)} END AS error
             FROM briefed""",
+        "q_stream_rejects": f"""WITH {_CHECKED}, {_VALID}
+            SELECT 'request' AS kind, request_id AS id, reject_reason FROM checked WHERE reject_reason IS NOT NULL
+            UNION ALL SELECT 'event', seq, reject_reason FROM judged WHERE reject_reason IS NOT NULL""",
+        "q_ai_stage": f"""WITH {_OUTPUTS}, {_GUIDES}, k AS (
+              SELECT conv_id * 1000 + turn + 1 AS id, (conv_id + turn) % 7 AS kind, text AS words, 'en' AS lang,
+                CASE WHEN (conv_id + turn) % 7 = 1 THEN 'small' ELSE 'medium' END AS size, 'expert' AS technicality FROM model_outputs),
+            given AS (
+              SELECT g.*, {_text(rules.SEGMENT_HEAD)} || 'turn.md' || {_text(rules.SEGMENT_MID)} || words || {_text(rules.SEGMENT_TAIL)} AS text
+              FROM ({_guided('k')}) AS g),
+            asked AS (SELECT *, {_prompt('lang', 'length_guidance', 'audience_guidance', 'text')} AS prompt FROM given)
+            SELECT id * 4 + 2 AS seq, id AS analysis_id, 'PROCESSING' AS status, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS VARCHAR) AS error
+            FROM k WHERE kind <> 5
+            UNION ALL SELECT id * 4 + 3, id, 'FAILED', NULL, {_text(rules.BLANK_AI_TEXT)} FROM k WHERE kind = 3
+            UNION ALL SELECT id * 4 + 3, id, 'COMPLETED', {_EXTRACT}, NULL FROM asked WHERE kind NOT IN (3, 5)
+            UNION ALL SELECT NULL, 0, 'REJECTED', NULL, 'missing analysis_id' FROM k WHERE kind = 5""",
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HISTORY_SCHEMA = (
@@ -24,6 +24,37 @@ def files_from_table(df: DataFrame, repo: str, path: str, content: str, size: st
     )
 
 
+FILE_BUCKETS = 256
+BUCKET = "repo_bucket"
+
+
+def repo_bucket(repo: Column, buckets: int = FILE_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(repo), F.lit(buckets)).cast("int")
+
+
+def store_files(files: DataFrame, path: str, buckets: int = FILE_BUCKETS) -> None:
+    """Write a files table partitioned by a hash of its repository, sorted by repository within.
+
+    A reader that knows its repositories opens only their buckets. Big buckets spread over several
+    files, so no task gets a whole one.
+    """
+    bucketed = files.withColumn(BUCKET, repo_bucket(F.col("repo_id"), buckets))
+    spread = F.pmod(F.xxhash64("path"), F.lit(8))
+    dealt = bucketed.repartition(F.col(BUCKET), spread).sortWithinPartitions(BUCKET, "repo_id")
+    dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def files_of(files: DataFrame, repos: DataFrame, buckets: int = FILE_BUCKETS) -> DataFrame:
+    """The files of ``repos(repo_id)``; a table of :func:`store_files` is read only in their buckets.
+
+    The buckets, a bounded set of small numbers, become part of the scan's partition filter.
+    """
+    if BUCKET in files.columns:
+        wanted = repos.select(repo_bucket(F.col("repo_id"), buckets).alias("b")).distinct().collect()
+        files = files.where(F.col(BUCKET).isin([row["b"] for row in wanted])).drop(BUCKET)
+    return files.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+
+
 def readable(files: DataFrame) -> DataFrame:
     """Files that could be read; the others are reported, not fatal."""
     if "read_error" not in files.columns:

@@ -37,7 +37,7 @@ _PATHS_PER_BATCH = 10_000
 _ENTRIES_PER_UNIT = 50_000
 _IGNORED_DIRS = frozenset(rules.IGNORED_DIRECTORIES)
 _IGNORED_EXTS = frozenset(rules.IGNORED_EXTENSIONS)
-_TEXT_EXTS = frozenset(rules.TEXT_EXTENSIONS)
+_TEXT_EXTS = frozenset(rules.TEXT_EXTENSIONS + rules.CODE_EXTENSIONS)
 
 
 def _told(error: OSError) -> str:

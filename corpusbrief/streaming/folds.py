@@ -19,16 +19,20 @@ STATE_SCHEMA = (
 
 def stream_fold(
     stream: DataFrame, state_path: str, checkpoint: str, available_now: bool = True,
+    rejects_path: str | None = None,
 ) -> StreamingQuery:
     """Fold each micro-batch on its own and write the states as ``batch_id=N`` under state_path.
 
     A batch costs what its events cost, whatever the number of jobs so far. A repeated batch
-    overwrites its own directory, so a restart changes nothing; states merge in any order.
+    overwrites its own directory, so a restart changes nothing; states merge in any order. Events
+    that are not accepted are written with their reasons to ``rejects_path``, if it is given.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = os.path.join(state_path, f"batch_id={batch_id}")
-        events.fold_states(batch).write.mode("overwrite").parquet(target)
+        at = f"batch_id={batch_id}"
+        events.fold_states(batch).write.mode("overwrite").parquet(os.path.join(state_path, at))
+        if rejects_path:
+            events.validate_events(batch)[1].write.mode("overwrite").parquet(os.path.join(rejects_path, at))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -111,6 +111,9 @@ def test_redaction_and_http_urls(spark):
         "https://[REDACTED_TOKEN]@github.com/o/r", "https://github.com/o@2/r"]
     given = ["https://A.Example:443/x", "HTTP://a.b", "http://u@H:8080?q", "ftp://a/b", "https:///x", None, "git@h:o/r", "http://a b/"]
     assert evaluate(spark, given, urls.is_http_url) == [True, True, True, False, False, False, False, False]
+    more = ["https://host:abc/o/r", "https://h:99999/x", "https://h:65535/x", "https://h:/x", " https://h/x\n", "http://[::1]:80/", "http://[x]/", "http://a:1:2/"]
+    assert evaluate(spark, more, urls.is_http_url) == [False, False, True, True, True, True, False, False]
+    assert evaluate(spark, [" https://H/x\n"], urls.normal_http_url) == ["https://h/x"]
     assert evaluate(spark, given[:3], urls.normal_http_url) == ["https://a.example/x", "http://a.b/", "http://u@h:8080/?q"]
 
 
@@ -232,6 +235,25 @@ def test_ai_payload(spark):
     assert [r.reject_reason for r in got] == [None] * 3 + ["missing analysis_id"] * 2 + ["missing result_queue_name"] * 2 + ["payload is not a map"] * 3
 
 
+def test_ids_that_are_not_whole_numbers_are_rejected(spark):
+    given = [f'{{"analysis_id":{i},"extracted_text":{t},"result_queue_name":"q"}}' for i, t in (
+        ("1.5", "7.0"), ('"x7"', "7.25"), ("7.0", "7.0"), ("true", "true"), ("[1]", "1e3"))]
+    got = evaluate(spark, given, responses.parse_ai_payload)
+    wrong = "analysis_id is not a whole number"
+    assert [(r.analysis_id, r.reject_reason) for r in got] == [(None, wrong), (None, wrong), (7, None), (None, wrong), (None, wrong)]
+    assert [r.text for r in got] == ["7.0", "7.25", "7.0", "True", "1000.0"]
+
+
+def test_lists_behind_the_checks(spark):
+    """Values the checks share with the library, written out once more."""
+    assert rules.IMPORTANT_NAMES["readme"] == ("readme", "readme.md", "readme.rst", "readme.txt")
+    assert {".py", ".rs", ".tsx", ".vb"} <= set(rules.CODE_EXTENSIONS) and ".md" not in rules.CODE_EXTENSIONS
+    assert {".png", ".lock", ".zip"} <= set(rules.IGNORED_EXTENSIONS) and ".py" not in rules.IGNORED_EXTENSIONS
+    assert {"node_modules", "tests", "docs", "vendor"} <= set(rules.IGNORED_DIRECTORIES)
+    assert (rules.MIN_FILE_BYTES, rules.MAX_FILE_BYTES, rules.SNIFF_BYTES) == (10, 1_048_576, 1_024)
+    assert (rules.SOURCE_CAP, rules.TEXT_BUDGET, rules.HISTORY_PAGE) == (150, 500_000, 50)
+
+
 def test_error_messages(spark):
     kinds = ["clone", "internal", "api", "unexpected", "blank_repository", "blank_text", "empty_text", "init"]
     got = evaluate(spark, kinds, lambda c: messages.error_message(c, F.lit("d" * 600)))

@@ -101,3 +101,24 @@ def test_empty_batch(spark, tmp_path):
     schema = "request_id long, url string, repo_id string, lang string, size string, technicality string"
     done = run_briefs(spark, spark.createDataFrame([], schema), files, None, ExtractiveProvider, str(tmp_path / "work"))
     assert done.history.count() == done.events.count() == done.bundles.count() == 0
+
+
+def test_no_call_is_repeated_by_later_readers(spark, tmp_path):
+    log = str(tmp_path)
+
+    class Logging:
+        def generate(self, prompt):
+            import os
+            import uuid
+
+            open(os.path.join(log, uuid.uuid4().hex), "w").close()
+            return prompt
+
+    df = spark.range(20).select("id", F.concat(F.lit("p"), (F.col("id") % 4).cast("string")).alias("prompt"))
+    done = generate.generate_distinct(df, Logging)
+    failing = F.when(F.col("id") == 7, F.raise_error(F.lit("later stage"))).otherwise(F.col("summary"))
+    with pytest.raises(Exception, match="later stage"):
+        done.select(failing.alias("x")).collect()
+    assert done.count() == 20 and done.where("id > 3").count() == 16
+    assert len(list(tmp_path.iterdir())) == 4
+    assert "MapInPandas" not in done._jdf.queryExecution().executedPlan().toString()

@@ -181,3 +181,40 @@ def test_reads_by_user_are_pushed_down(spark, tmp_path):
     tables.append_jobs(history_frame(spark, [(1, "u", 0, "QUEUED", None, None)]), path)
     plan = history.history_for_user(tables.read_history(spark, path), "u")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(user_id,u)" in plan and "summary" not in plan
+
+
+def test_a_user_named_guest_is_not_a_guest(spark):
+    df = spark.createDataFrame([(NOW, "guest"), (NOW, None), (NOW, "")], "created_at timestamp_ntz, user_id string")
+    assert {(r.rate_key, r.is_guest, r.n) for r in requests.rate_counts(df).collect()} == {("guest", False, 1), ("guest", True, 2)}
+
+
+def test_missing_parameters_are_shown(spark):
+    kinds = "id long, user_id string, repository_url string, created_at timestamp_ntz, updated_at timestamp_ntz, lang string, size string, technicality string, status string, summary string, error string"
+    row = history.render_rows(spark.createDataFrame([(1, None, "u", NOW, NOW, None, "small", None, "QUEUED", None, None)], kinds)).first()
+    assert (row.params_line, row.detail_params) == ("Params: L:null, S:small, T:null", "Lang: null, Size: small, Tech: null")
+
+
+def test_store_changes_touch_their_buckets_only(spark, tmp_path):
+    from corpusbrief.sources.store import HistoryStore
+
+    kinds = "id long, user_id string, repository_url string, created_at timestamp_ntz, updated_at timestamp_ntz, lang string, size string, technicality string, status string, summary string, error string"
+    jobs = spark.createDataFrame([(i, "u", "r", NOW, NOW, "en", "small", "expert", "QUEUED", None, None) for i in range(1, 41)], kinds)
+    store = HistoryStore(spark, str(tmp_path / "store"), buckets=4)
+    assert store.read().count() == 0
+    store.put(jobs)
+    store.put(jobs)
+    assert store.read().count() == 40
+    folds = events.fold_events(events_frame(spark, [(1, 3, "COMPLETED", "done", None), (2, 99, "FAILED", None, "x")]))
+    store.apply(folds)
+    written = sorted(p.name for p in (tmp_path / "store" / "data" / "version=3").iterdir() if p.name.startswith("bucket"))
+    assert len(written) <= 2
+    assert [(r.status, r.summary) for r in store.read().where("id = 3").collect()] == [("COMPLETED", "done")]
+    # a change that failed before its manifest leaves the old version, and is made again
+    (tmp_path / "store" / "data" / "version=4" / "bucket=0").mkdir(parents=True)
+    assert store.read().count() == 40
+    store.delete(jobs.where("id <= 10").select("id"))
+    assert {r.id for r in store.read().collect()} == set(range(11, 41))
+    store.delete(jobs.select("id"))
+    assert store.read().count() == 0
+    store.put(jobs.limit(2))
+    assert store.read().count() == 2

@@ -53,7 +53,7 @@ def bundles_of(files, cap, budget, hot):
 @pytest.mark.parametrize("cap,budget", [(150, 500_000), (3, 500_000), (20, 700), (5, 1), (1000, 20_000)])
 @pytest.mark.parametrize("salted", [False, True])
 def test_bundles_equal_sequential_model(frame, repos, cap, budget, salted):
-    hot = find_hot_keys(frame, "repo_id", hot_rows=30) if salted else None
+    hot = find_hot_keys(frame, "repo_id", each=30) if salted else None
     expected = {repo: model.bundle(files, cap, budget) for repo, files in repos.items()}
     expected = {repo: value for repo, value in expected.items() if value[1] > 0}
     assert bundles_of(frame, cap, budget, hot) == expected
@@ -61,7 +61,7 @@ def test_bundles_equal_sequential_model(frame, repos, cap, budget, salted):
 
 def test_totals_by_class_survive_salting(frame):
     selected = select.select_files(frame, emitted_only=True)
-    hot = find_hot_keys(frame, "repo_id", hot_rows=30)
+    hot = find_hot_keys(frame, "repo_id", each=30)
     plain = assemble.assemble(select.cap_sources(selected, 10), 300)
     salted = assemble.assemble(select.cap_sources(selected, 10, hot), 300, hot)
     assert sorted(plain.collect()) == sorted(salted.collect())
@@ -107,7 +107,7 @@ def test_parse_counts_cap_sources_only(frame, repos):
 def test_first_per_group_salted_equals_plain(spark):
     key = F.col("id") % 3 * F.when(F.col("id") % 2 == 0, 1).otherwise(0)
     df = spark.range(5000).select(F.nullif(key, F.lit(0)).alias("k"), "id")
-    hot = find_hot_keys(df, "k", hot_rows=500)
+    hot = find_hot_keys(df, "k", each=499)
     assert {r.k for r in hot.collect()} == {None, 1, 2}
     assert add_salt(df, "k", F.col("id"), hot).where("k is null").select(SALT).distinct().count() > 1
     order = [F.desc("id")]
@@ -116,10 +116,11 @@ def test_first_per_group_salted_equals_plain(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.collect())) and salted.count() == 150
 
 
-def test_hot_keys_are_bounded_and_optional(spark):
+def test_hot_keys_are_weighed_and_optional(spark):
     df = spark.range(1000).select((F.col("id") % 100).alias("k"))
-    assert find_hot_keys(df, "k", hot_rows=11) is None
-    assert find_hot_keys(df, "k", hot_rows=5, max_keys=7).count() == 7
+    assert find_hot_keys(df, "k", each=11) is None
+    assert {r._salts for r in find_hot_keys(df, "k", each=3).collect()} == {4}
+    assert [r.k for r in find_hot_keys(df, "k", 500, F.col("k")).orderBy("k").collect()] == list(range(51, 100))
 
 
 def test_route_blank(spark):

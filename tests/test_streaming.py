@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusbrief.operators import events, requests
 from corpusbrief.operators.generate import ExtractiveProvider
-from corpusbrief.sources import queues
+from corpusbrief.sources import queues, tables
 from corpusbrief.streaming import flow, folds, rates
 
 from . import model
@@ -88,7 +88,7 @@ def test_stream_rate_flags_equal_batch_for_closed_minutes(spark, tmp_path):
     out = str(tmp_path / "out")
     queues.write_queue(flags, out, str(tmp_path / "ckpt")).awaitTermination()
     got = {(r.minute, r.rate_key, r.n) for r in spark.read.parquet(out).withColumn("minute", F.col("minute").cast("timestamp_ntz")).collect()}
-    batch = {tuple(r) for r in requests.rate_flags(frame, 2, 2).collect()}
+    batch = {(r.minute, r.rate_key, r.n) for r in requests.rate_flags(frame, 2, 2).collect()}
     closed = {b for b in batch if b[0] + datetime.timedelta(minutes=1) <= max(at) - datetime.timedelta(minutes=1)}
     assert got == closed and got
 
@@ -117,3 +117,44 @@ def test_requests_stream_gives_consecutive_ids(spark, tmp_path):
         flow.stream_briefs(source, files, ExtractiveProvider, out, ckpt).awaitTermination()
     got = flow.read_stream_history(spark, out).orderBy("id").collect()
     assert [(r.id, r.status) for r in got] == [(n, "COMPLETED" if n in (2, 5) else "FAILED") for n in range(1, 7)]
+    rejected = flow.read_stream_rejects(spark, out).collect()
+    assert [(r.request_id, r.url) for r in rejected] == []
+
+
+def test_repeated_batch_gives_the_same_ids_and_times(spark, tmp_path):
+    schema = "request_id long, url string, repo_id string, lang string, size string, technicality string"
+    files = spark.createDataFrame([("r1", "README.md", 20, "Hello there. More it")], "repo_id string, path string, size long, content string")
+    out, ckpt = str(tmp_path / "out"), tmp_path / "ckpt"
+    rows = [(n, "https://github.com/o/r" if n else "ftp://x", "r1", None, None, None) for n in range(3)]
+    (tmp_path / "in").mkdir()
+    source = queues.read_queue(spark, str(tmp_path / "in"), schema)
+    feed(spark.createDataFrame(rows, schema), tmp_path / "in", 0)
+    flow.stream_briefs(source, files, ExtractiveProvider, out, str(ckpt)).awaitTermination()
+    first = flow.read_stream_history(spark, out).select("id", "created_at", "updated_at", "summary").collect()
+    # a lost commit: the query runs the batch again
+    for commit in (ckpt / "commits").iterdir():
+        commit.unlink()
+    flow.stream_briefs(source, files, ExtractiveProvider, out, str(ckpt)).awaitTermination()
+    again = flow.read_stream_history(spark, out).select("id", "created_at", "updated_at", "summary").collect()
+    assert sorted(first) == sorted(again) and len(first) == 2
+    assert [(r.request_id, r.reject_reason is not None) for r in flow.read_stream_rejects(spark, out).collect()] == [(0, True)]
+
+
+def test_only_buckets_of_the_wanted_repositories_are_read(spark, tmp_path):
+    rows = [(f"r{n % 50}", f"src/f{n}.py", 20, "print('hello world')") for n in range(400)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
+    tables.store_files(files, str(tmp_path / "files"), buckets=16)
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    wanted = spark.createDataFrame([("r3",), ("r7",)], "repo_id string")
+    found = tables.files_of(stored, wanted, buckets=16)
+    assert sorted(found.columns) == ["content", "path", "repo_id", "size"] and found.count() == 16
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(repo_bucket" in plan or "PartitionFilters: [repo_bucket" in plan
+
+
+def test_rejected_events_are_written(spark, tmp_path):
+    rows = [(1, 5, "COMPLETED", "s", None), (2, 0, "FAILED", None, "e"), (3, 6, "odd", None, None)]
+    feed(events_frame(spark, rows), tmp_path / "in", 0)
+    source = queues.read_queue(spark, str(tmp_path / "in"), EVENTS)
+    folds.stream_fold(source, str(tmp_path / "out"), str(tmp_path / "ckpt"), rejects_path=str(tmp_path / "bad")).awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == [2, 3]
