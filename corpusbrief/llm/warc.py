@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -73,7 +74,7 @@ def transaction(row: int, page: int | None, url: str | None, html: bytes, leader
 
 def write_warc(
     pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-    revisit_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
+    revisit_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip",
 ) -> None:
     """Write archives under ``path``, by Spark's text sink, so to any file system that Spark reaches.
 
@@ -85,7 +86,7 @@ def write_warc(
     spark = pages.sparkSession
     ship_package(spark)
     # written once, so that row numbers and digests stay the same for both uses and for a repeated task
-    rows = landed(pages.select(
+    rows = _stored(pages.select(
         F.monotonically_increasing_id().alias("row"), F.col(quoted(key)).cast("long").alias("page"), F.col(quoted(url)).alias("url"),
         F.coalesce(F.col(quoted(html)), F.lit("")).cast("binary").alias("html"),
     ).withColumn("digest", F.unhex(F.sha1("html"))).withColumn("many", F.length("html") >= revisit_from_bytes))
@@ -109,36 +110,37 @@ def write_warc(
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string(), safe=False)], names=["value"])
 
-    joined.select(columns).mapInArrow(run, "value string").write.option("lineSep", END).text(path)
+    records = joined.select(columns).mapInArrow(run, "value string")
+    records.write.option("lineSep", END).option("compression", compression).text(path)
 
 
-def _unpacked(content: bytes) -> bytes:
-    """Gzip members one after another, or plain bytes."""
-    if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out)
+def _stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back; payloads pack well."""
+    path = shared_path(df.sparkSession, "pages")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def parse_records(content: bytes, keep_payload: bool = True) -> Iterator[tuple]:
-    """Records of an archive, by their Content-Length; a payload may hold anything."""
-    content, at = _unpacked(content), 0
-    while True:
-        while content[at : at + 1] in (b"\r", b"\n") and at < len(content):
-            at += 1
-        if at >= len(content):
-            return
-        body = content.find(b"\r\n\r\n", at)
-        lines = content[at : body if body >= 0 else len(content)].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        if body < 0 or not lines[0].startswith("WARC/") or "content-length" not in headers:
-            raise ValueError(f"no WARC record at byte {at}")
-        start, size = body + 4, int(headers["content-length"])
-        block, at = content[start : start + size], start + size
+    """Records of an archive, plain or in gzip members, by their Content-Length; a payload may hold anything.
+
+    Unpacks as it goes, so that it holds one record besides the archive's own bytes."""
+    raw = io.BytesIO(content)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+    while line := stream.readline():
+        if line in (b"\r\n", b"\n"):
+            continue
+        headers = {}
+        if line.startswith(b"WARC/"):
+            while (field := stream.readline()) not in (b"\r\n", b"\n", b""):
+                name, _, value = field.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+        if "content-length" not in headers:
+            raise ValueError("not a WARC record: " + repr(line[:80]))
+        size = int(headers["content-length"])
+        block = stream.read(size)
+        if len(block) < size:
+            raise ValueError("an archive ends within a record")
         kind, page, payload = headers.get("warc-type"), None, None
         if kind == "response":
             payload = block.partition(b"\r\n\r\n")[2]
