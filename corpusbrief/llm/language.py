@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .texts import LOWER, with_text_columns
+from .texts import LOWER, fraction, with_text_columns
 
 UNDETERMINED = "und"
 FIELDS = {"lang_pred": "string", "score": "double", "margin_bytes": "long", "rejected": "boolean"}
@@ -22,35 +22,38 @@ class Dictionaries:
     """Raw-content dictionaries by language; at most languages x texts x piece bytes."""
 
     contents: tuple[tuple[str, bytes], ...]
-    level: int = 3
+    level: int = 6
     chunk: int = 2048
 
 
 def fit_dictionaries(
     labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
-    texts: int = 600, piece: int = 512, level: int = 3, chunk: int = 2048,
+    texts: int = 600, piece: int = 512, level: int = 6, chunk: int = 2048,
 ) -> Dictionaries:
     """Fit one dictionary for each language on a bounded sample of the labelled rows.
 
-    The sample holds ``texts`` rows of each language, those with the smallest hash of key and text, and of
-    each the first ``piece`` characters; so a dictionary has at most 4 * texts * piece bytes. The rank is a
-    group limit, which leaves ``texts`` rows a language and task before the shuffle. Rows with a null text or
-    language are not used; repeated pieces count once. Fails beyond MAX_LANGUAGES languages.
+    The sample holds up to ``texts`` rows of each language, those with the smallest hash of key and text, and of
+    each the first ``piece`` characters; so a dictionary has at most 4 * texts * piece bytes. The languages are
+    counted first, so that only about four times as many rows are ranked, however large the table is. Rows with
+    a null text or language are not used; repeated pieces count once. Fails beyond MAX_LANGUAGES languages.
     """
+    usable = labelled.where(F.col(lang).isNotNull())
+    counts = usable.groupBy(F.col(lang).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return Dictionaries((), level, chunk)
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4 * texts / r["count"])])
+    draw = fraction(F.col(key), F.col(text))
     drawn = W.partitionBy("__lang").orderBy("__draw", "__piece")
     sample = (
-        labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0))
-        .select(
-            F.col(lang).alias("__lang"), F.substring(text, 1, piece).alias("__piece"),
-            F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__draw"),
-        )
+        usable.where((F.length(text) > 0) & (draw < F.element_at(shares, F.col(lang))))
+        .select(F.col(lang).alias("__lang"), F.substring(text, 1, piece).alias("__piece"), draw.alias("__draw"))
         .withColumn("__rank", F.row_number().over(drawn)).where(F.col("__rank") <= texts)
     )
     pieces: dict[str, dict[bytes, None]] = {}
     for row in sample.orderBy("__lang", "__rank").toLocalIterator():
         pieces.setdefault(row["__lang"], {})[row["__piece"].encode().translate(LOWER)] = None
-        if len(pieces) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
     contents = tuple((name, b"\n".join(found)) for name, found in sorted(pieces.items()))
     return Dictionaries(contents, level, chunk)
 

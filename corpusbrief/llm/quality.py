@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import quoted, with_text_columns, words
+from .texts import fraction, quoted, with_text_columns, words
 
 WINDOW = 8
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -192,10 +192,12 @@ def fit_decision_list(
     Labels with a null key or quality aren't used; of repeated keys, one row with the lowest quality. The
     labels are ranked first, so only the sampled texts are measured, by Spark; the driver gets their figures.
     """
+    usable = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull())
+    # counted first, so that only about four times the sample is put in order, however many labels there are
+    share = 4 * sample / max(usable.count(), 1)
     chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull())
-        .groupBy(F.col(key).alias("__key")).agg(F.min(quality).alias("__quality"))
-        .orderBy(F.xxhash64(F.col("__key").cast("string")), "__key").limit(sample)
+        usable.where(fraction(F.col(key)) < share).groupBy(F.col(key).alias("__key")).agg(F.min(quality).alias("__quality"))
+        .orderBy(fraction(F.col("__key")), "__key").limit(sample)
     )
     # at most ``sample`` narrow rows, so the broadcast is bounded
     labelled = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(
@@ -203,7 +205,7 @@ def fit_decision_list(
     )
     rows = (
         with_statistics(labelled, "__text").groupBy("__key", "__quality")
-        .agg(*[F.min(f).alias(f) for f in FEATURES]).orderBy(F.xxhash64(F.col("__key").cast("string")), "__key").collect()
+        .agg(*[F.min(f).alias(f) for f in FEATURES]).orderBy(fraction(F.col("__key")), "__key").collect()
     )
     if not rows:
         return DecisionList()

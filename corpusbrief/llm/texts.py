@@ -64,6 +64,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fraction(*keys: Column) -> Column:
+    """A number from 0 to under 1 that depends on the keys alone (null keys count as empty)."""
+    hashed = F.xxhash64(*[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.shiftrightunsigned(hashed, 11) / F.lit(float(1 << 53))
+
+
 def remainder(key: Column, modulo: int) -> Column:
     """crc32 of a key's text modulo ``modulo``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % F.lit(modulo)
