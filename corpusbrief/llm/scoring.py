@@ -21,7 +21,7 @@ MARK = 0xFF
 DEPTH = 4
 #: Contexts of a depth that hold at least this share of the training bytes get a node; so each depth has at
 #: most 1 / share of them. Bytes in rarer contexts belong to the "rest" child of their longest kept context.
-CONTEXT_SHARE = 1 / 4096
+CONTEXT_SHARE = 1 / 16384
 #: Words with at least this share of the training tokens; so at most 1 / share of them go to every task.
 WORD_SHARE = 1 / 200_000
 _CHUNK = 1 << 21
