@@ -89,17 +89,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a candidate-style transport gives back, as JSON.
+CANDIDATES = "block_reason string, candidates array<struct<parts: array<string>, finish_reason: string>>, text string"
+
+
 def chat(
-    df: DataFrame, config: ProviderConfig, transport_factory: Callable[[], Provider], tasks: int | None = None,
+    df: DataFrame, config: ProviderConfig, transport_factory: Callable[[ProviderConfig], Provider],
+    tasks: int | None = None, answers: str = "choices",
 ) -> DataFrame:
     """Like :func:`generate` over a chat endpoint: tasks only carry request JSON out and response JSON in.
 
-    A transport's ``generate`` takes a request body and gives the response body; requests are built
-    and responses parsed as Spark expressions. A response without usable text is an api error.
+    A transport is made from the config, whose timeout it has to keep. Its ``generate`` takes a
+    request body and gives the response body; requests are built and responses parsed as Spark
+    expressions. ``answers`` is the response's style: ``choices``, or ``candidates`` (JSON of the
+    form CANDIDATES, with the text ready). A response without usable text is an api error.
     """
+    if answers not in ("choices", "candidates"):
+        raise ValueError("answers must be choices or candidates")
     request = prompts.chat_request("prompt", config.model, config.temperature, config.max_output_tokens)
     asked = df.withColumn("prompt", F.when(F.col("prompt") != "", request))
-    answered = generate(asked, transport_factory, tasks).withColumn("_parsed", responses.parse_chat_response("output"))
+    answered = generate(asked, lambda: transport_factory(config), tasks)
+    if answers == "choices":
+        parsed = responses.parse_chat_response("output")
+    else:
+        parsed = responses.parse_candidates(F.from_json("output", CANDIDATES))
+    # written here: reading the parsed fields again repeats no call
+    answered = landed(answered.withColumn("_parsed", parsed))
     unusable = F.col("error_kind").isNull() & F.col("_parsed.error").isNotNull()
     return answered.withColumns(
         {

@@ -19,18 +19,29 @@ STATE_SCHEMA = (
 
 def stream_fold(
     stream: DataFrame, state_path: str, checkpoint: str, available_now: bool = True,
-    rejects_path: str | None = None,
+    rejects_path: str | None = None, compact_every: int | None = None,
 ) -> StreamingQuery:
     """Fold each micro-batch on its own and write the states as ``batch_id=N`` under state_path.
 
     A batch costs what its events cost, whatever the number of jobs so far. A repeated batch
     overwrites its own directory, so a restart changes nothing; states merge in any order. Events
     that are not accepted are written with their reasons to ``rejects_path``, if it is given.
+
+    With ``compact_every`` each so many batches one batch also merges the states before it into its
+    own. Merging is idempotent, so readers may see both; the merged ones are deleted once the next
+    batch shows that the merge was committed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         at = f"batch_id={batch_id}"
-        events.fold_states(batch).write.mode("overwrite").parquet(os.path.join(state_path, at))
+        states = events.fold_states(batch)
+        if compact_every:
+            merged_to = batch_id // compact_every * compact_every - 1
+            _drop_before(batch.sparkSession, state_path, merged_to)
+            if batch_id % compact_every == compact_every - 1 and batch_id:
+                earlier = batch.sparkSession.read.schema(STATE_SCHEMA).parquet(state_path).where(F.col("batch_id") < batch_id)
+                states = events.merge_states(states.unionByName(earlier.drop("batch_id")))
+        states.write.mode("overwrite").parquet(os.path.join(state_path, at))
         if rejects_path:
             events.validate_events(batch)[1].write.mode("overwrite").parquet(os.path.join(rejects_path, at))
 
@@ -38,6 +49,18 @@ def stream_fold(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _drop_before(spark: SparkSession, state_path: str, batch_id: int) -> None:
+    """Delete the states of batches before a committed merge, on any file system that Spark reaches."""
+    if batch_id < 1:
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        name, _, number = found.getPath().getName().partition("=")
+        if name == "batch_id" and number.isdigit() and int(number) < batch_id:
+            files.delete(found.getPath(), True)
+
+
 def read_states(spark: SparkSession, state_path: str) -> DataFrame:
     """One merged state per job over all batches so far."""
     return events.merge_states(spark.read.schema(STATE_SCHEMA).parquet(state_path))

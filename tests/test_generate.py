@@ -55,9 +55,13 @@ def test_one_call_per_distinct_prompt(spark, tmp_path):
 
 def test_chat_transport(spark):
     class Echo:
+        def __init__(self, config):
+            self.timeout = config.timeout_seconds
+
         def generate(self, body):
             import json
 
+            assert self.timeout == 120
             asked = json.loads(body)
             assert asked["model"] == "m" and asked["max_tokens"] == 9
             text = asked["messages"][0]["content"]
@@ -71,6 +75,26 @@ def test_chat_transport(spark):
         1: ("hi!", None, None), 2: (None, "api", "RuntimeError"), 3: (None, "api", "ConnectionError"), 4: (None, "empty_text", None)}
 
 
+def test_candidate_transport(spark):
+    class Candidates:
+        def __init__(self, config):
+            self.config = config
+
+        def generate(self, body):
+            import json
+
+            text = json.loads(body)["messages"][0]["content"]
+            if text == "blocked":
+                return json.dumps({"block_reason": "SAFETY"})
+            return json.dumps({"candidates": [{"parts": [text], "finish_reason": "STOP"}], "text": f" {text}! "})
+
+    df = spark.createDataFrame([(1, "hi"), (2, "blocked")], "id long, prompt string")
+    got = generate.chat(df, ProviderConfig("m"), Candidates, answers="candidates").collect()
+    assert {r.id: (r.output, r.error_kind, r.error_detail) for r in got} == {1: ("hi!", None, None), 2: (None, "api", "RuntimeError")}
+    with pytest.raises(ValueError):
+        generate.chat(df, ProviderConfig("m"), Candidates, answers="other")
+
+
 def test_extractive_provider():
     text = "--- File: a.md ---\nFirst one. Second.\n\n--- File: b.py ---\nx = 1\n\n"
     assert ExtractiveProvider().generate(text) == f"<p>2 files, {len(text)} characters</p><ul><li>a.md: First one.</li><li>b.py: x = 1</li></ul>"

@@ -152,6 +152,24 @@ def test_only_buckets_of_the_wanted_repositories_are_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(repo_bucket" in plan or "PartitionFilters: [repo_bucket" in plan
 
 
+def test_states_compact_while_the_query_lives(spark, tmp_path):
+    rows = random_events(23, 350)
+    for part in range(7):
+        feed(events_frame(spark, rows[part * 50:(part + 1) * 50]), tmp_path / "in", part)
+    source = queues.read_queue(spark, str(tmp_path / "in"), EVENTS, files_per_trigger=1)
+    out = tmp_path / "out"
+    folds.stream_fold(source, str(out), str(tmp_path / "ckpt"), compact_every=3).awaitTermination()
+    assert sorted(p.name for p in out.iterdir() if p.name.startswith("batch_id=")) == ["batch_id=5", "batch_id=6"]
+    assert states(spark, out) == model.fold(rows)
+    # the last merge is run again
+    for commit in ("5", "6"):
+        (tmp_path / "ckpt" / "commits" / commit).unlink()
+        crc = tmp_path / "ckpt" / "commits" / f".{commit}.crc"
+        crc.unlink(missing_ok=True)
+    folds.stream_fold(source, str(out), str(tmp_path / "ckpt"), compact_every=3).awaitTermination()
+    assert states(spark, out) == model.fold(rows)
+
+
 def test_rejected_events_are_written(spark, tmp_path):
     rows = [(1, 5, "COMPLETED", "s", None), (2, 0, "FAILED", None, "e"), (3, 6, "odd", None, None)]
     feed(events_frame(spark, rows), tmp_path / "in", 0)
