@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import LOWER, quoted, struct_of, words
+from .texts import LOWER, pieces, quoted, struct_of, words
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
 MARK = 0xFF
@@ -82,7 +82,8 @@ def count_grams(train: DataFrame, text: str = "text", depth: int = DEPTH) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         for batch in batches:
-            for codes in _grams((t or b"" for t in batch.column(0).to_pylist()), depth):
+            texts = (t or b"" for (part,) in pieces([batch.column(0)]) for t in part)
+            for codes in _grams(texts, depth):
                 counts.add(codes)
             if counts.size > _FLUSH:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in counts.taken()], names=["gram", "n"])
@@ -105,7 +106,7 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (t for (part,) in pieces([batch.column(0)]) for t in part):
                 counts.update(words((text or b"").translate(LOWER)))
                 counts[b""] += 1
                 if len(counts) > _FLUSH // 4:
@@ -292,7 +293,8 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
         return sum(found.values()), known, logs, tree.value.score(text), len(text), rare, rare_n
 
     def run(texts: pa.Array) -> pa.Array:
-        return struct_of([each(t) for t in texts.to_pylist()], _FIELDS)
+        made = [struct_of([each(t) for t in part], _FIELDS) for (part,) in pieces([texts])]
+        return pa.concat_arrays(made) if made else struct_of([], _FIELDS)
 
     kinds = "struct<" + ",".join(f"{n}:{k}" for n, k in _FIELDS.items()) + ">"
     udf = F.arrow_udf(run, kinds).asNondeterministic()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import landed, shared_path, ship_package
 from .contamination import merge
-from .texts import quoted
+from .texts import pieces, quoted
 
 LENGTH = 400
 GRAM = 200
@@ -67,8 +67,9 @@ class Anchors:
         h ^= h >> np.uint64(29)
         return h
 
-    def runs(self, text: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(hash of the anchor, hash of the run's string, first window, number of windows); bounded memory."""
+    def runs(self, text: bytes) -> Iterator[np.ndarray]:
+        """Rows of (hash of the anchor, hash of the run's string, first window, number of windows), segment by
+        segment, so memory does not grow with the text."""
         length, width = self.length, self.length - self.gram + 1
         data = np.frombuffer(text, np.uint8)
         for base in range(0, len(data) - length + 1, _SEGMENT):
@@ -78,15 +79,10 @@ class Anchors:
             ranked = (hashes & np.uint64(~_PLACE & (1 << 64) - 1)) | self.places[: len(hashes)]
             anchors = (_sliding_min(ranked, width) & np.uint64(_PLACE)).astype(np.int64)
             starts = np.concatenate(([0], np.flatnonzero(anchors[1:] != anchors[:-1]) + 1))
-            found = hashes[anchors[starts]].view(np.int64).tolist()
-            ends = [*starts[1:].tolist(), len(anchors)]
-            for h, a, b in zip(found, starts.tolist(), ends, strict=True):
-                string = text[base + a : base + b - 1 + length]
-                yield h, _signed(xxhash.xxh3_64_intdigest(string)), base + a, b - a
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+            ends = np.append(starts[1:], len(anchors))
+            bounds = zip((base + starts).tolist(), (base + ends - 1 + length).tolist(), strict=True)
+            digests = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in bounds), np.uint64, len(starts))
+            yield np.stack((hashes[anchors[starts]].view(np.int64), digests.view(np.int64), base + starts, ends - starts), axis=1)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,21 +100,18 @@ def _find_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, gram)
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for k1, k2, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for row in anchors.runs(text):
-                    for column, x in zip(out, (row[0], row[1], k1, k2, row[2], row[3]), strict=True):
-                        column.append(x)
-                if len(out[0]) > 200_000:
-                    yield _long_batch(out, names)
-                    out = [[] for _ in names]
-            if out[0]:
-                yield _long_batch(out, names)
+            for part in pieces(batch.columns):
+                found = [
+                    np.concatenate((rows[:, :2], np.full((len(rows), 2), (k1, k2)), rows[:, 2:]), axis=1)
+                    for k1, k2, text in zip(*part, strict=True) for rows in anchors.runs(text)
+                ]
+                if found:
+                    yield _long_batch(list(np.ascontiguousarray(np.concatenate(found).T)), names)
 
     return texts.select("k1", "k2", F.col("text").cast("binary")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _long_batch(columns: list[list], names: list[str]) -> pa.RecordBatch:
+def _long_batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
@@ -132,10 +125,10 @@ def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "kinds", "single", "k1", "k2", "start", "string"]
         for batch in batches:
-            for k1, k2, text, runs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for part in pieces(batch.columns, 64):
                 rows = [
                     (r["anchor"], r["kinds"], r["single"], k1, k2, r["start"], text[r["start"] : r["start"] + r["n"] - 1 + length])
-                    for r in runs
+                    for k1, k2, text, runs in zip(*part, strict=True) for r in runs
                 ]
                 kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -172,11 +165,12 @@ def _compare_groups(strings: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             out = []
-            for at, *row in zip(batch.column(0).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
-                if at != anchor:
-                    out += close()
-                    anchor, group = at, []
-                group.append(row)
+            for part in pieces([batch.column(c) for c in ("anchor", *columns)]):
+                for at, *row in zip(*part, strict=True):
+                    if at != anchor:
+                        out += close()
+                        anchor, group = at, []
+                    group.append(row)
             yield _long_batch(list(zip(*out, strict=True)) or [[]] * 4, ["k1", "k2", "a", "b"])
         yield _long_batch(list(zip(*close(), strict=True)) or [[]] * 4, ["k1", "k2", "a", "b"])
 
@@ -190,7 +184,7 @@ def _compare_windows(strings: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["w1", "w2", "k1", "k2", "at", "single"]
         for batch in batches:
-            for k1, k2, start, string, single in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for k1, k2, start, string, single in (r for part in pieces(batch.columns) for r in zip(*part, strict=True)):
                 digests = np.frombuffer(b"".join(_windows(string, length)), np.int64).reshape(-1, 2)
                 n = len(digests)
                 columns = [digests[:, 0], digests[:, 1], np.full(n, k1), np.full(n, k2), start + np.arange(n), np.full(n, single)]
@@ -210,18 +204,19 @@ def _cut(texts: DataFrame, covered: DataFrame, keep_text: bool) -> DataFrame:
     joined = texts.where("copies = 1").join(lists.hint("shuffle_hash"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        names = ["k1", "k2", "removed", "spans", "sha", "left"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for part in (part for batch in batches for part in pieces(batch.columns)):
             rows = []
-            for k1, k2, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for k1, k2, text, spans in zip(*part, strict=True):
                 cuts = merge((s["a"], s["b"]) for s in spans)
                 edges = [0, *(x for cut in cuts for x in cut), len(text)]
-                parts = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                kept = b"".join(parts)
-                whole = "".join(p.decode("utf-8", "ignore") for p in parts) if keep_text else None
+                left = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept = b"".join(left)
+                whole = "".join(p.decode("utf-8", "ignore") for p in left) if keep_text else None
                 rows.append((k1, k2, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), whole))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in columns], names=["k1", "k2", "removed", "spans", "sha", "left"])
+            columns = zip(zip(*rows, strict=True), kinds, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
     return joined.select("k1", "k2", F.col("text").cast("binary"), "spans").mapInArrow(
         run, "k1 long, k2 long, removed long, spans long, sha string, left string"
@@ -254,12 +249,13 @@ def remove_repeats(
     )
     texts = spark.table(name)
     runs = landed(_find_runs(texts, length, gram))
-    shared = runs.groupBy("anchor").count().where(F.col("count") > 1)
+    # small tables are written before they are joined: over plain shuffles AQE can split a hot anchor
+    shared = landed(runs.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"))
     runs = landed(runs.join(shared, "anchor", "left_semi"))
     different = landed(
         runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
     )
-    several = (
+    several = landed(
         different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"))
         .where((F.col("kinds") > 1) & (F.col("least") == 1)).select("anchor", "kinds")
     )

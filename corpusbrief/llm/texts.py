@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +40,12 @@ def struct_of(rows: list[tuple], fields: dict[str, str]) -> pa.StructArray:
     return pa.StructArray.from_arrays(arrays, names=list(fields))
 
 
+def pieces(columns: list[pa.Array], rows: int = 256) -> Iterator[list[list]]:
+    """Python values of an Arrow batch's columns, few rows at a time: a batch of long texts is held once, as Arrow."""
+    for start in range(0, len(columns[0]), rows):
+        yield [c.slice(start, rows).to_pylist() for c in columns]
+
+
 def with_text_columns(
     df: DataFrame, text: str | Column, fields: dict[str, str], each: Callable[[bytes | None], tuple]
 ) -> DataFrame:
@@ -51,7 +57,8 @@ def with_text_columns(
     ship_package(df.sparkSession)
 
     def run(texts: pa.Array) -> pa.Array:
-        return struct_of([each(t) for t in texts.to_pylist()], fields)
+        made = [struct_of([each(t) for t in part], fields) for (part,) in pieces([texts])]
+        return pa.concat_arrays(made) if made else struct_of([], fields)
 
     kept = [c for c in df.columns if c not in fields]
     udf = F.arrow_udf(run, "struct<" + ",".join(f"{n}:{k}" for n, k in fields.items()) + ">").asNondeterministic()
