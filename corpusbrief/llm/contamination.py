@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import quoted, struct_of, terms
+from .texts import pieces, quoted, struct_of, terms
 
 WINDOW = 10
 BLOCK = 2
 #: Bytes of item texts whose tables go to every task at once; larger benchmarks are searched in several passes.
 MAX_PATTERN_BYTES = 32 << 20
+COLUMNS = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items"]
 FIELDS = {"n_words": "long", "n_hit": "long", "hits": "array<int>", "items": "array<string>"}
 
 
@@ -120,8 +121,11 @@ def _batches(items: DataFrame, item: str, text: str, limit: int) -> Iterator[tup
 def _search(docs: DataFrame, text: str, batch: tuple[tuple[str, bytes], ...], window: int) -> DataFrame:
     def run(texts: pa.Array, hits: pa.Array, items: pa.Array) -> pa.Array:
         matchers = _matchers(batch, window)
-        before = zip(texts.to_pylist(), hits.to_pylist(), items.to_pylist(), strict=True)
-        return struct_of([find(matchers, t, h or [], i or []) for t, h, i in before], FIELDS)
+        made = [
+            struct_of([find(matchers, t, h or [], i or []) for t, h, i in zip(*part, strict=True)], FIELDS)
+            for part in pieces([texts, hits, items])
+        ]
+        return pa.concat_arrays(made) if made else struct_of([], FIELDS)
 
     kinds = "struct<" + ",".join(f"{n}:{k}" for n, k in FIELDS.items()) + ">"
     udf = F.arrow_udf(run, kinds).asNondeterministic()
@@ -143,8 +147,7 @@ def find_contamination(
     replaced, others stay; empty tables are fine on both sides.
     """
     ship_package(docs.sparkSession)
-    made = [*FIELDS, "n_items", "items_sha256", "contaminated"]
-    result = docs.select(*[quoted(c) for c in docs.columns if c not in made]).withColumns({
+    result = docs.select(*[quoted(c) for c in docs.columns if c not in COLUMNS]).withColumns({
         "hits": F.lit(None).cast("array<int>"), "items": F.lit(None).cast("array<string>"),
     })
     waiting: tuple[tuple[str, bytes], ...] = ()

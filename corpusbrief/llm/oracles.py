@@ -6,6 +6,31 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = "translate(coalesce({}, ''), '" + _UPPER + "', '" + _UPPER.lower() + "')"
 _TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+REPEATS = """
+WITH bytes AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS (
+  SELECT r, i, md5_number(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS k FROM bytes, unnest(range(0, length(h) // 2 - 399)) AS t(i)
+), repeated AS (
+  SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+), starts AS (
+  SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 400 AS fresh FROM windows WHERE k IN (SELECT k FROM repeated)
+), grouped AS (
+  SELECT r, i, count(*) FILTER (fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS span FROM starts
+), spans AS (
+  SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM grouped GROUP BY r, span
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans
+), cut AS (
+  SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last,
+    string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept
+  FROM gaps JOIN bytes USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (r)
+"""
+
 MIXING = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
@@ -103,4 +128,4 @@ FROM found LEFT JOIN placed USING (r) LEFT JOIN owners USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": MIXING, "op4_warc": WARC, "op6_url_filter": URLS, "op9_contamination": CONTAMINATION}
+    return {"op2_suffix_dedup": REPEATS, "op3_mixing": MIXING, "op4_warc": WARC, "op6_url_filter": URLS, "op9_contamination": CONTAMINATION}

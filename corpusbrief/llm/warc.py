@@ -92,8 +92,8 @@ def write_warc(
     ).withColumn("digest", F.unhex(F.sha1("html"))).withColumn("many", F.length("html") >= revisit_from_bytes))
     small = rows.select("row", "page", "digest", "many")
     first = F.min(F.struct(F.col("page").isNull().alias("none"), "page", "row"))
-    # payloads with copies only: most have none and stay out of the join
-    leaders = (
+    # payloads with copies only: most have none and stay out of the join; written, so that AQE can split a hot one
+    leaders = landed(
         small.where("many").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > 1).select("digest", F.col("first.row").alias("leader"))
     )
@@ -194,8 +194,8 @@ def captures(records: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("record_id", *columns)).alias(kind))
     )
     joined = main.join(side("request", "target_uri"), "record_id", "left").join(side("metadata", "page_id"), "record_id", "left")
-    # responses that a revisit names; a popular one is the other side of a join that AQE can split
-    origin = (
+    # responses that a revisit names; written, so that AQE can split the revisits of a popular one
+    origin = landed(
         records.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_to_record"), "payload_bytes")
         .join(side("metadata", "page_id").select(F.col("record_id").alias("refers_to_record"), F.col("metadata.page_id").alias("page_id")), "refers_to_record", "left")
         .select("refers_to_record", F.struct("page_id", "payload_bytes").alias("origin"))
