@@ -81,3 +81,9 @@ def landed(df: DataFrame, path: str | None = None) -> DataFrame:
     target = path or shared_path(df.sparkSession, "landed")
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more, on any file system that Spark reaches."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
