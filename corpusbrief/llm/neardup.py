@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
@@ -225,9 +226,25 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest key (nulls last; of repeated rows any one)."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    linked = landed(link_documents(numbered, key, text, keep_text=True))
-    first = F.min(F.struct(F.col(quoted(key)).isNull().alias("none"), F.col(quoted(key)).alias("k"), F.col("__row").alias("r")))
-    chosen = linked.groupBy("component_root").agg(first.alias("first")).select(F.col("first.r").alias("__chosen"))
-    return linked.join(chosen, F.col("__row") == F.col("__chosen"), "left_semi").select(*[quoted(c) for c in docs.columns])
+    """One row of each component, that with the smallest key (nulls last; of repeated rows any one).
+
+    Only keys and hashes take part in the choice; the documents themselves move once, when they meet the chosen
+    keys. Rows with one key are told apart by two hashes of their texts.
+    """
+    source = F.col(quoted(text))
+    hashes = {f"__h{i}": F.xxhash64(F.lit(i), source) for i in (1, 2)}
+    chosen_by = [F.col(quoted(key)).isNull().alias("none"), F.col(quoted(key)).alias("k"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2")]
+    linked = link_documents(docs.select(quoted(key), quoted(text)).withColumns(hashes), key, text)
+    # rows of one key and text are one candidate; their number tells whether any are repeated
+    rows = linked.groupBy("component_root", F.struct(*chosen_by).alias("row")).agg(F.count(F.lit(1)).alias("copies"))
+    first = landed(rows.groupBy("component_root").agg(F.min_by("copies", "row").alias("copies"), F.min("row").alias("row")))
+    chosen = first.select(*[F.col("row")[n].alias(f"__{n}") for n in ("none", "k", "h1", "h2")])
+    same = (
+        (F.col("__own1") == F.col("__h1")) & (F.col("__own2") == F.col("__h2")) & F.col(quoted(key)).eqNullSafe(F.col("__k"))
+    )
+    marked = docs.withColumns({"__own1": hashes["__h1"], "__own2": hashes["__h2"]})
+    kept = marked.join(chosen, same, "left_semi")
+    if first.where(F.col("copies") > 1).limit(1).count():
+        alike = W.partitionBy(quoted(key), "__own1", "__own2").orderBy("__own1")
+        kept = kept.withColumn("__place", F.row_number().over(alike)).where(F.col("__place") == 1)
+    return kept.select(*[quoted(c) for c in docs.columns])
