@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import landed, shared_path, ship_package
+from ..session import discard, landed, shared_path, ship_package
 from .contamination import merge
 from .texts import pieces, quoted
 
@@ -178,7 +178,7 @@ def _compare_groups(strings: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "k1 long, k2 long, a long, b long")
 
 
-def _compare_windows(strings: DataFrame, length: int) -> DataFrame:
+def _compare_windows(strings: DataFrame, length: int, path: str) -> DataFrame:
     """The same for anchors with many different strings: every window is a row, and equal ones are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _compare_windows(strings: DataFrame, length: int) -> DataFrame:
 
     rows = landed(strings.select("k1", "k2", "start", "string", "single").mapInArrow(
         run, "w1 long, w2 long, k1 long, k2 long, at long, single boolean"
-    ))
+    ), path)
     again = rows.groupBy("w1", "w2").count().where(F.col("count") > 1)
     found = rows.where("single").join(again, ["w1", "w2"], "left_semi")
     return found.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
@@ -240,32 +240,36 @@ def remove_repeats(
     others = [c for c in docs.columns if c not in COLUMNS and (keep_text or c != text)]
     source = F.coalesce(F.col(quoted(text)), F.lit(""))
     keys = {"k1": F.xxhash64(source), "k2": F.xxhash64(F.lit(1), source)}
-    name = "texts_" + hashlib.sha256(shared_path(spark, "texts").encode()).hexdigest()[:24]
+    # the tables of the passes go into one folder, which is deleted when their result is written
+    work = shared_path(spark, "repeats")
+    name = "texts_" + hashlib.sha256(work.encode()).hexdigest()[:24]
     long = docs.select(source.alias("text"), *[c.alias(n) for n, c in keys.items()]).where(F.octet_length("text") >= length)
     (
         long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
         .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").sortBy("k1", "k2")
-        .option("path", shared_path(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(name)
+        .option("path", f"{work}/texts").option("compression", "zstd").format("parquet").saveAsTable(name)
     )
     texts = spark.table(name)
-    runs = landed(_find_runs(texts, length, gram))
+    runs = landed(_find_runs(texts, length, gram), f"{work}/runs")
     # small tables are written before they are joined: over plain shuffles AQE can split a hot anchor
-    shared = landed(runs.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"))
-    runs = landed(runs.join(shared, "anchor", "left_semi"))
+    shared = landed(runs.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), f"{work}/shared")
+    runs = landed(runs.join(shared, "anchor", "left_semi"), f"{work}/shared_runs")
+    discard(spark, f"{work}/runs")
     different = landed(
-        runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
+        runs.groupBy("anchor", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "start", "n")).alias("one")),
+        f"{work}/different",
     )
     several = landed(
         different.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"))
-        .where((F.col("kinds") > 1) & (F.col("least") == 1)).select("anchor", "kinds")
+        .where((F.col("kinds") > 1) & (F.col("least") == 1)).select("anchor", "kinds"), f"{work}/several"
     )
     wanted = different.join(several, "anchor").select("anchor", "kinds", (F.col("times") == 1).alias("single"), "one.*")
-    strings = landed(_strings(texts, wanted, length))
+    strings = landed(_strings(texts, wanted, length), f"{work}/strings")
     whole = runs.join(different.where("times > 1"), ["anchor", "run"], "left_semi").select(
         "k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("n") - 1 + length).alias("b")
     )
     covered = whole.unionByName(_compare_groups(strings.where(F.col("kinds") <= group), length)).unionByName(
-        _compare_windows(strings.where(F.col("kinds") > group), length)
+        _compare_windows(strings.where(F.col("kinds") > group), length, f"{work}/windows")
     )
     changed = _cut(texts, covered, keep_text)
     gone = texts.where("copies > 1").select(
@@ -273,7 +277,8 @@ def remove_repeats(
         F.sha2(F.lit("").cast("binary"), 256).alias("sha"), F.lit("").alias("left"),
     )
     found = landed(changed.unionByName(gone).withColumnsRenamed({c: f"__{c}" for c in changed.columns}))
-    spark.sql(f"DROP TABLE {name}")  # the files stay in the shared folder, whose owner clears it
+    spark.sql(f"DROP TABLE {name}")
+    discard(spark, work)
     marked = docs.select(
         *[quoted(c) for c in others], source.alias("__text"), F.octet_length(source).cast("long").alias("__bytes"),
         F.sha2(source.cast("binary"), 256).alias("__own"), *[c.alias(f"__d{n}") for n, c in keys.items()],
