@@ -193,7 +193,7 @@ def _compare_windows(strings: DataFrame, length: int, path: str) -> DataFrame:
     rows = landed(strings.select("k1", "k2", "start", "string", "single").mapInArrow(
         run, "w1 long, w2 long, k1 long, k2 long, at long, single boolean"
     ), path)
-    again = rows.groupBy("w1", "w2").count().where(F.col("count") > 1)
+    again = landed(rows.groupBy("w1", "w2").count().where(F.col("count") > 1).select("w1", "w2"), f"{path}_again")
     found = rows.where("single").join(again, ["w1", "w2"], "left_semi")
     return found.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
 
