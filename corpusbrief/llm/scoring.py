@@ -18,10 +18,12 @@ from .texts import LOWER, pieces, quoted, struct_of, words
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
 MARK = 0xFF
-DEPTH = 4
-#: Contexts of a depth that hold at least this share of the training bytes get a node; so each depth has at
-#: most 1 / share of them. Bytes in rarer contexts belong to the "rest" child of their longest kept context.
-CONTEXT_SHARE = 1 / 16384
+DEPTH = 5
+#: Contexts seen this often in training get a node, however large the training table is. Bytes in rarer contexts
+#: belong to the "rest" child of their longest kept context.
+SEEN = 2
+#: Probabilities of so many of the documents' most frequent grams at most go to every task. The others are joined.
+COMMON_GRAMS = 1 << 21
 #: Words with at least this share of the training tokens; so at most 1 / share of them go to every task.
 WORD_SHARE = 1 / 200_000
 _CHUNK = 1 << 21
@@ -224,9 +226,9 @@ def weigh(contexts: list[list[int]], leaves: Iterable[tuple[int, int, int, int]]
     return ContextTree(child, logs[:, 256:].astype(np.float32), depth)
 
 
-def fit_context_tree(train: DataFrame, text: str = "text", depth: int = DEPTH, share: float = CONTEXT_SHARE) -> ContextTree:
-    """Count all training bytes with Spark; the kept contexts' counts, at most depth / share contexts with 256
-    bytes each, are weighted on the driver."""
+def fit_context_tree(train: DataFrame, text: str = "text", depth: int = DEPTH, share: float = 0.0) -> ContextTree:
+    """The model of small training tables: bytes are counted with Spark, and the contexts with at least ``share`` of
+    them are weighted on the driver. ``gram_probabilities`` has no such bound."""
     ship_package(train.sparkSession)
     grams = landed(count_grams(train, text, depth))
     total = grams.agg(F.sum("n")).first()[0] or 0
@@ -251,11 +253,199 @@ def fit_context_tree(train: DataFrame, text: str = "text", depth: int = DEPTH, s
     return weigh(kept, rows, depth)
 
 
+# --- the tree as a table -------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Top:
+    """What the depths 0 and 1 give to the deeper ones: by byte before (256) and binary node (256), the estimate
+    mixed so far, the share left to deeper contexts, and the estimate where no longer context is kept."""
+
+    one: np.ndarray
+    left: np.ndarray
+    last: np.ndarray
+
+
+def _weigh_top(full: np.ndarray, rest: np.ndarray, deeper: np.ndarray, seen: int) -> Top:
+    """From byte counts of the contexts of depth 1, those of them in rare contexts of depth 2, and the sums of the
+    kept ones' log weighted probabilities."""
+    half = np.log(2)
+    kept = full.sum(axis=1) >= seen
+    tree, rest_tree = _branches(full), _branches(rest)
+    stop = _evidence(tree) - half
+    weighted = np.logaddexp(stop, _evidence(rest_tree) + deeper - half)
+    stay = np.exp(stop - weighted)
+    root, root_rest = _branches(full.sum(axis=0, keepdims=True)), _branches(full[~kept].sum(axis=0, keepdims=True))
+    root_stop = _evidence(root) - half
+    root_stay = np.exp(root_stop - np.logaddexp(root_stop, _evidence(root_rest) + weighted[kept].sum(axis=0) - half))
+    one, left = root_stay * _one(root), 1 - root_stay
+    root_last = one + left * _one(root_rest)
+    one, left = one + left * stay * _one(tree), left * (1 - stay)
+    return Top(one, left, np.where(kept[:, None], one + left * _one(rest_tree), root_last))
+
+
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+
+
+class Subtrees:
+    """Weights all contexts of depth 2 and more below whole contexts of depth 2. The grams come with their number in
+    training, which may be 0; each gram appears once."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, seen: int) -> None:
+        self.depth = depth
+        key = np.zeros_like(grams)
+        for i in range(1, depth + 1):  # the most recent byte first, so that a context's longer ones are neighbours
+            key = (key << 8) | (grams >> 8 * i & 0xFF)
+        key = (key << 8) | (grams & 0xFF)
+        self.order = np.argsort(key)
+        self.keys, self.n = {depth: key[self.order]}, {depth: n[self.order].astype(np.float64)}
+        self.up: dict[int, np.ndarray] = {}
+        for d in range(depth - 1, 1, -1):
+            longer = self.keys[d + 1]
+            self.keys[d], self.up[d + 1] = np.unique((longer >> 16 << 8) | (longer & 0xFF), return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], self.n[d + 1], len(self.keys[d]))
+        self.kept, self.rest = {}, {}
+        for d in range(2, depth + 1):
+            starts = _starts(self.keys[d] >> 8)
+            sizes = np.diff(np.append(starts, len(self.keys[d])))
+            self.kept[d] = np.repeat(np.add.reduceat(self.n[d], starts) >= seen, sizes)
+        for d in range(2, depth):
+            rare = np.where(self.kept[d + 1], 0, self.n[d + 1])
+            self.rest[d] = np.bincount(self.up[d + 1], rare, len(self.keys[d]))
+
+    def _level(self, level: int) -> dict[int, tuple[np.ndarray, ...]]:
+        """For each depth: first rows of the binary nodes of a level, each row's node, log weighted probability,
+        the share that stays, and the two estimates."""
+        out, half = {}, np.log(2)
+        for d in range(self.depth, 1, -1):
+            keys = self.keys[d]
+            starts = _starts(keys >> 8 - level)
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+            bit = keys >> 7 - level & 1
+            count = lambda n: (np.add.reduceat(n * (1 - bit), starts), np.add.reduceat(n * bit, starts))
+            zeros, ones = count(self.n[d])
+            own, own_one = _kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+            if d == self.depth:
+                out[d] = starts, of, own, np.ones_like(own), own_one, own_one
+                continue
+            below, weighted = out[d + 1][0], out[d + 1][2]
+            zeros, ones = count(self.rest[d])
+            deeper = np.bincount(of[self.up[d + 1][below]], np.where(self.kept[d + 1][below], weighted, 0), len(starts))
+            weighted = np.logaddexp(own - half, _kt(zeros, ones) + deeper - half)
+            out[d] = starts, of, weighted, np.exp(own - half - weighted), own_one, (ones + 0.5) / (zeros + ones + 1)
+        return out
+
+    def roots(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(kind, context of depth 1, byte or binary node, number, log probability): all bytes (0), those in rare
+        contexts of depth 2 (1), and the kept ones' weighted nodes (2)."""
+        keys, n, kept = self.keys[2], self.n[2], self.kept[2]
+        for kind, rows in ((0, n > 0), (1, (n > 0) & ~kept)):
+            yield kind, keys[rows] >> 16, keys[rows] & 0xFF, n[rows], np.zeros(rows.sum())
+        for level in range(8):
+            starts, _, weighted, *_ = self._level(level)[2]
+            rows = kept[starts]
+            at = keys[starts[rows]]
+            yield 2, at >> 16, (at & 0xFF | 0x100) >> 8 - level, np.zeros(len(at)), weighted[rows]
+
+    def log10(self, top: Top) -> np.ndarray:
+        """What the whole tree gives each gram's byte after its context, in the order in which the grams came."""
+        keys = self.keys[self.depth]
+        rows = {self.depth: np.arange(len(keys))}
+        for d in range(self.depth, 2, -1):
+            rows[d - 1] = self.up[d][rows[d]]
+        before, total = keys >> 8 * self.depth, np.zeros(len(keys))
+        for level in range(8):
+            nodes = self._level(level)
+            p = top.last[before, (keys & 0xFF | 0x100) >> 8 - level]
+            for d in range(2, self.depth + 1):
+                starts, of, _, stay, own_one, rest_one = nodes[d]
+                if d == 2:
+                    at = self.keys[2][starts]
+                    at = at >> 16, (at & 0xFF | 0x100) >> 8 - level
+                    one, left = top.one[at], top.left[at]
+                else:
+                    at = nodes[d - 1][1][self.up[d][starts]]
+                    one, left = one[at], left[at]
+                one, left = one + left * stay * own_one, left * (1 - stay)
+                p = np.where(self.kept[d][rows[d]], (one + left * rest_one)[of[rows[d]]], p)
+            p = np.clip(p, 1e-300, 1 - 1e-16)
+            total += np.log10(np.where(keys >> 7 - level & 1, p, 1 - p))
+        out = np.empty_like(total)
+        out[self.order] = total
+        return out
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by the first one, none of whose values is parted; many small values together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
+    for batch in batches:
+        columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if waiting > _FLUSH // 8 and len(columns[0]):
+            joined = tuple(np.concatenate(c) for c in zip(*held, columns, strict=True))
+            end = int(np.searchsorted(joined[0], joined[0][-1]))
+            if end:
+                yield tuple(c[:end] for c in joined)
+            held = [tuple(c[end:] for c in joined)]
+            waiting = len(joined[0]) - end
+        elif len(columns[0]):
+            held.append(columns)
+            waiting += len(columns[0])
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
+def gram_probabilities(docs: DataFrame, train: DataFrame, text: str = "text", depth: int = DEPTH, seen: int = SEEN) -> DataFrame:
+    """(gram, m, log10) for every gram of the documents and the training texts: how often the documents hold it, and
+    what the tree of all contexts seen ``seen`` times in training gives its last byte.
+
+    Grams are dealt by their last two context bytes, so all longer contexts are weighted beside their shorter ones;
+    the two depths above, 257 contexts, are weighted on the driver.
+    """
+    spark = train.sparkSession
+    ship_package(spark)
+    none = F.lit(0).cast("long")
+    both = count_grams(train, text, depth).withColumn("m", none).unionByName(
+        count_grams(docs, text, depth).select("gram", none.alias("n"), F.col("n").alias("m"))
+    )
+    recent = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
+    grams = landed(both.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).select(recent.alias("s"), "gram", "n", "m"))
+    dealt = grams.repartition("s").sortWithinPartitions("s")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, codes, n, _ in _whole_groups(batches):
+            for kind, context, x, number, log in Subtrees(codes, n, depth, seen).roots():
+                arrays = [pa.array(np.full(len(x), kind)), pa.array(context), pa.array(x), pa.array(number.astype(np.int64)), pa.array(log)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "c", "x", "n", "log"])
+
+    # sums of decimals don't depend on the order; at most 3 * 65,536 rows
+    sums = (
+        dealt.mapInArrow(roots, "kind long, c long, x long, n long, log double").groupBy("kind", "c", "x")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("log").cast("decimal(28,10)")).cast("double").alias("log")).toArrow()
+    )
+    kind, c, x, n, log = (sums[k].to_numpy() for k in ("kind", "c", "x", "n", "log"))
+    made = np.zeros((3, 256, 256))
+    made[kind, c, x] = np.where(kind == 2, log, n)
+    top = spark.sparkContext.broadcast(_weigh_top(*made, seen))
+
+    def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, codes, n, m in _whole_groups(batches):
+            log10 = Subtrees(codes, n, depth, seen).log10(top.value)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(m), pa.array(log10)], names=["gram", "m", "log10"])
+
+    return landed(dealt.mapInArrow(probabilities, "gram long, m long, log10 double"))
+
+
 # --- scoring -------------------------------------------------------------------------------------------------
 
 _FIELDS = {
     "n_tokens": "long", "n_known": "long", "base": "double", "score": "double", "n_bytes": "long",
-    "rare": "array<binary>", "rare_n": "array<long>",
+    "rare": "array<binary>", "rare_n": "array<long>", "grams": "array<long>", "grams_n": "array<long>",
 }
 COLUMNS = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
@@ -264,15 +454,25 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
     """Replace the text by n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     ``score`` is the log10 probability that the context tree gives the lower-cased bytes and the end of the text,
-    bits_per_byte the code length over bytes and end. Frequent words' counts go to every task, at most
-    1 / WORD_SHARE of them; rarer words meet their counts in a join, in which no key has more than the training
-    tokens' WORD_SHARE. Null and empty texts have the end token only. Without training rows all tokens are
+    bits_per_byte the code length over bytes and end. Frequent words' counts and frequent grams' probabilities go to
+    every task, at most 1 / WORD_SHARE and COMMON_GRAMS of them; rarer ones meet theirs in a join, in which no word has
+    more than the training tokens' WORD_SHARE and no gram more than 2 / COMMON_GRAMS of the documents' bytes. Null and empty texts have the end token only. Without training rows all tokens are
     unknown and each byte gets 1/256. Repeated rows get the same answer; columns with the new names are replaced,
     all others but the text stay; an empty table stays empty.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    tree = spark.sparkContext.broadcast(fit_context_tree(train, text))
+    grams = gram_probabilities(docs, train, text)
+    digits = F.length(F.bin("m"))
+    least, taken = 64, 0
+    for row in sorted(grams.where("m > 0").groupBy(digits.alias("digits")).count().collect(), reverse=True):
+        if (taken := taken + row["count"]) > COMMON_GRAMS:
+            break
+        least = row["digits"]
+    is_common = (F.col("m") > 0) & (digits >= least)
+    common = grams.where(is_common).select("gram", "log10").toArrow()
+    order = np.argsort(codes := common["gram"].to_numpy())
+    model = spark.sparkContext.broadcast((codes[order], common["log10"].to_numpy()[order]))
     counts = landed(count_words(train, text))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     is_frequent = F.col("n") >= F.lit(max(1, tokens * WORD_SHARE))
@@ -290,7 +490,16 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
             else:
                 rare.append(word)
                 rare_n.append(n)
-        return sum(found.values()), known, logs, tree.value.score(text), len(text), rare, rare_n
+        score, grams, grams_n = 0.0, [], []
+        codes, log10 = model.value
+        for part in _grams([text], DEPTH):
+            part, n = np.unique(part, return_counts=True)
+            at = np.minimum(np.searchsorted(codes, part), max(0, len(codes) - 1))
+            here = codes[at] == part if len(codes) else np.zeros(len(part), bool)
+            score += float((log10[at[here]] * n[here]).sum())
+            grams += part[~here].tolist()
+            grams_n += n[~here].tolist()
+        return sum(found.values()), known, logs, score, len(text), rare, rare_n, grams, grams_n
 
     def run(texts: pa.Array) -> pa.Array:
         made = [struct_of([each(t) for t in part], _FIELDS) for (part,) in pieces([texts])]
@@ -309,11 +518,17 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
         .select("__row", "t.word", "t.k").join(counts.where(~is_frequent), "word")
         .groupBy("__row").agg(F.sum("k").alias("__k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("__l"))
     )
+    looked_up = (
+        scored.select("__row", F.explode(F.arrays_zip(F.col("__s.grams").alias("gram"), F.col("__s.grams_n").alias("k"))).alias("t"))
+        .select("__row", "t.gram", "t.k").join(grams.where(~is_common).select("gram", "log10"), "gram")
+        .groupBy("__row").agg(F.sum(F.col("k") * F.col("log10")).alias("__g"))
+    )
     share = math.log10(tokens + distinct + 1)
     s = lambda name: F.col("__s")[name]
-    return scored.join(met, "__row", "left").select(
+    score = s("score") + F.coalesce("__g", F.lit(0.0))
+    return scored.join(met, "__row", "left").join(looked_up, "__row", "left").select(
         *[quoted(c) for c in others], s("n_tokens").alias("n_tokens"),
         (s("n_known") + F.coalesce("__k", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (s("base") + F.coalesce("__l", F.lit(0.0)) - s("n_tokens") * F.lit(share)).alias("base_score"),
-        s("score").alias("score"), (-s("score") / F.log10(F.lit(2.0)) / (s("n_bytes") + 1)).alias("bits_per_byte"),
+        score.alias("score"), (-score / F.log10(F.lit(2.0)) / (s("n_bytes") + 1)).alias("bits_per_byte"),
     )

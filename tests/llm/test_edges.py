@@ -202,6 +202,43 @@ def test_rare_contexts_and_words_are_pooled(spark, docs, monkeypatch):
     assert np.allclose((10 ** pooled.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_all_contexts_seen_twice_are_weighted(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abé \n") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "zebra", None])], "doc_id long, text string")
+    counts = {}
+    for codes in scoring._grams([t.encode() for t in texts], scoring.DEPTH):
+        for c in codes.tolist():
+            counts[c] = counts.get(c, 0) + 1
+    contexts, leaves, kept = [[0]], [], [{0}]
+    for d in range(1, scoring.DEPTH + 1):
+        totals = {}
+        for c, n in counts.items():
+            totals[c >> 8 & (1 << 8 * d) - 1] = totals.get(c >> 8 & (1 << 8 * d) - 1, 0) + n
+        kept.append({c for c, n in totals.items() if n >= scoring.SEEN})
+        contexts.append(sorted(kept[-1]))
+    for c, n in counts.items():
+        d = max(d for d in range(scoring.DEPTH + 1) if c >> 8 & (1 << 8 * d) - 1 in kept[d])
+        leaves.append((d, c >> 8 & (1 << 8 * d) - 1, c & 0xFF, n))
+    tree = scoring.weigh(contexts, leaves, scoring.DEPTH)
+    expected = {r.doc_id: tree.score((r.text or "").encode()) for r in docs.collect()}
+    for common in (scoring.COMMON_GRAMS, 20):  # most grams are joined
+        monkeypatch.setattr(scoring, "COMMON_GRAMS", common)
+        got = scoring.score_texts(docs, docs.where("doc_id < 60").select("text")).collect()
+        assert len(got) == 62 and all(math.isclose(r.score, expected[r.doc_id], rel_tol=1e-5) for r in got)
+
+
+def test_contexts_grow_with_the_training_texts(spark):
+    # each context holds less than 1 / 16,384 of the bytes, and is seen often enough to be learned
+    words = [f"{i:05d}" for i in range(0, 100_000, 5)]
+    train = spark.createDataFrame([(" ".join(words) + " ",) for _ in range(4)], "text string")
+    docs = spark.createDataFrame([(0, "00005 43210 99995 ")], "doc_id long, text string")
+    grams = {r.gram: r.log10 for r in scoring.gram_probabilities(docs, train).collect()}
+    for word in ("43210", "99995"):
+        code = int.from_bytes(f"{word} ".encode(), "big")
+        assert grams[code] > math.log10(0.7)
+
+
 def test_cascade_is_exact(spark):
     keys = [(f"k{i}", i % 37 == 0) for i in range(20_000)]
     table = spark.createDataFrame(keys, "key string, listed boolean")
