@@ -127,5 +127,67 @@ FROM found LEFT JOIN placed USING (r) LEFT JOIN owners USING (r)
 """
 
 
+def _framed(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+_ROW = " || ".join(_framed(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+_TAMPERED = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+
+#: Each byte is followed by eight shifts of the remainder.
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(
+  list_filter(string_split(coalesce(CAST({} AS VARCHAR), ''), ''), lambda c: c <> ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+#: Levels are grouped by 16 until one node is left; proofs walk up from each row, first to its source's node, then to the root.
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS tree, sha256({_ROW} || {_framed('text')}) AS leaf,
+    sha256({_ROW} || {_framed(_TAMPERED)}) AS altered, {_CRC32.format('doc_id')} AS crc FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), levels(tree, level, i, node, n) AS (
+  SELECT tree, 0, i, leaf, n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, i // 16, sha256(string_agg(node, '' ORDER BY i)), max((n + 15) // 16) FROM levels WHERE n > 1 GROUP BY tree, level, i // 16
+), tops AS (
+  SELECT tree, node AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, count(*) OVER () AS n FROM levels WHERE n = 1
+), upper(level, i, node, n) AS (
+  SELECT 0, i, subroot, n FROM tops
+  UNION ALL
+  SELECT level + 1, i // 16, sha256(string_agg(node, '' ORDER BY i)), max((n + 15) // 16) FROM upper WHERE n > 1 GROUP BY level, i // 16
+), final AS (
+  SELECT node AS root FROM upper WHERE n = 1
+), nodes AS (
+  SELECT tree, level, i, node, n FROM levels UNION ALL SELECT '', level, i, node, n FROM upper
+), runs AS (
+  SELECT tree, level, i // 16 AS run, list(node ORDER BY i) AS members FROM nodes WHERE n > 1 GROUP BY tree, level, i // 16
+), walk(r, part, tree, level, i, folded, proof) AS (
+  SELECT r, 0, tree, 0, i, CASE WHEN crc % 5 = 0 THEN altered ELSE leaf END, '' FROM placed
+  UNION ALL
+  SELECT r, 0, walk.tree, walk.level + 1, i // 16,
+    sha256(array_to_string(members[:i % 16], '') || folded || array_to_string(members[i % 16 + 2:], '')),
+    proof || array_to_string(members[:i % 16], '') || array_to_string(members[i % 16 + 2:], '')
+  FROM walk JOIN runs ON walk.tree = runs.tree AND walk.level = runs.level AND i // 16 = run
+), risen AS (
+  SELECT r, tree, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM walk GROUP BY r, tree
+), climb(r, level, i, folded, proof) AS (
+  SELECT r, 0, i, folded, proof FROM risen JOIN tops USING (tree)
+  UNION ALL
+  SELECT r, climb.level + 1, i // 16,
+    sha256(array_to_string(members[:i % 16], '') || folded || array_to_string(members[i % 16 + 2:], '')),
+    proof || array_to_string(members[:i % 16], '') || array_to_string(members[i % 16 + 2:], '')
+  FROM climb JOIN runs ON runs.tree = '' AND climb.level = runs.level AND i // 16 = run
+), folds AS (
+  SELECT r, arg_max(folded, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM climb GROUP BY r
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN tops USING (tree) JOIN folds USING (r), final
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_dedup": REPEATS, "op3_mixing": MIXING, "op4_warc": WARC, "op6_url_filter": URLS, "op9_contamination": CONTAMINATION}
+    return {
+        "op2_suffix_dedup": REPEATS, "op3_mixing": MIXING, "op4_warc": WARC, "op6_url_filter": URLS, "op9_contamination": CONTAMINATION,
+        "op11_manifest": MANIFEST,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, language, licenses, mixing, neardup, quality, scoring, substrings, urls, warc
+from . import contamination, language, licenses, manifest, mixing, neardup, quality, runs, scoring, substrings, tokens, urls, warc
 from .oracles import oracle_sql  # noqa: F401  registered beside the queries
 from .texts import remainder, table
 
@@ -74,6 +74,19 @@ def language_ids(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", held_out, "lang_pred", "score", "rejected")
 
 
+def row_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verify_documents(table(spark, folder, "documents").select(*manifest.FIELDS))
+
+
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.describe_runs(table(spark, folder, "documents").select("doc_id", "text"), plant_by="doc_id")
+    return found.drop("text", "n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": license_scan,
@@ -86,5 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules,
         "op9_contamination": benchmark_hits,
         "op10_language": language_ids,
+        "op11_manifest": row_manifest,
+        "op12_token_counts": token_counts,
+        "op13_periodic_runs": periodic_runs,
     }
 
