@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, prompts, rules, text
+from . import select
 from .skew import SALT, add_salt
 
 _ORDER = ["_class_rank", "_walk"]
@@ -44,6 +45,11 @@ def assemble(capped: DataFrame, budget: int = rules.TEXT_BUDGET, hot: DataFrame
         F.sum("_total").alias("total_chars"),
         F.sum("_important").alias("important_chars"),
     )
+    return _joined(collected, budget)
+
+
+def _joined(collected: DataFrame, budget: int) -> DataFrame:
+    """Clips in their order as one text, marked where something was left out."""
     joined = F.array_join(F.transform(F.sort_array("_clips"), lambda part: part["clip"]), "")
     truncated = F.col("total_chars") > budget
     mark = F.when(truncated, F.lit(rules.TRUNCATION_MARK)).otherwise(F.lit(""))
@@ -53,6 +59,26 @@ def assemble(capped: DataFrame, budget: int = rules.TEXT_BUDGET, hot: DataFrame
     )
 
 
+def gather(files: DataFrame, places: DataFrame, budget: int = rules.TEXT_BUDGET) -> DataFrame:
+    """The bundles of :func:`assemble`, from the places of :func:`capped_places` and the files they are in.
+
+    Which segments start inside the budget is known before any text moves. Only those are fetched and clipped, so
+    what comes together for a repository is the budget at most, however many files it has.
+    """
+    important = F.when(F.col("file_class") == "important", F.col("chars")).otherwise(F.lit(0))
+    totals = places.groupBy(F.col("repo_id").alias("_of")).agg(
+        F.sum("chars").alias("total_chars"), F.sum(important).cast("long").alias("important_chars")
+    )
+    inside = places.where(F.col("start") < budget).join(totals, F.col("repo_id").eqNullSafe(F.col("_of")))
+    spots = inside.select("repo_id", "path", "start", "total_chars", "important_chars")
+    clip = F.left(text.segment("path", "text"), (F.lit(budget) - F.col("start")).cast("int"))
+    collected = select.texts_at(files, spots).groupBy("repo_id").agg(
+        F.collect_list(F.struct("start", clip.alias("clip"))).alias("_clips"),
+        F.first("total_chars").alias("total_chars"), F.first("important_chars").alias("important_chars"),
+    )
+    return _joined(collected, budget)
+
+
 def _start(keys: list[str]) -> Column:
     """Characters before each segment within its group."""
     running = W.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)

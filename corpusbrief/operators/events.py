@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import messages, rules
@@ -91,6 +91,28 @@ def apply_events(history: DataFrame, folds: DataFrame) -> DataFrame:
     ).select(*history.columns)
 
 
+def apply_states(history: DataFrame, states: DataFrame) -> DataFrame:
+    """History with ``last_seq`` and ``completed_seq`` after merging fold states into it.
+
+    What a job holds is as of its last event and its last COMPLETED one, whose numbers it keeps. A state counts
+    only where its numbers are higher, so a repeated batch changes nothing, nor does the order of batches.
+    """
+    new = states.select(F.col("analysis_id").alias("id"), F.col("last").alias("_last"), F.col("completed").alias("_completed"))
+
+    def newer(event: str, seen: str) -> Column:
+        return F.coalesce(F.col(f"{event}.seq") > F.coalesce(F.col(seen), F.col(f"{event}.seq") - 1), F.lit(False))
+
+    last, completed = newer("_last", "last_seq"), newer("_completed", "completed_seq")
+    changed = {
+        "updated_at": F.when(last, F.col("_last.ts")), "status": F.when(last, F.col("_last.status")),
+        "summary": F.when(completed, F.col("_completed.summary")), "error": F.when(last, F.col("_last.error")),
+        "last_seq": F.when(last, F.col("_last.seq")), "completed_seq": F.when(completed, F.col("_completed.seq")),
+    }
+    return history.join(new, "id", "left").select(
+        *[changed[c].otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in history.columns]
+    )
+
+
 def orphan_events(folds: DataFrame, history: DataFrame) -> DataFrame:
     """Folded updates whose job does not exist."""
     return folds.join(history.select(F.col("id").alias("analysis_id")), "analysis_id", "left_anti")

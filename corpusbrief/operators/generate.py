@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -37,9 +38,15 @@ class ProviderConfig:
 
 
 class Provider(Protocol):
+    """One that has an ``attempt`` attribute is told there which try of its prompts it is, from 0."""
+
     def generate(self, prompt: str) -> str: ...
 
 
+#: Errors of a provider, by the name of their type, that another try may not meet.
+TRANSIENT = ("ConnectionError", "ConnectionResetError", "ConnectionRefusedError", "BrokenPipeError", "TimeoutError")
+
+
 class ExtractiveProvider:
     """Needs no network: the first sentence after each file header, as HTML list items."""
 
@@ -55,7 +62,9 @@ class ExtractiveProvider:
         return f"<p>{len(items)} files, {len(prompt)} characters</p><ul>{''.join(items)}</ul>"
 
 
-def generate(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int | None = None) -> DataFrame:
+def generate(
+    df: DataFrame, provider_factory: Callable[[], Provider], tasks: int | None = None, attempt: int = 0,
+) -> DataFrame:
     """Adds raw ``output`` and ``error`` to a frame with a ``prompt`` column, which is dropped.
 
     One provider per task. A failing row gives an error and never fails the job; a provider that
@@ -73,6 +82,8 @@ def generate(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int
         provider, broken = None, None
         try:
             provider = provider_factory()
+            if hasattr(provider, "attempt"):
+                provider.attempt = attempt
         except Exception as error:  # noqa: BLE001 - reported per row
             broken = (None, "init", str(error))
         for batch in batches:
@@ -134,19 +145,46 @@ def _answer(provider: Provider, prompt: str | None) -> tuple[str | None, str | N
         return None, "api", type(error).__name__
 
 
-def generate_distinct(df: DataFrame, provider_factory: Callable[[], Provider], tasks: int | None = None) -> DataFrame:
+def generate_in_rounds(
+    df: DataFrame, key: str, provider_factory: Callable[[], Provider], tasks: int | None = None, attempts: int = 3,
+    pause: float = 1.0, transient: tuple[str, ...] = TRANSIENT,
+) -> DataFrame:
+    """Like :func:`generate` for rows with a unique ``key``, with further rounds for those that met a transient error.
+
+    Each round is written before the next one starts, and holds only rows without an answer yet, so no prompt
+    that was answered, or refused for good, is sent again, by a later round, a lost executor or a second reader.
+    ``pause`` seconds lie between rounds, doubled each time. After ``attempts`` rounds an error stays an error.
+    """
+    waiting, done = df, None
+    for attempt in range(attempts):
+        answers = landed(generate(waiting, provider_factory, tasks, attempt))
+        again = F.lit(False) if attempt + 1 == attempts else F.col("error_kind").eqNullSafe("api") & F.col("error_detail").isin(*transient)
+        settled = answers.where(~again)
+        done = settled if done is None else done.unionByName(settled)
+        left = answers.where(again).select(key)
+        if attempt + 1 == attempts or not left.limit(1).count():
+            break
+        waiting = df.join(left, key, "left_semi")
+        time.sleep(pause * 2**attempt)
+    return done
+
+
+def generate_distinct(
+    df: DataFrame, provider_factory: Callable[[], Provider], tasks: int | None = None, attempts: int = 1, pause: float = 1.0,
+) -> DataFrame:
     """Like :func:`generate` with one provider call per distinct prompt; adds prompt_hash and summary.
 
     The input is evaluated once: prompts are written with their full hash and a row number, one row
     number is picked for each hash from these two columns alone, and only the picked prompts are
     moved. Provider output is written right after the calls and everything else derives from it, so
     neither a lost executor nor a second reader repeats a call. In the join back AQE splits a prompt
-    that very many rows share.
+    that very many rows share. With several ``attempts`` transient errors are tried again (see
+    :func:`generate_in_rounds`).
     """
     keyed = landed(df.withColumn("_sha", prompts.prompt_sha("prompt")).withColumn("_row", F.monotonically_increasing_id()))
     picked = keyed.groupBy("_sha").agg(F.min("_row").alias("_row")).select("_row")
-    unique = keyed.select("_row", "_sha", "prompt").join(picked, "_row", "left_semi").drop("_row")
-    answers = landed(generate(unique, provider_factory, tasks))
+    unique = keyed.select("_row", "_sha", "prompt").join(picked, "_row", "left_semi")
+    answers = generate_in_rounds(unique, "_row", provider_factory, tasks, attempts, pause).drop("_row")
     keyed = keyed.drop("_row")
     answers = answers.withColumn("summary", F.when(F.col("error_kind").isNull(), prompts.clean_output("output")))
     answers = answers.drop("output").withColumnRenamed("_sha", "_answered")

@@ -38,3 +38,28 @@ def numbered(df: DataFrame, order: list[str | Column], name: str, start: int = 1
         offsets = F.broadcast(offsets)
     position = (F.col(_AT) - F.col(_FIRST) + F.col(_BEFORE) + F.lit(start)).cast("long")
     return placed.join(offsets, same).select(*df.columns, position.alias(name))
+
+
+def sums_before(df: DataFrame, within: str, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """Add, by new name, the sum of a column over the rows before each row in its group's order (0 for the first).
+
+    No group is gathered: rows are range-partitioned by group and order, each partition adds up its own rows of a
+    group, and the sums of the group's earlier partitions are put on top. The placed rows are written first,
+    as in :func:`numbered`. Give it narrow rows. Within a group the order must be unique.
+    """
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = landed(df.repartitionByRange(F.col(within), *keys).withColumn(_PART, F.spark_partition_id()))
+    parts = placed.groupBy(within, _PART).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    earlier = W.partitionBy(within).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
+    offsets = parts.withColumn(_FIRST, F.min(_PART).over(W.partitionBy(within))).select(
+        F.col(within).alias("_offset_group"), F.col(_PART).alias("_offset_part"), _FIRST,
+        *[F.sum(n).over(earlier).alias(f"_before_{n}") for n in sums],
+    # where a group began in an earlier partition: one group for each boundary, which is safe to broadcast
+    ).where(F.col("_offset_part") > F.col(_FIRST)).drop(_FIRST)
+    inside = W.partitionBy(within, _PART).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    same = (F.col(_PART) == F.col("_offset_part")) & F.col(within).eqNullSafe(F.col("_offset_group"))
+    none = F.lit(0)
+    return placed.join(F.broadcast(offsets), same, "left").select(*df.columns, *[
+        (F.coalesce(F.sum(c).over(inside), none) + F.coalesce(F.col(f"_before_{n}"), none)).cast("long").alias(n)
+        for n, c in sums.items()
+    ])

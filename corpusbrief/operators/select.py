@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules, text
-from .numbering import numbered
+from ..session import landed
+from .numbering import numbered, sums_before
 from .skew import first_per_group
 
 EMITTED = ("important", "source")
@@ -116,6 +117,38 @@ def cap_sources(selected: DataFrame, cap: int = rules.SOURCE_CAP, hot: DataFrame
     return capped.drop("_lane")
 
 
+def capped_places(selected: DataFrame, cap: int = rules.SOURCE_CAP) -> DataFrame:
+    """The files :func:`cap_sources` keeps, without their texts: (repo_id, path, file_class, chars, start).
+
+    ``chars`` is the length of a file's segment and ``start`` the segments' length before it, important files
+    first and each class in walk order. Texts are measured where they are read; only names and numbers
+    are sorted and moved. Files past the cap come after all others, so they don't shift any start.
+    """
+    emitted = selected.where(F.col("file_class").isin(*EMITTED))
+    measured = emitted.select(
+        "repo_id", "path", "file_class", text.segment_chars("path", "text").alias("chars"),
+        (F.col("file_class") == "source").cast("long").alias("_source"),
+    )
+    placed = sums_before(measured, "repo_id", ["_source", paths.walk_key("path")], {"start": "chars", "_earlier": "_source"})
+    kept = placed.where((F.col("_source") == 0) | (F.col("_earlier") < cap))
+    return landed(kept.drop("_source", "_earlier"))
+
+
+def texts_at(files: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of ``places(repo_id, path, ...)`` with the text of their file.
+
+    ``files`` is read once more, without what its path or size rules out. (repo_id, path) is unique, so no task
+    gets a large repository whole; the places, which hold no text, are the side that is hashed, and nothing is sorted.
+    """
+    parts = with_path_parts(files).where(
+        paths.size_ok("size") & paths.keep_dir("path") & (paths.is_important("name") | paths.is_code("ext"))
+    ).select("repo_id", "path", "content")
+    spots = places.withColumnsRenamed({"repo_id": "_repo", "path": "_path"}).hint("shuffle_hash")
+    same = F.col("repo_id").eqNullSafe(F.col("_repo")) & (F.col("path") == F.col("_path"))
+    found = parts.join(spots, same).drop("_repo", "_path")
+    return with_text(found).drop("content")
+
+
 def parse_counts(capped: DataFrame) -> DataFrame:
     """Important, source and total files taken from each repository."""
     return capped.groupBy("repo_id").agg(

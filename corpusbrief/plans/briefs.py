@@ -35,16 +35,19 @@ def heavy_repos(files: DataFrame, each: int = BYTES_EACH) -> DataFrame | None:
 
 
 def build_bundles(
-    files: DataFrame, cap: int = rules.SOURCE_CAP, budget: int = rules.TEXT_BUDGET, salt_hot_repos: bool = True,
+    files: DataFrame, cap: int = rules.SOURCE_CAP, budget: int = rules.TEXT_BUDGET, one_scan: bool = False,
     each: int = BYTES_EACH,
 ) -> DataFrame:
     """Files to one bounded text per repository: select, cap, assemble.
 
-    Repositories whose files hold more than ``each`` bytes are found first from the small columns and
-    salted in both windows; turn that off where the files are not a table, as it reads them once more.
+    Files are measured first, and the texts that end up in a bundle fetched by a second scan. ``one_scan``,
+    for files that are not a table, carries the texts through the windows instead, where repositories of more than
+    ``each`` bytes are found from the small columns and salted.
     """
-    hot = heavy_repos(files, each) if salt_hot_repos else None
     selected = select.select_files(files, emitted_only=True)
+    if not one_scan:
+        return assemble.gather(files, select.capped_places(selected, cap), budget)
+    hot = heavy_repos(files, each)
     return assemble.assemble(select.cap_sources(selected, cap, hot), budget, hot)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 from datetime import datetime
@@ -53,9 +54,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
-    hot = briefs.heavy_repos(files)
-    return select.cap_sources(select.select_files(files, emitted_only=True), hot=hot)
+    return select.capped_places(select.select_files(_files(spark, sf_dir), emitted_only=True))
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +187,7 @@ def q_parse_counts(spark, sf_dir):
 
 @_query
 def q_segments(spark, sf_dir):
-    segments = assemble.segments(_capped(spark, sf_dir))
+    segments = assemble.segments(select.texts_at(_files(spark, sf_dir), _capped(spark, sf_dir)))
     return segments.select("repo_id", "path", F.md5("segment").alias("segment_md5"), F.length("segment").cast("long").alias("n"))
 
 
@@ -199,8 +198,8 @@ def q_assemble(spark, sf_dir):
 
 @_query
 def q_assemble_salted(spark, sf_dir):
-    """The same with every repository split into sub-groups of 20,000 bytes."""
-    bundles = briefs.build_bundles(_files(spark, sf_dir), each=20_000)
+    """The same in one scan, with every repository split into sub-groups of 20,000 bytes."""
+    bundles = briefs.build_bundles(_files(spark, sf_dir), one_scan=True, each=20_000)
     return bundles.select("repo_id", "text", "total_chars", "truncated")
 
 
@@ -271,15 +270,16 @@ def q_compensate(spark, sf_dir):
 
 @_query
 def q_clone_error(spark, sf_dir):
-    """Git's standard error made from each document, with and without a token."""
+    """Git's standard error around each document's text, or made of its line breaks alone, with and without a token."""
     docs = table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 5
+    said = F.coalesce("text", F.lit(""))
     stderr = (
-        F.when(kind == 0, F.lit("fatal: Authentication failed for 'x'"))
-        .when(kind == 1, F.lit("fatal: could not read Username for 'x'"))
-        .when(kind == 2, F.lit("remote: Repository not found.\n"))
-        .when(kind == 3, F.concat(F.lit("  "), "text", F.lit("\n")))
-        .otherwise(F.lit(""))
+        F.when(kind == 0, F.concat(F.lit("fatal: Authentication failed for 'x'\n"), said))
+        .when(kind == 1, F.concat(F.lit("fatal: could not read Username for 'x'\n"), said))
+        .when(kind == 2, F.concat(said, F.lit("\nremote: Repository not found.\n")))
+        .when(kind == 3, F.concat(F.lit("  "), said, F.lit("\n")))
+        .otherwise(F.regexp_replace(said, r"[^\n]+", ""))
     )
     url = F.concat(F.lit("https://tok"), "doc_id", F.lit("@github.com/o/r.git"))
     has_token = F.col("doc_id") % 2 == 0
@@ -407,6 +407,29 @@ def q_generate(spark, sf_dir):
     return done.select("doc_id", "prompt_hash", "summary", "error_kind")
 
 
+class FlakyProvider(generate.ExtractiveProvider):
+    """Times out on three prompts in four at first, one in four for good, and refuses one in sixteen outright."""
+
+    attempt = 0
+
+    def generate(self, prompt: str) -> str:
+        digits = hashlib.md5(prompt.encode()).hexdigest()[:2]
+        if digits[1] == "0":
+            raise ValueError("refused")
+        if int(digits[0], 16) % 4 > self.attempt:
+            raise TimeoutError
+        return f"<p>attempt {self.attempt}</p>" + super().generate(prompt)
+
+
+@_query
+def q_generate_retry(spark, sf_dir):
+    """Document texts to a provider that fails by attempt: three rounds, each for what is still without an answer."""
+    docs = table(spark, sf_dir, "documents")
+    prompted = docs.select("doc_id", text.segment(F.lit("doc.md"), "text").alias("prompt"))
+    done = generate.generate_distinct(prompted, FlakyProvider, attempts=3, pause=0)
+    return done.select("doc_id", "prompt_hash", "summary", "error_kind", "error_detail")
+
+
 # --- history and events --------------------------------------------------------------------------
 
 @_query
@@ -448,15 +471,27 @@ def q_status_counts(spark, sf_dir):
     return history.status_counts(_history(spark, sf_dir))
 
 
-@_query
-def q_lookup(spark, sf_dir):
-    """Every job asked for by its owner, by someone else, by a guest, or with an empty user."""
-    jobs = _history(spark, sf_dir)
+def _asked(jobs: DataFrame) -> DataFrame:
+    """Every job asked for by its owner, by someone else, by a guest, or with an empty user; some are not there."""
     kind = F.col("id") % 4
     user = F.when(kind == 0, F.col("user_id")).when(kind == 1, F.lit("nobody")).when(kind == 3, F.lit(""))
     asked_id = F.when(F.col("id") % 11 == 0, -F.col("id")).otherwise(F.col("id"))
-    asked = jobs.select(F.col("id").alias("request_id"), asked_id.alias("id"), user.alias("user_id"))
-    return history.lookup(asked, jobs).select("request_id", "id", "found", "repository_url", "status", "not_found_message")
+    return jobs.select(F.col("id").alias("request_id"), asked_id.alias("id"), user.alias("user_id"))
+
+
+@_query
+def q_lookup(spark, sf_dir):
+    jobs = _history(spark, sf_dir)
+    return history.lookup(_asked(jobs), jobs).select("request_id", "id", "found", "repository_url", "status", "not_found_message")
+
+
+@_query
+def q_bucket_lookup(spark, sf_dir):
+    """The lookups with history and requests as bucketed tables, joined where they lie."""
+    jobs = _history(spark, sf_dir)
+    stored = tables.store_bucketed(jobs, shared_path(spark, "bucketed-history"), buckets=16)
+    asked = tables.store_bucketed(_asked(jobs), shared_path(spark, "bucketed-requests"), buckets=16)
+    return history.lookup(asked, stored).select("request_id", "id", "found", "repository_url", "status", "not_found_message")
 
 
 @_query
@@ -616,6 +651,23 @@ def q_stream_queue(spark, sf_dir):
     return spark.read.schema(arriving.schema).parquet(path).select("seq", "ts", "analysis_id", "status", "summary", "error")
 
 
+@_query
+def q_queue_drain(spark, sf_dir):
+    """Status events put into a queue in two goes and taken off it in two passes."""
+    queue = queues.queue_path(shared_path(spark, "drained"), "results")
+    got, ckpt = shared_path(spark, "taken-events"), shared_path(spark, "drain-state")
+    arrived = _events(spark, sf_dir)
+    early = F.col("seq") % 3 != 0
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(got, f"batch_id={batch_id}"))
+
+    for part in (arrived.where(early), arrived.where(~early)):
+        queues.write_queue(part.repartition(3, "seq"), queue)
+        queues.drain_queue(spark, queue, arrived.schema, keep, ckpt, files_per_trigger=2)
+    return spark.read.schema(arrived.schema).parquet(got).select("seq", "ts", "analysis_id", "status", "summary", "error")
+
+
 @_query
 def q_stream_fold(spark, sf_dir):
     states = shared_path(spark, "fold-states")
@@ -623,11 +675,34 @@ def q_stream_fold(spark, sf_dir):
     return folds.read_fold(spark, states)
 
 
+@_query
+def q_stream_history(spark, sf_dir):
+    """The history stored, its status events merged into it from several batches, all delivered twice."""
+    store = HistoryStore(spark, shared_path(spark, "stream-store"), buckets=8)
+    store.put(_history(spark, sf_dir))
+    queue = queues.queue_path(shared_path(spark, "event-queue"), "results")
+    arrived = _events(spark, sf_dir)
+    # a file for each of four stretches of events
+    queues.write_queue(arrived.repartitionByRange(4, "seq"), queue)
+    for delivery in range(2):
+        arriving = queues.read_queue(spark, queue, arrived.schema, files_per_trigger=1)
+        folds.stream_history(arriving, store, shared_path(spark, f"history-state-{delivery}")).awaitTermination()
+    return store.read()
+
+
+@_query
+def q_store_lookup(spark, sf_dir):
+    """The same lookups against a stored history."""
+    store = HistoryStore(spark, shared_path(spark, "lookup-store"), buckets=64)
+    jobs = _history(spark, sf_dir)
+    store.put(jobs)
+    return store.lookup(_asked(jobs)).select("request_id", "id", "found", "repository_url", "status", "not_found_message")
+
+
 @_query
 def q_stream_terminal(spark, sf_dir):
     path = shared_path(spark, "terminal")
-    # state of jobs that ended this long before the newest event is dropped
-    ended = folds.terminal_jobs(_event_stream(spark, sf_dir), bounded_by="3650 days").select("analysis_id")
+    ended = folds.ended_jobs(_event_stream(spark, sf_dir)).select("analysis_id")
     queues.write_queue(ended, path, shared_path(spark, "terminal-state")).awaitTermination()
     return spark.read.schema(ended.schema).parquet(path)
 
@@ -649,12 +724,19 @@ def _brief_requests(spark: SparkSession, sf_dir: str, requests_view: DataFrame)
     return requests_view.withColumn("repo_id", F.element_at(repos, (F.col("request_id") % 5 + 1).cast("int")))
 
 
+def _stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a table that is read by repository."""
+    path = shared_path(spark, "corpus")
+    tables.store_files(_files(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 @_query
 def q_run_briefs(spark, sf_dir):
     """Every request carried from submission to its finished history row."""
     submitted = _brief_requests(spark, sf_dir, _requests(spark, sf_dir))
     done = briefs.run_briefs(
-        spark, submitted, _files(spark, sf_dir), _history(spark, sf_dir), generate.ExtractiveProvider,
+        spark, submitted, _stored_files(spark, sf_dir), _history(spark, sf_dir), generate.ExtractiveProvider,
         shared_path(spark, "briefs"), now=CREATED,
     )
     return done.history.select("id", "repository_url", "lang", "size", "technicality", "status", F.md5("summary").alias("summary_md5"), "error")
@@ -667,7 +749,7 @@ def q_stream_briefs(spark, sf_dir):
     arriving = view_of(queues.read_queue(spark, f"{sf_dir}/pages.parquet*", source.schema), "requests")
     out = shared_path(spark, "brief-stream")
     flow.stream_briefs(
-        _brief_requests(spark, sf_dir, arriving), _files(spark, sf_dir), generate.ExtractiveProvider, out,
+        _brief_requests(spark, sf_dir, arriving), _stored_files(spark, sf_dir), generate.ExtractiveProvider, out,
         shared_path(spark, "brief-state"),
     ).awaitTermination()
     return flow.read_stream_history(spark, out).select(
@@ -682,7 +764,7 @@ def q_stream_rejects(spark, sf_dir):
     arriving = view_of(queues.read_queue(spark, f"{sf_dir}/pages.parquet*", source.schema), "requests")
     out = shared_path(spark, "reject-stream")
     flow.stream_briefs(
-        _brief_requests(spark, sf_dir, arriving), _files(spark, sf_dir), generate.ExtractiveProvider, out,
+        _brief_requests(spark, sf_dir, arriving), _stored_files(spark, sf_dir), generate.ExtractiveProvider, out,
         shared_path(spark, "reject-state"),
     ).awaitTermination()
     rejects = shared_path(spark, "rejected-events")

@@ -233,6 +233,17 @@ _ITEM = f"""'<li>' || regexp_extract(p, '^([^' || chr(10) || ']*) ---', 1) || ':
 _EXTRACT = f"""('<p>' || len({_HEADED}) || ' files, ' || length(prompt) || ' characters</p><ul>' ||
   array_to_string(list_transform({_HEADED}, lambda p: {_ITEM}), '') || '</ul>')"""
 
+_LOOKUP_SQL = f"""WITH {_HISTORY}, asked AS (
+  SELECT id AS request_id, CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id,
+    CASE id % 4 WHEN 0 THEN user_id WHEN 1 THEN 'nobody' WHEN 3 THEN '' END AS asker FROM history),
+seen AS (
+  SELECT asked.request_id, asked.id, asker, h.repository_url, h.status, h.id IS NOT NULL AS found
+  FROM asked LEFT JOIN history h ON h.id = asked.id AND (asker IS NULL OR asker = '' OR asker = h.user_id))
+SELECT request_id, id, found, repository_url, status,
+  CASE WHEN NOT found THEN CASE WHEN asker IS NULL OR asker = '' THEN 'Analysis not found.'
+    ELSE 'Analysis not found or access denied.' END END AS not_found_message
+FROM seen"""
+
 _FOLD_SQL = f"WITH {_FOLDED} SELECT * FROM folds"
 
 
@@ -297,19 +308,23 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, request_id, repository_url FROM jobs
             WHERE request_id NOT IN (SELECT request_id FROM judged WHERE error IS NOT NULL)""",
         "q_clone_error": f"""WITH d AS (
-              SELECT doc_id, doc_id % 5 AS kind, doc_id % 2 = 0 AS tok, CASE doc_id % 5
-                WHEN 0 THEN 'fatal: Authentication failed for ''x''' WHEN 1 THEN 'fatal: could not read Username for ''x'''
-                WHEN 2 THEN 'remote: Repository not found.' || chr(10) WHEN 3 THEN '  ' || text || chr(10) ELSE '' END AS stderr
-              FROM documents)
+              SELECT doc_id, doc_id % 2 = 0 AS tok, CASE doc_id % 5
+                WHEN 0 THEN 'fatal: Authentication failed for ''x''' || chr(10) || coalesce(text, '')
+                WHEN 1 THEN 'fatal: could not read Username for ''x''' || chr(10) || coalesce(text, '')
+                WHEN 2 THEN coalesce(text, '') || chr(10) || 'remote: Repository not found.' || chr(10)
+                WHEN 3 THEN '  ' || coalesce(text, '') || chr(10)
+                ELSE repeat(chr(10), CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS BIGINT)) END AS stderr
+              FROM documents), s AS (SELECT *, {_strip('stderr')} AS said FROM d)
             SELECT doc_id, 'Failed to clone repository ''https://[REDACTED_TOKEN]@github.com/o/r.git''. Git command failed (exit 128).' ||
-              CASE WHEN kind = 0 AND tok THEN ' Authentication failed.'
-                   WHEN kind IN (0, 1) AND NOT tok THEN ' Authentication failed. This may be a private repository.'
-                   WHEN kind = 2 THEN ' Repository not found or access denied.'
-                   WHEN kind = 4 THEN ' Git error: No stderr output.'
-                   WHEN {_strip('stderr')} = '' THEN ''
-                   ELSE ' Git error: ' || ({_strip('stderr')})[1:{rules.CLONE_DETAIL_CHARS}] END AS error,
+              CASE WHEN stderr = '' THEN ' Git error: No stderr output.'
+                   WHEN tok AND position('Authentication failed' IN said) > 0 THEN ' Authentication failed.'
+                   WHEN NOT tok AND (position('Authentication failed' IN said) > 0 OR position('could not read Username' IN said) > 0)
+                     THEN ' Authentication failed. This may be a private repository.'
+                   WHEN position('Repository not found' IN said) > 0 THEN ' Repository not found or access denied.'
+                   WHEN said = '' THEN ''
+                   ELSE ' Git error: ' || said[1:{rules.CLONE_DETAIL_CHARS}] END AS error,
               {_text(rules.CLONE_FAILED)} || stderr[1:{rules.ERROR_DETAIL_CHARS}] AS stored_error
-            FROM d""",
+            FROM s""",
         "q_rate_flags": _FLAGS,
         "q_prompt": f"""WITH {_PROMPTED}
             SELECT repo_id, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5, sha256(prompt)[1:16] AS prompt_hash FROM prompted""",
@@ -359,6 +374,17 @@ def oracle_sql() -> dict[str, str]:
               {_strip("regexp_extract(text, '[^.!?' || chr(10) || ']+[.!?]?')")} || '</li></ul>' AS summary,
               CAST(NULL AS VARCHAR) AS error_kind
             FROM d""",
+        "q_generate_retry": f"""WITH d AS (
+              SELECT *, {_text(rules.SEGMENT_HEAD)} || 'doc.md' || {_text(rules.SEGMENT_MID)} || text || {_text(rules.SEGMENT_TAIL)} AS prompt
+              FROM documents), t AS (
+              SELECT *, CAST('0x' || md5(prompt)[1] AS INTEGER) % 4 AS tries, md5(prompt)[2] = '0' AS refused FROM d)
+            SELECT doc_id, sha256(prompt)[1:16] AS prompt_hash,
+              CASE WHEN NOT refused AND tries < 3 THEN
+                '<p>attempt ' || tries || '</p><p>1 files, ' || length(prompt) || ' characters</p><ul><li>doc.md: ' ||
+                {_strip("regexp_extract(text, '[^.!?' || chr(10) || ']+[.!?]?')")} || '</li></ul>' END AS summary,
+              CASE WHEN refused OR tries = 3 THEN 'api' END AS error_kind,
+              CASE WHEN refused THEN 'ValueError' WHEN tries = 3 THEN 'TimeoutError' END AS error_detail
+            FROM t""",
         "q_history_user": f"""WITH {_HISTORY}
             SELECT id, repository_url, created_at, status, lang, size, technicality FROM history
             WHERE user_id = '{ONE_USER}' ORDER BY created_at DESC, id DESC LIMIT {rules.HISTORY_PAGE}""",
@@ -385,16 +411,9 @@ def oracle_sql() -> dict[str, str]:
             FROM history""",
         "q_status_counts": f"""WITH {_HISTORY}
             SELECT status, count(*) AS n, count(summary) AS with_summary, count(error) AS with_error FROM history GROUP BY status""",
-        "q_lookup": f"""WITH {_HISTORY}, asked AS (
-              SELECT id AS request_id, CASE WHEN id % 11 = 0 THEN -id ELSE id END AS id,
-                CASE id % 4 WHEN 0 THEN user_id WHEN 1 THEN 'nobody' WHEN 3 THEN '' END AS asker FROM history),
-            seen AS (
-              SELECT asked.request_id, asked.id, asker, h.repository_url, h.status, h.id IS NOT NULL AS found
-              FROM asked LEFT JOIN history h ON h.id = asked.id AND (asker IS NULL OR asker = '' OR asker = h.user_id))
-            SELECT request_id, id, found, repository_url, status,
-              CASE WHEN NOT found THEN CASE WHEN asker IS NULL OR asker = '' THEN 'Analysis not found.'
-                ELSE 'Analysis not found or access denied.' END END AS not_found_message
-            FROM seen""",
+        "q_lookup": _LOOKUP_SQL,
+        "q_store_lookup": _LOOKUP_SQL,
+        "q_bucket_lookup": _LOOKUP_SQL,
         "q_event_validate": f"WITH {_VALID} SELECT seq, analysis_id, status, reject_reason FROM judged",
         "q_fold_events": _FOLD_SQL,
         "q_apply_events": f"""WITH {_FOLDED}, {_HISTORY}
@@ -431,8 +450,16 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN f.summary_set THEN f.summary ELSE h.summary END AS summary,
               CASE WHEN f.analysis_id IS NULL THEN h.error ELSE f.error END AS error
             FROM history h LEFT JOIN folds f ON f.analysis_id = h.id WHERE h.id % 7 <> 0""",
+        "q_queue_drain": f"WITH {_EVENTS} SELECT seq, ts, analysis_id, status, summary, error FROM status_events",
         "q_stream_queue": f"WITH {_EVENTS} SELECT seq, ts, analysis_id, status, summary, error FROM status_events",
         "q_stream_fold": _FOLD_SQL,
+        "q_stream_history": f"""WITH {_FOLDED}, {_HISTORY}
+            SELECT h.id, h.user_id, h.repository_url, h.created_at, h.lang, h.size, h.technicality,
+              CASE WHEN f.analysis_id IS NULL THEN h.updated_at ELSE f.updated_at END AS updated_at,
+              CASE WHEN f.analysis_id IS NULL THEN h.status ELSE f.status END AS status,
+              CASE WHEN f.summary_set THEN f.summary ELSE h.summary END AS summary,
+              CASE WHEN f.analysis_id IS NULL THEN h.error ELSE f.error END AS error
+            FROM history h LEFT JOIN folds f ON f.analysis_id = h.id""",
         "q_stream_terminal": f"""WITH {_VALID}
             SELECT DISTINCT analysis_id FROM judged WHERE reject_reason IS NULL AND status IN ('COMPLETED', 'FAILED')""",
         "q_stream_rate_flags": f"""{_FLAGS}

@@ -87,3 +87,10 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more, on any file system that Spark reaches."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, on any file system that Spark reaches; none where there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [found.getPath().getName() for found in files.listStatus(folder)] if files.exists(folder) else []

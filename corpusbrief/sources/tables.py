@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,24 +37,26 @@ def repo_bucket(repo: Column, buckets: int = FILE_BUCKETS) -> Column:
 def store_files(files: DataFrame, path: str, buckets: int = FILE_BUCKETS) -> None:
     """Write a files table partitioned by a hash of its repository, sorted by repository within.
 
-    A reader that knows its repositories opens only their buckets. Big buckets spread over several
-    files, so no task gets a whole one.
+    A reader that knows its repositories opens only their buckets. Spark sizes the tasks: it merges small buckets
+    and splits large ones, so no task gets a big one whole.
     """
     bucketed = files.withColumn(BUCKET, repo_bucket(F.col("repo_id"), buckets))
-    spread = F.pmod(F.xxhash64("path"), F.lit(8))
-    dealt = bucketed.repartition(F.col(BUCKET), spread).sortWithinPartitions(BUCKET, "repo_id")
+    dealt = bucketed.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "repo_id")
     dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
 
 def files_of(files: DataFrame, repos: DataFrame, buckets: int = FILE_BUCKETS) -> DataFrame:
     """The files of ``repos(repo_id)``; a table of :func:`store_files` is read only in their buckets.
 
-    The buckets, a bounded set of small numbers, become part of the scan's partition filter.
+    The buckets come from the wanted repositories while the query runs: as part of the join key they give Spark a
+    dynamic partition filter, whose values are those of the join's other side. Spark plans one where that side holds
+    a selective predicate, so the buckets' range is spelled out, and is small enough to be broadcast.
     """
-    if BUCKET in files.columns:
-        wanted = repos.select(repo_bucket(F.col("repo_id"), buckets).alias("b")).distinct().collect()
-        files = files.where(F.col(BUCKET).isin([row["b"] for row in wanted])).drop(BUCKET)
-    return files.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+    if BUCKET not in files.columns:
+        return files.join(repos.select("repo_id").distinct(), "repo_id", "left_semi")
+    wanted = repos.select("repo_id", repo_bucket(F.col("repo_id"), buckets).alias(BUCKET)).distinct()
+    wanted = wanted.where(F.col(BUCKET).between(0, buckets - 1))
+    return files.join(wanted, [BUCKET, "repo_id"], "left_semi").drop(BUCKET)
 
 
 def readable(files: DataFrame) -> DataFrame:
@@ -78,3 +82,20 @@ def append_jobs(jobs: DataFrame, path: str | None = None, fmt: str = "parquet",
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY_SCHEMA).parquet(path)
+
+
+def store_bucketed(df: DataFrame, path: str, key: str = "id", buckets: int = 64) -> DataFrame:
+    """Write a table bucketed and sorted by ``key`` and read it back as such, a file for each bucket.
+
+    Joins of two such tables on the key need no exchange, and an equality on the key opens one bucket. Take
+    ``buckets`` by size, so that a bucket is a task's share. Only a catalog tells Spark of buckets, so the table has a
+    name there for as long as it takes to look it up; its files stay at ``path``.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)
+    try:
+        dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

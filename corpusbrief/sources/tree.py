@@ -17,13 +17,16 @@ from __future__ import annotations
 import itertools
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringEndsWith, StringStartsWith,
+)
 
 from ..functions import rules
 from ..functions.paths import extension, file_name, is_code, is_important, keep_dir, keep_ext, keep_name
@@ -100,10 +103,12 @@ def _file_row(repo_id: str, root: str, path: str, error: str | None = None) -> t
         return repo_id, path, size, None, None, _told(error)
 
 
-def _walk(root: str, sub: str, prune: bool, limit: int | None = None, deep: bool = True) -> Iterator[tuple[str, bool, str | None]]:
+def _walk(
+    root: str, sub: str, prune: bool, limit: int | None = None, deep: bool = True, enter: Callable[[str], bool] | None = None,
+) -> Iterator[tuple[str, bool, str | None]]:
     """(path, folder, error) of the files of a folder and below; once ``limit`` entries were listed,
     the folders still to be listed. A folder whose name is not UTF-8 is always listed here, as its
-    name cannot travel."""
+    name cannot travel. Folders that ``enter`` refuses are left out."""
     pending, listed = [sub], 0
     while pending:
         here = pending.pop()
@@ -119,7 +124,8 @@ def _walk(root: str, sub: str, prune: bool, limit: int | None = None, deep: bool
             path = os.path.join(here, name)
             shown, unnamed = _printable(path)
             yield shown, False, unnamed
-        pending.extend(os.path.join(here, name) for name in reversed(dirs))
+        below = [os.path.join(here, name) for name in reversed(dirs)]
+        pending.extend(below if enter is None else filter(enter, below))
 
 
 class _Unit(InputPartition):
@@ -127,27 +133,82 @@ class _Unit(InputPartition):
         self.repo_id, self.root, self.sub, self.deep = repo_id, root, sub, deep
 
 
+@dataclass
+class _Wanted:
+    """What pushed filters ask for; each holds for itself."""
+
+    repos: list[set] = field(default_factory=list)
+    paths: list[set] = field(default_factory=list)
+    starts: list[str] = field(default_factory=list)
+    ends: list[str] = field(default_factory=list)
+
+    def take(self, asked: Filter) -> bool:
+        """Whether the filter is kept here in full."""
+        if isinstance(asked, (EqualTo, EqualNullSafe, In)):
+            values = set(asked.value) if isinstance(asked, In) else {asked.value}
+            column = {("repo_id",): self.repos, ("path",): self.paths}.get(asked.attribute)
+            if column is not None:
+                column.append(values)
+            return column is not None
+        if asked.attribute != ("path",):
+            return isinstance(asked, IsNotNull) and asked.attribute == ("repo_id",)
+        if isinstance(asked, StringStartsWith):
+            self.starts.append(asked.value)
+        elif isinstance(asked, StringEndsWith):
+            self.ends.append(asked.value)
+        return isinstance(asked, (StringStartsWith, StringEndsWith, IsNotNull))
+
+    def repo(self, repo_id: str) -> bool:
+        return all(repo_id in values for values in self.repos)
+
+    def path(self, path: str) -> bool:
+        return (
+            all(path in values for values in self.paths)
+            and all(map(path.startswith, self.starts)) and all(map(path.endswith, self.ends))
+        )
+
+    def folder(self, folder: str) -> bool:
+        """Whether a path below can be wanted; a name that is shown escaped is always entered."""
+        if _printable(folder)[1] is not None:
+            return True
+        below = folder + "/"
+        return all(below.startswith(s) or s.startswith(below) for s in self.starts) and all(
+            any(p is not None and p.startswith(below) for p in values) for values in self.paths
+        )
+
+
 class _TreeReader(DataSourceReader):
     def __init__(self, roots: dict[str, str], prune: bool, split: bool):
-        self._roots, self._prune, self._split = roots, prune, split
+        self._roots, self._prune, self._split, self._wanted = roots, prune, split, _Wanted()
 
     def partitions(self) -> list[InputPartition]:
         units = []
         for repo_id, root in sorted(self._roots.items()):
+            if not self._wanted.repo(repo_id):
+                continue
             units.append(_Unit(repo_id, root, "", not self._split))
             if self._split:
-                tops = [path for path, folder, _ in _walk(root, "", self._prune, deep=False) if folder]
-                units.extend(_Unit(repo_id, root, path, True) for path in tops)
+                tops = _walk(root, "", self._prune, deep=False, enter=self._wanted.folder)
+                units.extend(_Unit(repo_id, root, path, True) for path, folder, _ in tops if folder)
         return units
 
     def read(self, partition: _Unit) -> Iterator[tuple]:
-        for path, folder, error in _walk(partition.root, partition.sub, self._prune, deep=partition.deep):
-            if not folder and (error is not None or not (self._prune and _skipped(path))):
+        found = _walk(partition.root, partition.sub, self._prune, deep=partition.deep, enter=self._wanted.folder)
+        for path, folder, error in found:
+            if not folder and self._wanted.path(path) and (error is not None or not (self._prune and _skipped(path))):
                 yield _file_row(partition.repo_id, partition.root, path, error)
 
 
+class _FilteredTreeReader(_TreeReader):
+    """Keeps filters on ``repo_id`` and ``path`` itself: other roots are not listed, other files not opened."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        return [asked for asked in filters if not self._wanted.take(asked)]
+
+
 class RepositoryTrees(DataSource):
-    """Options: ``roots`` (JSON map of repo id to directory), ``prune`` and ``split`` (true/false)."""
+    """Options: ``roots`` (JSON map of repo id to directory), ``prune`` and ``split`` (true/false), and ``filters``:
+    true takes pushed filters, for which Spark wants ``spark.sql.python.filterPushdown.enabled``."""
 
     @classmethod
     def name(cls) -> str:
@@ -160,18 +221,25 @@ class RepositoryTrees(DataSource):
         roots = json.loads(self.options["roots"])
         prune = self.options.get("prune", "true") == "true"
         split = self.options.get("split", "true") == "true"
-        return _TreeReader(roots, prune, split)
+        filters = self.options.get("filters", "false") == "true"
+        return (_FilteredTreeReader if filters else _TreeReader)(roots, prune, split)
 
 
 def read_trees(spark: SparkSession, roots: dict[str, str], prune: bool = True, split: bool = True) -> DataFrame:
-    """A few named roots, one task per top-level directory of each."""
+    """A few named roots, one task per top-level directory of each.
+
+    Filters on ``repo_id`` and on ``path`` (equal, in, starts with, ends with, so by extension too) reach the source:
+    it then lists and opens nothing else. Spark hands them over by a setting of the session, which is turned on here.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepositoryTrees)
     return (
         spark.read.format("repository_trees")
         .option("roots", json.dumps(roots))
         .option("prune", str(prune).lower())
         .option("split", str(split).lower())
+        .option("filters", "true")
         .load()
     )
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
 from ..operators import events
+from ..session import discard, landed, names_in, shared_path
+from ..sources.store import HistoryStore
 
 STATE_SCHEMA = (
     "analysis_id long, last struct<seq: long, status: string, error: string, ts: timestamp_ntz>, "
@@ -49,16 +55,52 @@ def stream_fold(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def stream_history(
+    stream: DataFrame, store: HistoryStore, checkpoint: str, available_now: bool = True, rejects_path: str | None = None,
+) -> StreamingQuery:
+    """Merge status events into a stored history, batch by batch, the way the results worker updates its table.
+
+    A batch is folded on its own and rewrites the buckets of the jobs it names, in one switch that also notes the
+    batch. A batch that is run again finds itself noted and does nothing; were the note lost, or the
+    events delivered once more by another stream, they would change nothing either (see ``apply_states``).
+    Events that are not accepted, and states of jobs that are not in the history, go to ``rejects_path``
+    with their reasons, if it is given; the latter by the number of the job's last event.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = (_stream_name(spark, checkpoint), batch_id)
+        if store.has_applied(mark):
+            return
+        folded_to = shared_path(spark, "batch-states")
+        states = landed(events.fold_states(batch), folded_to)
+        if rejects_path:
+            refused = events.validate_events(batch)[1].select("seq", "analysis_id", "status", "reject_reason")
+            stored = store.near(states.select(F.col("analysis_id").alias("id")))
+            unknown = events.orphan_events(states, stored).select(
+                "last.seq", "analysis_id", "last.status", F.lit("unknown job").alias("reject_reason")
+            )
+            refused.unionByName(unknown).write.mode("overwrite").parquet(os.path.join(rejects_path, f"batch_id={batch_id}"))
+        store.apply_states(states, mark)
+        discard(spark, folded_to)
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """What tells a stream from one that starts anew in the same folder: Spark's id in the checkpoint."""
+    return spark.read.text(os.path.join(checkpoint, "metadata")).first()[0]
+
+
 def _drop_before(spark: SparkSession, state_path: str, batch_id: int) -> None:
     """Delete the states of batches before a committed merge, on any file system that Spark reaches."""
     if batch_id < 1:
         return
-    folder = spark._jvm.org.apache.hadoop.fs.Path(state_path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in files.listStatus(folder):
-        name, _, number = found.getPath().getName().partition("=")
-        if name == "batch_id" and number.isdigit() and int(number) < batch_id:
-            files.delete(found.getPath(), True)
+    for name in names_in(spark, state_path):
+        label, _, number = name.partition("=")
+        if label == "batch_id" and number.isdigit() and int(number) < batch_id:
+            discard(spark, os.path.join(state_path, name))
 
 
 def read_states(spark: SparkSession, state_path: str) -> DataFrame:
@@ -87,15 +129,44 @@ def running_fold(stream: DataFrame) -> DataFrame:
     return events.fold_events(stream)
 
 
-def terminal_jobs(stream: DataFrame, bounded_by: str | None = None) -> DataFrame:
-    """Each job once, at the first event that shows it COMPLETED or FAILED.
+def terminal_jobs(stream: DataFrame) -> DataFrame:
+    """Each job once, at the first event that shows it COMPLETED or FAILED; the state of ended jobs is kept for good."""
+    return _ended(stream).dropDuplicates(["analysis_id"])
 
-    ``bounded_by`` is a watermark delay on ``ts``: state of older jobs is then dropped, and a job
-    may appear again if a terminal event arrives later than that.
-    """
+
+def _ended(stream: DataFrame) -> DataFrame:
     accepted, _ = events.validate_events(stream)
-    ended = accepted.where(F.col("status").isin(*rules.TERMINAL_STATUSES))
-    if bounded_by is None:
-        return ended.dropDuplicates(["analysis_id"])
-    timed = ended.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", bounded_by)
-    return timed.dropDuplicatesWithinWatermark(["analysis_id"])
+    return accepted.where(F.col("status").isin(*rules.TERMINAL_STATUSES))
+
+
+_ENDED = "analysis_id long, status string, ts timestamp"
+
+
+def ended_jobs(stream: DataFrame, keep: timedelta = timedelta(days=1), delay: str = "10 minutes") -> DataFrame:
+    """(analysis_id, status, ts) of each job once, at its first terminal event, with state that goes away.
+
+    A job has state from its end on, not before, and a timer drops it once the watermark (``delay`` behind the newest
+    event) is ``keep`` past that end; until then further terminal events of the job are swallowed. So what is held
+    is the jobs that ended of late, however many there ever were; one that ends again after ``keep`` is told again.
+    """
+    kept_ms = int(keep.total_seconds() * 1000)
+
+    def first_end(
+        key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(frames))
+        if state.exists or found.empty:
+            return
+        first = found.sort_values(["ts", "seq"]).iloc[:1]
+        ended = int(first["ts"].iloc[0].timestamp() * 1000)
+        state.update((ended,))
+        state.setTimeoutTimestamp(max(ended + kept_ms, state.getCurrentWatermarkMs() + 1))
+        yield first[["analysis_id", "status", "ts"]]
+
+    timed = _ended(stream).select("analysis_id", "seq", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    return timed.groupBy("analysis_id").applyInPandasWithState(
+        first_end, _ENDED, "ended_ms long", "append", GroupStateTimeout.EventTimeTimeout
+    )

@@ -146,3 +146,30 @@ def test_no_call_is_repeated_by_later_readers(spark, tmp_path):
     assert done.count() == 20 and done.where("id > 3").count() == 16
     assert len(list(tmp_path.iterdir())) == 4
     assert "MapInPandas" not in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transient_errors_are_tried_again_and_answers_are_not(spark, tmp_path):
+    log = str(tmp_path)
+
+    class Failing:
+        attempt = 0
+
+        def generate(self, prompt):
+            import os
+            import uuid
+
+            open(os.path.join(log, f"{prompt}-{self.attempt}-{uuid.uuid4().hex}"), "w").close()
+            if prompt == "p3":
+                raise KeyError
+            if int(prompt[1:]) > self.attempt:
+                raise TimeoutError
+            return f"{prompt} at {self.attempt}"
+
+    df = spark.range(50).select("id", F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("prompt"))
+    done = generate.generate_distinct(df, Failing, attempts=3, pause=0)
+    got = {r.id % 5: (r.summary, r.error_detail) for r in done.collect()}
+    assert done.count() == 50
+    assert got == {0: ("p0 at 0", None), 1: ("p1 at 1", None), 2: ("p2 at 2", None), 3: (None, "KeyError"), 4: (None, "TimeoutError")}
+    calls = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert calls == sorted(["p0-0", "p1-0", "p1-1", "p2-0", "p2-1", "p2-2", "p3-0", "p4-0", "p4-1", "p4-2"])
+    assert generate.generate_distinct(df.limit(0), Failing, attempts=3, pause=0).count() == 0

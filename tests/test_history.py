@@ -218,3 +218,25 @@ def test_store_changes_touch_their_buckets_only(spark, tmp_path):
     assert store.read().count() == 0
     store.put(jobs.limit(2))
     assert store.read().count() == 2
+
+
+def test_bucketed_tables_join_where_they_lie(spark, tmp_path):
+    jobs = history_frame(spark, [(i, "u", 0, "QUEUED", None, None) for i in range(1, 501)])
+    stored = tables.store_bucketed(jobs, str(tmp_path / "jobs"), buckets=8)
+    asked = spark.range(1, 700).select(F.col("id").alias("request_id"), F.col("id"), F.lit("u").alias("user_id"))
+    asked = tables.store_bucketed(asked, str(tmp_path / "asked"), buckets=8)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = history.lookup(asked, stored)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert sum(r.found for r in found.collect()) == 500
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that the plan shows it
+    try:
+        one = stored.where("id = 17")
+        assert "SelectedBucketsCount: 1 out of 8" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")

@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusbrief.functions import rules
+from corpusbrief.functions import paths, rules
 from corpusbrief.operators import assemble, select
+from corpusbrief.operators.numbering import sums_before
 from corpusbrief.operators.skew import SALT, add_salt, find_hot_keys, first_per_group
 
 from . import model
@@ -150,6 +151,49 @@ def test_bundles_shuffle_twice_and_use_no_python(frame):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+def test_places_give_the_same_bundles(spark, frame, repos):
+    selected = select.select_files(frame, emitted_only=True)
+    for cap, budget in ((150, 500_000), (3, 200), (1, 90), (7, 1)):
+        expected = sorted(assemble.assemble(select.cap_sources(selected, cap), budget).collect())
+        assert sorted(assemble.gather(frame, select.capped_places(selected, cap), budget).collect()) == expected
+
+
+def test_no_text_is_sorted_and_none_moves_but_that_of_the_bundles(frame):
+    places = select.capped_places(select.select_files(frame, emitted_only=True), 150)
+    plan = plan_of(assemble.gather(frame, places, 500_000))
+    assert "ShuffledHashJoin" in plan and "Window" not in plan
+    for line in plan.splitlines():
+        if " Sort [" in line or "Window [" in line:
+            assert "content" not in line and "text" not in line
+    measured = plan_of(places)
+    assert "content" not in measured and "text" not in measured
+
+
+def test_a_repository_of_many_important_files_is_spread(spark):
+    """One repository with nearly all rows, all of a class without a cap: no task reads more than a share of them."""
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") < 59_900, F.lit("big")).otherwise(F.concat(F.lit("r"), F.col("id"))).alias("repo_id"),
+        F.concat(F.lit("d"), F.col("id") % 300, F.lit("/"), F.col("id"), F.lit("/README.md")).alias("path"),
+        F.lit("important").alias("file_class"), (F.col("id") % 90 + 40).alias("chars"), F.lit(0).cast("long").alias("_source"),
+    ).repartition(8)
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")  # so small a table would come to one task
+    try:
+        placed = sums_before(rows, "repo_id", ["_source", paths.walk_key("path")], {"start": "chars", "_earlier": "_source"})
+        shares = placed.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set(merged, "true")
+    assert max(r["count"] for r in shares) < 20_000
+    got = [(r.path, r.start) for r in placed.where("repo_id = 'big'").collect()]
+    sizes = {r.path: r.chars for r in rows.where("repo_id = 'big'").collect()}
+    assert len(got) == 59_900
+    at = 0
+    for path, start in sorted(got, key=lambda g: g[1]):
+        assert start == at
+        at += sizes[path]
+    assert [p for p, _ in sorted(got, key=lambda g: g[1])] == model.walk_sorted(list(sizes))
+
+
 def test_path_queries_do_not_read_content(spark, data_dir):
     from corpusbrief.plans.catalog import queries
 

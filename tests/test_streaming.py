@@ -1,14 +1,17 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
 from corpusbrief.operators import events, requests
 from corpusbrief.operators.generate import ExtractiveProvider
+from corpusbrief.plans.briefs import build_bundles
 from corpusbrief.sources import queues, tables
+from corpusbrief.sources.store import HistoryStore
 from corpusbrief.streaming import flow, folds, rates
 
 from . import model
-from .test_history import EVENTS, NOW, events_frame, random_events
+from .test_history import EVENTS, NOW, events_frame, history_frame, random_events
 
 import pytest
 
@@ -67,16 +70,42 @@ def test_running_fold_in_complete_mode(spark, tmp_path):
     assert got == model.fold(rows)
 
 
-@pytest.mark.parametrize("bounded", [None, "1 hour"])
-def test_each_job_becomes_terminal_once(spark, tmp_path, bounded):
-    rows = [(n, n % 7 + 1, "COMPLETED" if n % 3 else "PROCESSING", None, None) for n in range(60)]
+def ended_rows(spark, tmp_path, ended):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
+    rows = [(n, n % 7 + 1, "COMPLETED" if n % 3 else "PROCESSING", None, None) for n in range(60)]
     for part in range(3):
         feed(events_frame(spark, rows[part * 20:(part + 1) * 20]), inbox, part)
     source = queues.read_queue(spark, str(inbox), EVENTS, files_per_trigger=1)
-    ended = folds.terminal_jobs(source, bounded).select("analysis_id")
-    queues.write_queue(ended, out, str(tmp_path / "ckpt")).awaitTermination()
-    assert sorted(r.analysis_id for r in spark.read.parquet(out).collect()) == list(range(1, 8))
+    queues.write_queue(ended(source).select("analysis_id"), out, str(tmp_path / "ckpt")).awaitTermination()
+    return sorted(r.analysis_id for r in spark.read.parquet(out).collect())
+
+
+@pytest.mark.parametrize("ended", [folds.terminal_jobs, folds.ended_jobs])
+def test_each_job_becomes_terminal_once(spark, tmp_path, ended):
+    assert ended_rows(spark, tmp_path, ended) == list(range(1, 8))
+
+
+def test_state_of_ended_jobs_goes_away(spark, tmp_path):
+    """Each hour ten jobs end, some twice; after two hours their state is gone, and a job that ends again is told again."""
+    def hour(h, jobs):
+        at = [(100 * h + n, j, "COMPLETED", None, None, NOW + datetime.timedelta(hours=h, seconds=n)) for n, j in enumerate(jobs)]
+        feed(spark.createDataFrame(at, EVENTS), tmp_path / "in", h)
+
+    (tmp_path / "in").mkdir()
+    source = queues.read_queue(spark, str(tmp_path / "in"), EVENTS, files_per_trigger=1)
+    held = []
+    for h in range(6):
+        jobs = list(range(10 * h + 1, 10 * h + 11))
+        hour(h, jobs + jobs[:3] + ([2] if h == 1 else []) + ([1] if h == 5 else []))
+        ended = folds.ended_jobs(source, keep=datetime.timedelta(hours=2), delay="1 second")
+        query = queues.write_queue(ended.select("analysis_id", "status", "ts"), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    told = sorted(r.analysis_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert told == sorted([*range(1, 61), 1])
+    assert max(held) <= 31 and held[-1] <= 31 and held[0] == 10
+    first = spark.read.parquet(str(tmp_path / "out")).where("analysis_id = 5").first()
+    assert first.ts == NOW + datetime.timedelta(seconds=4)
 
 
 def test_stream_rate_flags_equal_batch_for_closed_minutes(spark, tmp_path):
@@ -140,16 +169,134 @@ def test_repeated_batch_gives_the_same_ids_and_times(spark, tmp_path):
     assert [(r.request_id, r.reject_reason is not None) for r in flow.read_stream_rejects(spark, out).collect()] == [(0, True)]
 
 
+def scanned_files(df):
+    """Files that the scans of a table opened when ``df`` ran, by the plan's own count, and the plan."""
+    df.collect()
+    executed = df._jdf.queryExecution().executedPlan()
+    while executed.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        executed = executed.executedPlan()
+    counts, todo = [], [executed]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            counts.append(node.metrics().apply("numFiles").value())
+        if name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return counts, executed.toString()
+
+
 def test_only_buckets_of_the_wanted_repositories_are_read(spark, tmp_path):
     rows = [(f"r{n % 50}", f"src/f{n}.py", 20, "print('hello world')") for n in range(400)]
     files = spark.createDataFrame(rows, "repo_id string, path string, size long, content string")
     tables.store_files(files, str(tmp_path / "files"), buckets=16)
     stored = spark.read.parquet(str(tmp_path / "files"))
-    wanted = spark.createDataFrame([("r3",), ("r7",)], "repo_id string")
+    everything = max(scanned_files(stored)[0])
+    spark.createDataFrame([("r3",), ("r7",)], "repo_id string").write.parquet(str(tmp_path / "wanted"))
+    wanted = spark.read.parquet(str(tmp_path / "wanted"))
     found = tables.files_of(stored, wanted, buckets=16)
     assert sorted(found.columns) == ["content", "path", "repo_id", "size"] and found.count() == 16
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(repo_bucket" in plan or "PartitionFilters: [repo_bucket" in plan
+    counts, plan = scanned_files(found)
+    assert "dynamicpruning" in plan.lower() and 3 * max(counts) <= everything
+    # the pruning reaches both scans of the bundles
+    bundles = build_bundles(found)
+    assert sorted(r.repo_id for r in bundles.collect()) == ["r3", "r7"]
+    assert "dynamicpruning" in bundles._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_drained_queue_is_empty_and_each_message_came_once(spark, tmp_path):
+    path, ckpt, seen = tmp_path / "queue with blank", str(tmp_path / "ckpt"), []
+
+    def handle(batch, batch_id):
+        if fails and batch_id == fails[0]:
+            raise RuntimeError("worker lost")
+        seen.append((batch_id, sorted(r.n for r in batch.collect())))
+
+    def messages():
+        return [p for p in path.iterdir() if p.name.startswith("part")]
+
+    fails = []
+    for n in (1, 2, 3):
+        feed(spark.createDataFrame([(n,), (n + 10,)], "n long"), path, n)
+    queues.drain_queue(spark, str(path), "n long", handle, ckpt, files_per_trigger=1)
+    assert sorted(x for _, ns in seen for x in ns) == [1, 2, 3, 11, 12, 13] and messages() == []
+    # a pass that breaks off in its second batch leaves that batch's message and what comes after it
+    for n in (4, 5, 6):
+        feed(spark.createDataFrame([(n,)], "n long"), path, n)
+    fails.append(4)
+    with pytest.raises(Exception, match="worker lost"):
+        queues.drain_queue(spark, str(path), "n long", handle, ckpt, files_per_trigger=1)
+    assert len(messages()) == 2
+    fails.clear()
+    queues.drain_queue(spark, str(path), "n long", handle, ckpt, files_per_trigger=1)
+    assert sorted(x for _, ns in seen for x in ns) == [1, 2, 3, 4, 5, 6, 11, 12, 13] and messages() == []
+    queues.drain_queue(spark, str(path), "n long", handle, ckpt, files_per_trigger=1)
+    assert len(seen) == 6
+
+
+def store_rows(store):
+    return sorted((r.id, r.status, r.summary, r.error) for r in store.read().collect())
+
+
+def test_streamed_events_update_the_stored_history(spark, tmp_path):
+    """Twenty batches in disorder, a repeated one and events for jobs that are not there, against one batch fold."""
+    rows = random_events(31, 400, ids=15)
+    jobs = history_frame(spark, [(i, "u", 0, "QUEUED", f"was {i}", None) for i in range(1, 13)])
+    store = HistoryStore(spark, str(tmp_path / "store"), buckets=4)
+    store.put(jobs)
+    order = random.Random(3).sample(range(20), 20)
+    for part in order:
+        feed(events_frame(spark, rows[part * 20:(part + 1) * 20]), tmp_path / "in", part)
+    source = queues.read_queue(spark, str(tmp_path / "in"), EVENTS, files_per_trigger=1)
+    bad = tmp_path / "bad"
+    folds.stream_history(source, store, str(tmp_path / "ckpt"), rejects_path=str(bad)).awaitTermination()
+    expected = sorted(
+        (r.id, r.status, r.summary, r.error) for r in events.apply_events(jobs, events.fold_events(events_frame(spark, rows))).collect()
+    )
+    assert store_rows(store) == expected
+    refused = spark.read.parquet(str(bad))
+    reasons = {r.reject_reason for r in refused.select("reject_reason").distinct().collect()}
+    assert reasons == {"missing id or status", "unknown status", "unknown job"}
+    assert {r.analysis_id for r in refused.where("reject_reason = 'unknown job'").collect()} == {13, 14}
+
+    # the folder stays bounded: two copies of a bucket at most, three manifests
+    data = [p for p in (tmp_path / "store" / "data").glob("version=*/bucket=*")]
+    assert len(data) <= 2 * 4 and len(list((tmp_path / "store" / "manifest").glob("version=*"))) <= 2
+
+    # a lost commit runs the last batch again: it finds itself noted
+    version = store._current().version
+    last = max((p for p in (tmp_path / "ckpt" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    folds.stream_history(source, store, str(tmp_path / "ckpt"), rejects_path=str(bad)).awaitTermination()
+    assert store_rows(store) == expected and store._current().version == version
+
+    # another stream delivers everything once more: the numbers of the events say that nothing is new
+    folds.stream_history(queues.read_queue(spark, str(tmp_path / "in"), EVENTS), store, str(tmp_path / "other")).awaitTermination()
+    assert store_rows(store) == expected and store._current().version > version
+    assert spark.read.parquet(str(bad)).count() == refused.count()
+
+
+def test_a_stored_history_is_read_where_its_jobs_are(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "store"), buckets=8)
+    store.put(history_frame(spark, [(i, "u", 0, "QUEUED", None, None) for i in range(1, 201)]))
+    asked = spark.createDataFrame([(1, 17, "u"), (2, 17, "v"), (3, 999, None)], "request_id long, id long, user_id string")
+    assert sorted((r.request_id, r.found) for r in store.lookup(asked).collect()) == [(1, True), (2, False), (3, False)]
+    near = store.near(asked)
+    assert len(near.inputFiles()) <= 2 < len(store.read().inputFiles())
+    with pytest.raises(ValueError):
+        HistoryStore(spark, str(tmp_path / "store"), buckets=9).read()
+
+
+def test_a_table_that_was_read_outlives_the_next_change(spark, tmp_path):
+    store = HistoryStore(spark, str(tmp_path / "store"), buckets=1)
+    for n in range(1, 5):
+        store.put(history_frame(spark, [(n, "u", 0, "QUEUED", None, None)]))
+    before = store.read()
+    store.put(history_frame(spark, [(9, "u", 0, "QUEUED", None, None)]))
+    assert before.count() == 4 and store.read().count() == 5
 
 
 def test_states_compact_while_the_query_lives(spark, tmp_path):

@@ -124,3 +124,41 @@ def test_binary_files_are_not_read_past_the_head(spark, roots):
     paths, _ = roots
     row = tree.read_trees(spark, {"one": paths["one"]}).where("path = 'Makefile'").first()
     assert row.content is None and b"\0" in row.head
+
+
+def pushed(spark, roots, condition):
+    scanned = tree.read_trees(spark, roots).where(condition)
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    return sorted((r.repo_id, r.path, r.read_error is None) for r in scanned.select("repo_id", "path", "read_error").collect()), plan
+
+
+@pytest.mark.parametrize("condition", [
+    "repo_id = 'two'", "repo_id IN ('two', 'none')", "path LIKE 'src/d3/%'", "path LIKE '%.py'", "repo_id = 'one' AND path LIKE 'a/b/%.go'",
+    "path = 'src/d1/f1.py'", "path IN ('README.md', 'src/d2/f2.py')", "repo_id <=> 'one'", "size > 100 AND repo_id = 'one'", "path LIKE '%e%'",
+    "repo_id = 'one' AND repo_id = 'two'", "read_error IS NOT NULL",
+])
+def test_filters_reach_the_source(spark, roots, condition):
+    paths, _ = roots
+    everything = spark.createDataFrame(tree.read_trees(spark, paths).collect(), tree.FILES_SCHEMA)
+    expected = sorted((r.repo_id, r.path, r.read_error is None) for r in everything.where(condition).collect())
+    assert pushed(spark, paths, condition)[0] == expected
+
+
+def test_other_roots_and_files_are_not_opened(spark, roots, tmp_path):
+    paths, _ = roots
+    # a root that is not there gives an error row when it is listed, and none when the filter leaves it out
+    with_missing = {**paths, "gone": str(tmp_path / "gone")}
+    assert ("gone", ".", False) in pushed(spark, with_missing, "true")[0]
+    assert {r for r, _, _ in pushed(spark, with_missing, "repo_id = 'two'")[0]} == {"two"}
+    assert pushed(spark, with_missing, "path LIKE 'src/%' AND repo_id = 'gone'")[0] == []
+    reader = tree._FilteredTreeReader(with_missing, True, True)
+    left = reader.pushFilters([tree.EqualTo(("repo_id",), "two"), tree.StringStartsWith(("path",), "src/d3/"), tree.IsNotNull(("path",)),
+                               tree.IsNotNull(("size",))])
+    assert [type(f).__name__ for f in left] == ["IsNotNull"] and left[0].attribute == ("size",)
+    units = reader.partitions()
+    assert {u.repo_id for u in units} == {"two"}
+    rows = [row for u in units for row in reader.read(u)]
+    assert rows and all(row[1].startswith("src/d3/") for row in rows)
+    # Spark keeps no filter of its own for what the source took
+    plan = pushed(spark, paths, "repo_id = 'two' AND path LIKE 'src/d3/%'")[1]
+    assert "Filter (" not in plan
