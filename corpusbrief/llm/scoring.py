@@ -28,6 +28,8 @@ COMMON_GRAMS = 1 << 21
 WORD_SHARE = 1 / 200_000
 _CHUNK = 1 << 21
 _FLUSH = 1 << 21
+#: Bytes of short texts that are looked up at a time.
+_TOGETHER = 1 << 19
 
 
 # --- gathering -----------------------------------------------------------------------------------------------
@@ -38,11 +40,45 @@ def _grams(texts: Iterable[bytes], depth: int) -> Iterator[np.ndarray]:
     for text in texts:
         padded = b"\xff" * depth + text.translate(LOWER) + b"\xff"
         for start in range(0, len(padded) - depth, _CHUNK):
-            part = np.frombuffer(padded, np.uint8, min(_CHUNK + depth, len(padded) - start), start).astype(np.int64)
-            codes = np.zeros(len(part) - depth, np.int64)
-            for i in range(depth + 1):
-                codes = (codes << 8) | part[i : len(part) - depth + i]
-            yield codes
+            yield _codes(np.frombuffer(padded, np.uint8, min(_CHUNK + depth, len(padded) - start), start), depth)
+
+
+def _codes(part: np.ndarray, depth: int) -> np.ndarray:
+    part = part.astype(np.int64)
+    codes = np.zeros(len(part) - depth, np.int64)
+    for i in range(depth + 1):
+        codes = (codes << 8) | part[i : len(part) - depth + i]
+    return codes
+
+
+def _grams_by_text(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(grams, number of the text each is of): many short texts at a time, a long one in chunks."""
+    held: list[int] = []
+    size = 0
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        pad = b"\xff" * depth
+        joined = pad.join([b"", *[texts[i].translate(LOWER) + b"\xff" for i in held]])
+        owner = np.repeat(np.array(held), [len(texts[i]) + 1 + depth for i in held])[depth:]
+        # a gram that ends in the padding before a text belongs to none
+        starts = np.cumsum([0] + [len(texts[i]) + 1 + depth for i in held[:-1]])
+        real = np.ones(len(owner), bool)
+        for back in range(1, depth + 1):
+            real[starts[1:] - back] = False
+        return _codes(np.frombuffer(joined, np.uint8), depth)[real], owner[real]
+
+    for i, text in enumerate(texts):
+        if len(text) >= _TOGETHER:
+            for codes in _grams([text], depth):
+                yield codes, np.full(len(codes), i)
+            continue
+        held.append(i)
+        size += len(text)
+        if size >= _TOGETHER:
+            yield together()
+            held, size = [], 0
+    if held:
+        yield together()
 
 
 class _Counts:
@@ -123,31 +159,6 @@ def count_words(train: DataFrame, text: str = "text") -> DataFrame:
 # --- the context tree ----------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class ContextTree:
-    """``child[node, byte]``: the node of the context one byte longer, -1 if it has none; ``log10[node, byte]``:
-    what the weighted tree gives the byte where ``node`` is the longest kept context."""
-
-    child: np.ndarray
-    log10: np.ndarray
-    depth: int
-
-    def score(self, text: bytes) -> float:
-        """log10 probability of the whole text and its end."""
-        total = 0.0
-        padded = b"\xff" * self.depth + text.translate(LOWER) + b"\xff"
-        for start in range(0, len(padded) - self.depth, _CHUNK):
-            part = np.frombuffer(padded, np.uint8, min(_CHUNK + self.depth, len(padded) - start), start)
-            n = len(part) - self.depth
-            node, alive = np.zeros(n, np.int32), np.ones(n, bool)
-            for back in range(1, self.depth + 1):
-                longer = self.child[node, part[self.depth - back : self.depth - back + n]]
-                alive &= longer >= 0
-                node = np.where(alive, longer, node)
-            total += float(self.log10[node, part[self.depth :]].sum(dtype=np.float64))
-        return total
-
-
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by eight."""
     y = x + 8
@@ -176,83 +187,6 @@ def _one(tree: np.ndarray) -> np.ndarray:
     return (ones + 0.5) / (zeros + ones + 1)
 
 
-def weigh(contexts: list[list[int]], leaves: Iterable[tuple[int, int, int, int]], depth: int) -> ContextTree:
-    """Mix the estimates of all depths.
-
-    ``contexts[d]``: kept contexts of depth d, whose lowest byte is the most recent one; every kept context's
-    shorter ones are kept. ``leaves``: (depth, context, byte, n) where context is the longest kept one. A node's
-    probability is half its own estimate and half the product of its children's, "rest" among them.
-    """
-    names = [(d, c) for d in range(depth + 1) for c in (contexts[d] if d else [0])]
-    number = {name: i for i, name in enumerate(names)}
-    up = np.array([number[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else -1 for d, c in names])
-    level = np.array([d for d, _ in names])
-    rest = np.zeros((len(names), 256))
-    for d, c, byte, n in leaves:
-        rest[number[d, c], byte] += n
-    full = rest.copy()
-    for d in range(depth, 0, -1):
-        np.add.at(full, up[level == d], full[level == d])
-    own, own_one = _evidence(tree := _branches(full)), _one(tree)
-    rest_evidence, rest_one = _evidence(tree := _branches(rest)), _one(tree)
-    below, weighted = rest_evidence, np.zeros_like(own)
-    stay = np.ones_like(own)
-    for d in range(depth, -1, -1):
-        at = level == d
-        if d == depth:
-            weighted[at] = own[at]
-        else:
-            stop = own[at] - np.log(2)
-            weighted[at] = np.logaddexp(stop, below[at] - np.log(2))
-            stay[at] = np.exp(stop - weighted[at])
-        if d:
-            np.add.at(below, up[at], weighted[at])
-    one, left = np.zeros_like(own), np.ones_like(own)
-    for d in range(depth + 1):
-        at = np.flatnonzero(level == d)
-        if d:
-            one[at], left[at] = one[up[at]], left[up[at]]
-        one[at] += left[at] * stay[at] * own_one[at]
-        left[at] *= 1 - stay[at]
-    one += left * rest_one  # nothing is left at the full depth
-    logs = np.zeros((len(names), 512))
-    one = np.clip(one, 1e-300, 1 - 1e-16)
-    for j in range(1, 256):
-        logs[:, 2 * j] = logs[:, j] + np.log10(1 - one[:, j])
-        logs[:, 2 * j + 1] = logs[:, j] + np.log10(one[:, j])
-    child = np.full((len(names), 256), -1, np.int32)
-    for i, (d, c) in enumerate(names[1:], 1):
-        child[up[i], c >> 8 * (d - 1)] = i
-    return ContextTree(child, logs[:, 256:].astype(np.float32), depth)
-
-
-def fit_context_tree(train: DataFrame, text: str = "text", depth: int = DEPTH, share: float = 0.0) -> ContextTree:
-    """The model of small training tables: bytes are counted with Spark, and the contexts with at least ``share`` of
-    them are weighted on the driver. ``gram_probabilities`` has no such bound."""
-    ship_package(train.sparkSession)
-    grams = landed(count_grams(train, text, depth))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    context = lambda d: F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1))
-    kept: list[list[int]] = [[0]]
-    for d in range(1, depth + 1):
-        frequent = grams.groupBy(context(d).alias("c")).agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(share * total))
-        kept.append(sorted(r["c"] for r in frequent.select("c").collect()))
-    longest, where = grams, F.lit(0)
-    spark = train.sparkSession
-    for d in range(1, depth + 1):
-        # at most 1 / share rows
-        names = spark.createDataFrame([(c,) for c in kept[d]], f"c{d} long")
-        longest = longest.join(F.broadcast(names), context(d) == F.col(f"c{d}"), "left")
-        where = F.when(F.col(f"c{d}").isNotNull(), F.lit(d)).otherwise(where)
-    leaf = F.coalesce(*[F.col(f"c{d}") for d in range(depth, 0, -1)], F.lit(0))
-    leaves = (
-        longest.groupBy(where.alias("d"), leaf.alias("c"), F.col("gram").bitwiseAND(F.lit(255)).alias("byte"))
-        .agg(F.sum("n").alias("n")).toArrow()
-    )
-    rows = zip(*(leaves[c].to_pylist() for c in ("d", "c", "byte", "n")), strict=True)
-    return weigh(kept, rows, depth)
-
-
 # --- the tree as a table -------------------------------------------------------------------------------------
 
 
@@ -441,6 +375,46 @@ def gram_probabilities(docs: DataFrame, train: DataFrame, text: str = "text", de
     return landed(dealt.mapInArrow(probabilities, "gram long, m long, log10 double"))
 
 
+@dataclass(frozen=True)
+class Lookup:
+    """Sorted grams with their log probabilities, and a hash table of their places: open addressing, half filled."""
+
+    codes: np.ndarray
+    log10: np.ndarray
+    slots: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, log10: np.ndarray) -> Lookup:
+        slots = np.full(1 << max(1, (2 * len(codes)).bit_length()), -1, np.int32)
+        waiting = np.arange(len(codes), dtype=np.int32)
+        spot = _spots(codes, len(slots))
+        while len(waiting):
+            first = np.unique(np.where(slots[spot] < 0, spot, -1), return_index=True)[1]
+            first = first[slots[spot[first]] < 0]
+            slots[spot[first]] = waiting[first]
+            left = np.ones(len(waiting), bool)
+            left[first] = False
+            waiting, spot = waiting[left], (spot[left] + 1) & (len(slots) - 1)
+        return cls(codes, log10, slots)
+
+    def places(self, grams: np.ndarray) -> np.ndarray:
+        """Where each gram is among the codes, -1 for one that is not."""
+        spot = _spots(grams, len(self.slots))
+        found = self.slots[spot]
+        # a slot of another gram: go on with the next one, until a slot is free
+        open_ = np.flatnonzero((found >= 0) & (self.codes[found] != grams)) if len(self.codes) else np.zeros(0, int)
+        while len(open_):
+            spot[open_] = (spot[open_] + 1) & (len(self.slots) - 1)
+            found[open_] = self.slots[spot[open_]]
+            open_ = open_[(found[open_] >= 0) & (self.codes[found[open_]] != grams[open_])]
+        return found
+
+
+def _spots(codes: np.ndarray, size: int) -> np.ndarray:
+    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
 # --- scoring -------------------------------------------------------------------------------------------------
 
 _FIELDS = {
@@ -471,15 +445,13 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
         least = row["digits"]
     is_common = (F.col("m") > 0) & (digits >= least)
     common = grams.where(is_common).select("gram", "log10").toArrow()
-    order = np.argsort(codes := common["gram"].to_numpy())
-    model = spark.sparkContext.broadcast((codes[order], common["log10"].to_numpy()[order]))
+    model = spark.sparkContext.broadcast(Lookup.of(common["gram"].to_numpy(), common["log10"].to_numpy()))
     counts = landed(count_words(train, text))
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     is_frequent = F.col("n") >= F.lit(max(1, tokens * WORD_SHARE))
     frequent = spark.sparkContext.broadcast({bytes(r[0]): math.log10(r[1] + 1) for r in counts.where(is_frequent).toLocalIterator()})
 
-    def each(text: bytes | None) -> tuple:
-        text = text or b""
+    def by_words(text: bytes) -> tuple[int, int, float, list[bytes], list[int]]:
         found = Counter(words(text.translate(LOWER)))
         found[b""] += 1
         known, logs, rare, rare_n, table = 0, 0.0, [], [], frequent.value
@@ -490,19 +462,35 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
             else:
                 rare.append(word)
                 rare_n.append(n)
-        score, grams, grams_n = 0.0, [], []
-        codes, log10 = model.value
-        for part in _grams([text], DEPTH):
-            part, n = np.unique(part, return_counts=True)
-            at = np.minimum(np.searchsorted(codes, part), max(0, len(codes) - 1))
-            here = codes[at] == part if len(codes) else np.zeros(len(part), bool)
-            score += float((log10[at[here]] * n[here]).sum())
-            grams += part[~here].tolist()
-            grams_n += n[~here].tolist()
-        return sum(found.values()), known, logs, score, len(text), rare, rare_n, grams, grams_n
+        return sum(found.values()), known, logs, rare, rare_n
+
+    def by_grams(texts: list[bytes]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+        """Each text's sum over the common grams, and its other grams with their numbers."""
+        scores, grams, grams_n = np.zeros(len(texts)), [[] for _ in texts], [[] for _ in texts]
+        table = model.value
+        for codes, owner in _grams_by_text(texts, DEPTH):
+            at = table.places(codes)
+            here = at >= 0
+            scores += np.bincount(owner[here], table.log10[at[here]], len(texts))
+            codes, owner = codes[~here], owner[~here]
+            order = np.lexsort((codes, owner))
+            codes, owner = codes[order], owner[order]
+            new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])][: len(codes)])
+            for who, gram, n in zip(owner[new].tolist(), codes[new].tolist(), np.diff(np.r_[new, len(codes)]).tolist()):
+                grams[who].append(gram)
+                grams_n[who].append(n)
+        return scores, grams, grams_n
 
     def run(texts: pa.Array) -> pa.Array:
-        made = [struct_of([each(t) for t in part], _FIELDS) for (part,) in pieces([texts])]
+        made = []
+        for (part,) in pieces([texts]):
+            part = [t or b"" for t in part]
+            scores, grams, grams_n = by_grams(part)
+            rows = []
+            for text, score, own, own_n in zip(part, scores.tolist(), grams, grams_n, strict=True):
+                total, known, logs, rare, rare_n = by_words(text)
+                rows.append((total, known, logs, score, len(text), rare, rare_n, own, own_n))
+            made.append(struct_of(rows, _FIELDS))
         return pa.concat_arrays(made) if made else struct_of([], _FIELDS)
 
     kinds = "struct<" + ",".join(f"{n}:{k}" for n, k in _FIELDS.items()) + ">"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusbrief.llm import contamination, language, licenses, mixing, neardup, quality, scoring, substrings, urls, warc
+from tests.llm.context_tree import weigh
 from tests.llm.test_registered import classes, fingerprint, repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, host string, __x int"
@@ -154,7 +155,7 @@ def test_context_tree_is_a_distribution_and_exact():
         for c in codes.tolist():
             counts[c] = counts.get(c, 0) + 1
     contexts = [[0], sorted({c >> 8 & 0xFF for c in counts}), sorted({c >> 8 for c in counts})]
-    tree = scoring.weigh(contexts, [(2, c >> 8, c & 0xFF, n) for c, n in counts.items()], 2)
+    tree = weigh(contexts, [(2, c >> 8, c & 0xFF, n) for c, n in counts.items()], 2)
     assert np.allclose((10 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
     # the recursion written out for one context
     kt = lambda z, o: math.exp(math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1)) / math.pi
@@ -197,9 +198,6 @@ def test_rare_contexts_and_words_are_pooled(spark, docs, monkeypatch):
     joined = scoring.score_texts(docs, docs.select("text")).orderBy("doc_id", "n_tokens").collect()
     for a, b in zip(plain, joined):
         assert (a.n_known, a.score) == (b.n_known, b.score) and math.isclose(a.base_score, b.base_score, rel_tol=1e-9)
-    pooled = scoring.fit_context_tree(docs.select("text"), share=0.05)
-    assert all((pooled.child >= 0).sum() <= 4 * 20 for _ in range(1))
-    assert np.allclose((10 ** pooled.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
 def test_all_contexts_seen_twice_are_weighted(spark, monkeypatch):
@@ -220,7 +218,7 @@ def test_all_contexts_seen_twice_are_weighted(spark, monkeypatch):
     for c, n in counts.items():
         d = max(d for d in range(scoring.DEPTH + 1) if c >> 8 & (1 << 8 * d) - 1 in kept[d])
         leaves.append((d, c >> 8 & (1 << 8 * d) - 1, c & 0xFF, n))
-    tree = scoring.weigh(contexts, leaves, scoring.DEPTH)
+    tree = weigh(contexts, leaves, scoring.DEPTH)
     expected = {r.doc_id: tree.score((r.text or "").encode()) for r in docs.collect()}
     for common in (scoring.COMMON_GRAMS, 20):  # most grams are joined
         monkeypatch.setattr(scoring, "COMMON_GRAMS", common)
@@ -228,6 +226,29 @@ def test_all_contexts_seen_twice_are_weighted(spark, monkeypatch):
         assert len(got) == 62 and all(math.isclose(r.score, expected[r.doc_id], rel_tol=1e-5) for r in got)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
+def test_lookup_finds_what_is_there_and_nothing_else(n):
+    rng = np.random.default_rng(n)
+    codes = np.unique(rng.integers(0, 1 << 48, n))
+    rng.shuffle(codes)
+    table = scoring.Lookup.of(codes, rng.random(len(codes)))
+    asked = np.concatenate([codes, rng.integers(0, 1 << 48, 5000), codes[:10]])
+    number = {c: i for i, c in enumerate(codes.tolist())}
+    assert table.places(asked).tolist() == [number.get(c, -1) for c in asked.tolist()]
+
+
+def test_grams_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(4)
+    texts = [bytes(rng.choices(b"abC \xc3\xa9", k=rng.choice([0, 1, 5, 90, 700]))) for _ in range(80)]
+    for together in (1, 100, 1 << 19):
+        monkeypatch.setattr(scoring, "_TOGETHER", together)
+        found = [[] for _ in texts]
+        for codes, owner in scoring._grams_by_text(texts, scoring.DEPTH):
+            for code, who in zip(codes.tolist(), owner.tolist(), strict=True):
+                found[who].append(code)
+        assert found == [np.concatenate(list(scoring._grams([t], scoring.DEPTH))).tolist() for t in texts]
+
+
 def test_contexts_grow_with_the_training_texts(spark):
     # each context holds less than 1 / 16,384 of the bytes, and is seen often enough to be learned
     words = [f"{i:05d}" for i in range(0, 100_000, 5)]
