@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -225,8 +225,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", kee
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that with the smallest key (nulls last; of repeated rows any one).
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Callable[..., DataFrame] = link_documents) -> DataFrame:
+    """One row of each component, that with the smallest key (nulls last; of repeated rows any one). ``link`` adds
+    the components, as component_root.
 
     Only keys and hashes take part in the choice; the documents themselves move once, when they meet the chosen
     keys. Rows with one key are told apart by two hashes of their texts.
@@ -234,7 +235,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     source = F.col(quoted(text))
     hashes = {f"__h{i}": F.xxhash64(F.lit(i), source) for i in (1, 2)}
     chosen_by = [F.col(quoted(key)).isNull().alias("none"), F.col(quoted(key)).alias("k"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2")]
-    linked = link_documents(docs.select(quoted(key), quoted(text)).withColumns(hashes), key, text)
+    linked = link(docs.select(quoted(key), quoted(text)).withColumns(hashes), key, text)
     # rows of one key and text are one candidate; their number tells whether any are repeated
     rows = linked.groupBy("component_root", F.struct(*chosen_by).alias("row")).agg(F.count(F.lit(1)).alias("copies"))
     first = landed(rows.groupBy("component_root").agg(F.min_by("copies", "row").alias("copies"), F.min("row").alias("row")))

@@ -198,14 +198,19 @@ def _compare_windows(strings: DataFrame, length: int, path: str) -> DataFrame:
     return found.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
 
 
-def _cut(texts: DataFrame, covered: DataFrame, keep_text: bool) -> DataFrame:
-    """Remove the covered bytes of each text; with ``keep_text`` also the text left, without broken characters."""
+_SPANS = "array<struct<a:long,b:long>>"
+
+
+def _cut(texts: DataFrame, covered: DataFrame, keep_text: bool, keep_spans: bool) -> DataFrame:
+    """Remove the covered bytes of each text; with ``keep_text`` also the text left, without broken characters, with
+    ``keep_spans`` the removed ranges of bytes."""
     lists = covered.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     joined = texts.where("copies = 1").join(lists.hint("shuffle_hash"), ["k1", "k2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "removed", "spans", "sha", "left"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        names = ["k1", "k2", "removed", "spans", "sha", "left", "ranges"]
+        ranges = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), ranges]
         for part in (part for batch in batches for part in pieces(batch.columns)):
             rows = []
             for k1, k2, text, spans in zip(*part, strict=True):
@@ -214,21 +219,24 @@ def _cut(texts: DataFrame, covered: DataFrame, keep_text: bool) -> DataFrame:
                 left = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
                 kept = b"".join(left)
                 whole = "".join(p.decode("utf-8", "ignore") for p in left) if keep_text else None
-                rows.append((k1, k2, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), whole))
+                places = [{"a": a, "b": b} for a, b in cuts] if keep_spans else None
+                rows.append((k1, k2, len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), whole, places))
             columns = zip(zip(*rows, strict=True), kinds, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
 
     return joined.select("k1", "k2", F.col("text").cast("binary"), "spans").mapInArrow(
-        run, "k1 long, k2 long, removed long, spans long, sha string, left string"
+        run, f"k1 long, k2 long, removed long, spans long, sha string, left string, ranges {_SPANS}"
     )
 
 
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_text: bool = False,
+    keep_spans: bool = False,
 ) -> DataFrame:
     """Add n_bytes, n_removed, n_spans and kept_sha256: every byte goes that a ``length``-byte string covers which
     also starts elsewhere, in the same or another document. With ``keep_text`` the text stays and ``kept`` is what
-    is left of it (a character that is cut through goes as a whole).
+    is left of it (a character that is cut through goes as a whole); with ``keep_spans`` ``removed`` lists the ranges of
+    bytes (null where nothing goes).
 
     Texts with copies are removed whole, if they have ``length`` bytes, and only one copy of each takes part in
     the passes. These texts are stored in buckets by their two hash keys, so both joins that need texts move
@@ -237,19 +245,42 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     ship_package(spark)
-    others = [c for c in docs.columns if c not in COLUMNS and (keep_text or c != text)]
+    taken = [*COLUMNS, "removed"] if keep_spans else COLUMNS
+    others = [c for c in docs.columns if c not in taken and (keep_text or c != text)]
     source = F.coalesce(F.col(quoted(text)), F.lit(""))
     keys = {"k1": F.xxhash64(source), "k2": F.xxhash64(F.lit(1), source)}
     # the tables of the passes go into one folder, which is deleted when their result is written
     work = shared_path(spark, "repeats")
     name = "texts_" + hashlib.sha256(work.encode()).hexdigest()[:24]
     long = docs.select(source.alias("text"), *[c.alias(n) for n, c in keys.items()]).where(F.octet_length("text") >= length)
-    (
-        long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-        .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").sortBy("k1", "k2")
-        .option("path", f"{work}/texts").option("compression", "zstd").format("parquet").saveAsTable(name)
+    try:
+        (
+            long.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+            .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "k1", "k2").sortBy("k1", "k2")
+            .option("path", f"{work}/texts").option("compression", "zstd").format("parquet").saveAsTable(name)
+        )
+        found = _repeats(spark.table(name), work, length, gram, group, keep_text, keep_spans)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, work)
+    marked = docs.select(
+        *[quoted(c) for c in others], source.alias("__text"), F.octet_length(source).cast("long").alias("__bytes"),
+        F.sha2(source.cast("binary"), 256).alias("__own"), *[c.alias(f"__d{n}") for n, c in keys.items()],
+    )
+    joined = marked.join(found, (F.col("__dk1") == F.col("__k1")) & (F.col("__dk2") == F.col("__k2")), "left")
+    return joined.select(
+        *[quoted(c) for c in others], F.col("__bytes").alias("n_bytes"),
+        F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("__sha", "__own").alias("kept_sha256"), *([F.coalesce("__left", "__text").alias("kept")] if keep_text else []),
+        *([F.col("__ranges").alias("removed")] if keep_spans else []),
     )
-    texts = spark.table(name)
+
+
+def _repeats(
+    texts: DataFrame, work: str, length: int, gram: int, group: int, keep_text: bool, keep_spans: bool,
+) -> DataFrame:
+    """What goes from each of the distinct ``texts(k1, k2, text, copies)`` that lose anything; written."""
+    spark = texts.sparkSession
     runs = landed(_find_runs(texts, length, gram), f"{work}/runs")
     # small tables are written before they are joined: over plain shuffles AQE can split a hot anchor
     shared = landed(runs.groupBy("anchor").count().where(F.col("count") > 1).select("anchor"), f"{work}/shared")
@@ -271,21 +302,10 @@ def remove_repeats(
     covered = whole.unionByName(_compare_groups(strings.where(F.col("kinds") <= group), length)).unionByName(
         _compare_windows(strings.where(F.col("kinds") > group), length, f"{work}/windows")
     )
-    changed = _cut(texts, covered, keep_text)
+    changed = _cut(texts, covered, keep_text, keep_spans)
     gone = texts.where("copies > 1").select(
         "k1", "k2", F.octet_length("text").cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"),
         F.sha2(F.lit("").cast("binary"), 256).alias("sha"), F.lit("").alias("left"),
+        F.array(F.struct(F.lit(0).cast("long").alias("a"), F.octet_length("text").cast("long").alias("b"))).alias("ranges"),
     )
-    found = landed(changed.unionByName(gone).withColumnsRenamed({c: f"__{c}" for c in changed.columns}))
-    spark.sql(f"DROP TABLE {name}")
-    discard(spark, work)
-    marked = docs.select(
-        *[quoted(c) for c in others], source.alias("__text"), F.octet_length(source).cast("long").alias("__bytes"),
-        F.sha2(source.cast("binary"), 256).alias("__own"), *[c.alias(f"__d{n}") for n, c in keys.items()],
-    )
-    joined = marked.join(found, (F.col("__dk1") == F.col("__k1")) & (F.col("__dk2") == F.col("__k2")), "left")
-    return joined.select(
-        *[quoted(c) for c in others], F.col("__bytes").alias("n_bytes"),
-        F.coalesce("__removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("__spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("__sha", "__own").alias("kept_sha256"), *([F.coalesce("__left", "__text").alias("kept")] if keep_text else []),
-    )
+    return landed(changed.unionByName(gone).withColumnsRenamed({c: f"__{c}" for c in changed.columns}))

@@ -3,14 +3,17 @@
 import base64
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
+from corpusbrief.llm import language
 from corpusbrief.llm import queries as registered
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -227,15 +230,44 @@ def test_contamination(spark, data_dir, run, docs):
         assert tuple(got[d]) == (d, len(found), len(hit), len(owners), digest, bool(hit))
 
 
-def test_language(run, docs):
+def naive_language(model, text):
+    """(language, score, rejected) from plain compressed sizes of all pieces of the text with each dictionary."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    body, sizes = low(text).encode(), {}
+    for name, content in model.contents:
+        raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressor = zstandard.ZstdCompressor(level=model.level, dict_data=raw, write_content_size=False, write_dict_id=False)
+        sizes[name] = sum(len(compressor.compress(body[i : i + model.chunk])) for i in range(0, len(body), model.chunk))
+    best = min(sizes, key=lambda n: (sizes[n], n))
+    second = min(sizes[n] for n in sizes if n != best)
+    score = (second - sizes[best]) / second
+    return best, score, score < 0.04
+
+
+def test_language(spark, data_dir, run, docs):
     got = run("op10_language")
     truth = {d: lang for d, _, lang, _ in docs}
+    model = registered.fitted_languages(spark.read.parquet(f"{data_dir}/documents.parquet"))
+    for d, text, *_ in docs:
+        r = got[d]
+        best, score, rejected = naive_language(model, text)
+        assert (r.lang_pred, r.rejected) == (best, rejected) and math.isclose(r.score, score)
     held = [r for r in got.values() if r.held_out]
     assert {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 4 == 2}
     assert {r.lang_pred for r in got.values()} <= {*truth.values(), "und"}
-    assert all(0 <= r.score <= 1 for r in got.values())
-    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.85 * len(held)
-    assert all(r.lang_pred == "und" for r in got.values() if not any(c.isalpha() for c in next(t for d, t, *_ in docs if d == r.doc_id) or ""))
+    right = [r for r in held if r.lang_pred == truth[r.doc_id]]
+    assert len(right) >= 0.95 * len(held) and sum(r.rejected for r in right) <= 0.05 * len(right)
+
+
+def test_what_no_dictionary_knows_is_rejected(spark, data_dir):
+    model = registered.fitted_languages(spark.read.parquet(f"{data_dir.replace('0.001', '0.01')}/documents.parquet"))
+    rng = random.Random(1)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000))
+    digits = "".join(rng.choices("0123456789abcdef", k=20_000))
+    other = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 4
+    for text in (noise, digits, other):
+        assert language.judge(model, text.encode())[3]
 
 
 def test_results_have_one_row_each(spark, data_dir):
