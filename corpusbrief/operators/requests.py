@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -108,3 +109,26 @@ def rate_flags(
     """Minutes in which a user, or the guests together, went over the limit."""
     allowed = F.when(F.col("is_guest"), F.lit(guest)).otherwise(F.lit(user))
     return rate_counts(requests, at, user_column).where(F.col("n") > allowed)
+
+
+def rate_keys(at: str = "created_at", user: str = "user_id") -> dict[str, Column]:
+    """Whose limit a request counts against, and its minute; guests share one limit."""
+    guest = F.coalesce(F.col(user), F.lit("")) == ""
+    return {"_guest": guest, "_key": F.when(guest, F.lit("")).otherwise(F.col(user)), "_minute": F.date_trunc("minute", at)}
+
+
+def admit(
+    requests: DataFrame, guest: int = rules.GUEST_PER_MINUTE, user: int = rules.USER_PER_MINUTE,
+    at: str = "created_at", user_column: str = "user_id", order: str = "id",
+) -> DataFrame:
+    """Every request with ``admitted``: it is among the first of its user's minute, as many as the limit allows.
+
+    Within a minute the order is that of ``at``, then of ``order``, which must be unique. A request without a time is
+    not admitted. A group is one minute of one user, or of all guests, so a busy user spreads over their minutes.
+    """
+    keyed = requests.withColumns(rate_keys(at, user_column))
+    # requests without a time are no group
+    alone = F.when(F.col(at).isNull(), F.col(order))
+    place = F.row_number().over(W.partitionBy("_guest", "_key", "_minute", alone).orderBy(at, order))
+    limit = F.when(F.col("_guest"), F.lit(guest)).otherwise(F.lit(user))
+    return keyed.withColumn("admitted", F.col(at).isNotNull() & (place <= limit)).drop("_guest", "_key", "_minute")

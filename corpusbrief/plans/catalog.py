@@ -295,6 +295,13 @@ def q_rate_flags(spark, sf_dir):
     return requests.rate_flags(_history(spark, sf_dir), guest=1, user=1)
 
 
+@_query
+def q_admission(spark, sf_dir):
+    """The history's jobs as requests, of which a user may send two a minute and the guests together one."""
+    asked = _history(spark, sf_dir).select("id", "user_id", "created_at")
+    return requests.admit(asked, guest=1, user=2)
+
+
 # --- prompts and responses -----------------------------------------------------------------------
 
 @_query
@@ -718,6 +725,17 @@ def q_stream_rate_flags(spark, sf_dir):
     return spark.read.schema(flags.schema).parquet(path).withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
+@_query
+def q_stream_admission(spark, sf_dir):
+    """The same requests, arriving as a stream."""
+    source = table(spark, sf_dir, "events")
+    arriving = view_of(queues.read_queue(spark, f"{sf_dir}/events.parquet*", source.schema), "history")
+    decided = rates.stream_admission(arriving.select("id", "user_id", "created_at"), guest=1, user=2)
+    path = shared_path(spark, "admissions")
+    queues.write_queue(decided, path, shared_path(spark, "admission-state")).awaitTermination()
+    return spark.read.schema(decided.schema).parquet(path).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
 def _brief_requests(spark: SparkSession, sf_dir: str, requests_view: DataFrame) -> DataFrame:
     """Each request asks for one repository of the corpus, or for one that has no files."""
     repos = F.array(*(F.lit(r) for r in (*REPO_PARAMS, "es", "none")))

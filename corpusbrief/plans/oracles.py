@@ -244,6 +244,14 @@ SELECT request_id, id, found, repository_url, status,
     ELSE 'Analysis not found or access denied.' END END AS not_found_message
 FROM seen"""
 
+_ADMISSION_SQL = f"""WITH {_HISTORY}, asked AS (
+  SELECT id, user_id, created_at, coalesce(user_id, '') AS owner, (
+    SELECT count(*) FROM history e WHERE coalesce(e.user_id, '') = coalesce(h.user_id, '')
+      AND date_trunc('minute', e.created_at) = date_trunc('minute', h.created_at)
+      AND (e.created_at < h.created_at OR (e.created_at = h.created_at AND e.id < h.id))) AS earlier
+  FROM history h)
+SELECT id, user_id, created_at, earlier < CASE WHEN owner = '' THEN 1 ELSE 2 END AS admitted FROM asked"""
+
 _FOLD_SQL = f"WITH {_FOLDED} SELECT * FROM folds"
 
 
@@ -326,6 +334,8 @@ def oracle_sql() -> dict[str, str]:
               {_text(rules.CLONE_FAILED)} || stderr[1:{rules.ERROR_DETAIL_CHARS}] AS stored_error
             FROM s""",
         "q_rate_flags": _FLAGS,
+        "q_admission": _ADMISSION_SQL,
+        "q_stream_admission": _ADMISSION_SQL,
         "q_prompt": f"""WITH {_PROMPTED}
             SELECT repo_id, length(prompt) AS prompt_chars, md5(prompt) AS prompt_md5, sha256(prompt)[1:16] AS prompt_hash FROM prompted""",
         "q_chat_request": f"""WITH {_PROMPTED}, body AS (

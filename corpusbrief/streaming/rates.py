@@ -1,9 +1,14 @@
-"""Request-rate flags over event time."""
+"""Request rates over event time: flags for minutes over the limit, and admission by it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import rules
 from ..operators import requests
@@ -19,3 +24,42 @@ def stream_rate_flags(
     """
     timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
     return requests.rate_flags(timed, guest, user, at, user_column)
+
+
+_MINUTE_MS = 60_000
+
+
+def stream_admission(
+    stream: DataFrame, guest: int = rules.GUEST_PER_MINUTE, user: int = rules.USER_PER_MINUTE,
+    delay: str = "2 minutes", at: str = "created_at", user_column: str = "user_id", order: str = "id",
+) -> DataFrame:
+    """Requests as they arrive with ``admitted``, by the limits of :func:`corpusbrief.operators.requests.admit`.
+
+    What is decided stays decided: within a micro-batch the order is that of ``at`` and ``order``, and a minute's
+    earlier batches come first. State is one number for each user's minute, dropped once the watermark has passed the
+    minute. Requests later than ``delay``, or without a time, don't get through.
+    """
+    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+    keyed = timed.where(F.col(at).isNotNull()).withColumns(requests.rate_keys(at, user_column))
+    columns = stream.columns
+
+    def decide(
+        key: tuple[bool, str, pd.Timestamp], frames: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = pd.concat(list(frames)).sort_values([at, order])
+        limit = guest if key[0] else user
+        used = state.get[0] if state.exists else 0
+        found["admitted"] = np.arange(len(found)) < limit - used
+        state.update((min(limit, used + len(found)),))
+        ends = int(key[2].timestamp() * 1000) + _MINUTE_MS
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield found[[*columns, "admitted"]]
+
+    kinds = dict(timed.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", admitted boolean"
+    return keyed.groupBy("_guest", "_key", "_minute").applyInPandasWithState(
+        decide, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout
+    )

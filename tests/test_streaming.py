@@ -122,6 +122,31 @@ def test_stream_rate_flags_equal_batch_for_closed_minutes(spark, tmp_path):
     assert got == closed and got
 
 
+def test_admission_by_minute_over_batches_and_state(spark, tmp_path):
+    """The first two of a user's minute and the first of the guests', over batches; state goes with the minute."""
+    schema = "id long, user_id string, created_at timestamp_ntz"
+    rng, n, expected = random.Random(9), 0, {}
+    for batch in range(5):
+        rows, taken = [], {}
+        for _ in range(60):
+            at = NOW + datetime.timedelta(minutes=10 * batch, seconds=rng.randrange(240))
+            rows.append((n, rng.choice(["u", "v", None, ""]), at))
+            n += 1
+        for i, u, at in sorted(rows, key=lambda r: (r[2], r[0])):
+            key = (u or "", at.replace(second=0))
+            taken[key] = taken.get(key, 0) + 1
+            expected[i] = taken[key] <= (2 if u else 1)
+        feed(spark.createDataFrame(rows, schema), tmp_path / "in", batch)
+        source = queues.read_queue(spark, str(tmp_path / "in"), schema)
+        decided = rates.stream_admission(source, guest=1, user=2, delay="1 minute")
+        query = queues.write_queue(decided, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+        query.awaitTermination()
+    assert {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 3
+    every = spark.createDataFrame([(1, "u", None), (2, "u", None), (3, "u", NOW)], schema)
+    assert sorted((r.id, r.admitted) for r in requests.admit(every).collect()) == [(1, False), (2, False), (3, True)]
+
+
 def test_queue_names_and_batch_writes(spark, tmp_path):
     path = queues.queue_path(str(tmp_path), "results")
     df = spark.createDataFrame([(1, "a")], "n long, s string")
