@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import pieces, quoted, struct_of, terms
+from .texts import pieces, quoted, struct_of, table_operator, terms
 
 WINDOW = 10
 BLOCK = 2
@@ -134,6 +134,7 @@ def _search(docs: DataFrame, text: str, batch: tuple[tuple[str, bytes], ...], wi
     return found.select(*[quoted(c) for c in others], *[F.col("__found")[n].alias(n) for n in FIELDS])
 
 
+@table_operator(COLUMNS)
 def find_contamination(
     docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
     window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES,

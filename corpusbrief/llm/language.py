@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .texts import LOWER, fraction, with_text_columns
+from .texts import LOWER, fraction, table_operator, with_text_columns
 
 UNDETERMINED = "und"
 FIELDS = {"lang_pred": "string", "score": "double", "margin_bytes": "long", "rejected": "boolean"}
@@ -103,6 +103,7 @@ def judge(model: Dictionaries, text: bytes | None, min_share: float = MIN_SHARE)
     return best[1], margin / second[0], margin, margin < min_share * second[0] or not margin
 
 
+@table_operator(FIELDS)
 def identify(docs: DataFrame, model: Dictionaries, text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
     """Add lang_pred, score (share of bytes saved against the runner-up, 0 to 1), margin_bytes and rejected.
 

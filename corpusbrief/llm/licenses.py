@@ -5,10 +5,12 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .texts import terms, with_text_columns
+from .texts import table_operator, terms, with_text_columns
 
 #: Phrases and the labels they stand for.
 PHRASES = (
@@ -65,24 +67,27 @@ class Match:
 class SuffixAutomaton:
     """Generalised suffix automaton of token sequences.
 
-    A state stands for all substrings with the same end places; ``ends`` has, by template, the last word of the
-    earliest such place. ``whole`` has the phrases that are suffixes of the state's longest substring.
+    A state stands for all substrings with the same end places; ``ends`` has, by sequence, the last word of each such
+    place, for states whose longest substring has ``shortest`` tokens or more. ``whole`` has the phrases that are
+    suffixes of the state's longest substring.
     """
 
-    def __init__(self, sequences: Iterable[list[bytes]]) -> None:
+    def __init__(self, sequences: Iterable[list[bytes]], shortest: int = 1) -> None:
         self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.ends: list[dict[int, list[int]]] = [{}]
         self.sequences = list(sequences)
         for number, sequence in enumerate(self.sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, place)
+                self.ends[last].setdefault(number, []).append(place)
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
         for state in order:
-            above = self.ends[self.link[state]]
-            for number, place in self.ends[state].items():
-                above[number] = min(place, above.get(number, place))
+            if self.length[self.link[state]] >= shortest:
+                above = self.ends[self.link[state]]
+                for number, places in self.ends[state].items():
+                    above[number] = sorted({*places, *above.get(number, ())})
         self.whole: list[tuple[int, ...]] = [()] * len(self.next)
 
     def _state(self, length: int) -> int:
@@ -135,7 +140,7 @@ class LicenseScanner:
         self.templates = [terms(t.encode()) for _, t in templates]
         self.template_labels = [label for label, _ in templates]
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
-        self.automaton = SuffixAutomaton([*self.templates, *self.phrases])
+        self.automaton = SuffixAutomaton([*self.templates, *self.phrases], min_match)
         self.automaton.mark_phrases(self.phrases)
 
     def read(self, found: list[bytes]) -> tuple[list[tuple[int, int]], list[Match]]:
@@ -165,9 +170,10 @@ class LicenseScanner:
         return places, matches
 
     def _emit(self, state: int, matched: int, end: int, matches: list[Match]) -> None:
-        for template, last in self.automaton.ends[state].items():
+        """The match at each place of each template that holds it."""
+        for template, places in self.automaton.ends[state].items():
             if template < len(self.templates):
-                matches.append(Match(end - matched, end, template, last + 1 - matched))
+                matches += [Match(end - matched, end, template, last + 1 - matched) for last in places]
 
     def chain(self, matches: list[Match]) -> list[tuple[int, int, int, float]]:
         """For each template the runs (template, first word, end, share of the template covered) over ``min_cover``.
@@ -194,25 +200,33 @@ class LicenseScanner:
 
     @staticmethod
     def _best_chain(run: list[Match]) -> int:
-        """Most template words that matches cover which follow each other; overlapping ends are cut."""
+        """Most template words that matches cover which follow each other; overlapping ends are cut.
+
+        The same words of the text match one place of the template only: places of one stretch don't follow
+        each other.
+        """
         ends, covers = [0], [0]  # by rising template end, with rising cover
-        for m in run:
-            size = m.end - m.start
-            k = bisect_right(ends, m.at) - 1
-            best = covers[k] + size
-            for j in range(k + 1, len(ends)):  # ends inside this match: only the rest counts
-                if ends[j] >= m.at + size:
-                    break
-                best = max(best, covers[j] + m.at + size - ends[j])
-            k = bisect_right(ends, m.at + size)
-            if covers[k - 1] < best:
-                while k < len(ends) and covers[k] <= best:
-                    del ends[k], covers[k]
-                if ends[k - 1] == m.at + size:
-                    covers[k - 1] = best
-                else:
-                    ends.insert(k, m.at + size)
-                    covers.insert(k, best)
+        for _, places in groupby(run, key=lambda m: (m.start, m.end)):
+            reached = []
+            for m in places:
+                size = m.end - m.start
+                k = bisect_right(ends, m.at) - 1
+                best = covers[k] + size
+                for j in range(k + 1, len(ends)):  # ends inside this match: only the rest counts
+                    if ends[j] >= m.at + size:
+                        break
+                    best = max(best, covers[j] + m.at + size - ends[j])
+                reached.append((m.at + size, best))
+            for end, best in reached:
+                k = bisect_right(ends, end)
+                if covers[k - 1] < best:
+                    while k < len(ends) and covers[k] <= best:
+                        del ends[k], covers[k]
+                    if ends[k - 1] == end:
+                        covers[k - 1] = best
+                    else:
+                        ends.insert(k, end)
+                        covers.insert(k, best)
         return covers[-1]
 
     def scan(self, text: bytes | None) -> tuple:
@@ -230,6 +244,23 @@ class LicenseScanner:
         )
 
 
+#: Of a table of templates; the automaton in each task takes some hundred bytes for each word.
+MAX_TEMPLATE_BYTES = 16 << 20
+
+
+def templates_of(table: DataFrame, label: str = "label", text: str = "text") -> tuple[tuple[str, str], ...]:
+    """Templates for a scanner from a table of whole license texts, by label, then text; they go to every task.
+
+    Rows with a null label or text are left out, equal rows count once. More than MAX_TEMPLATE_BYTES bytes are refused.
+    """
+    rows = table.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(label, text).distinct()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes, more than {MAX_TEMPLATE_BYTES}")
+    return tuple(sorted((r[0], r[1]) for r in rows.collect()))
+
+
+@table_operator(FIELDS)
 def scan_licenses(docs: DataFrame, text: str = "text", scanner: LicenseScanner | None = None) -> DataFrame:
     """Add license columns: n_words, places of the base phrases, labels, score and the covered template spans.
 

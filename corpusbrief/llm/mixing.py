@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.numbering import numbered
 from ..session import landed
-from .texts import quoted
+from .texts import quoted, table_operator
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -23,6 +23,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def brevity(size: Column) -> Column:
+    """A preference for short documents within their source, from 100 for a few words to 1 from 991 words on: more
+    different documents for the same words. Whole numbers, so that their sums don't depend on the order."""
+    return F.greatest(F.lit(1), F.floor(F.lit(1000) / (size + 10))).cast("long")
+
+
 def uniform(*keys: Column, seed: int = 0) -> Column:
     """A number strictly between 0 and 1 that depends on the keys alone: 52 bits of their MD5."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
@@ -55,6 +61,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     return weighed.select("source", "source_size", target.alias("target"))
 
 
+@table_operator(COLUMNS)
 def mix(
     docs: DataFrame, size: str = "size", source: str = "source", key: str = "doc_id", preference: str | None = None,
     weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 0,

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import LOWER, quoted, with_text_columns, words
+from .texts import LOWER, quoted, table_operator, with_text_columns, words
 
 SHINGLE = 4
 SEED = 42
@@ -200,6 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+@table_operator(COLUMNS)
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """Add fingerprint (16 hex digits), component_id, the smallest key that chains of documents with at most four
     differing bits reach, and component_root, the fingerprint that stands for the component.

@@ -35,9 +35,10 @@ MIXING = r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), totals AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size * greatest(1, 1000 // (size + 10))) / greatest(sum(size), 1)::DOUBLE AS mean_like
+  FROM sized GROUP BY source
 ), weighed AS (
-  SELECT source, source_size, source_size * 2.0::DOUBLE AS cap,
+  SELECT source, source_size, mean_like, source_size * 2.0::DOUBLE AS cap,
     [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight
   FROM totals
 ), levels(round, level) AS (
@@ -48,11 +49,12 @@ WITH RECURSIVE sized AS (
       / nullif(sum(weight) FILTER (NOT cap <= level * weight), 0) FROM weighed), level))
   FROM levels WHERE round < 60
 ), targets AS (
-  SELECT source, source_size, least(cap, greatest((SELECT max(level) FROM levels), 0) * weight) AS target FROM weighed
+  SELECT source, source_size, mean_like, least(cap, greatest((SELECT max(level) FROM levels), 0) * weight) AS target FROM weighed
 ), plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets
 ), drawn AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS p, sized.source,
+  SELECT doc_id, size, source_size, target, CAST(floor(ratio) AS BIGINT) AS whole, sized.source,
+    CASE WHEN mean_like > 0 THEN (ratio - floor(ratio)) * greatest(1, 1000 // (size + 10)) / mean_like ELSE ratio - floor(ratio) END AS p,
     target - floor(ratio) * source_size AS rest,
     (CAST(('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source

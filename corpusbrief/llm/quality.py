@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import fraction, quoted, with_text_columns, words
+from .texts import fraction, quoted, table_operator, with_text_columns, words
 
 WINDOW = 8
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -213,16 +213,15 @@ def fit_decision_list(
     return learn_decision_list(values, np.array([r["__quality"] == 0 for r in rows]), **settings)
 
 
+@table_operator([*BASE, *FEATURES, "base_failed", "rule", "kept"])
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
     """Add the base counts, base_failed, rule (number of the first rule that holds, 0: none) and kept.
 
     Null and empty texts have no words and fail the base. Repeated rows get the same answer; columns with the
     new names are replaced, others stay; an empty table stays empty.
     """
-    made = [*BASE, *FEATURES, "base_failed", "rule", "kept"]
-    plain = docs.select(*[quoted(c) for c in docs.columns if c not in made])
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        with_statistics(plain, text).withColumn("base_failed", failed).withColumn("rule", rules.rule_number())
+        with_statistics(docs, text).withColumn("base_failed", failed).withColumn("rule", rules.rule_number())
         .withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop(*FEATURES)
     )

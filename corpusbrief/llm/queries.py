@@ -22,7 +22,8 @@ def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    liked = docs.withColumn("preference", mixing.brevity(F.col("size")))
+    return mixing.mix(liked, preference="preference").select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def warc_captures(spark: SparkSession, folder: str) -> DataFrame:

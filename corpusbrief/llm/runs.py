@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .texts import pieces, quoted, words
+from .texts import pieces, quoted, table_operator, words
 
 MIN_WORDS = 6
 MIN_PERIODS = 4
@@ -251,6 +251,7 @@ class _Columns:
         return pa.StructArray.from_arrays(arrays, names=list(self.names))
 
 
+@table_operator(FIELDS)
 def describe_runs(docs: DataFrame, text: str = "text", plant_by: str | None = None, full: bool = False) -> DataFrame:
     """Add the runs of each document's words to ``docs``.
 
@@ -290,10 +291,8 @@ def describe_runs(docs: DataFrame, text: str = "text", plant_by: str | None = No
 
     udf = F.arrow_udf(run, "struct<" + ",".join(f"{n}:{FIELDS[n]}" for n in names) + ">").asNondeterministic()
     key = F.col(plant_by).cast("long") if plant_by else F.lit(None).cast("long")
-    taken = {n.lower() for n in names}
-    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in taken]
     result = "__runs_of_words"
-    made = docs.select(*kept, udf(F.col(text).cast("binary"), key).alias(result))
+    made = docs.withColumn(result, udf(F.col(text).cast("binary"), key))
     return made.select(*[F.col(quoted(c)) for c in made.columns[:-1]], *[F.col(result)[n].alias(n) for n in names])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import LOWER, pieces, quoted, struct_of, words
+from .texts import LOWER, pieces, quoted, struct_of, table_operator, words
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
 MARK = 0xFF
@@ -424,6 +424,7 @@ _FIELDS = {
 COLUMNS = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
+@table_operator(COLUMNS)
 def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 

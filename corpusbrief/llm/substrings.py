@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, landed, shared_path, ship_package
 from .contamination import merge
-from .texts import pieces, quoted
+from .texts import pieces, quoted, table_operator
 
 LENGTH = 400
 GRAM = 200
@@ -229,6 +229,7 @@ def _cut(texts: DataFrame, covered: DataFrame, keep_text: bool, keep_spans: bool
     )
 
 
+@table_operator(COLUMNS)
 def remove_repeats(
     docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_text: bool = False,
     keep_spans: bool = False,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+import inspect
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +69,37 @@ def with_text_columns(
     return made.select(*[F.col(quoted(c)) for c in kept], *[F.col(_RESULT)[n].alias(n) for n in fields])
 
 
+def table_operator(made: Iterable[str]) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """For operators that add columns to their first argument: its own columns get through, whatever their names.
+
+    Spark takes names that differ in case for one, so columns that have a ``made`` name in whatever case are replaced,
+    unless they are named as inputs. Names with two underscores in front, as operators use for their own helpers, are
+    out of the way while the operator runs, and back afterwards.
+    """
+    new = {m.lower() for m in made}
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            bound = signature.bind(docs, *args, **options)
+            bound.apply_defaults()
+            inputs = {v for v in bound.arguments.values() if isinstance(v, str)}
+            kept = [c for c in docs.columns if c in inputs or c.lower() not in new]
+            if len(kept) < len(docs.columns):
+                docs = docs.select(*[quoted(c) for c in kept])
+            hidden = {c: f"own{i}{c.strip('_')}" for i, c in enumerate(kept) if c.startswith("__") and c not in inputs}
+            if not hidden:
+                return operator(docs, *args, **options)
+            done = operator(docs.withColumnsRenamed(hidden), *args, **options)
+            return done.withColumnsRenamed({h: c for c, h in hidden.items()})
+
+        return run
+
+    return wrap
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

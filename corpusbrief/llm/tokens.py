@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import discard, landed, shared_path, ship_package
-from .texts import pieces, quoted
+from .texts import pieces, quoted, table_operator
 
 TOKENIZER = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -115,6 +115,7 @@ def _encoded(missing: DataFrame, tokenizer: TokenizerFile, version: str) -> Data
     return missing.mapInArrow(run, _CACHE)
 
 
+@table_operator(COLUMNS)
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | None = None, text: str = "text",
                  limit: int = LIMIT) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens) to ``docs``.
@@ -135,8 +136,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     version = loaded.version
     cache = cache or shared_path(spark, "token-cache")
     content = normalised(F.col(text))
-    taken = set(COLUMNS)
-    kept = [F.col(quoted(c)) for c in docs.columns if c.lower() not in taken]
+    kept = [F.col(quoted(c)) for c in docs.columns]
 
     digested = docs.select(F.sha2(content, 256).alias("digest"), content.cast("binary").alias("content"))
     stored = read_cache(spark, cache, version)

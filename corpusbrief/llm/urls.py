@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import quoted
+from .texts import quoted, table_operator
 
 #: Rule (host and path) and its verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -192,6 +192,7 @@ def with_membership(docs: DataFrame, key: Column, cascade: Cascade) -> DataFrame
     return docs.withColumn("listed", udf(*key_hashes(key).values()))
 
 
+@table_operator(COLUMNS)
 def filter_urls(pages: DataFrame, listed: DataFrame, url: str = "url", rules=RULES, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """Add host, path, rule, rule_verdict, listed and verdict; ``listed`` has a column ``key`` of page keys.
 

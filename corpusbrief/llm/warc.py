@@ -7,7 +7,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,7 @@ END = "\r\n\r\n"
 
 RECORD = (
     "record_type string, record_id string, concurrent_to string, target_uri string, refers_to_record string, "
-    "page_id long, payload_bytes long, payload_digest string, payload binary"
+    "page_id string, payload_bytes long, payload_digest string, payload binary"
 )
 _ARROW = pa.schema([
     (n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (x.split() for x in RECORD.split(", "))
@@ -45,7 +45,7 @@ def _record(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return VERSION + f"\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def transaction(row: int, page: int | None, url: str | None, html: bytes, leader: int, date: str) -> Iterator[bytes]:
+def transaction(row: int, page: str | None, url: str | None, html: bytes, leader: int, date: str) -> Iterator[bytes]:
     """The three records of one page; ``leader`` is the row whose response has the payload."""
     # a header holds one line of visible characters
     uri = None if url is None else quote(url, safe="!#$%&'()*+,/:;=?@[]~")
@@ -65,7 +65,7 @@ def transaction(row: int, page: int | None, url: str | None, html: bytes, leader
         ("WARC-Profile", REVISIT_PROFILE if kind == "revisit" else None),
         ("WARC-Refers-To", record_id(leader, "capture") if kind == "revisit" else None),
     ], head if kind == "revisit" else head + html)
-    about = "" if page is None else f"page_id: {page}\r\n"
+    about = "" if page is None else f"page_id: {quote(page, safe='')}\r\n"
     yield _record([
         ("WARC-Type", "metadata"), ("WARC-Record-ID", record_id(row, "metadata")), *common,
         ("WARC-Concurrent-To", main), ("Content-Type", "application/warc-fields"),
@@ -74,20 +74,21 @@ def transaction(row: int, page: int | None, url: str | None, html: bytes, leader
 
 def write_warc(
     pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html",
-    revisit_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip",
+    revisit_from_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip", records_per_archive: int = 30_000,
 ) -> None:
     """Write archives under ``path``, by Spark's text sink, so to any file system that Spark reaches.
 
     Of rows with equal payloads of at least ``revisit_from_bytes`` bytes, that with the smallest key is the
     response (null keys last; of repeated rows any one), the others are revisits of it. A null html is an empty
-    payload; a null url leaves the target out; a null key leaves it out of the metadata. An empty table makes
-    empty archives.
+    payload; a null url leaves the target out; a null key leaves it out of the metadata. Keys are of any type that
+    orders and has a text form. An archive has ``records_per_archive`` records at most, so that readers can hold it.
+    Other columns are not archived. An empty table makes empty archives.
     """
     spark = pages.sparkSession
     ship_package(spark)
     # written once, so that row numbers and digests stay the same for both uses and for a repeated task
     rows = _stored(pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(quoted(key)).cast("long").alias("page"), F.col(quoted(url)).alias("url"),
+        F.monotonically_increasing_id().alias("row"), F.col(quoted(key)).alias("page"), F.col(quoted(url)).alias("url"),
         F.coalesce(F.col(quoted(html)), F.lit("")).cast("binary").alias("html"),
     ).withColumn("digest", F.unhex(F.sha1("html"))).withColumn("many", F.length("html") >= revisit_from_bytes))
     small = rows.select("row", "page", "digest", "many")
@@ -98,7 +99,8 @@ def write_warc(
         .where(F.col("n") > 1).select("digest", F.col("first.row").alias("leader"))
     )
     revisits = small.where("many").join(leaders, "digest").where(F.col("row") != F.col("leader")).select("row", "leader")
-    joined = rows.drop("digest", "many").join(revisits, "row", "left")
+    named = rows.drop("digest", "many").withColumn("page", F.col("page").cast("string"))
+    joined = named.join(revisits, "row", "left")
     columns = ["row", "page", "url", "html", "leader"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,8 @@ def write_warc(
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string(), safe=False)], names=["value"])
 
     records = joined.select(columns).mapInArrow(run, "value string")
-    records.write.option("lineSep", END).option("compression", compression).text(path)
+    writer = records.write.option("lineSep", END).option("compression", compression)
+    writer.option("maxRecordsPerFile", records_per_archive).text(path)
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -146,7 +149,7 @@ def parse_records(content: bytes, keep_payload: bool = True) -> Iterator[tuple]:
             payload = block.partition(b"\r\n\r\n")[2]
         elif kind == "metadata":
             fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split("\r\n") if ": " in x)
-            page = int(fields["page_id"]) if fields.get("page_id", "").lstrip("-").isdigit() else None
+            page = unquote(fields["page_id"]) if "page_id" in fields else None
         yield (
             kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-target-uri"),
             headers.get("warc-refers-to"), page, None if payload is None else len(payload),
@@ -155,9 +158,10 @@ def parse_records(content: bytes, keep_payload: bool = True) -> Iterator[tuple]:
         )
 
 
-def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, keep_payload: bool = True, key_type: str = "bigint") -> DataFrame:
     """One row for each record of the archives under ``path``, plain or gzip. A response's payload_bytes and
-    payload_digest are taken from its payload, a revisit's digest from its header. A broken archive fails."""
+    payload_digest are taken from its payload, a revisit's digest from its header; a page_id that is not of
+    ``key_type`` is null. A broken archive fails."""
     ship_package(spark)
 
     def packed(found: list[tuple]) -> pa.RecordBatch:
@@ -178,7 +182,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = True) -> Data
                     yield packed(waiting)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("content").mapInArrow(run, RECORD).withColumn("page_id", F.col("page_id").try_cast(key_type))
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -208,8 +212,10 @@ def captures(records: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
-    """Write the pages to archives in the shared folder, read these back and return their captures."""
+def round_trip(pages: DataFrame, key: str = "page_id", **columns: str) -> DataFrame:
+    """Write the pages to archives in the shared folder, read these back and return their captures, with keys of the
+    pages' own type; other columns of the pages are not archived and don't come back."""
     path = shared_path(pages.sparkSession, "warc")
-    write_warc(pages, path, **columns)
-    return captures(landed(read_warc(pages.sparkSession, path, keep_payload=False)))
+    write_warc(pages, path, key, **columns)
+    kind = pages.schema[key].dataType.simpleString()
+    return captures(landed(read_warc(pages.sparkSession, path, keep_payload=False, key_type=kind)))

@@ -85,6 +85,32 @@ def test_all_rows_come_back(operator, docs, none):
     assert empty.collect() == [] and empty.columns == full.columns
 
 
+MADE = {
+    licensed: licenses.FIELDS, cut: substrings.COLUMNS, mixed: mixing.COLUMNS, scored: scoring.COLUMNS, filtered: urls.COLUMNS,
+    linked: neardup.COLUMNS, judged: [*quality.BASE, "base_failed", "rule", "kept"],
+    decontaminated: contamination.COLUMNS, identified: language.FIELDS,
+}
+HELPERS = (
+    "__row __s __size __fp __source __key __host __path __rule __of __text __bytes __own __piece __draw __found __like __u __h1 __h2 "
+    "__k __l __g __src __bin __rank __total __goal __whole __p __rest __mean __result __removed __left"
+).split()
+
+
+@pytest.mark.parametrize("operator", list(MADE))
+def test_names_in_another_case_and_helper_names(operator, docs):
+    """Output names in upper case are replaced; columns named like an operator's helpers come back as they were."""
+    small = docs.where("coalesce(length(text), 0) < 10000")
+    upper = {name.upper(): F.lit("x") for name in MADE[operator] if name.upper() != name}
+    named = small.drop("__x").withColumns({**{n: c for n, c in upper.items() if n.lower() not in map(str.lower, docs.columns)}, **{h: F.lit(i) for i, h in enumerate(HELPERS)}})
+    full = operator(named)
+    assert len({c.lower() for c in full.columns}) == len(full.columns)
+    rows = full.collect()
+    assert len(rows) == small.count()
+    assert all(r[h] == i for r in rows for i, h in enumerate(HELPERS))
+    assert {tuple(str(r[c]) for c in MADE[operator] if c in full.columns and c != "score") for r in rows} == {
+        tuple(str(r[c]) for c in MADE[operator] if c in full.columns and c != "score") for r in operator(small).collect()}
+
+
 def by_id(rows):
     return {r.doc_id: r for r in rows if r.doc_id is not None}
 
@@ -294,6 +320,25 @@ def test_records_survive_what_payloads_hold(spark, tmp_path):
     assert {r.capture.record_type for r in warc.captures(warc.read_warc(spark, str(tmp_path / "v"))).collect()} == {"response"}
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,3)"])
+def test_keys_of_any_type_come_back(spark, tmp_path, kind):
+    made = spark.range(9).select(F.col("id"), F.concat(F.lit("p "), F.col("id") % 4).alias("html"), F.lit("http://h/").alias("url"))
+    keys = {"string": F.concat(F.lit("k: é\r\n"), "id"), "date": F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")),
+            "decimal(20,3)": F.col("id") / 7}
+    pages = made.select(keys[kind].cast(kind).alias("Page"), "url", "html").repartition(2)
+    found = warc.round_trip(pages, key="Page").collect()
+    ids = sorted(r.Page for r in pages.collect())
+    assert sorted(r.page_id for r in found) == ids
+    assert {r.page_id: r.origin and r.origin.page_id for r in found} == {k: None if i < 4 else ids[i % 4] for i, k in enumerate(ids)}
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.col("id").cast("string").alias("html"))
+    warc.write_warc(pages.coalesce(1), str(tmp_path / "w"), records_per_archive=30)
+    assert len(list((tmp_path / "w").glob("part-*"))) == 4
+    assert warc.captures(warc.read_warc(spark, str(tmp_path / "w"))).count() == 40
+
+
 def test_gzip_members_are_read():
     import gzip
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
@@ -333,7 +378,74 @@ def test_automaton_statistics():
         if state is not None:
             for number, t in enumerate(templates):
                 ends = [i + len(probe) - 1 for i in range(30) if tuple(t[i : i + len(probe)]) == probe]
-                assert machine.ends[state].get(number) == min(ends, default=None)
+                assert machine.ends[state].get(number, []) == ends
+
+
+def naive_spans(scanner, found):
+    """Spans by comparing every stretch of the text with every place of every template."""
+    spans = []
+    for number, template in enumerate(scanner.templates):
+        longest = []  # at each word, the most words from there on that stand in any template
+        for i in range(len(found)):
+            n = 0
+            while i + n < len(found) and any(
+                t[k : k + n + 1] == found[i : i + n + 1] for t in [*scanner.templates, *scanner.phrases] for k in range(len(t) - n)
+            ):
+                n += 1
+            longest.append(n)
+        whole = [(i, i + n) for i, n in enumerate(longest) if n >= scanner.min_match and not (i and longest[i - 1] > n)]
+        places = [
+            (a, b, k) for a, b in whole for k in range(len(template) - (b - a) + 1) if template[k : k + b - a] == found[a:b]
+        ]
+        run = []
+        for place in [*sorted(places), None]:
+            if run and (place is None or place[0] - run[-1][1] > scanner.max_gap):
+                best = []
+                for a, b, k in run:
+                    before = [
+                        c + min(b - a, k + b - a - e) for (pa, pb, _), (e, c) in zip(run, best)
+                        if (pa, pb) != (a, b) and e < k + b - a
+                    ]
+                    best.append((k + b - a, max([b - a, *before])))
+                cover = max(c for _, c in best) / len(template)
+                if cover >= scanner.min_cover:
+                    spans.append((number, run[0][0], run[-1][1], min(cover, 1.0)))
+                run = []
+            if place is not None:
+                run.append(place)
+    return sorted(spans)
+
+
+def test_spans_equal_a_plain_search():
+    rng = random.Random(11)
+    word = lambda k: bytes([97 + rng.randrange(k)])
+    for trial in range(60):
+        kinds = rng.choice([3, 6, 20])
+        templates = [[word(kinds) for _ in range(rng.randint(6, 30))] for _ in range(3)]
+        for t in templates:  # stretches that stand in a template twice
+            if rng.random() < 0.7:
+                t += t[: rng.randint(2, 8)] + [word(kinds)]
+        scanner = licenses.LicenseScanner(
+            phrases=(("zz zz", "z"),), templates=tuple((f"t{i}", b" ".join(t).decode()) for i, t in enumerate(templates)),
+            min_match=rng.choice([2, 3, 5]), max_gap=rng.choice([0, 2, 6]), min_cover=rng.choice([0.3, 0.5]),
+        )
+        found = []
+        for _ in range(rng.randint(1, 5)):
+            t = rng.choice(templates)
+            a = rng.randrange(len(t))
+            found += t[a : a + rng.randint(1, 20)] + [word(kinds) for _ in range(rng.randrange(4))]
+        _, matches = scanner.read(found)
+        got = sorted((t, a, b, c) for t, a, b, c in scanner.chain(matches))
+        assert got == [(t, a, b, pytest.approx(c)) for t, a, b, c in naive_spans(scanner, found)], trial
+
+
+def test_a_stretch_counts_where_it_fits(spark):
+    template = "one two three four five six alpha beta gamma delta one two three four five six omega psi chi phi"
+    rows = [("mine", template), (None, "x"), ("none", None), ("mine", template)]
+    templates = licenses.templates_of(spark.createDataFrame(rows, "label string, text string"))
+    assert templates == (("mine", template),)
+    row = licenses.LicenseScanner(templates=templates).scan(b"five six alpha beta gamma delta QQ one two three four five six RR")
+    assert row[5] == "mine" and row[6] == 0.6 and row[7] == ["mine:0:0:13:0.600"]
 
 
 def test_templates_are_found_in_pieces():
@@ -345,6 +457,25 @@ def test_templates_are_found_in_pieces():
     assert label in row[5].split(",") and 0.8 < row[6] < 1 and row[7][0].startswith("mit:0:1:")
 
 
+def test_inclusion_follows_the_preference(spark):
+    """300 sources with the same documents under other ids: how often each is drawn, against its probability."""
+    sizes = [5 + 13 * i % 97 for i in range(60)]
+    rows = [(r * 1000 + i, f"s{r}", n) for r in range(300) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("like", mixing.brevity(F.col("size")))
+    mixed_ = mixing.mix(docs, preference="like", weights=(1.0,), share=0.4)
+    likes = [max(1, 1000 // (n + 10)) for n in sizes]
+    mean = sum(n * k for n, k in zip(sizes, likes)) / sum(sizes)
+    chance = [min(0.999, 0.4 * k / mean) for k in likes]
+    drawn, words_ = [0] * len(sizes), {}
+    for r in mixed_.collect():
+        drawn[r.doc_id % 1000] += r.copies
+        words_[r.source] = words_.get(r.source, 0) + r.taken
+    assert max(chance) > 3 * min(chance)
+    for d, p in zip(drawn, chance):
+        assert abs(d / 300 - p) < 4 * math.sqrt(p * (1 - p) / 300) + 0.03
+    assert all(abs(w - 0.4 * sum(sizes)) <= max(sizes) for w in words_.values())
+
+
 def test_decision_list_learns_thresholds():
     rng = np.random.default_rng(0)
     values = {f: rng.random(3000) for f in quality.FEATURES}
