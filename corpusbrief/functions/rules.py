@@ -156,6 +156,14 @@ KEY_MISSING = "Gemini API key missing."
 SUMMARY_MISSING = "Summary not available."
 FAILURE_UNKNOWN = "Analysis failed due to an unknown error."
 DETAIL_PENDING = "<p><em>Analysis is not yet complete or did not produce a summary.</em></p>"
+DETAIL_SUMMARY = ('<h4>Summary:</h4><div class="summary-content-box">', "</div>")
+DETAIL_ERROR = ('<p class="error"><strong>Error:</strong> ', "</p>")
+STATUS_LINE = ("(Status: ", ")")
+STATUS_MISSING = "N/A"
+PARAMS_LINE = ("Params: L:", ", S:", ", T:")
+DETAIL_PARAMS = ("Lang: ", ", Size: ", ", Tech: ")
+NOT_FOUND = "Analysis not found."
+NOT_FOUND_OR_DENIED = "Analysis not found or access denied."
 
 # Queue names: requests, assembled text, status results.
 QUEUES = ("repo_processing", "ai_analysis", "results")

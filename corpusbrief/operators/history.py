@@ -55,7 +55,7 @@ def lookup(requests: DataFrame, history: DataFrame) -> DataFrame:
     joined = asked.join(rows, "id", "left")
     found = F.coalesce(F.col("_there") & (guest | F.coalesce(F.col("_owner") == F.col("_asker"), F.lit(False))), F.lit(False))
     shown = [F.when(F.col("_found"), F.col(c)).alias(c) for c in _DETAIL if c != "id"]
-    missing = F.when(guest, F.lit("Analysis not found.")).otherwise(F.lit("Analysis not found or access denied."))
+    missing = F.when(guest, F.lit(rules.NOT_FOUND)).otherwise(F.lit(rules.NOT_FOUND_OR_DENIED))
     return joined.withColumn("_found", found).select(
         "request_id", "id", F.col("_found").alias("found"), *shown,
         F.when(~F.col("_found"), missing).alias("not_found_message"),
@@ -73,21 +73,24 @@ def render_rows(history: DataFrame) -> DataFrame:
     completed, failed = F.col("status") == "COMPLETED", F.col("status") == "FAILED"
     # a missing parameter is shown as the page shows it
     lang, size, technicality = (F.coalesce(c, F.lit(rules.MISSING_PARAMETER)) for c in ("lang", "size", "technicality"))
-    params = F.concat(F.lit("Params: L:"), lang, F.lit(", S:"), size, F.lit(", T:"), technicality)
+
+    def labelled(labels: tuple[str, ...]) -> Column:
+        return F.concat(*[part for label, value in zip(labels, (lang, size, technicality)) for part in (F.lit(label), value)])
+
+    def within(ends: tuple[str, str], value: Column) -> Column:
+        return F.concat(F.lit(ends[0]), value, F.lit(ends[1]))
+
     body = (
-        F.when(
-            completed & has_summary,
-            F.concat(F.lit('<h4>Summary:</h4><div class="summary-content-box">'), "summary", F.lit("</div>")),
-        )
-        .when(failed & has_error, F.concat(F.lit('<p class="error"><strong>Error:</strong> '), "error", F.lit("</p>")))
+        F.when(completed & has_summary, within(rules.DETAIL_SUMMARY, F.col("summary")))
+        .when(failed & has_error, within(rules.DETAIL_ERROR, F.col("error")))
         .when(~completed, F.lit(rules.DETAIL_PENDING))
         .otherwise(F.lit(""))
     )
     return history.select(
         "id", "repository_url", "status",
-        F.concat(F.lit("(Status: "), _text_or("status", "N/A"), F.lit(")")).alias("status_line"),
-        params.alias("params_line"),
-        F.concat(F.lit("Lang: "), lang, F.lit(", Size: "), size, F.lit(", Tech: "), technicality).alias("detail_params"),
+        within(rules.STATUS_LINE, _text_or("status", rules.STATUS_MISSING)).alias("status_line"),
+        labelled(rules.PARAMS_LINE).alias("params_line"),
+        labelled(rules.DETAIL_PARAMS).alias("detail_params"),
         F.when(completed, _text_or("summary", rules.SUMMARY_MISSING)).alias("summary_text"),
         F.when(failed, _text_or("error", rules.FAILURE_UNKNOWN)).alias("failure_text"),
         body.alias("detail_body"),
