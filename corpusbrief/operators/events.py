@@ -75,14 +75,17 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def apply_events(history: DataFrame, folds: DataFrame) -> DataFrame:
-    """History after the fold; jobs without events are unchanged."""
+    """History after the fold; jobs without events are unchanged.
+
+    The folds are never broadcast: a file of many equal summaries is small by its dictionary, its rows are not.
+    """
     changes = folds.select(
         F.col("analysis_id").alias("id"),
         F.struct("status", "summary_set", "summary", "error", "updated_at").alias("_new"),
     )
     hit = F.col("_new").isNotNull()
     kept = [c for c in history.columns if c not in ("updated_at", "status", "summary", "error")]
-    return history.join(changes, "id", "left").select(
+    return history.join(changes.hint("merge"), "id", "left").select(
         *kept,
         F.when(hit, F.col("_new.updated_at")).otherwise(F.col("updated_at")).alias("updated_at"),
         F.when(hit, F.col("_new.status")).otherwise(F.col("status")).alias("status"),

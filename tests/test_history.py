@@ -32,6 +32,20 @@ def history_frame(spark, rows):
     return spark.createDataFrame(full, tables.HISTORY_SCHEMA)
 
 
+def test_folds_of_many_equal_summaries_are_not_broadcast(spark, tmp_path):
+    """A thousand jobs with one summary of 100 kB: a small file by its dictionary, 100 MB of rows."""
+    jobs = history_frame(spark, [(i, "u", i, "QUEUED", None, None) for i in range(1, 1001)])
+    ended = spark.range(1, 1001).selectExpr(
+        "id AS seq", "id AS analysis_id", "'COMPLETED' AS status", "repeat('summary ', 12500) AS summary",
+        "CAST(NULL AS STRING) AS error", "timestamp_ntz'2024-01-01' AS ts",
+    )
+    ended.write.parquet(str(tmp_path / "events"))
+    assert sum(f.stat().st_size for f in (tmp_path / "events").glob("*.parquet")) < 10 << 20
+    done = events.apply_events(jobs, events.fold_events(spark.read.parquet(str(tmp_path / "events"))))
+    assert "Broadcast" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.where("status = 'COMPLETED' AND length(summary) = 100000").count() == 1000
+
+
 @pytest.mark.parametrize("seed,count", [(1, 0), (2, 30), (3, 600)])
 def test_fold_equals_sequential(spark, seed, count):
     rows = random_events(seed, count)
