@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,33 +141,43 @@ def _ended(stream: DataFrame) -> DataFrame:
 
 
 _ENDED = "analysis_id long, status string, ts timestamp"
+#: Parts that jobs are dealt to; a part is one call of Python and one row of state.
+_PARTS = 4096
 
 
-def ended_jobs(stream: DataFrame, keep: timedelta = timedelta(days=1), delay: str = "10 minutes") -> DataFrame:
+def ended_jobs(
+    stream: DataFrame, keep: timedelta = timedelta(days=1), delay: str = "10 minutes", parts: int = _PARTS,
+) -> DataFrame:
     """(analysis_id, status, ts) of each job once, at its first terminal event, with state that goes away.
 
     A job has state from its end on, not before, and a timer drops it once the watermark (``delay`` behind the newest
     event) is ``keep`` past that end; until then further terminal events of the job are swallowed. So what is held
     is the jobs that ended of late, however many there ever were; one that ends again after ``keep`` is told again.
+    Jobs are dealt to ``parts`` by hash, as a call of Python for each job would cost far more than its events.
     """
     kept_ms = int(keep.total_seconds() * 1000)
 
-    def first_end(
+    def first_ends(
         key: tuple[int], frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        passed = state.getCurrentWatermarkMs()
+        jobs, until = (np.array(column, np.int64) for column in (state.get if state.exists else ((), ())))
+        if not state.hasTimedOut:
+            found = pd.concat(list(frames)).sort_values(["ts", "seq"]).drop_duplicates("analysis_id")
+            first = found[~found["analysis_id"].isin(jobs)]
+            ended = first["ts"].to_numpy("datetime64[ms]").astype(np.int64)
+            jobs = np.concatenate((jobs, first["analysis_id"].to_numpy(np.int64)))
+            until = np.concatenate((until, np.maximum(ended + kept_ms, passed + 1)))
+            yield first[["analysis_id", "status", "ts"]]
+        still = until > passed
+        if still.any():
+            state.update((jobs[still].tolist(), until[still].tolist()))
+            state.setTimeoutTimestamp(int(until[still].min()))
+        elif state.exists:
             state.remove()
-            return
-        found = pd.concat(list(frames))
-        if state.exists or found.empty:
-            return
-        first = found.sort_values(["ts", "seq"]).iloc[:1]
-        ended = int(first["ts"].iloc[0].timestamp() * 1000)
-        state.update((ended,))
-        state.setTimeoutTimestamp(max(ended + kept_ms, state.getCurrentWatermarkMs() + 1))
-        yield first[["analysis_id", "status", "ts"]]
 
     timed = _ended(stream).select("analysis_id", "seq", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return timed.groupBy("analysis_id").applyInPandasWithState(
-        first_end, _ENDED, "ended_ms long", "append", GroupStateTimeout.EventTimeTimeout
+    dealt = timed.withColumn("_part", F.pmod(F.xxhash64("analysis_id"), F.lit(parts)).cast("int"))
+    return dealt.groupBy("_part").applyInPandasWithState(
+        first_ends, _ENDED, "jobs array<long>, until_ms array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )

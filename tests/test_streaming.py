@@ -108,6 +108,20 @@ def test_state_of_ended_jobs_goes_away(spark, tmp_path):
     assert first.ts == NOW + datetime.timedelta(seconds=4)
 
 
+def test_ended_jobs_share_parts(spark, tmp_path):
+    """Jobs dealt to two parts: each is told once at its first end, and state is two rows, not one for each job."""
+    ends = [(n, n % 40 + 1, "FAILED" if n < 40 else "COMPLETED", None, None, NOW + datetime.timedelta(seconds=n)) for n in range(90)]
+    (tmp_path / "in").mkdir()
+    for part in range(3):
+        feed(spark.createDataFrame(ends[part * 30:(part + 1) * 30], EVENTS).repartition(4), tmp_path / "in", part)
+    source = queues.read_queue(spark, str(tmp_path / "in"), EVENTS, files_per_trigger=1)
+    query = queues.write_queue(folds.ended_jobs(source, parts=2), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    query.awaitTermination()
+    told = sorted((r.analysis_id, r.status, r.ts) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert told == [(j, "FAILED", NOW + datetime.timedelta(seconds=j - 1)) for j in range(1, 41)]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+
+
 def test_stream_rate_flags_equal_batch_for_closed_minutes(spark, tmp_path):
     at = [NOW + datetime.timedelta(seconds=s) for s in range(0, 900, 11)]
     frame = spark.createDataFrame([(t, "u" if n % 2 else None) for n, t in enumerate(at)], "created_at timestamp_ntz, user_id string")
