@@ -1,18 +1,22 @@
-"""Near duplicates by word shingles: candidates from SimHash blocks, confirmed by the shingles themselves.
+"""Near duplicates by word shingles: every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8
+ends in one component.
 
-Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in one word of forty or so, which changes
-some ten of 64 SimHash bits over those shingles but only six over pairs of words. So fingerprints are made of word pairs,
-and keys of any 3 of 11 blocks: up to 8 changed bits leave one of the keys alone for certain, 12 do for most pairs. Within a
+First SimHash blocks join most of what is alike: fingerprints of word pairs meet by keys of 3 of 11 blocks, a few of the keys only. Within a
 bucket no pairs are listed: its close fingerprints are covered by stars, each around the member next to the
 majority of its neighbours' bits, which in a group of edited copies is the text they were made from. A star's rays
-are checked by the whole shingle sets, which only candidates' texts are read for. A few of the keys come first:
-they join most of a dense group, and the others then propose pairs of different components only, so a group of any
-density gives its members a few rays each. Members none of whose rays holds are dealt again among themselves, until a
-round confirms nothing more.
+are checked by the whole shingle sets, which only candidates' texts are read for.
+
+Then an exact join finds the rest, between the components so far. All shingles have one order, common ones last; of two sets
+that are similar enough the first common shingle is among the first fifth of either, and what can follow it in both must still
+suffice (prefix and position filters). So texts are dealt by these first shingles, and pairs of different components that pass the
+filters are checked by the whole sets. This is done twice: large buckets first propose a few pairs of a member and another
+component, which joins most of a dense group; then all pairs that are still of different components. Which shingles count as common comes from a sample of SAMPLE texts; it decides how large buckets
+are, not what is found.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,14 @@ DISTANCE = 12
 SMALL = 8
 #: Members of one bucket that are held at a time.
 HELD = 1 << 18
+#: Texts from which common shingles are learnt, in how many of them such a one is, and how many are kept.
+SAMPLE = 1 << 13
+OFTEN = 4
+COMMON = 1 << 16
+#: Buckets up to this size are compared by how far apart members lie.
+LAGS = 32
+#: Pairs of a member and another component that a larger bucket proposes at first.
+EACH = 4
 COLUMNS = ["component_id", "component_root"]
 
 
@@ -121,7 +133,7 @@ def _candidates(nodes: DataFrame, distance: int, first: bool | None = None) -> D
             found = bucket_stars(keys, fps.view(np.uint64), distance)
             pairs = {(int(nodes[a]), int(nodes[b])) for a, b in found if of[a] != of[b]} - seen
             # most pairs share many keys
-            if len(seen) > 1 << 20:
+            if len(seen) > 1 << 16:
                 seen.clear()
             seen.update(pairs)
             a, b = zip(*pairs, strict=True) if pairs else ((), ())
@@ -146,6 +158,161 @@ def _candidates(nodes: DataFrame, distance: int, first: bool | None = None) -> D
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(cover, "a long, b long").distinct()
 
 
+def first_shingles(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """Upper halves of the hashes that a similar set shares one of: the first of ``shingles`` (sorted) by the common
+    order, in which ``common`` (sorted hashes, and their ranks from 1) come last. An empty set has a place of its own."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.uint32)
+    rank = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        rank = np.where(common[0][at] == shingles, common[1][at].astype(np.int64), 0)
+    first = np.argsort(rank, kind="stable")[: n - math.ceil(least * n - 1e-6) + 1]
+    return (shingles[first] >> np.uint64(32)).astype(np.uint32)
+
+
+def _common(docs: DataFrame, text: str, texts: int, shingle: int) -> np.ndarray:
+    """Sorted hashes of common shingles, and their ranks: COMMON of them at most, from SAMPLE texts or so."""
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (part,) in pieces(batch.columns, 64):
+                found = np.concatenate([shingle_set(t, shingle) for t in part])
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    share = max(1, texts // SAMPLE)
+    drawn = docs.where(F.pmod(_names(text)[1], F.lit(share)) == 0).select(F.col(quoted(text)).cast("binary").alias("body"))
+    counts = drawn.mapInArrow(shingled, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    hashes = np.array([r.shingle for r in reversed(found)], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return np.stack((hashes[order], (order + 1).astype(np.uint64)))
+
+
+def possible_pairs(packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots: np.ndarray, least: float, each: int | None = None) -> np.ndarray:
+    """(a, b) of different components that meet in a bucket and whose sets can be similar, each once; in large buckets only
+    ``each`` of a member with another component, those that can share the most.
+
+    Rows are sorted by ``packed``, the bucket and the shingle before it; ``spots`` are the set's size and the place in it.
+    A pair that shares the shingle before as well has met in that one's bucket.
+    """
+    keys = packed >> 32
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    mixed = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+    sizes = np.diff(np.r_[starts, len(keys)])
+    rows = np.flatnonzero(np.repeat(mixed, sizes))
+    bucket, sizes = np.repeat(np.arange(mixed.sum()), sizes[mixed]), sizes[mixed]
+    nodes, of, before = nodes[rows], of[rows], packed[rows] & 0xFFFFFFFF
+    size, place = spots[rows] >> 32, spots[rows] & 0xFFFFFFFF
+
+    def alike(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
+        small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        left = np.minimum(size[i] - place[i], size[j] - place[j])
+        met = (before[i] == before[j]) & (place[i] > 0) & (place[j] > 0)
+        enough = (small >= least * large - 1e-6) & (left >= least / (1 + least) * (small + large) - 1e-6)
+        return (of[i] != of[j]) & ~met & (enough | (large == 0))
+
+    found = [np.zeros((0, 2), np.int64)]
+    few = np.flatnonzero(sizes[bucket] <= LAGS) if len(rows) else rows
+    for lag in range(1, LAGS):
+        i = few[:-lag][bucket[few[:-lag]] == bucket[few[lag:]]]
+        if not len(i):
+            break
+        i = i[alike(i, i + lag)]
+        found.append(np.stack((nodes[i], nodes[i + lag]), axis=1))
+    ends = np.cumsum(sizes)
+    for number in np.flatnonzero(sizes > LAGS).tolist():
+        # members of the largest component come first and are not compared with each other
+        own = np.arange(ends[number] - sizes[number], ends[number])
+        kinds, kind, counts = np.unique(of[own], return_inverse=True, return_counts=True)
+        largest = kind == np.argmax(counts)
+        own = np.r_[own[largest], own[~largest]]
+        for k in range(int(largest.sum()), len(own)):
+            i = own[:k][alike(own[:k], own[k])]
+            if each and len(i) > each:
+                i = i[np.lexsort((-np.minimum(size[i] - place[i], size[own[k]] - place[own[k]]), of[i]))]
+                i = i[np.r_[np.ones(each, bool), of[i[each:]] != of[i[:-each]]]]
+            found.append(np.stack((nodes[i], np.full(len(i), nodes[own[k]])), axis=1))
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+_MEMBER = "packed long, node long, component long, spot long"
+
+
+def _meeting(members: DataFrame, least: float, most: int | None, each: int | None) -> DataFrame:
+    """Of members of buckets: (node, other), the possible pairs; and with no other, as they come, the members of buckets with
+    more than ``most``."""
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        crowded = None
+
+        def made(rows: list[np.ndarray], pairs: bool) -> pa.RecordBatch:
+            if pairs:
+                found = possible_pairs(*rows, least, each) if len(rows[0]) else np.zeros((0, 2), np.int64)
+                none = pa.nulls(len(found), pa.int64())
+                columns = [none, pa.array(found[:, 0]), none, none, pa.array(found[:, 1])]
+            else:
+                columns = [*map(pa.array, rows), pa.nulls(len(rows[0]), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["packed", "node", "component", "spot", "other"])
+
+        for batch in batches:
+            held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
+            if crowded is not None:
+                more = int(np.searchsorted(held[0] >> 32, crowded, "right"))
+                yield made([h[:more] for h in held], False)
+                held = [h[more:] for h in held]
+                crowded = crowded if not len(held[0]) else None
+            end = int(np.searchsorted(held[0] >> 32, held[0][-1] >> 32)) if len(held[0]) else 0
+            if end:
+                yield made([h[:end] for h in held], True)
+                held = [h[end:] for h in held]
+            if most and len(held[0]) > most:
+                crowded = held[0][0] >> 32
+                yield made(held, False)
+                held = [h[:0] for h in held]
+        yield made(held, True)
+
+    dealt = members.repartition(F.shiftright("packed", 32)).sortWithinPartitions("packed")
+    return landed(dealt.mapInArrow(cover, _MEMBER + ", other long"))
+
+
+def _exact(nodes: DataFrame, least: float, most: int, each: int | None) -> DataFrame:
+    """Distinct (a, b) of ``nodes(node, component, size, first)``: all pairs of different components that can be similar, or
+    only ``each`` of a member with another component in a large bucket.
+
+    Buckets of more than ``most`` members are dealt again by pairs of their parts, so that no task holds a whole one.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, components_, sizes, firsts in (part for batch in batches for part in pieces(batch.columns)):
+            tokens = [np.frombuffer(f, np.uint32).astype(np.int64) for f in firsts]
+            counts = [len(t) for t in tokens]
+            before = np.concatenate([np.r_[0, t[:-1]] for t in tokens])
+            place = np.concatenate([np.arange(c) for c in counts])
+            columns = [
+                (np.concatenate(tokens) << 32) | before, *(np.repeat(np.array(x, np.int64), counts) for x in (numbers, components_)),
+                (np.repeat(np.array(sizes, np.int64), counts) << 32) | place,
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["packed", "node", "component", "spot"])
+
+    members = nodes.select("node", "component", "size", "first").mapInArrow(deal, _MEMBER)
+    met = _meeting(members, least, most, each)
+    pairs, crowded = met.where(F.col("other").isNotNull()), met.where(F.col("other").isNull()).drop("other")
+    if crowded.limit(1).count():
+        parts = crowded.groupBy(F.shiftright("packed", 32).alias("key")).agg(F.ceil(2 * F.count(F.lit(1)) / most).cast("int").alias("parts"))
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        spread = crowded.join(parts, F.shiftright("packed", 32) == F.col("key")).withColumn("i", own).withColumn(
+            "j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        )
+        place = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
+        packed = F.shiftleft(place, 32).bitwiseOR(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)))
+        again = _meeting(spread.select(packed.alias("packed"), "node", "component", "spot"), least, None, each)
+        pairs = pairs.unionByName(again.where(F.col("other").isNotNull()))
+    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of ``wanted(ta, tb, node)``; of equal texts each task sends one."""
 
@@ -206,26 +373,28 @@ def link_similar(
 
     Equal texts are one node. Null and empty texts, and others without words, are alike. Null keys are no candidates
     for the smallest one. Repeated rows each stay; columns with the new names are replaced, others stay; an empty
-    table stays empty. Confirmed pairs are similar for certain; of the similar pairs some are not met (see the module).
+    table stays empty. All pairs of similar texts end in one component, and no others (but for collisions of hashes).
     """
     ship_package(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
+    common = _common(docs, text, docs.count(), shingle)
 
-    def signed(t: bytes | None) -> tuple[int]:
-        h = simhash(t, PRINT_SHINGLE)
-        return (h - (1 << 64 if h >> 63 else 0),)
+    def signed(t: bytes | None) -> tuple[int, int, bytes]:
+        h, found = simhash(t, PRINT_SHINGLE), shingle_set(t, shingle)
+        return h - (1 << 64 if h >> 63 else 0), len(found), first_shingles(found, common, least).tobytes()
 
     named = docs.select(*[quoted(c) for c in docs.columns], *[n.alias(f"__{a}") for n, a in zip(_names(text), ("ta", "tb"))])
-    marked = landed(with_text_columns(named, text, {"__fp": "long"}, signed).drop(text))
+    made = with_text_columns(named, text, {"__fp": "long", "__size": "long", "__first": "binary"}, signed)
+    marked = landed(made.drop(text))
     texts = marked.groupBy(F.col("__ta").alias("ta"), F.col("__tb").alias("tb")).agg(
-        F.first("__fp").alias("fp"), F.min(quoted(key)).alias("lowest")
+        *[F.first(f"__{c}").alias(c) for c in ("fp", "size", "first")], F.min(quoted(key)).alias("lowest")
     )
     nodes = landed(texts.withColumn("node", F.monotonically_increasing_id()))
 
     alone = nodes.select("node", "fp", F.col("node").alias("component"))
     sets, edges, met = None, None, None
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def confirm(pairs: DataFrame) -> None:
         nonlocal sets, edges, met
         pairs = landed(pairs)
         ends = _ends(pairs)
@@ -234,16 +403,12 @@ def link_similar(
         sets, met = (more, ends) if sets is None else (sets.unionByName(more), met.unionByName(fresh))
         good = _confirmed(pairs, sets, least)
         edges = good if edges is None else edges.unionByName(good)
-        return good
 
     confirm(_candidates(alone, distance, True))
-    joined = nodes.join(components(edges).withColumnsRenamed({"node": "__n", "root": "__r"}), F.col("node") == F.col("__n"), "left")
-    confirm(_candidates(landed(joined.select("node", "fp", F.coalesce("__r", "node").alias("component"))), distance, False))
-    active = alone.join(met, "node", "left_semi")
-    while True:
-        active = landed(active.join(_ends(edges), "node", "left_anti"))
-        if not active.limit(1).count() or not confirm(_candidates(active, distance)).limit(1).count():
-            break
+    for each in (EACH, None):
+        so_far = components(edges).withColumnsRenamed({"node": "__n", "root": "__r"})
+        joined = landed(nodes.join(so_far, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("__r", "node").alias("component"), "size", "first"))
+        confirm(_exact(joined, least, HELD, each))
     roots = components(edges)
     grouped = nodes.join(roots.withColumnsRenamed({"node": "__n", "root": "__r"}), F.col("node") == F.col("__n"), "left")
     grouped = grouped.withColumn("__root", F.coalesce("__r", "node"))

@@ -143,6 +143,26 @@ def test_edited_copies_meet(spark):
     assert got[n - 6] == got[n - 5] != got[n - 4] and got[n - 3] == got[n - 2] == got[n - 1]
 
 
+@pytest.mark.parametrize("held", [similar.HELD, 40])
+def test_all_similar_pairs_meet(spark, monkeypatch, held):
+    """Texts just similar enough, with stretches that many of them share: the components are those of all pairs."""
+    rng = random.Random(11)
+    shared = [[f"s{i}_{j}" for j in range(25)] for i in range(4)]
+    texts = []
+    for group in range(60):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(30, 260))]
+        base[3:3] = shared[group % 4]
+        texts += [" ".join(edited(rng, base, rng.choice([0.01, 0.02, 0.025]))) for _ in range(5)]
+        texts += [" ".join(base[: len(base) - cut]) for cut in (0, 9, 18, 27)]
+    texts += ["a b c", "A  b c", "a b c d", "a b c d e", "a b c d e f", "", None, " \n"]
+    monkeypatch.setattr(similar, "HELD", held)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar.link_similar(docs).collect()}
+    reach, pairs = similar_groups({i: t or "" for i, t in enumerate(texts)})
+    assert len(pairs) > 200 and all(got[a] == got[b] for a, b in pairs)
+    assert all(reach[got[d]] == reach[d] for d in got)
+
+
 def test_stars_cover_close_members():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
