@@ -9,7 +9,7 @@ are checked by the whole shingle sets, which only candidates' texts are read for
 Then an exact join finds the rest, between the components so far. All shingles have one order, common ones last; of two sets
 that are similar enough the first common shingle is among the first fifth of either, and what can follow it in both must still
 suffice (prefix and position filters). So texts are dealt by these first shingles, and pairs of different components that pass the
-filters are checked by the whole sets. This is done twice: large buckets first propose a few pairs of a member and another
+filters are checked by counts of their shingles by classes, which bound what they share, and then by the whole sets. This is done twice: large buckets first propose a few pairs of a member and another
 component, which joins most of a dense group; then all pairs that are still of different components. Which shingles count as common comes from a sample of SAMPLE texts; it decides how large buckets
 are, not what is found.
 """
@@ -50,6 +50,9 @@ OFTEN = 4
 COMMON = 1 << 16
 #: Buckets up to this size are compared by how far apart members lie.
 LAGS = 32
+#: Classes of hashes that are counted in every set, and the largest count.
+CLASSES = 128
+MANY = (1 << 16) - 1
 #: Pairs of a member and another component that a larger bucket proposes at first.
 EACH = 4
 COLUMNS = ["component_id", "component_root"]
@@ -172,6 +175,25 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, least: float) -> np
     return (shingles[first] >> np.uint64(32)).astype(np.uint32)
 
 
+def class_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of the hashes are in each of CLASSES; the largest number stands for any that is larger."""
+    return np.minimum(np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=CLASSES), MANY).astype(np.uint16)
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """Those (a, b) that can be similar by ``nodes(node, counts)``: two sets share at most the smaller number of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64) for i in (2, 3))
+            enough = np.minimum(x, y).sum(axis=1) >= least / (1 + least) * (x + y).sum(axis=1) - 1e-6
+            yield batch.select([0, 1]).filter(pa.array(enough | (x == MANY).any(axis=1) | (y == MANY).any(axis=1)))
+
+    first = nodes.select(F.col("node").alias("a"), F.col("counts").alias("x"))
+    second = nodes.select(F.col("node").alias("b"), F.col("counts").alias("y"))
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _common(docs: DataFrame, text: str, texts: int, shingle: int) -> np.ndarray:
     """Sorted hashes of common shingles, and their ranks: COMMON of them at most, from SAMPLE texts or so."""
 
@@ -379,15 +401,16 @@ def link_similar(
     kept = [c for c in docs.columns if c != text]
     common = _common(docs, text, docs.count(), shingle)
 
-    def signed(t: bytes | None) -> tuple[int, int, bytes]:
+    def signed(t: bytes | None) -> tuple[int, int, bytes, bytes]:
         h, found = simhash(t, PRINT_SHINGLE), shingle_set(t, shingle)
-        return h - (1 << 64 if h >> 63 else 0), len(found), first_shingles(found, common, least).tobytes()
+        first = first_shingles(found, common, least)
+        return h - (1 << 64 if h >> 63 else 0), len(found), first.tobytes(), class_counts(found).tobytes()
 
     named = docs.select(*[quoted(c) for c in docs.columns], *[n.alias(f"__{a}") for n, a in zip(_names(text), ("ta", "tb"))])
-    made = with_text_columns(named, text, {"__fp": "long", "__size": "long", "__first": "binary"}, signed)
+    made = with_text_columns(named, text, {"__fp": "long", "__size": "long", "__first": "binary", "__counts": "binary"}, signed)
     marked = landed(made.drop(text))
     texts = marked.groupBy(F.col("__ta").alias("ta"), F.col("__tb").alias("tb")).agg(
-        *[F.first(f"__{c}").alias(c) for c in ("fp", "size", "first")], F.min(quoted(key)).alias("lowest")
+        *[F.first(f"__{c}").alias(c) for c in ("fp", "size", "first", "counts")], F.min(quoted(key)).alias("lowest")
     )
     nodes = landed(texts.withColumn("node", F.monotonically_increasing_id()))
 
@@ -396,7 +419,7 @@ def link_similar(
 
     def confirm(pairs: DataFrame) -> None:
         nonlocal sets, edges, met
-        pairs = landed(pairs)
+        pairs = landed(_possible(pairs, nodes, least))
         ends = _ends(pairs)
         fresh = ends if met is None else ends.join(met, "node", "left_anti")
         more = _sets(docs, text, nodes.join(fresh, "node").select("ta", "tb", "node"), shingle)

@@ -163,6 +163,15 @@ def test_all_similar_pairs_meet(spark, monkeypatch, held):
     assert all(reach[got[d]] == reach[d] for d in got)
 
 
+def test_class_counts_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 50, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[: n * 9 // 10], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)])
+        x, y = similar.class_counts(a).astype(int), similar.class_counts(b).astype(int)
+        assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+
+
 def test_stars_cover_close_members():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
