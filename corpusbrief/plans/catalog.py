@@ -7,6 +7,8 @@ import os
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -553,21 +555,31 @@ def q_error_map(spark, sf_dir):
 
 # --- sources, sinks and streams ------------------------------------------------------------------
 
+#: Files of a batch that are in Python at a time; the batch itself stays as Arrow.
+_FILES_AT_ONCE = 64
+
+
 def _write_documents(root: str):
     """Writer of one directory tree per language, one file per document."""
 
     def write(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                full = os.path.join(root, row.repo_id, row.path)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(full, "wb") as stream:
-                    stream.write(row.content.encode("utf-8"))
-            yield batch[["repo_id"]].drop_duplicates()
+            for start in range(0, batch.num_rows, _FILES_AT_ONCE):
+                rows = batch.slice(start, _FILES_AT_ONCE)
+                for repo_id, path, content in zip(*(c.to_pylist() for c in rows.columns)):
+                    full = os.path.join(root, repo_id, path)
+                    os.makedirs(os.path.dirname(full), exist_ok=True)
+                    with open(full, "wb") as stream:
+                        stream.write(content.encode("utf-8"))
+            yield _repos_of(batch)
 
     return write
 
 
+def _repos_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0).unique()], names=["repo_id"])
+
+
 @_query
 def q_tree_scan(spark, sf_dir):
     """The corpus written out as directory trees, then scanned and selected from the trees."""
@@ -575,7 +587,7 @@ def q_tree_scan(spark, sf_dir):
     if "://" in root:
         raise ValueError("trees are read from a mounted file system, and the shared folder is not one")
     session.ship_package(spark)
-    written = _files(spark, sf_dir).select("repo_id", "path", "content").mapInPandas(_write_documents(root), "repo_id string")
+    written = _files(spark, sf_dir).select("repo_id", "path", "content").mapInArrow(_write_documents(root), "repo_id string")
     repos = session.landed(written.distinct())
     roots = repos.select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))
     selected = select.select_files(tree.scan_trees(roots))
@@ -588,15 +600,16 @@ def _write_broken_documents(root: str):
 
     def write(batches):
         for batch in batches:
-            lost = batch["path"].str.endswith(".go")
-            looped = batch["path"].str.startswith("src/m")
-            for row in batch[lost | looped].itertuples(index=False):
-                full = os.path.join(root, row.repo_id, row.path)
+            lost = pc.ends_with(batch.column(1), ".go")
+            looped = pc.starts_with(batch.column(1), "src/m")
+            broken = pc.or_(lost, looped)
+            for repo_id, path in zip(*(c.to_pylist() for c in batch.select([0, 1]).filter(broken).columns)):
+                full = os.path.join(root, repo_id, path)
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 if not os.path.lexists(full):
-                    os.symlink(full if row.path.startswith("src/m") else full + ".gone", full)
-            yield batch[["repo_id"]].drop_duplicates()
-            yield from plain([batch[~(lost | looped)]])
+                    os.symlink(full if path.startswith("src/m") else full + ".gone", full)
+            yield _repos_of(batch)
+            yield from plain([batch.filter(pc.invert(broken))])
 
     return write
 
@@ -609,7 +622,7 @@ def q_tree_errors(spark, sf_dir):
         raise ValueError("trees are read from a mounted file system, and the shared folder is not one")
     session.ship_package(spark)
     files = _files(spark, sf_dir).select("repo_id", "path", "content")
-    repos = session.landed(files.mapInPandas(_write_broken_documents(root), "repo_id string").distinct())
+    repos = session.landed(files.mapInArrow(_write_broken_documents(root), "repo_id string").distinct())
     roots = repos.unionByName(repos.select(F.lit("none").alias("repo_id")).distinct())
     scanned = session.landed(tree.scan_trees(roots.select("repo_id", F.concat(F.lit(root + "/"), "repo_id").alias("root"))))
     good = select.select_files(scanned).select("repo_id", "path", F.md5("text").alias("text_md5"), F.lit(None).cast("string").alias("error"))

@@ -35,6 +35,7 @@ from ..session import landed, ship_package
 FILES_SCHEMA = "repo_id string, path string, size long, head binary, content binary, read_error string"
 _FOUND_SCHEMA = "repo_id string, root string, path string, folder boolean, read_error string"
 _FILES_PER_BATCH = 64
+_BYTES_PER_BATCH = 8 << 20
 _PATHS_PER_BATCH = 10_000
 #: Entries a task lists of one unit before it hands the folders left over to other tasks.
 _ENTRIES_PER_UNIT = 50_000
@@ -274,6 +275,19 @@ def list_trees(
     return listed
 
 
+def _blocks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """File rows in lists of few files and bytes: a file is held once more while it goes to Spark."""
+    block, held = [], 0
+    for row in rows:
+        block.append(row)
+        held += len(row[4] or b"")
+        if len(block) >= _FILES_PER_BATCH or held >= _BYTES_PER_BATCH:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
 def load_contents(paths: DataFrame, tasks: int | None = None) -> DataFrame:
     """Read the files of ``paths(repo_id, root, path[, read_error])``, spread evenly whatever their folder."""
 
@@ -285,7 +299,7 @@ def load_contents(paths: DataFrame, tasks: int | None = None) -> DataFrame:
         columns = ["repo_id", "path", "size", "head", "content", "read_error"]
         for batch in batches:
             rows = (_file_row(p.repo_id, p.root, p.path, p.read_error) for p in batch.itertuples(index=False))
-            while block := list(itertools.islice(rows, _FILES_PER_BATCH)):
+            for block in _blocks(rows):
                 frame = pd.DataFrame(block, columns=columns)
                 yield frame.assign(size=frame["size"].astype("Int64"))
 

@@ -162,3 +162,10 @@ def test_other_roots_and_files_are_not_opened(spark, roots, tmp_path):
     # Spark keeps no filter of its own for what the source took
     plan = pushed(spark, paths, "repo_id = 'two' AND path LIKE 'src/d3/%'")[1]
     assert "Filter (" not in plan
+
+
+def test_large_files_go_to_spark_few_at_a_time():
+    rows = [("r", f"p{n}", 5 << 20, b"", bytes(5 << 20), None) for n in range(3)] + [("r", "lost", None, None, None, "gone")]
+    assert [[r[1] for r in block] for block in tree._blocks(iter(rows))] == [["p0", "p1"], ["p2", "lost"]]
+    small = [("r", f"p{n}", 1, b"", b"x", None) for n in range(130)]
+    assert [len(block) for block in tree._blocks(iter(small))] == [64, 64, 2]
