@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusbrief.llm import contamination, language, mixing, neardup, passages, queries, similar
 from corpusbrief.llm.texts import quoted, table
-from corpusbrief.session import landed
+from corpusbrief.session import arrow_batches, landed
 
 
 def set_aside(docs: DataFrame, made: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
@@ -56,7 +56,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     were; text and n_chars follow what was cut.
     """
     plain, back = set_aside(docs, passages.COLUMNS)
-    cut = passages.remove_passages(plain)
+    with arrow_batches(spark, similar.BATCH):
+        cut = passages.remove_passages(plain)
     whole = F.col("n_removed_words") == 0
     left = cut.where(whole | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
     changed = {

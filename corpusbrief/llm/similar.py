@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import landed, ship_package
+from ..session import arrow_batches, landed, ship_package
 from .neardup import SEED, block_keys, components, simhash
 from .texts import LOWER, pieces, quoted, table_operator, with_text_columns, words
 
@@ -55,6 +55,8 @@ CLASSES = 128
 MANY = (1 << 16) - 1
 #: Pairs of a member and another component that a larger bucket proposes at first.
 EACH = 4
+#: Bytes of texts or sets that go to Python at a time.
+BATCH = 2 << 20
 COLUMNS = ["component_id", "component_root"]
 
 
@@ -398,6 +400,12 @@ def link_similar(
     table stays empty. All pairs of similar texts end in one component, and no others (but for collisions of hashes).
     """
     ship_package(docs.sparkSession)
+    # all Python runs before this returns: the result joins what is written
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _linked(docs, key, text, shingle, least, distance)
+
+
+def _linked(docs: DataFrame, key: str, text: str, shingle: int, least: float, distance: int) -> DataFrame:
     kept = [c for c in docs.columns if c != text]
     common = _common(docs, text, docs.count(), shingle)
 

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusbrief.llm import passages, queries, similar
-from corpusbrief.session import landed
+from corpusbrief.llm import passages, queries, similar, substrings
+from corpusbrief.session import arrow_batches, landed
 from tests.llm.test_registered import low, naive_language, terms, words
 
 
@@ -172,6 +172,37 @@ def test_class_counts_bound_what_sets_share():
         assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
 
 
+def test_link_similar_and_passages_run_in_small_batches(spark, monkeypatch):
+    """Texts of 3 MB in all go to Python in several batches; the session's own size holds again, also after an error."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, ran, seen = spark.conf.get(name), [], spark.sparkContext.accumulator(0)
+
+    def noted(df, *more):
+        ran.append(int(spark.conf.get(name).removesuffix("b")))
+        return landed(df, *more)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(1)
+            yield batch.slice(0, 0)
+
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(5000)) for _ in range(100)]
+    docs = landed(spark.createDataFrame([(i, t, "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").coalesce(1))
+    with arrow_batches(spark, similar.BATCH):
+        docs.select("text").coalesce(1).mapInArrow(count, "text string").count()
+    assert seen.value > 1
+    monkeypatch.setattr(similar, "landed", noted)
+    monkeypatch.setattr(substrings, "landed", noted)
+    assert len({r.component_id for r in similar.link_similar(docs).collect()}) == 100
+    linked = len(ran)
+    assert corpus_pipeline.suffix_dedup(spark, docs, "").count() == 100
+    assert len(ran) > linked > 0 and set(ran) == {similar.BATCH} and spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), arrow_batches(spark, 1):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(name) == before
+
+
 def test_stars_cover_close_members():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
