@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import arrow_batches, landed, ship_package
+from ..session import arrow_batches, landed, release_shuffles, ship_package
 from .neardup import SEED, block_keys, components, simhash
 from .texts import LOWER, pieces, quoted, table_operator, with_text_columns, words
 
@@ -428,12 +428,16 @@ def _linked(docs: DataFrame, key: str, text: str, shingle: int, least: float, di
     def confirm(pairs: DataFrame) -> None:
         nonlocal sets, edges, met
         pairs = landed(_possible(pairs, nodes, least))
+        release_shuffles(docs.sparkSession)
         ends = _ends(pairs)
         fresh = ends if met is None else ends.join(met, "node", "left_anti")
         more = _sets(docs, text, nodes.join(fresh, "node").select("ta", "tb", "node"), shingle)
+        # texts were moved, as the sets will be
+        release_shuffles(docs.sparkSession)
         sets, met = (more, ends) if sets is None else (sets.unionByName(more), met.unionByName(fresh))
         good = _confirmed(pairs, sets, least)
         edges = good if edges is None else edges.unionByName(good)
+        release_shuffles(docs.sparkSession)
 
     confirm(_candidates(alone, distance, True))
     for each in (EACH, None):
