@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ CLASSES = 128
 MANY = (1 << 16) - 1
 #: Pairs of a member and another component that a larger bucket proposes at first.
 EACH = 4
+#: Parts in which more than so many pairs are checked, so that the sets of a part of them lie on disk.
+PARTS, MANY_PAIRS = 4, 1 << 16
 #: Bytes of texts or sets that go to Python at a time.
 BATCH = 2 << 20
 COLUMNS = ["component_id", "component_root"]
@@ -381,7 +384,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     first = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return landed(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    parts = PARTS if pairs.count() > MANY_PAIRS else 1
+    made = []
+    for number in range(parts):
+        own = F.pmod(F.xxhash64("b"), F.lit(parts)) == number
+        both = pairs.where(own).join(second.where(own), "b").join(first, "a")
+        made.append(landed(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")))
+        release_shuffles(pairs.sparkSession)
+    return reduce(DataFrame.unionByName, made)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -437,7 +447,6 @@ def _linked(docs: DataFrame, key: str, text: str, shingle: int, least: float, di
         sets, met = (more, ends) if sets is None else (sets.unionByName(more), met.unionByName(fresh))
         good = _confirmed(pairs, sets, least)
         edges = good if edges is None else edges.unionByName(good)
-        release_shuffles(docs.sparkSession)
 
     confirm(_candidates(alone, distance, True))
     for each in (EACH, None):
