@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import arrow_batches, landed, release_shuffles, ship_package
+from ..session import arrow_batches, discard, landed, release_shuffles, shared_path, ship_package
 from .neardup import SEED, block_keys, components, simhash
 from .texts import LOWER, pieces, quoted, table_operator, with_text_columns, words
 
@@ -50,9 +51,10 @@ OFTEN = 4
 COMMON = 1 << 16
 #: Buckets up to this size are compared by how far apart members lie.
 LAGS = 32
-#: Classes of hashes that are counted in every set, and the largest count.
+#: Classes of hashes that are counted in every set at least, hashes for which there is a class more, and the largest count.
 CLASSES = 128
-MANY = (1 << 16) - 1
+A_CLASS = 4
+MANY = (1 << 8) - 1
 #: Pairs of a member and another component that a larger bucket proposes at first.
 EACH = 4
 #: Bytes of texts or sets that go to Python at a time.
@@ -178,18 +180,37 @@ def first_shingles(shingles: np.ndarray, common: np.ndarray, least: float) -> np
 
 
 def class_counts(shingles: np.ndarray) -> np.ndarray:
-    """How many of the hashes are in each of CLASSES; the largest number stands for any that is larger."""
-    return np.minimum(np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=CLASSES), MANY).astype(np.uint16)
+    """How many of the hashes are in each class; the largest number stands for any that is larger.
+
+    Classes are the first bits of hashes. The larger the set, the more there are: with dozens of hashes in each, any two
+    sets would have about the same counts.
+    """
+    bits = max(CLASSES, 1 << (len(shingles) // A_CLASS).bit_length()).bit_length() - 1
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), MANY).astype(np.uint8)
+
+
+def can_be_similar(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets with the class counts in the rows of ``x`` and ``y`` can be similar: two sets share at most the smaller
+    number of each class. The finer classes of one side are summed to those of the other."""
+    many = (x == MANY).any(axis=1) | (y == MANY).any(axis=1)
+    classes = min(x.shape[1], y.shape[1])
+    x, y = (c.reshape(len(c), classes, c.shape[1] // classes).sum(axis=2, dtype=np.int64) for c in (x, y))
+    return many | (np.minimum(x, y).sum(axis=1) >= least / (1 + least) * (x + y).sum(axis=1) - 1e-6)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Those (a, b) that can be similar by ``nodes(node, counts)``: two sets share at most the smaller number of each class."""
+    """Those (a, b) that can be similar by ``nodes(node, counts)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int64) for i in (2, 3))
-            enough = np.minimum(x, y).sum(axis=1) >= least / (1 + least) * (x + y).sum(axis=1) - 1e-6
-            yield batch.select([0, 1]).filter(pa.array(enough | (x == MANY).any(axis=1) | (y == MANY).any(axis=1)))
+            sides = [batch.column(i) for i in (2, 3)]
+            sizes = np.stack([pc.binary_length(side).to_numpy(zero_copy_only=False) for side in sides], axis=1)
+            enough = np.zeros(len(sizes), bool)
+            for kind in np.unique(sizes, axis=0):
+                rows = np.flatnonzero((sizes == kind).all(axis=1))
+                x, y = (np.frombuffer(b"".join(side.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1) for side in sides)
+                enough[rows] = can_be_similar(x, y, least)
+            yield batch.select([0, 1]).filter(pa.array(enough))
 
     first = nodes.select(F.col("node").alias("a"), F.col("counts").alias("x"))
     second = nodes.select(F.col("node").alias("b"), F.col("counts").alias("y"))
@@ -264,7 +285,7 @@ def possible_pairs(packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots:
 _MEMBER = "packed long, node long, component long, spot long"
 
 
-def _meeting(members: DataFrame, least: float, most: int | None, each: int | None) -> DataFrame:
+def _meeting(members: DataFrame, least: float, most: int | None, each: int | None, path: str) -> DataFrame:
     """Of members of buckets: (node, other), the possible pairs; and with no other, as they come, the members of buckets with
     more than ``most``."""
 
@@ -299,14 +320,17 @@ def _meeting(members: DataFrame, least: float, most: int | None, each: int | Non
         yield made(held, True)
 
     dealt = members.repartition(F.shiftright("packed", 32)).sortWithinPartitions("packed")
-    return landed(dealt.mapInArrow(cover, _MEMBER + ", other long"))
+    met = landed(dealt.mapInArrow(cover, _MEMBER + ", other long"), path)
+    release_shuffles(members.sparkSession)
+    return met
 
 
-def _exact(nodes: DataFrame, least: float, most: int, each: int | None) -> DataFrame:
+def _exact(nodes: DataFrame, least: float, most: int, each: int | None, work: str) -> DataFrame:
     """Distinct (a, b) of ``nodes(node, component, size, first)``: all pairs of different components that can be similar, or
     only ``each`` of a member with another component in a large bucket.
 
-    Buckets of more than ``most`` members are dealt again by pairs of their parts, so that no task holds a whole one.
+    Buckets of more than ``most`` members are dealt again by pairs of their parts, so that no task holds a whole one. What is
+    written on the way goes below ``work``.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +346,7 @@ def _exact(nodes: DataFrame, least: float, most: int, each: int | None) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["packed", "node", "component", "spot"])
 
     members = nodes.select("node", "component", "size", "first").mapInArrow(deal, _MEMBER)
-    met = _meeting(members, least, most, each)
+    met = _meeting(members, least, most, each, f"{work}/met")
     pairs, crowded = met.where(F.col("other").isNotNull()), met.where(F.col("other").isNull()).drop("other")
     if crowded.limit(1).count():
         parts = crowded.groupBy(F.shiftright("packed", 32).alias("key")).agg(F.ceil(2 * F.count(F.lit(1)) / most).cast("int").alias("parts"))
@@ -332,13 +356,13 @@ def _exact(nodes: DataFrame, least: float, most: int, each: int | None) -> DataF
         )
         place = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
         packed = F.shiftleft(place, 32).bitwiseOR(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)))
-        again = _meeting(spread.select(packed.alias("packed"), "node", "component", "spot"), least, None, each)
+        again = _meeting(spread.select(packed.alias("packed"), "node", "component", "spot"), least, None, each, f"{work}/again")
         pairs = pairs.unionByName(again.where(F.col("other").isNotNull()))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of ``wanted(ta, tb, node)``; of equal texts each task sends one."""
+def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
+    """(node, shingles) of the written ``wanted(ta, tb, node)``; of equal texts each task sends one."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -356,7 +380,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int) -> DataFr
 
     named = docs.select(*_names(text), F.col(quoted(text)).cast("binary").alias("body"))
     found = named.mapInArrow(once, "ta long, tb long, body binary").join(wanted, ["ta", "tb"])
-    return landed(found.select("node", "body").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]))
+    return landed(found.select("node", "body").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), path)
 
 
 def _names(text: str) -> list:
@@ -424,26 +448,35 @@ def _linked(docs: DataFrame, key: str, text: str, shingle: int, least: float, di
 
     alone = nodes.select("node", "fp", F.col("node").alias("component"))
     sets, edges, met = None, None, None
+    # what no later step reads is deleted: the tables of a round with it, the sets and their names at the end
+    work = shared_path(docs.sparkSession, "similar")
 
-    def confirm(pairs: DataFrame) -> None:
+    def confirm(pairs: DataFrame, now: str) -> None:
         nonlocal sets, edges, met
-        pairs = landed(_possible(pairs, nodes, least))
+        pairs = landed(_possible(pairs, nodes, least), f"{now}/pairs")
         release_shuffles(docs.sparkSession)
         ends = _ends(pairs)
         fresh = ends if met is None else ends.join(met, "node", "left_anti")
-        more = _sets(docs, text, nodes.join(fresh, "node").select("ta", "tb", "node"), shingle)
+        # written, so that Spark knows how few they are before it moves all texts to them
+        wanted = landed(nodes.join(fresh, "node").select("ta", "tb", "node"), f"{work}/wanted{now[-1]}")
+        more = _sets(docs, text, wanted, shingle, f"{work}/sets{now[-1]}")
         # texts were moved, as the sets will be
         release_shuffles(docs.sparkSession)
-        sets, met = (more, ends) if sets is None else (sets.unionByName(more), met.unionByName(fresh))
+        fresh = wanted.select("node")
+        sets, met = (more, fresh) if sets is None else (sets.unionByName(more), met.unionByName(fresh))
         good = _confirmed(pairs, sets, least)
         edges = good if edges is None else edges.unionByName(good)
+        discard(docs.sparkSession, now)
         release_shuffles(docs.sparkSession)
 
-    confirm(_candidates(alone, distance, True))
-    for each in (EACH, None):
+    confirm(_candidates(alone, distance, True), f"{work}/0")
+    for number, each in enumerate((EACH, None), 1):
         so_far = components(edges).withColumnsRenamed({"node": "__n", "root": "__r"})
-        joined = landed(nodes.join(so_far, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("__r", "node").alias("component"), "size", "first"))
-        confirm(_exact(joined, least, HELD, each))
+        now = f"{work}/{number}"
+        of = F.coalesce("__r", "node").alias("component")
+        joined = landed(nodes.join(so_far, F.col("node") == F.col("__n"), "left").select("node", of, "size", "first"), f"{now}/nodes")
+        confirm(_exact(joined, least, HELD, each, now), now)
+    discard(docs.sparkSession, work)
     roots = components(edges)
     grouped = nodes.join(roots.withColumnsRenamed({"node": "__n", "root": "__r"}), F.col("node") == F.col("__n"), "left")
     grouped = grouped.withColumn("__root", F.coalesce("__r", "node"))

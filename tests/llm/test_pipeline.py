@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a brute-force version over what the stage before it kept."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -172,6 +173,48 @@ def test_class_counts_bound_what_sets_share():
         assert x.sum() == len(a) and np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
 
 
+def test_class_counts_part_large_sets():
+    """Sets of many thousands that share little are parted by their counts, similar ones never; sides with other classes too."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    for n in (2_000, 4_000, 20_000, 70_000):
+        a = draw(n)
+        x = similar.class_counts(a)[None]
+        assert x.nbytes <= max(128, len(a))
+        for share, other in ((0.05, n), (0.05, int(n * 0.82)), (0.97, n), (0.99, int(n * 0.88))):
+            b = np.unique(np.r_[rng.permutation(a)[: int(other * share)], draw(int(other * (1 - share)))])
+            y = similar.class_counts(b)[None]
+            assert (similar.similarity(a, b) >= similar.SIMILARITY) == (share > 0.5)
+            for one, two in ((x, y), (y, x)):
+                assert similar.can_be_similar(one, two, similar.SIMILARITY).tolist() == [share > 0.5]
+    # a class that is full tells nothing
+    full = np.zeros((1, 128), np.uint8)
+    full[0, 3] = similar.MANY
+    assert similar.can_be_similar(full, np.zeros((1, 256), np.uint8), 0.8).all()
+
+
+def test_long_texts_that_share_one_passage_are_not_compared_whole(spark, monkeypatch):
+    """Long texts that share a rare passage meet, but their sets are never fetched; what is written on the way is deleted."""
+    rng = random.Random(8)
+    shared = [f"s{j}" for j in range(12)]
+    texts = [" ".join([f"w{rng.randrange(10**7)}" for _ in range(4000)] + shared) for _ in range(40)]
+    texts += [" ".join(edited(rng, texts[0].split(), 0.005))]
+    docs = landed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    pairs, paths = [], []
+    confirmed, path = similar._confirmed, similar.shared_path
+
+    def noted(found, *more):
+        pairs.append(found.count())
+        return confirmed(found, *more)
+
+    monkeypatch.setattr(similar, "_confirmed", noted)
+    monkeypatch.setattr(similar, "shared_path", lambda *a: paths.append(path(*a)) or paths[-1])
+    monkeypatch.setattr(similar, "OFTEN", 10**6)  # the passage is not known to be common
+    got = {r.doc_id: r.component_id for r in similar.link_similar(docs).collect()}
+    assert got == {i: i for i in range(40)} | {40: 0} and sum(pairs) <= 3
+    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
 def test_link_similar_and_passages_run_in_small_batches(spark, monkeypatch):
     """Texts of 3 MB in all go to Python in several batches; the session's own size holds again, also after an error."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
