@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import landed, ship_package
+from ..session import arrow_batches, landed, ship_package
 from .texts import LOWER, pieces, quoted, struct_of, table_operator, words
 
 #: Stands before and after each text; no UTF-8 text holds this byte.
@@ -26,10 +26,15 @@ SEEN = 2
 COMMON_GRAMS = 1 << 21
 #: Words with at least this share of the training tokens; so at most 1 / share of them go to every task.
 WORD_SHARE = 1 / 200_000
-_CHUNK = 1 << 21
+#: Bytes of texts that go to Python at a time.
+BATCH = 2 << 20
+#: Grams that are sorted at a time, that a task holds counted, and that are weighted at a time. A worker keeps most of what
+#: it once needed, and each executor has a worker for each core beside its heap.
+_CHUNK = 1 << 19
 _FLUSH = 1 << 21
+_WEIGHED = 1 << 17
 #: Bytes of short texts that are looked up at a time.
-_TOGETHER = 1 << 19
+_TOGETHER = 1 << 18
 
 
 # --- gathering -----------------------------------------------------------------------------------------------
@@ -82,7 +87,7 @@ def _grams_by_text(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray,
 
 
 class _Counts:
-    """Sums of counted numbers, merged when much has come in."""
+    """Sums of counted numbers: sorted parts, of which each is over twice as large as the next one."""
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -97,15 +102,25 @@ class _Counts:
 
     def _count(self) -> None:
         if self.raw:
-            self.parts.append(np.unique(np.concatenate(self.raw), return_counts=True))
+            codes = np.concatenate(self.raw)
             self.raw, self.waiting = [], 0
-        if len(self.parts) > 1:
-            codes, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            values, at = np.unique(codes, return_inverse=True)
-            self.parts = [(values, np.bincount(at, counts, len(values)).astype(np.int64))]
+            codes.sort()
+            starts = _starts(codes)
+            self.parts.append((codes[starts], np.diff(np.append(starts, len(codes)))))
+        while len(self.parts) > 1 and len(self.parts[-2][0]) <= 2 * len(self.parts[-1][0]):
+            self._merge()
+
+    def _merge(self) -> None:
+        codes, counts = (np.concatenate(x) for x in zip(self.parts.pop(), self.parts.pop(), strict=True))
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+        starts = _starts(codes)
+        self.parts.append((codes[starts], np.add.reduceat(counts, starts)))
 
     def taken(self) -> tuple[np.ndarray, np.ndarray] | None:
         self._count()
+        while len(self.parts) > 1:
+            self._merge()
         found, self.parts = self.parts, []
         return found[0] if found else None
 
@@ -320,7 +335,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
     waiting = 0
     for batch in batches:
         columns = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        if waiting > _FLUSH // 8 and len(columns[0]):
+        if waiting > _WEIGHED and len(columns[0]):
             joined = tuple(np.concatenate(c) for c in zip(*held, columns, strict=True))
             end = int(np.searchsorted(joined[0], joined[0][-1]))
             if end:
@@ -435,8 +450,14 @@ def score_texts(docs: DataFrame, train: DataFrame, text: str = "text") -> DataFr
     unknown and each byte gets 1/256. Repeated rows get the same answer; columns with the new names are replaced,
     all others but the text stay; an empty table stays empty.
     """
+    ship_package(docs.sparkSession)
+    # all Python runs before this returns: the result joins what is written
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _scored(docs, train, text)
+
+
+def _scored(docs: DataFrame, train: DataFrame, text: str) -> DataFrame:
     spark = docs.sparkSession
-    ship_package(spark)
     grams = gram_probabilities(docs, train, text)
     digits = F.length(F.bin("m"))
     least, taken = 64, 0

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusbrief.llm import contamination, language, licenses, mixing, neardup, quality, scoring, substrings, urls, warc
+from corpusbrief.session import landed
 from tests.llm.context_tree import weigh
 from tests.llm.test_registered import classes, fingerprint, repeats
 
@@ -252,6 +254,37 @@ def test_all_contexts_seen_twice_are_weighted(spark, monkeypatch):
         assert len(got) == 62 and all(math.isclose(r.score, expected[r.doc_id], rel_tol=1e-5) for r in got)
 
 
+def test_counting_grams_holds_little():
+    """Sums are those of all numbers, and what a task holds meanwhile is a few times the distinct ones."""
+    rng = np.random.default_rng(12)
+    parts = [(rng.zipf(1.3, rng.integers(1, 300_000)) % 400_000).astype(np.int64) for _ in range(40)]
+    expected = np.unique(np.concatenate(parts), return_counts=True)
+    counts = scoring._Counts()
+    tracemalloc.start()
+    for part in parts:
+        counts.add(part)
+    found = counts.taken()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(found, expected)) and counts.taken() is None
+    assert peak < 30 << 20, peak
+
+
+def test_scoring_sends_texts_in_small_batches(spark, docs, monkeypatch):
+    """All Python of the operator runs with its own batch size, and the session's holds again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, ran = spark.conf.get(name), []
+
+    def noted(df, *more):
+        ran.append(int(spark.conf.get(name).removesuffix("b")))
+        return landed(df, *more)
+
+    monkeypatch.setattr(scoring, "landed", noted)
+    scored = scoring.score_texts(docs, docs.select("text"))
+    assert len(ran) == 4 and set(ran) == {2 << 20} and spark.conf.get(name) == before
+    assert scored.count() == docs.count() and len(ran) == 4
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
 def test_lookup_finds_what_is_there_and_nothing_else(n):
     rng = np.random.default_rng(n)
