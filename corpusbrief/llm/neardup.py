@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import landed, ship_package
-from .texts import LOWER, quoted, table_operator, with_text_columns, words
+from .texts import LOWER, may_be_among, quoted, table_operator, with_text_columns, words
 
 SHINGLE = 4
 SEED = 42
@@ -230,23 +230,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Cal
     """One row of each component, that with the smallest key (nulls last; of repeated rows any one). ``link`` adds
     the components, as component_root.
 
-    Only keys and hashes take part in the choice; the documents themselves move once, when they meet the chosen
-    keys. Rows with one key are told apart by two hashes of their texts.
+    Only keys and hashes take part in the choice. Rows with one key are told apart by two hashes of their texts. Of the
+    documents themselves only those move that may go, to meet the chosen keys.
     """
     source = F.col(quoted(text))
     hashes = {f"__h{i}": F.xxhash64(F.lit(i), source) for i in (1, 2)}
     chosen_by = [F.col(quoted(key)).isNull().alias("none"), F.col(quoted(key)).alias("k"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2")]
     linked = link(docs.select(quoted(key), quoted(text)).withColumns(hashes), key, text)
     # rows of one key and text are one candidate; their number tells whether any are repeated
-    rows = linked.groupBy("component_root", F.struct(*chosen_by).alias("row")).agg(F.count(F.lit(1)).alias("copies"))
+    rows = landed(linked.groupBy("component_root", F.struct(*chosen_by).alias("row")).agg(F.count(F.lit(1)).alias("copies")))
     first = landed(rows.groupBy("component_root").agg(F.min_by("copies", "row").alias("copies"), F.min("row").alias("row")))
     chosen = first.select(*[F.col("row")[n].alias(f"__{n}") for n in ("none", "k", "h1", "h2")])
+    stays = first.select(F.col("component_root").alias("r"), F.col("row").alias("first"))
+    other = rows.join(stays, F.col("component_root").eqNullSafe(F.col("r"))).where(~F.col("row").eqNullSafe(F.col("first")) | (F.col("copies") > 1))
+    may_go = may_be_among(other.select(F.xxhash64("row.k", "row.h1").alias("name")), "name")(F.xxhash64(quoted(key), hashes["__h1"]))
     same = (
         (F.col("__own1") == F.col("__h1")) & (F.col("__own2") == F.col("__h2")) & F.col(quoted(key)).eqNullSafe(F.col("__k"))
     )
-    marked = docs.withColumns({"__own1": hashes["__h1"], "__own2": hashes["__h2"]})
+    marked = docs.where(may_go).withColumns({"__own1": hashes["__h1"], "__own2": hashes["__h2"]})
     kept = marked.join(chosen, same, "left_semi")
     if first.where(F.col("copies") > 1).limit(1).count():
         alike = W.partitionBy(quoted(key), "__own1", "__own2").orderBy("__own1")
         kept = kept.withColumn("__place", F.row_number().over(alike)).where(F.col("__place") == 1)
-    return kept.select(*[quoted(c) for c in docs.columns])
+    return docs.where(~may_go).union(kept.select(*[quoted(c) for c in docs.columns]))

@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import landed, release_shuffles
 from . import substrings
-from .texts import pieces, table_operator, with_text_columns, words
+from .texts import may_be_among, pieces, table_operator, with_text_columns, words
 
 #: Passages of over 50 words.
 WORDS = 51
@@ -55,17 +56,21 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, a
 
     Null and empty texts have no words and lose nothing (kept is as the text). Texts of any length are taken whole.
     Repeated rows are repeats. Columns with the new names, in whatever case, are replaced, all others stay; an
-    empty table stays empty.
+    empty table stays empty. Only names and places move, and those texts that may lose something.
     """
     codes = _Codes()
     kept = docs.columns
     # names that the passes give or use are out of the way
     hidden = {c: f"__doc{i}" for i, c in enumerate(kept)}
     body = hidden[text]
+    docs = docs.withColumnsRenamed(hidden)
+    names = {"__t1": F.xxhash64(body), "__t2": F.xxhash64(F.lit(1), body)}
     coded = with_text_columns(
-        docs.withColumnsRenamed(hidden), body, {"__code": "string"}, lambda t: (b"".join(map(codes.__getitem__, words(t))).decode(),)
+        docs.select(body).withColumns(names), body, {"__code": "string"}, lambda t: (b"".join(map(codes.__getitem__, words(t))).decode(),)
     )
-    found = substrings.remove_repeats(coded, "__code", n_words * CODE, anchor * CODE, keep_spans=True)
+    found = substrings.remove_repeats(coded, "__code", n_words * CODE, anchor * CODE, keep_spans=True).where("removed is not null")
+    found = landed(found.select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), "removed").dropDuplicates(["t1", "t2"]))
+    release_shuffles(docs.sparkSession)
 
     def run(texts: pa.Array, ranges: pa.Array) -> pa.Array:
         made = []
@@ -85,10 +90,13 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, a
 
     kind = pa.struct([("left", pa.string()), ("words", pa.int64()), ("passages", pa.int64())])
     udf = F.arrow_udf(run, "struct<left:string,words:long,passages:long>").asNondeterministic()
+    may_lose = may_be_among(found, "t1")(names["__t1"])
+    named = docs.where(may_lose).withColumns(names)
+    joined = named.join(found, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
     changed = F.when(F.col("removed").isNotNull(), F.col(body)).cast("binary")
-    done = found.withColumn("__cut", udf(changed, F.col("removed")))
+    done = joined.withColumn("__cut", udf(changed, F.col("removed")))
+    own = [F.col(own).alias(c) for c, own in hidden.items()]
+    none = F.lit(0).cast("long")
     return done.select(
-        *[F.col(own).alias(c) for c, own in hidden.items()],
-        F.col("__cut.words").alias("n_removed_words"), F.col("__cut.passages").alias("n_passages"),
-        F.coalesce("__cut.left", body).alias("kept"),
-    )
+        *own, F.col("__cut.words").alias("n_removed_words"), F.col("__cut.passages").alias("n_passages"), F.coalesce("__cut.left", body).alias("kept"),
+    ).union(docs.where(~may_lose).select(*own, none.alias("n_removed_words"), none.alias("n_passages"), F.col(body).alias("kept")))

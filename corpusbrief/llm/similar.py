@@ -9,8 +9,8 @@ are checked by the whole shingle sets, which only candidates' texts are read for
 Then an exact join finds the rest, between the components so far. All shingles have one order, common ones last; of two sets
 that are similar enough the first common shingle is among the first fifth of either, and what can follow it in both must still
 suffice (prefix and position filters). So texts are dealt by these first shingles, and pairs of different components that pass the
-filters are checked by counts of their shingles by classes, which bound what they share, and then by the whole sets. This is done twice: large buckets first propose a few pairs of a member and another
-component, which joins most of a dense group; then all pairs that are still of different components. Which shingles count as common comes from a sample of SAMPLE texts; it decides how large buckets
+filters are checked by counts of their shingles by classes, which bound what they share, and then by the whole sets. This is done twice: large buckets alone propose a few pairs of each member with
+other components, which joins most of a dense group; then all pairs that are still of different components. Which shingles count as common comes from a sample of SAMPLE texts; it decides how large buckets
 are, not what is found.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import arrow_batches, discard, landed, release_shuffles, shared_path, ship_package
 from .neardup import SEED, block_keys, components, simhash
-from .texts import LOWER, pieces, quoted, table_operator, with_text_columns, words
+from .texts import LOWER, may_be_among, pieces, quoted, table_operator, with_text_columns, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -55,8 +55,9 @@ LAGS = 32
 CLASSES = 128
 A_CLASS = 4
 MANY = (1 << 8) - 1
-#: Pairs of a member and another component that a larger bucket proposes at first.
+#: Pairs of a member and another component that a larger bucket proposes at first, and times as many of a member in all.
 EACH = 4
+IN_ALL = 2
 #: Bytes of texts or sets that go to Python at a time.
 BATCH = 2 << 20
 COLUMNS = ["component_id", "component_root"]
@@ -235,12 +236,21 @@ def _common(docs: DataFrame, text: str, texts: int, shingle: int) -> np.ndarray:
     return np.stack((hashes[order], (order + 1).astype(np.uint64)))
 
 
-def possible_pairs(packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots: np.ndarray, least: float, each: int | None = None) -> np.ndarray:
-    """(a, b) of different components that meet in a bucket and whose sets can be similar, each once; in large buckets only
-    ``each`` of a member with another component, those that can share the most.
+def earlier_shingles(tokens: np.ndarray) -> np.ndarray:
+    """For each of a text's first shingles, two that stand before it: the very first, and the one that is smallest in an order of
+    another kind. Two texts that share some tend to have the same ones."""
+    mixed = np.minimum.accumulate((tokens * _MIXER) & 0xFFFFFFFF)
+    return (tokens[0] << 32) | np.r_[0, mixed[:-1]]
+
+
+def possible_pairs(
+    packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots: np.ndarray, earlier: np.ndarray, least: float, each: int | None = None,
+) -> np.ndarray:
+    """(a, b) of different components that meet in a bucket and whose sets can be similar, each once; or with ``each`` those of
+    large buckets alone, and so many of a member with another component, IN_ALL times as many in all, those that can share the most.
 
     Rows are sorted by ``packed``, the bucket and the shingle before it; ``spots`` are the set's size and the place in it.
-    A pair that shares the shingle before as well has met in that one's bucket.
+    A pair that shares the shingle before as well, or one of the ``earlier`` ones, has met in that one's bucket.
     """
     keys = packed >> 32
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -250,16 +260,17 @@ def possible_pairs(packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots:
     bucket, sizes = np.repeat(np.arange(mixed.sum()), sizes[mixed]), sizes[mixed]
     nodes, of, before = nodes[rows], of[rows], packed[rows] & 0xFFFFFFFF
     size, place = spots[rows] >> 32, spots[rows] & 0xFFFFFFFF
+    lead, mixed = earlier[rows] >> 32, earlier[rows] & 0xFFFFFFFF
 
     def alike(i: np.ndarray, j: np.ndarray | int) -> np.ndarray:
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         left = np.minimum(size[i] - place[i], size[j] - place[j])
-        met = (before[i] == before[j]) & (place[i] > 0) & (place[j] > 0)
+        met = ((before[i] == before[j]) | (lead[i] == lead[j]) | (mixed[i] == mixed[j])) & (place[i] > 0) & (place[j] > 0)
         enough = (small >= least * large - 1e-6) & (left >= least / (1 + least) * (small + large) - 1e-6)
         return (of[i] != of[j]) & ~met & (enough | (large == 0))
 
     found = [np.zeros((0, 2), np.int64)]
-    few = np.flatnonzero(sizes[bucket] <= LAGS) if len(rows) else rows
+    few = np.flatnonzero(sizes[bucket] <= LAGS) if len(rows) and not each else rows[:0]
     for lag in range(1, LAGS):
         i = few[:-lag][bucket[few[:-lag]] == bucket[few[lag:]]]
         if not len(i):
@@ -276,13 +287,19 @@ def possible_pairs(packed: np.ndarray, nodes: np.ndarray, of: np.ndarray, spots:
         for k in range(int(largest.sum()), len(own)):
             i = own[:k][alike(own[:k], own[k])]
             if each and len(i) > each:
-                i = i[np.lexsort((-np.minimum(size[i] - place[i], size[own[k]] - place[own[k]]), of[i]))]
-                i = i[np.r_[np.ones(each, bool), of[i[each:]] != of[i[:-each]]]]
+                left = np.minimum(size[i] - place[i], size[own[k]] - place[own[k]])
+                first = np.lexsort((-left, of[i]))
+                i, left = i[first], left[first]
+                some = np.flatnonzero(np.r_[np.ones(each, bool), of[i[each:]] != of[i[:-each]]])
+                i = i[some[np.argsort(-left[some], kind="stable")[: IN_ALL * each]]]
             found.append(np.stack((nodes[i], np.full(len(i), nodes[own[k]])), axis=1))
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
-_MEMBER = "packed long, node long, component long, spot long"
+_MEMBERS = ["packed", "node", "component", "spot", "earlier"]
+_MEMBER = ", ".join(f"{m} long" for m in _MEMBERS)
+#: An odd number: times this, the lower 32 bits are as different as before.
+_MIXER = 0x9E3779B1
 
 
 def _meeting(members: DataFrame, least: float, most: int | None, each: int | None, path: str) -> DataFrame:
@@ -290,17 +307,17 @@ def _meeting(members: DataFrame, least: float, most: int | None, each: int | Non
     more than ``most``."""
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * len(_MEMBERS)
         crowded = None
 
         def made(rows: list[np.ndarray], pairs: bool) -> pa.RecordBatch:
             if pairs:
                 found = possible_pairs(*rows, least, each) if len(rows[0]) else np.zeros((0, 2), np.int64)
                 none = pa.nulls(len(found), pa.int64())
-                columns = [none, pa.array(found[:, 0]), none, none, pa.array(found[:, 1])]
+                columns = [none, pa.array(found[:, 0]), none, none, none, pa.array(found[:, 1])]
             else:
                 columns = [*map(pa.array, rows), pa.nulls(len(rows[0]), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["packed", "node", "component", "spot", "other"])
+            return pa.RecordBatch.from_arrays(columns, names=[*_MEMBERS, "other"])
 
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy(zero_copy_only=False))) for h, c in zip(held, batch.columns, strict=True)]
@@ -327,7 +344,7 @@ def _meeting(members: DataFrame, least: float, most: int | None, each: int | Non
 
 def _exact(nodes: DataFrame, least: float, most: int, each: int | None, work: str) -> DataFrame:
     """Distinct (a, b) of ``nodes(node, component, size, first)``: all pairs of different components that can be similar, or
-    only ``each`` of a member with another component in a large bucket.
+    with ``each`` only so many of a member with another component, of large buckets.
 
     Buckets of more than ``most`` members are dealt again by pairs of their parts, so that no task holds a whole one. What is
     written on the way goes below ``work``.
@@ -341,9 +358,9 @@ def _exact(nodes: DataFrame, least: float, most: int, each: int | None, work: st
             place = np.concatenate([np.arange(c) for c in counts])
             columns = [
                 (np.concatenate(tokens) << 32) | before, *(np.repeat(np.array(x, np.int64), counts) for x in (numbers, components_)),
-                (np.repeat(np.array(sizes, np.int64), counts) << 32) | place,
+                (np.repeat(np.array(sizes, np.int64), counts) << 32) | place, np.concatenate([earlier_shingles(t) for t in tokens]),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["packed", "node", "component", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_MEMBERS)
 
     members = nodes.select("node", "component", "size", "first").mapInArrow(deal, _MEMBER)
     met = _meeting(members, least, most, each, f"{work}/met")
@@ -356,13 +373,14 @@ def _exact(nodes: DataFrame, least: float, most: int, each: int | None, work: st
         )
         place = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
         packed = F.shiftleft(place, 32).bitwiseOR(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)))
-        again = _meeting(spread.select(packed.alias("packed"), "node", "component", "spot"), least, None, each, f"{work}/again")
+        again = _meeting(spread.select(packed.alias("packed"), *_MEMBERS[1:]), least, None, each, f"{work}/again")
         pairs = pairs.unionByName(again.where(F.col("other").isNotNull()))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, path: str) -> DataFrame:
-    """(node, shingles) of the written ``wanted(ta, tb, node)``; of equal texts each task sends one."""
+    """(node, shingles) of the written ``wanted(ta, tb, node)``; only texts that may be wanted are moved, of equal ones each task
+    sends one."""
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -378,7 +396,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, path: str
             sets = [shingle_set(t, shingle).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    named = docs.select(*_names(text), F.col(quoted(text)).cast("binary").alias("body"))
+    named = docs.select(*_names(text), F.col(quoted(text)).cast("binary").alias("body")).where(may_be_among(wanted, "ta")(F.col("ta")))
     found = named.mapInArrow(once, "ta long, tb long, body binary").join(wanted, ["ta", "tb"])
     return landed(found.select("node", "body").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), path)
 
@@ -453,11 +471,13 @@ def _linked(docs: DataFrame, key: str, text: str, shingle: int, least: float, di
 
     def confirm(pairs: DataFrame, now: str) -> None:
         nonlocal sets, edges, met
-        pairs = landed(_possible(pairs, nodes, least), f"{now}/pairs")
+        # written, as are the wanted names, so that Spark knows how few they are before it moves what is joined with them
+        proposed = landed(pairs, f"{now}/proposed")
+        release_shuffles(docs.sparkSession)
+        pairs = landed(_possible(proposed, nodes, least), f"{now}/pairs")
         release_shuffles(docs.sparkSession)
         ends = _ends(pairs)
         fresh = ends if met is None else ends.join(met, "node", "left_anti")
-        # written, so that Spark knows how few they are before it moves all texts to them
         wanted = landed(nodes.join(fresh, "node").select("ta", "tb", "node"), f"{work}/wanted{now[-1]}")
         more = _sets(docs, text, wanted, shingle, f"{work}/sets{now[-1]}")
         # texts were moved, as the sets will be

@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpusbrief.llm import passages, queries, similar, substrings
+from corpusbrief.llm import neardup, passages, queries, similar, substrings, texts
 from corpusbrief.session import arrow_batches, landed
 from tests.llm.test_registered import low, naive_language, terms, words
 
@@ -215,6 +216,86 @@ def test_long_texts_that_share_one_passage_are_not_compared_whole(spark, monkeyp
     assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
 
 
+def test_a_pair_is_proposed_few_times(spark, monkeypatch):
+    """Texts that share much and are not similar enough meet by many shingles; each pair is written a few times only, and
+    the first round writes none of small buckets."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(edited(rng, base, 0.035)) for _ in range(30)]
+    texts += [" ".join(texts[3].split()[:-9]), None, ""]
+    sets = [similar.shingle_set(t and t.encode()) for t in texts]
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if similar.similarity(sets[a], sets[b]) >= similar.SIMILARITY}
+    assert alike == {(3, 30), (31, 32)}
+    written = []
+
+    def noted(df, path=None):
+        done = landed(df, path)
+        if path and path.endswith("/met"):
+            written.append((done.count(), done.distinct().count()))
+        return done
+
+    monkeypatch.setattr(similar, "landed", noted)
+    monkeypatch.setattr(similar, "COMMON", 0)
+    docs = landed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    got = {r.doc_id: r.component_id for r in similar.link_similar(docs).collect()}
+    assert got == {i: i for i in range(30)} | {30: 3, 31: 31, 32: 31}
+    (first, _), (second, pairs) = written
+    assert first == 0 and pairs > 200 and second < 5 * pairs
+
+
+def test_earlier_shingles_are_of_those_before():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50):
+        tokens = rng.integers(0, 1 << 32, n).astype(np.int64)
+        found = similar.earlier_shingles(tokens)
+        assert ((found >> 32) & 0xFFFFFFFF == tokens[0]).all()
+        mixed = (tokens * similar._MIXER) & 0xFFFFFFFF
+        assert len(set(mixed.tolist())) == n
+        assert (found & 0xFFFFFFFF).tolist() == [0, *(int(mixed[:i].min()) for i in range(1, n))]
+
+
+@pytest.mark.parametrize("most", [25, 8])
+def test_may_be_among_loses_none(spark, monkeypatch, most):
+    """Every hash in the column passes, however small the table; most others do not where there is room."""
+    monkeypatch.setattr(texts, "MOST_PLACES", most)
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h"), "id")
+    test = texts.may_be_among(hashes.where("id % 10 = 0"), "h")
+    passed = {r.id for r in hashes.where(test(F.col("h"))).collect()}
+    assert {i for i in range(3000) if i % 10 == 0} <= passed and (len(passed) < 500 or most == 8)
+    assert len(passed) + hashes.where(~test(F.col("h"))).count() == 3000
+    none = texts.may_be_among(hashes.where("false"), "h")
+    assert hashes.where(none(F.col("h"))).count() == 0
+
+
+def test_texts_that_do_not_change_are_not_moved(spark, monkeypatch):
+    """Few of many long texts lose something or go: only those are asked for by a join, and the result is whole."""
+    rng = random.Random(17)
+    rows_ = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(120)), "s", 0) for i in range(400)]
+    passage = rows_[0][1].split()[:60]
+    rows_[7] = (7, " ".join(rows_[7][1].split() + passage), "s", 0)
+    rows_ += [(400, rows_[5][1], "s", 0), (5, rows_[5][1], "s", 0), (None, rows_[9][1], "s", 0), (401, None, "s", 0), (402, "", "s", 0), (None, "alone", "s", 0)]
+    docs = landed(spark.createDataFrame(rows_, "doc_id long, text string, source string, n_chars long").repartition(4))
+    asked = []
+    whole = texts.may_be_among
+
+    def noted(hashes, name):
+        asked.append(hashes.distinct().count())
+        return whole(hashes, name)
+
+    for module in (neardup, similar, passages):
+        monkeypatch.setattr(module, "may_be_among", noted)
+    kept = landed(corpus_pipeline.simhash_dedup(spark, docs, ""))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    gone = {(400, rows_[5][1]), (None, rows_[9][1]), (402, "")}
+    left = {(r[0], r[1]) for r in rows_} - gone
+    assert got == sorted((d is None, d or 0, t or "") for d, t in left)
+    assert len(asked) == 4 and max(asked) <= 8
+    asked.clear()
+    cut = {r.doc_id: r.text for r in corpus_pipeline.suffix_dedup(spark, kept, "").where("doc_id is not null").collect()}
+    assert asked == [2] and cut[0] == " " + " ".join(rows_[0][1].split()[60:]) and cut[7] == " ".join(rows_[7][1].split()[:120]) + " "
+    assert all(cut[d] == t for d, t in left if d not in (0, 7, None))
+
+
 def test_link_similar_and_passages_run_in_small_batches(spark, monkeypatch):
     """Texts of 3 MB in all go to Python in several batches; the session's own size holds again, also after an error."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
