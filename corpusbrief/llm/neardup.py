@@ -243,13 +243,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", link: Cal
     chosen = first.select(*[F.col("row")[n].alias(f"__{n}") for n in ("none", "k", "h1", "h2")])
     stays = first.select(F.col("component_root").alias("r"), F.col("row").alias("first"))
     other = rows.join(stays, F.col("component_root").eqNullSafe(F.col("r"))).where(~F.col("row").eqNullSafe(F.col("first")) | (F.col("copies") > 1))
-    may_go = may_be_among(other.select(F.xxhash64("row.k", "row.h1").alias("name")), "name")(F.xxhash64(quoted(key), hashes["__h1"]))
+    parted = may_be_among(other.select(F.xxhash64("row.k", "row.h1").alias("name")), "name")
+    may_go, stay = parted(docs, F.xxhash64(quoted(key), hashes["__h1"]))
     same = (
         (F.col("__own1") == F.col("__h1")) & (F.col("__own2") == F.col("__h2")) & F.col(quoted(key)).eqNullSafe(F.col("__k"))
     )
-    marked = docs.where(may_go).withColumns({"__own1": hashes["__h1"], "__own2": hashes["__h2"]})
+    marked = may_go.withColumns({"__own1": hashes["__h1"], "__own2": hashes["__h2"]})
     kept = marked.join(chosen, same, "left_semi")
     if first.where(F.col("copies") > 1).limit(1).count():
         alike = W.partitionBy(quoted(key), "__own1", "__own2").orderBy("__own1")
         kept = kept.withColumn("__place", F.row_number().over(alike)).where(F.col("__place") == 1)
-    return docs.where(~may_go).union(kept.select(*[quoted(c) for c in docs.columns]))
+    return stay.union(kept.select(*[quoted(c) for c in docs.columns]))

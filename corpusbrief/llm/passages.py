@@ -90,8 +90,8 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, a
 
     kind = pa.struct([("left", pa.string()), ("words", pa.int64()), ("passages", pa.int64())])
     udf = F.arrow_udf(run, "struct<left:string,words:long,passages:long>").asNondeterministic()
-    may_lose = may_be_among(found, "t1")(names["__t1"])
-    named = docs.where(may_lose).withColumns(names)
+    may_lose, whole = may_be_among(found, "t1")(docs, names["__t1"])
+    named = may_lose.withColumns(names)
     joined = named.join(found, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
     changed = F.when(F.col("removed").isNotNull(), F.col(body)).cast("binary")
     done = joined.withColumn("__cut", udf(changed, F.col("removed")))
@@ -99,4 +99,4 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, a
     none = F.lit(0).cast("long")
     return done.select(
         *own, F.col("__cut.words").alias("n_removed_words"), F.col("__cut.passages").alias("n_passages"), F.coalesce("__cut.left", body).alias("kept"),
-    ).union(docs.where(~may_lose).select(*own, none.alias("n_removed_words"), none.alias("n_passages"), F.col(body).alias("kept")))
+    ).union(whole.select(*own, none.alias("n_removed_words"), none.alias("n_passages"), F.col(body).alias("kept")))

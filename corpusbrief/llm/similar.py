@@ -396,7 +396,7 @@ def _sets(docs: DataFrame, text: str, wanted: DataFrame, shingle: int, path: str
             sets = [shingle_set(t, shingle).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    named = docs.select(*_names(text), F.col(quoted(text)).cast("binary").alias("body")).where(may_be_among(wanted, "ta")(F.col("ta")))
+    named, _ = may_be_among(wanted, "ta")(docs.select(*_names(text), F.col(quoted(text)).cast("binary").alias("body")), F.col("ta"))
     found = named.mapInArrow(once, "ta long, tb long, body binary").join(wanted, ["ta", "tb"])
     return landed(found.select("node", "body").mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), path)
 
